@@ -64,5 +64,10 @@ def feature_vector(order: list[str] = FEATURE_ORDER) -> Column:
 
 
 def r6(c) -> Column:
-    """Published doubles are rounded to 6 decimals."""
-    return F.round(_c(c), 6)
+    """Published doubles are rounded to 6 decimals (HALF_UP).
+
+    Rounding first to 10 decimals makes exact ties (e.g. means of cent
+    amounts over 32 rows) independent of last-bit differences between
+    summation orders, so every engine publishes the same value.
+    """
+    return F.round(F.round(_c(c), 10), 6)

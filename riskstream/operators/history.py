@@ -356,3 +356,35 @@ def training_features(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     d = merchant_risk_join(d, label)
     d = user_fraud_history(d, label)
     return d
+
+
+def asof_last_txn(requests: DataFrame, history_df: DataFrame, t: Thresholds = DEFAULT,
+                  key: str = USER) -> DataFrame:
+    """For each request row, the user's last *history* row strictly
+    before it (within the TTL) - an as-of join without an inequality join.
+
+    Both sides are unioned with a tag and ordered so that a history row at
+    the same instant comes after the request; ``last(ignorenulls)`` over
+    the earlier rows picks the as-of match. Runs per (user, chunk) with a
+    TTL halo, so a hot user is split.
+    """
+    ttl = t.profile_ttl_us or WEEK_US
+    req = requests.select(key, F.col(ID).alias("_rid"), TS, "latitude", "longitude",
+                          F.lit(0).alias("_tag"), F.lit(None).cast("struct<us:long,lat:double,lon:double>")
+                          .alias("_h"))
+    hist = history_df.select(key, F.lit(None).cast("string").alias("_rid"), TS, "latitude", "longitude",
+                             F.lit(1).alias("_tag"),
+                             F.struct(F.col(TS).alias("us"), F.col("latitude").alias("lat"),
+                                      F.col("longitude").alias("lon")).alias("_h"))
+    u = halo_expand(req.unionByName(hist), TS, ttl)
+    w = (Window.partitionBy(key, CHUNK).orderBy(TS, "_tag")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    u = u.withColumn("_m", F.last("_h", ignorenulls=True).over(w))
+    u = u.filter((F.col("_tag") == 0) & ~F.col(HALO))
+    has = F.col("_m").isNotNull() & ((F.col(TS) - F.col("_m.us")) < F.lit(ttl))
+    u = (u.withColumn("_prev_us", F.when(has, F.col("_m.us")))
+          .withColumn("_prev_lat", F.when(has, F.col("_m.lat")))
+          .withColumn("_prev_lon", F.when(has, F.col("_m.lon"))))
+    out = u.select(F.col("_rid").alias(ID), key, TS, "latitude", "longitude", "_prev_us",
+                   "_prev_lat", "_prev_lon")
+    return _finish(out.select("*", *_last_cols(t)), [])

@@ -86,8 +86,417 @@ FROM rs""", "txn")
 ORACLE: dict[str, str] = {}
 
 
+def dec_round(sql: str, digits: int = 6) -> str:
+    """Rewrite ``round(x, 6)`` to round through DECIMAL, i.e. HALF_UP on the
+    decimal value as Spark's ``round`` does (plain double rounding breaks
+    exact ties such as means of cent amounts the other way)."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 0, j + len(key), -1
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        arg, nd = sql[j + len(key):comma], sql[comma + 1:k].strip()
+        if comma < 0 or nd != str(digits):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        out.append(sql[i:j])
+        out.append(f"CAST(round(CAST({dec_round(arg, digits)} AS DECIMAL(38,10)), {digits}) AS DOUBLE)")
+        i = k + 1
+
+
 def register(name: str, sql: str) -> None:
-    ORACLE[name] = sql
+    ORACLE[name] = dec_round(sql)
 
 
 register("rule_score", rule_score())
+
+
+# ---------------------------------------------------------------------------
+# B: validation
+# ---------------------------------------------------------------------------
+def _str_errs(col: str, lo, hi, required: bool) -> list[str]:
+    out = []
+    if required:
+        out.append(f"CASE WHEN {col} IS NULL THEN '{col}:missing' END")
+    if lo:
+        out.append(f"CASE WHEN {col} IS NOT NULL AND length({col}) < {lo} THEN '{col}:string_too_short' END")
+    if hi:
+        out.append(f"CASE WHEN {col} IS NOT NULL AND length({col}) > {hi} THEN '{col}:string_too_long' END")
+    return out
+
+
+def _num_errs(col: str, lo: float, hi: float) -> list[str]:
+    fin = f"(NOT isnan({col}) AND abs({col}) != 'inf'::double)"
+    return [f"CASE WHEN {col} IS NULL THEN '{col}:missing' END",
+            f"CASE WHEN {col} IS NOT NULL AND NOT {fin} THEN '{col}:finite_number' END",
+            f"CASE WHEN {col} IS NOT NULL AND {fin} AND {col} < {lo} THEN '{col}:greater_than_equal' END",
+            f"CASE WHEN {col} IS NOT NULL AND {fin} AND {col} > {hi} THEN '{col}:less_than_equal' END"]
+
+
+_ERRS = (_str_errs("transaction_id", 1, 64, True) + _str_errs("user_id", 1, 64, True)
+         + _num_errs("amount", 0.01, 1000000.0) + _str_errs("currency", 3, 3, False)
+         + _str_errs("merchant_id", 1, 64, True) + _str_errs("merchant_category", 1, 32, True)
+         + _num_errs("latitude", -90.0, 90.0) + _num_errs("longitude", -180.0, 180.0)
+         + _str_errs("device_id", None, 64, False)
+         + ["CASE WHEN channel IS NOT NULL AND NOT regexp_matches(channel, '^(online|offline|mobile|api)$') "
+            "THEN 'channel:string_pattern_mismatch' END"])
+VALIDATE_CTE = f"""v AS (SELECT *, concat_ws(';', {', '.join(_ERRS)}) AS errors FROM txn_raw)"""
+
+register("validate_txn", with_views(f"""WITH {VALIDATE_CTE}
+SELECT transaction_id, errors = '' AS is_valid, errors FROM v""", "txn_raw"))
+
+register("normalize_txn", with_views(f"""WITH {VALIDATE_CTE}
+SELECT transaction_id, coalesce(us, 1735689600000000) AS us, coalesce(currency, 'USD') AS currency,
+  coalesce(channel, 'online') AS channel, latitude, longitude
+FROM v WHERE errors = ''""", "txn_raw"))
+
+register("validation_summary", with_views(f"""WITH {VALIDATE_CTE},
+x AS (SELECT unnest(string_split(errors, ';')) AS e FROM v WHERE errors != '')
+SELECT split_part(e, ':', 1) AS field, split_part(e, ':', 2) AS type, count(*) AS n_rows
+FROM x GROUP BY 1, 2""", "txn_raw"))
+
+register("batch_outcome", with_views("""
+SELECT event_id // 100 AS batch_id, bool_and(status = 'success') AS success, count(*) AS total_processed,
+  count(*) FILTER (WHERE status != 'success') AS failures
+FROM scored GROUP BY 1""", "scored"))
+
+# ---------------------------------------------------------------------------
+# C: scalar functions
+# ---------------------------------------------------------------------------
+GEO_CTE = f"""gb AS (SELECT transaction_id, {hav('latitude', 'longitude', '51.5074', '-0.1278')} AS km,
+  ((us % 7200000000) - 3600000000) / 1e6 AS dt FROM txn)"""
+
+register("haversine_km", with_views(f"WITH {GEO_CTE} SELECT transaction_id, round(km, 6) AS km FROM gb", "txn"))
+register("travel_speed_kmh", with_views(
+    f"WITH {GEO_CTE} SELECT transaction_id, round({speed('km', 'dt')}, 6) AS speed_kmh FROM gb", "txn"))
+register("impossible_travel", with_views(
+    f"WITH {GEO_CTE} SELECT transaction_id, (dt > 0 AND {speed('km', 'dt')} > 1200) AS impossible FROM gb", "txn"))
+register("amount_log", with_views(
+    "SELECT transaction_id, round(ln(1 + amount), 6) AS amount_log FROM txn", "txn"))
+register("temporal_features", with_views(
+    f"SELECT transaction_id, {HOUR_SQL} AS hour_of_day, {DOW_SQL} AS day_of_week, {DOW_SQL} >= 5 AS is_weekend "
+    "FROM txn", "txn"))
+register("amount_zscore", with_views(
+    "SELECT transaction_id, round(CASE WHEN (us % 3) * 100 > 0 THEN (amount - 500.0) / ((us % 3) * 100.0) "
+    "ELSE 0.0 END, 6) AS z FROM txn", "txn"))
+register("risk_level", with_views(
+    f"SELECT event_id, {level('fraud_probability')} AS level FROM scored", "scored"))
+register("normalize_endpoint", with_views("""
+WITH s AS (SELECT event_id, string_split(trim(path, '/'), '/') AS segs FROM requests)
+SELECT event_id, '/' || array_to_string(list_transform(segs, lambda x:
+  CASE WHEN (length(x) = 36 AND contains(x, '-')) OR regexp_matches(x, '^[0-9]+$') OR length(x) > 20
+       THEN '{id}' ELSE x END), '/') AS endpoint FROM s""", "requests"))
+
+# ---------------------------------------------------------------------------
+# D: history features
+# ---------------------------------------------------------------------------
+VEL_CTE = f"""vw AS (SELECT *,
+  count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {HOUR} PRECEDING AND 1 PRECEDING) AS txn_count_1h,
+  count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {DAY} PRECEDING AND 1 PRECEDING) AS txn_count_24h,
+  count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {WEEK} PRECEDING AND 1 PRECEDING) AS txn_count_7d,
+  coalesce(sum(amount) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {DAY} PRECEDING AND 1 PRECEDING), 0.0)
+    AS total_amount_24h,
+  count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS set_size
+FROM txn)"""
+
+LAST_SELECT = ("SELECT transaction_id, round(dt, 6) AS time_since_last_txn_seconds, "
+               "round(dist, 6) AS distance_from_last_txn_km, round(spd, 6) AS travel_speed_kmh, "
+               "impossible AS is_impossible_travel FROM h")
+
+register("last_txn_features", with_views(f"WITH {PROFILE_CTES}\n{LAST_SELECT}", "txn"))
+
+register("asof_last_txn", with_views(f"""WITH
+txd AS (
+  SELECT concat('TXN_', lpad(CAST(e.event_id AS varchar), 10, '0')) AS transaction_id,
+    concat('USER_', lpad(CAST(e.user_id AS varchar), 8, '0')) AS user_id,
+    1704067200000000 + (e.us - 1704067200000000) // 24 AS us,
+    CAST(c.lat AS double) AS latitude, CAST(c.lon AS double) AS longitude
+  FROM e JOIN city c ON e.ci = c.i),
+j AS (
+  SELECT r.*, hh.us AS pu, hh.latitude AS plat, hh.longitude AS plon
+  FROM txd r ASOF LEFT JOIN txn hh ON r.user_id = hh.user_id AND r.us > hh.us),
+b2 AS (SELECT *, (pu IS NOT NULL AND us - pu < {DAY}) AS has FROM j),
+f AS (SELECT *, CASE WHEN has THEN (us - pu) / 1e6 ELSE 0.0 END AS dt,
+        CASE WHEN has THEN {hav('plat', 'plon', 'latitude', 'longitude')} ELSE 0.0 END AS dist FROM b2),
+g AS (SELECT *, CASE WHEN has THEN {speed('dist', 'dt')} ELSE 0.0 END AS spd FROM f),
+h AS (SELECT *, coalesce(has AND dt > 0 AND spd > 1200, false) AS impossible FROM g)
+{LAST_SELECT}""", "txn"))
+
+register("velocity_windows", with_views(f"""WITH {VEL_CTE}
+SELECT transaction_id, txn_count_1h, txn_count_24h, txn_count_7d, round(total_amount_24h, 6) AS total_amount_24h
+FROM vw""", "txn", dense=True))
+
+register("velocity_windows_ttl", with_views(f"""WITH {VEL_CTE},
+v2 AS (SELECT *, lag(us) OVER w AS pu, lag(set_size) OVER w AS pset FROM vw
+       WINDOW w AS (PARTITION BY user_id ORDER BY us, transaction_id))
+SELECT transaction_id, txn_count_1h, txn_count_24h,
+  CAST(CASE WHEN pu IS NOT NULL AND us - pu < {DAY} THEN pset ELSE 0 END AS BIGINT) AS txn_count_7d,
+  round(total_amount_24h, 6) AS total_amount_24h
+FROM v2""", "txn", dense=True))
+
+register("user_profile_running", with_views(f"""WITH {PROFILE_CTES},
+ss AS (SELECT *, min(us) OVER (PARTITION BY user_id, sess) AS sess_start FROM h)
+SELECT transaction_id, n AS user_txn_count_total, round(mean0, 6) AS user_avg_amount,
+  round(std_, 6) AS user_std_amount,
+  CASE WHEN n > 0 THEN sess_start ELSE us END AS first_seen_us,
+  CASE WHEN n > 0 THEN pu ELSE us END AS last_seen_us
+FROM ss""", "txn"))
+
+register("user_profile_snapshot", with_views(f"""WITH {PROFILE_CTES},
+ls AS (SELECT user_id, max(sess) AS ms FROM c2 GROUP BY 1)
+SELECT c2.user_id, count(*) AS txn_count_total, round(avg(amount), 6) AS avg_amount,
+  round(coalesce(stddev_pop(amount), 0.0), 6) AS std_amount, min(us) AS first_seen_us, max(us) AS last_seen_us
+FROM c2 JOIN ls ON c2.user_id = ls.user_id AND c2.sess = ls.ms GROUP BY 1""", "txn"))
+
+register("rolling_rows_features", with_views("""
+SELECT transaction_id,
+  least(row_number() OVER w, 10) AS txn_count_1h, least(row_number() OVER w, 50) AS txn_count_24h,
+  least(row_number() OVER w, 100) AS txn_count_7d,
+  round(sum(amount) OVER (PARTITION BY user_id ORDER BY us, transaction_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6)
+    AS total_amount_24h
+FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY us, transaction_id)""", "txn"))
+
+USER_STATS_CTE = """us_ AS (SELECT user_id, avg(amount) AS ua, coalesce(stddev_samp(amount), 0.0) AS usd,
+  count(*) AS uc FROM txn GROUP BY 1)"""
+register("user_stats_join", with_views(f"""WITH {USER_STATS_CTE}
+SELECT transaction_id, round(ua, 6) AS user_avg_amount, round(usd, 6) AS user_std_amount, uc AS user_txn_count,
+  round(CASE WHEN usd > 0 THEN (amount - ua) / usd ELSE 0.0 END, 6) AS amount_zscore
+FROM txn JOIN us_ USING (user_id)""", "txn"))
+
+CONSEC_CTE = f"""ct AS (
+  SELECT *, lag(us) OVER w AS pu2, lag(latitude) OVER w AS plat2, lag(longitude) OVER w AS plon2
+  FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY us, transaction_id)),
+ct2 AS (SELECT *, CASE WHEN pu2 IS NOT NULL THEN {hav('plat2', 'plon2', 'latitude', 'longitude')} ELSE 0.0 END
+          AS distance_from_last,
+        CASE WHEN pu2 IS NOT NULL THEN (us - pu2) / 1e6 ELSE 0.0 END AS time_since_last_txn FROM ct)"""
+register("consecutive_travel", with_views(f"""WITH {CONSEC_CTE}
+SELECT transaction_id, round(distance_from_last, 6) AS distance_from_last,
+  round(time_since_last_txn, 6) AS time_since_last_txn, round(distance_from_last, 6) AS travel_speed,
+  CAST(distance_from_last > 1200 AS INTEGER) AS is_impossible_travel
+FROM ct2""", "txn"))
+
+register("merchant_risk_join", with_views("""
+WITH m AS (SELECT merchant_id, avg(is_fraud) AS r FROM txn GROUP BY 1)
+SELECT transaction_id, round(coalesce(r, 0.5), 6) AS merchant_risk_score FROM txn LEFT JOIN m USING (merchant_id)""",
+                                          "txn"))
+
+MERCH_PRIOR = ("coalesce(avg(is_fraud) OVER (PARTITION BY merchant_id ORDER BY us "
+               "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5)")
+register("merchant_risk_prior", with_views(
+    f"SELECT transaction_id, round({MERCH_PRIOR}, 6) AS merchant_risk_score FROM txn", "txn"))
+
+register("user_fraud_history", with_views("""
+SELECT transaction_id, CAST(coalesce(sum(is_fraud) OVER (PARTITION BY user_id ORDER BY us, transaction_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS user_fraud_history FROM txn""", "txn"))
+
+register("user_fraud_history_scored", with_views(f"""
+WITH a AS (SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS pu FROM scored),
+b AS (SELECT *, sum(CASE WHEN pu IS NULL OR us - pu >= {DAY} THEN 1 ELSE 0 END)
+        OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS sess FROM a)
+SELECT event_id, CAST(coalesce(sum(CASE WHEN fraud_probability >= 0.85 THEN 1 ELSE 0 END) OVER
+  (PARTITION BY user_id, sess ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+  AS user_fraud_history_count
+FROM b""", "scored"))
+
+MERCH_COUNT = (f"count(*) OVER (PARTITION BY merchant_id ORDER BY us RANGE BETWEEN {DAY} PRECEDING "
+               "AND 1 PRECEDING)")
+register("merchant_txn_count_24h", with_views(
+    f"SELECT transaction_id, {MERCH_COUNT} AS merchant_txn_count_24h FROM txn", "txn", dense=True))
+
+# Full point-in-time feature row.
+PIT_CTES = f"""{PROFILE_CTES},
+pv AS (SELECT h.*, vw.txn_count_1h, vw.txn_count_24h, vw.txn_count_7d, vw.total_amount_24h,
+         {MERCH_PRIOR.replace('is_fraud', 'h.is_fraud').replace('merchant_id', 'h.merchant_id').replace('ORDER BY us', 'ORDER BY h.us')}
+           AS merchant_risk_score,
+         {MERCH_COUNT.replace('merchant_id', 'h.merchant_id').replace('ORDER BY us', 'ORDER BY h.us')}
+           AS merchant_txn_count_24h
+       FROM h JOIN vw USING (transaction_id)),
+pit AS (SELECT *, least(1.0, (txn_count_1h / 10.0) * 0.3 + (txn_count_24h / 50.0) * 0.7) AS velocity_score,
+          CAST(0 AS BIGINT) AS user_fraud_history_count, {DOW_SQL} AS day_of_week, {DOW_SQL} >= 5 AS is_weekend
+        FROM pv)"""
+
+PIT_SELECT = """SELECT transaction_id, round(amount, 6) AS amount, round(ln(1 + amount), 6) AS amount_log,
+  round(z, 6) AS amount_zscore, hour_of_day, day_of_week, is_weekend,
+  round(dt, 6) AS time_since_last_txn_seconds, txn_count_1h, txn_count_24h, txn_count_7d,
+  round(total_amount_24h, 6) AS total_amount_24h, round(dist, 6) AS distance_from_last_txn_km,
+  round(spd, 6) AS travel_speed_kmh, impossible AS is_impossible_travel, round(mean0, 6) AS user_avg_amount,
+  round(std_, 6) AS user_std_amount, n AS user_txn_count_total, user_fraud_history_count,
+  round(merchant_risk_score, 6) AS merchant_risk_score, merchant_txn_count_24h,
+  round(velocity_score, 6) AS velocity_score
+FROM pit"""
+
+register("point_in_time_features", with_views(f"WITH {VEL_CTE},{PIT_CTES}\n{PIT_SELECT}", "txn", dense=True))
+
+MODEL_FACTORS = """concat_ws(',',
+  CASE WHEN impossible THEN 'IMPOSSIBLE_TRAVEL' END, CASE WHEN z > 3.0 THEN 'UNUSUAL_AMOUNT' END,
+  CASE WHEN velocity_score > 0.7 THEN 'HIGH_VELOCITY' END, CASE WHEN txn_count_1h > 5 THEN 'RAPID_TRANSACTIONS' END,
+  CASE WHEN dist > 500 THEN 'DISTANT_TRANSACTION' END,
+  CASE WHEN user_fraud_history_count > 0 THEN 'PRIOR_FRAUD_HISTORY' END,
+  CASE WHEN dt < 60 THEN 'TOO_QUICK' END, CASE WHEN hour_of_day < 4 THEN 'UNUSUAL_TIME' END)"""
+
+register("model_risk_factors", with_views(
+    f"WITH {VEL_CTE},{PIT_CTES}\nSELECT transaction_id, {MODEL_FACTORS} AS factors FROM pit", "txn", dense=True))
+
+register("velocity_score", with_views(f"""WITH {VEL_CTE}
+SELECT transaction_id, round(least(1.0, (txn_count_1h / 10.0) * 0.3 + (txn_count_24h / 50.0) * 0.7), 6)
+  AS velocity_score FROM vw""", "txn", dense=True))
+
+register("feature_vector", with_views(f"""WITH {VEL_CTE},{PIT_CTES},
+fv AS (SELECT transaction_id, [CAST(amount AS FLOAT), CAST(ln(1 + amount) AS FLOAT), CAST(z AS FLOAT),
+  CAST(hour_of_day AS FLOAT), CAST(day_of_week AS FLOAT), CAST(is_weekend AS FLOAT), CAST(dt AS FLOAT),
+  CAST(txn_count_1h AS FLOAT), CAST(txn_count_24h AS FLOAT), CAST(txn_count_7d AS FLOAT),
+  CAST(total_amount_24h AS FLOAT), CAST(dist AS FLOAT), CAST(spd AS FLOAT), CAST(impossible AS FLOAT),
+  CAST(mean0 AS FLOAT), CAST(std_ AS FLOAT), CAST(n AS FLOAT), CAST(user_fraud_history_count AS FLOAT),
+  CAST(velocity_score AS FLOAT), CAST(merchant_risk_score AS FLOAT)] AS v FROM pit)
+SELECT transaction_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos,
+  round(CAST(unnest(v) AS DOUBLE), 6) AS x FROM fv""", "txn"))
+
+TRAIN_SQL = f"""WITH {USER_STATS_CTE}, {CONSEC_CTE},
+m AS (SELECT merchant_id, avg(is_fraud) AS r FROM txn GROUP BY 1),
+t2 AS (SELECT ct2.*, ua, usd, uc, coalesce(m.r, 0.5) AS mr,
+  row_number() OVER w AS rn,
+  sum(amount) OVER (PARTITION BY ct2.user_id ORDER BY us, transaction_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
+    AS s50,
+  coalesce(sum(is_fraud) OVER (PARTITION BY ct2.user_id ORDER BY us, transaction_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ufh
+  FROM ct2 JOIN us_ USING (user_id) LEFT JOIN m USING (merchant_id)
+  WINDOW w AS (PARTITION BY ct2.user_id ORDER BY us, transaction_id))
+SELECT transaction_id, round(amount, 6) AS amount, round(ln(1 + amount), 6) AS amount_log, {HOUR_SQL} AS hour_of_day,
+  {DOW_SQL} AS day_of_week, CAST({DOW_SQL} >= 5 AS INTEGER) AS is_weekend, round(ua, 6) AS user_avg_amount,
+  round(usd, 6) AS user_std_amount, uc AS user_txn_count,
+  round(CASE WHEN usd > 0 THEN (amount - ua) / usd ELSE 0.0 END, 6) AS amount_zscore,
+  least(rn, 10) AS txn_count_1h, least(rn, 50) AS txn_count_24h, least(rn, 100) AS txn_count_7d,
+  round(s50, 6) AS total_amount_24h,
+  round(greatest(0.0, least(1.0, (least(rn, 10) / 10.0) * 0.3 + (least(rn, 50) / 50.0) * 0.7)), 6) AS velocity_score,
+  round(distance_from_last, 6) AS distance_from_last, round(time_since_last_txn, 6) AS time_since_last_txn,
+  round(distance_from_last, 6) AS travel_speed, CAST(distance_from_last > 1200 AS INTEGER) AS is_impossible_travel,
+  round(mr, 6) AS merchant_risk_score, CAST(ufh AS BIGINT) AS user_fraud_history
+FROM t2"""
+register("training_features", with_views(TRAIN_SQL, "txn"))
+
+# ---------------------------------------------------------------------------
+# E: rules and scoring
+# ---------------------------------------------------------------------------
+for _i, _n in enumerate(["rule_amount_velocity", "rule_impossible_travel", "rule_time_pattern",
+                         "rule_frequency", "rule_amount_anomaly"], start=1):
+    register(_n, with_views(f"WITH {PROFILE_CTES},{RULE_CTES}\nSELECT transaction_id, s{_i} AS score, "
+                            f"f{_i} AS factor FROM r", "txn"))
+
+register("alert_report_row", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES}
+SELECT transaction_id, substr(transaction_id, 1, 16) || '...' AS short_id,
+  printf('%.2f', prob * 100) || '%' AS probability,
+  replace(concat_ws(', ', f1, f2, f3, f4, f5), '_', ' ') AS factors
+FROM rs""", "txn"))
+
+HYBRID_TAIL = """
+SELECT transaction_id, round(CASE WHEN mp IS NOT NULL THEN mp ELSE prob END, 6) AS fraud_probability,
+  {lvl} AS risk_level,
+  CASE WHEN mp IS NOT NULL THEN {mf} ELSE concat_ws(',', f1, f2, f3, f4, f5, 'FALLBACK_MODE') END AS risk_factors,
+  CASE WHEN mp IS NOT NULL THEN 'gbt' ELSE 'rules_fallback' END AS model_used,
+  CASE WHEN mp IS NOT NULL THEN 'gbt-v1' ELSE 'rule-based-v1' END AS model_version,
+  CAST(CASE WHEN mp IS NOT NULL THEN 21 ELSE 0 END AS INTEGER) AS features_used
+FROM rs2""".replace("{lvl}", level("CASE WHEN mp IS NOT NULL THEN mp ELSE prob END")).replace("{mf}", MODEL_FACTORS)
+
+_RULES_ON_PIT = RULE_CTES.replace("FROM h)", "FROM pit)")
+register("hybrid_score", with_views(f"""WITH {VEL_CTE},{PIT_CTES},{_RULES_ON_PIT},
+rs2 AS (SELECT *, CASE WHEN CAST(substr(transaction_id, 5) AS BIGINT) % 3 = 0 THEN NULL
+  ELSE CAST((CAST(substr(transaction_id, 5) AS BIGINT) * 37) % 1000 AS DOUBLE) / 1000 END AS mp FROM rs)
+{HYBRID_TAIL}""", "txn", dense=True))
+
+register("score_batch", with_views(f"""WITH {VEL_CTE},{PIT_CTES},{_RULES_ON_PIT},
+rs2 AS (SELECT *, CAST(NULL AS DOUBLE) AS mp FROM rs)
+{HYBRID_TAIL}""", "txn"))
+
+# ---------------------------------------------------------------------------
+# A: class balance, profile lookup
+# ---------------------------------------------------------------------------
+register("class_distribution", with_views("""
+WITH t AS (SELECT count(*) AS total_rows, CAST(sum(is_fraud) AS BIGINT) AS positives FROM txn)
+SELECT is_fraud, count(*) AS n_rows, any_value(total_rows) AS total_rows, any_value(positives) AS positives,
+  round(any_value(positives) / any_value(total_rows), 6) AS fraud_rate
+FROM txn, t GROUP BY is_fraud""", "txn"))
+
+register("profile_lookup", with_views(f"""WITH {PROFILE_CTES},
+ls AS (SELECT user_id, max(sess) AS ms FROM c2 GROUP BY 1),
+prof AS (SELECT c2.user_id, count(*) AS cnt, avg(amount) AS av, coalesce(stddev_pop(amount), 0.0) AS sd
+  FROM c2 JOIN ls ON c2.user_id = ls.user_id AND c2.sess = ls.ms GROUP BY 1),
+req AS (SELECT DISTINCT concat('USER_', lpad(CAST(c_custkey AS varchar), 8, '0')) AS user_id FROM customer)
+SELECT req.user_id, prof.user_id IS NOT NULL AS found, round(coalesce(av, 0.0), 6) AS avg_amount,
+  round(coalesce(sd, 0.0), 6) AS std_amount, CAST(coalesce(cnt, 0) AS BIGINT) AS txn_count_total,
+  CAST(0 AS BIGINT) AS fraud_count
+FROM req LEFT JOIN prof ON req.user_id = prof.user_id""", "txn"))
+
+# ---------------------------------------------------------------------------
+# evaluation
+# ---------------------------------------------------------------------------
+register("confusion_matrix", with_views("""
+WITH g AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(actual, predicted)),
+c AS (SELECT label AS actual, CAST(fraud_probability >= 0.5 AS INTEGER) AS predicted, count(*) AS n
+      FROM scored GROUP BY 1, 2)
+SELECT g.actual, g.predicted, CAST(coalesce(n, 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (actual, predicted)""",
+                                        "scored"))
+
+register("classification_report", with_views("""
+WITH s AS (SELECT count(*) FILTER (WHERE label = 1 AND fraud_probability >= 0.5) AS tp,
+  count(*) FILTER (WHERE label = 0 AND fraud_probability >= 0.5) AS fp,
+  count(*) FILTER (WHERE label = 1 AND fraud_probability < 0.5) AS fn,
+  count(*) FILTER (WHERE label = 0 AND fraud_probability < 0.5) AS tn FROM scored),
+m AS (SELECT *, tp + fp + fn + tn AS n,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1,
+  CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END AS p0, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS r0
+  FROM s),
+f AS (SELECT *, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0,
+  CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1 FROM m),
+rows AS (
+  SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, tn + fp AS support FROM f
+  UNION ALL SELECT '1', p1, r1, f1, tp + fn FROM f
+  UNION ALL SELECT 'accuracy', (tp + tn) / n, (tp + tn) / n, (tp + tn) / n, n FROM f
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM f
+  UNION ALL SELECT 'weighted avg', (p0 * (tn + fp) + p1 * (tp + fn)) / n, (r0 * (tn + fp) + r1 * (tp + fn)) / n,
+    (f0 * (tn + fp) + f1 * (tp + fn)) / n, n FROM f)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+  CAST(support AS BIGINT) AS support FROM rows""", "scored"))
+
+ROC_CTE = """sc AS (SELECT fraud_probability AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
+  count(*) FILTER (WHERE label != 1) AS neg FROM scored GROUP BY 1),
+tot AS (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label != 1) AS N FROM scored),
+cum AS (SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM sc
+  WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+roc AS (SELECT 'inf'::double AS threshold, 0.0 AS fpr, 0.0 AS tpr
+  UNION ALL SELECT threshold, CASE WHEN N > 0 THEN fp / N ELSE 0.0 END, CASE WHEN P > 0 THEN tp / P ELSE 0.0 END
+  FROM cum, tot),
+pr AS (SELECT 'inf'::double AS threshold, 1.0 AS precision, 0.0 AS recall
+  UNION ALL SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END,
+    CASE WHEN P > 0 THEN tp / P ELSE 0.0 END FROM cum, tot)"""
+
+register("roc_curve", with_views(f"""WITH {ROC_CTE}
+SELECT threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""", "scored"))
+register("roc_auc", with_views(f"""WITH {ROC_CTE},
+l AS (SELECT fpr, tpr, lag(fpr) OVER (ORDER BY threshold DESC) AS pf, lag(tpr) OVER (ORDER BY threshold DESC) AS pt
+  FROM roc)
+SELECT round(coalesce(sum((fpr - pf) * (tpr + pt) / 2), 0.0), 6) AS roc_auc FROM l""", "scored"))
+register("pr_curve", with_views(f"""WITH {ROC_CTE}
+SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr""",
+                                "scored"))
+register("pr_auc", with_views(f"""WITH {ROC_CTE},
+l AS (SELECT precision, recall, lag(precision) OVER (ORDER BY threshold DESC) AS pp,
+  lag(recall) OVER (ORDER BY threshold DESC) AS pr_ FROM pr)
+SELECT round(coalesce(sum((recall - pr_) * (precision + pp) / 2), 0.0), 6) AS pr_auc FROM l""", "scored"))

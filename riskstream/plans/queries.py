@@ -37,3 +37,380 @@ def q_rule_score(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("transaction_id", "user_id", "us", r6("fraud_probability").alias("fraud_probability"),
                     "risk_level", _join("risk_factors").alias("risk_factors"), "model_used",
                     "model_version")
+
+
+# ---------------------------------------------------------------------------
+# B: validation
+# ---------------------------------------------------------------------------
+from dataclasses import replace as _replace  # noqa: E402
+
+from pyspark.sql import Window  # noqa: E402
+
+from ..config import DEFAULT, FEATURE_ORDER  # noqa: E402
+from ..functions import geo, scalar, text  # noqa: E402
+from ..operators import evaluation, history, rules as rules_mod, validate  # noqa: E402
+
+
+def _err_str(c: str = "errors") -> F.Column:
+    return F.array_join(F.transform(F.col(c), lambda e: F.concat(e["field"], F.lit(":"), e["type"])), ";")
+
+
+@query("validate_txn")
+def q_validate(spark, sf):
+    d = validate.with_errors(fx.txn_raw(spark, sf))
+    return d.select("transaction_id", (F.size("errors") == 0).alias("is_valid"),
+                    _err_str().alias("errors"))
+
+
+@query("normalize_txn")
+def q_normalize(spark, sf):
+    valid, _ = validate.validate_txn(fx.txn_raw(spark, sf))
+    n = validate.normalize_txn(valid, now_us=1735689600000000)
+    return n.select("transaction_id", "us", "currency", "channel",
+                    F.col("location.latitude").alias("latitude"),
+                    F.col("location.longitude").alias("longitude"))
+
+
+@query("validation_summary")
+def q_validation_summary(spark, sf):
+    _, rej = validate.validate_txn(fx.txn_raw(spark, sf))
+    return validate.validation_summary(rej)
+
+
+@query("batch_outcome")
+def q_batch_outcome(spark, sf):
+    s = fx.scored(spark, sf).withColumn("batch_id", scalar.idiv("event_id", 100))
+    return validate.batch_outcome(s)
+
+
+# ---------------------------------------------------------------------------
+# C: scalar functions over table rows
+# ---------------------------------------------------------------------------
+LONDON = (51.5074, -0.1278)
+
+
+def _geo_base(spark, sf):
+    t = fx.txn(spark, sf)
+    km = geo.haversine_km("latitude", "longitude", F.lit(LONDON[0]), F.lit(LONDON[1]))
+    dt = (F.pmod(F.col("us"), F.lit(7200000000)) - F.lit(3600000000)) / 1e6
+    return t.select("transaction_id", km.alias("km"), dt.alias("dt"))
+
+
+@query("haversine_km")
+def q_haversine(spark, sf):
+    return _geo_base(spark, sf).select("transaction_id", r6("km").alias("km"))
+
+
+@query("travel_speed_kmh")
+def q_speed(spark, sf):
+    b = _geo_base(spark, sf)
+    return b.select("transaction_id", r6(geo.travel_speed_kmh("km", "dt")).alias("speed_kmh"))
+
+
+@query("impossible_travel")
+def q_impossible(spark, sf):
+    b = _geo_base(spark, sf)
+    return b.select("transaction_id", geo.impossible_travel("km", "dt").alias("impossible"))
+
+
+@query("amount_log")
+def q_amount_log(spark, sf):
+    t = fx.txn(spark, sf)
+    return t.select("transaction_id", r6(scalar.amount_log("amount")).alias("amount_log"))
+
+
+@query("temporal_features")
+def q_temporal(spark, sf):
+    t = fx.txn(spark, sf)
+    tf = scalar.temporal_features("us")
+    return t.select("transaction_id", tf["hour_of_day"].alias("hour_of_day"),
+                    tf["day_of_week"].alias("day_of_week"), tf["is_weekend"].alias("is_weekend"))
+
+
+@query("amount_zscore")
+def q_zscore(spark, sf):
+    t = fx.txn(spark, sf)
+    std = (F.pmod(F.col("us"), F.lit(3)) * 100).cast("double")
+    return t.select("transaction_id", r6(scalar.amount_zscore("amount", F.lit(500.0), std)).alias("z"))
+
+
+@query("velocity_score")
+def q_velocity_score(spark, sf):
+    v = history.velocity_windows(fx.txn(spark, sf, dense=True))
+    return v.select("transaction_id",
+                    r6(scalar.velocity_score("txn_count_1h", "txn_count_24h")).alias("velocity_score"))
+
+
+@query("risk_level")
+def q_risk_level(spark, sf):
+    s = fx.scored(spark, sf)
+    return s.select("event_id", scalar.risk_level("fraud_probability").alias("level"))
+
+
+@query("model_risk_factors")
+def q_model_factors(spark, sf):
+    f = history.point_in_time_features(fx.txn(spark, sf, dense=True))
+    return f.select("transaction_id", F.array_join(text.model_risk_factors(), ",").alias("factors"))
+
+
+@query("normalize_endpoint")
+def q_normalize_endpoint(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select("event_id", text.normalize_endpoint("path").alias("endpoint"))
+
+
+@query("feature_vector")
+def q_feature_vector(spark, sf):
+    f = history.point_in_time_features(fx.txn(spark, sf))
+    v = f.select("transaction_id", scalar.feature_vector().alias("v"))
+    e = v.select("transaction_id", F.posexplode("v").alias("pos", "x"))
+    return e.select("transaction_id", F.col("pos").cast("int").alias("pos"),
+                    r6(F.col("x").cast("double")).alias("x"))
+
+
+@query("alert_report_row")
+def q_alert_report(spark, sf):
+    s = scoring.rule_score(fx.txn(spark, sf))
+    return s.select("transaction_id", text.short_id("transaction_id").alias("short_id"),
+                    text.probability_pct("fraud_probability").alias("probability"),
+                    F.array_join(text.factors_display("risk_factors"), ", ").alias("factors"))
+
+
+# ---------------------------------------------------------------------------
+# D: history features
+# ---------------------------------------------------------------------------
+def _last_out(d):
+    return d.select("transaction_id", r6("time_since_last_txn_seconds").alias("time_since_last_txn_seconds"),
+                    r6("distance_from_last_txn_km").alias("distance_from_last_txn_km"),
+                    r6("travel_speed_kmh").alias("travel_speed_kmh"), "is_impossible_travel")
+
+
+@query("last_txn_features")
+def q_last_txn(spark, sf):
+    return _last_out(history.last_txn_features(fx.txn(spark, sf)))
+
+
+@query("asof_last_txn")
+def q_asof(spark, sf):
+    req = fx.txn(spark, sf, dense=True)
+    hist = fx.txn(spark, sf)
+    return _last_out(history.asof_last_txn(req, hist))
+
+
+def _vel_out(d):
+    return d.select("transaction_id", "txn_count_1h", "txn_count_24h", "txn_count_7d",
+                    r6("total_amount_24h").alias("total_amount_24h"))
+
+
+@query("velocity_windows")
+def q_velocity(spark, sf):
+    return _vel_out(history.velocity_windows(fx.txn(spark, sf, dense=True)))
+
+
+@query("velocity_windows_ttl")
+def q_velocity_ttl(spark, sf):
+    return _vel_out(history.velocity_windows_ttl(fx.txn(spark, sf, dense=True)))
+
+
+@query("user_profile_running")
+def q_profile(spark, sf):
+    d = history.user_profile_running(fx.txn(spark, sf))
+    return d.select("transaction_id", "user_txn_count_total", r6("user_avg_amount").alias("user_avg_amount"),
+                    r6("user_std_amount").alias("user_std_amount"), "first_seen_us", "last_seen_us")
+
+
+@query("user_profile_snapshot")
+def q_profile_snapshot(spark, sf):
+    d = history.user_profile_snapshot(fx.txn(spark, sf))
+    return d.select("user_id", "txn_count_total", r6("avg_amount").alias("avg_amount"),
+                    r6("std_amount").alias("std_amount"), "first_seen_us", "last_seen_us")
+
+
+@query("rolling_rows_features")
+def q_rolling(spark, sf):
+    return _vel_out(history.rolling_rows_features(fx.txn(spark, sf)))
+
+
+@query("user_stats_join")
+def q_user_stats(spark, sf):
+    d = history.user_stats_join(fx.txn(spark, sf))
+    return d.select("transaction_id", r6("user_avg_amount").alias("user_avg_amount"),
+                    r6("user_std_amount").alias("user_std_amount"), "user_txn_count",
+                    r6("amount_zscore").alias("amount_zscore"))
+
+
+@query("consecutive_travel")
+def q_consecutive(spark, sf):
+    d = history.consecutive_travel(fx.txn(spark, sf))
+    return d.select("transaction_id", r6("distance_from_last").alias("distance_from_last"),
+                    r6("time_since_last_txn").alias("time_since_last_txn"),
+                    r6("travel_speed").alias("travel_speed"), "is_impossible_travel")
+
+
+@query("merchant_risk_join")
+def q_merchant_join(spark, sf):
+    d = history.merchant_risk_join(fx.txn(spark, sf))
+    return d.select("transaction_id", r6("merchant_risk_score").alias("merchant_risk_score"))
+
+
+@query("merchant_risk_prior")
+def q_merchant_prior(spark, sf):
+    d = history.merchant_risk_prior(fx.txn(spark, sf))
+    return d.select("transaction_id", r6("merchant_risk_score").alias("merchant_risk_score"))
+
+
+@query("user_fraud_history")
+def q_user_fraud(spark, sf):
+    d = history.user_fraud_history(fx.txn(spark, sf))
+    return d.select("transaction_id", "user_fraud_history")
+
+
+@query("user_fraud_history_scored")
+def q_user_fraud_scored(spark, sf):
+    s = fx.scored(spark, sf)
+    d = history.user_fraud_history_scored(s, id_col="event_id")
+    return d.select("event_id", "user_fraud_history_count")
+
+
+@query("merchant_txn_count_24h")
+def q_merchant_count(spark, sf):
+    d = history.merchant_txn_count_24h(fx.txn(spark, sf, dense=True))
+    return d.select("transaction_id", "merchant_txn_count_24h")
+
+
+D10_OUT = ["amount", "amount_log", "amount_zscore", "hour_of_day", "day_of_week", "is_weekend",
+           "time_since_last_txn_seconds", "txn_count_1h", "txn_count_24h", "txn_count_7d",
+           "total_amount_24h", "distance_from_last_txn_km", "travel_speed_kmh", "is_impossible_travel",
+           "user_avg_amount", "user_std_amount", "user_txn_count_total", "user_fraud_history_count",
+           "merchant_risk_score", "merchant_txn_count_24h", "velocity_score"]
+_DOUBLES = {"amount", "amount_log", "amount_zscore", "time_since_last_txn_seconds", "total_amount_24h",
+            "distance_from_last_txn_km", "travel_speed_kmh", "user_avg_amount", "user_std_amount",
+            "merchant_risk_score", "velocity_score"}
+
+
+def _d10_out(d):
+    return d.select("transaction_id", *[r6(c).alias(c) if c in _DOUBLES else F.col(c) for c in D10_OUT])
+
+
+@query("point_in_time_features")
+def q_pit(spark, sf):
+    return _d10_out(history.point_in_time_features(fx.txn(spark, sf, dense=True)))
+
+
+D11_OUT = ["amount", "amount_log", "hour_of_day", "day_of_week", "is_weekend", "user_avg_amount",
+           "user_std_amount", "user_txn_count", "amount_zscore", "txn_count_1h", "txn_count_24h",
+           "txn_count_7d", "total_amount_24h", "velocity_score", "distance_from_last", "time_since_last_txn",
+           "travel_speed", "is_impossible_travel", "merchant_risk_score", "user_fraud_history"]
+_D11_DOUBLES = {"amount", "amount_log", "user_avg_amount", "user_std_amount", "amount_zscore",
+                "total_amount_24h", "velocity_score", "distance_from_last", "time_since_last_txn",
+                "travel_speed", "merchant_risk_score"}
+
+
+@query("training_features")
+def q_training_features(spark, sf):
+    d = history.training_features(fx.txn(spark, sf))
+    return d.select("transaction_id", *[r6(c).alias(c) if c in _D11_DOUBLES else F.col(c) for c in D11_OUT])
+
+
+# ---------------------------------------------------------------------------
+# E: rules and scoring
+# ---------------------------------------------------------------------------
+def _rule_query(idx: int):
+    def q(spark, sf):
+        f = scoring.rule_features(fx.txn(spark, sf))
+        r = rules_mod.default_rules()[idx]
+        return f.select("transaction_id", r.score().alias("score"), r.factor().alias("factor"))
+    return q
+
+
+for _i, _n in enumerate(["rule_amount_velocity", "rule_impossible_travel", "rule_time_pattern",
+                         "rule_frequency", "rule_amount_anomaly"]):
+    QUERIES[_n] = _rule_query(_i)
+
+
+def _model_fixture(d):
+    """A stand-in model output read from the rows: null (model failed) for
+    every third transaction, else a spread of probabilities."""
+    k = F.col("transaction_id").substr(5, 100).cast("bigint")
+    return d.withColumn("model_probability",
+                        F.when(k % 3 == 0, F.lit(None).cast("double"))
+                         .otherwise(((k * 37) % 1000).cast("double") / 1000))
+
+
+def _score_out(s):
+    return s.select("transaction_id", r6("fraud_probability").alias("fraud_probability"), "risk_level",
+                    _join("risk_factors").alias("risk_factors"), "model_used", "model_version",
+                    F.col("features_used").cast("int").alias("features_used"))
+
+
+@query("hybrid_score")
+def q_hybrid(spark, sf):
+    f = _model_fixture(history.point_in_time_features(fx.txn(spark, sf, dense=True)))
+    return _score_out(scoring.hybrid_score(f))
+
+
+@query("score_batch")
+def q_score_batch(spark, sf):
+    return _score_out(scoring.score_batch(fx.txn(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# A: sources / lookups
+# ---------------------------------------------------------------------------
+@query("class_distribution")
+def q_class_dist(spark, sf):
+    return evaluation.class_distribution(fx.txn(spark, sf)) \
+        .select("is_fraud", "n_rows", "total_rows", "positives", r6("fraud_rate").alias("fraud_rate"))
+
+
+@query("profile_lookup")
+def q_profile_lookup(spark, sf):
+    from ..operators.lookup import profile_lookup
+    req = fx.table(spark, sf, "customer").select(
+        F.concat(F.lit("USER_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("user_id"))
+    prof = history.user_profile_snapshot(fx.txn(spark, sf))
+    out = profile_lookup(req.distinct(), prof)
+    return out.select("user_id", "found", r6("avg_amount").alias("avg_amount"),
+                      r6("std_amount").alias("std_amount"), "txn_count_total", "fraud_count")
+
+
+# ---------------------------------------------------------------------------
+# Evaluation over the scored view
+# ---------------------------------------------------------------------------
+def _eval_in(spark, sf):
+    return fx.scored(spark, sf).select("label", F.col("fraud_probability").alias("score"))
+
+
+@query("confusion_matrix")
+def q_confusion(spark, sf):
+    return evaluation.confusion_matrix(_eval_in(spark, sf))
+
+
+@query("classification_report")
+def q_report(spark, sf):
+    r = evaluation.classification_report(_eval_in(spark, sf))
+    return r.select("class", r6("precision").alias("precision"), r6("recall").alias("recall"),
+                    r6("f1_score").alias("f1_score"), "support")
+
+
+@query("roc_curve")
+def q_roc(spark, sf):
+    c = evaluation.roc_curve(_eval_in(spark, sf))
+    return c.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    return evaluation.roc_auc(_eval_in(spark, sf)).select(r6("roc_auc").alias("roc_auc"))
+
+
+@query("pr_curve")
+def q_pr(spark, sf):
+    c = evaluation.pr_curve(_eval_in(spark, sf))
+    return c.select("threshold", r6("precision").alias("precision"),
+                    r6("recall").alias("recall"))
+
+
+@query("pr_auc")
+def q_pr_auc(spark, sf):
+    return evaluation.pr_auc(_eval_in(spark, sf)).select(r6("pr_auc").alias("pr_auc"))

@@ -235,6 +235,6 @@ def with_views(body: str, *views: str, dense: bool = False) -> str:
     if "requests" in views:
         ctes.append(SQL_REQUESTS)
     body = body.strip()
-    if body.upper().startswith("WITH "):
+    if body[:4].upper() == "WITH" and body[4:5].isspace():
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
