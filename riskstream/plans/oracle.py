@@ -500,3 +500,156 @@ register("pr_auc", with_views(f"""WITH {ROC_CTE},
 l AS (SELECT precision, recall, lag(precision) OVER (ORDER BY threshold DESC) AS pp,
   lag(recall) OVER (ORDER BY threshold DESC) AS pr_ FROM pr)
 SELECT round(coalesce(sum((recall - pr_) * (precision + pp) / 2), 0.0), 6) AS pr_auc FROM l""", "scored"))
+
+
+# ---------------------------------------------------------------------------
+# H: monitoring
+# ---------------------------------------------------------------------------
+SCORE_B = [0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.075, 0.1, 0.25]
+REQ_B = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 1.0]
+
+
+def hist_sql(src: str, value: str, bounds: list, by: list[str]) -> str:
+    byc = ", ".join(by)
+    aggs = ", ".join(f"count(*) FILTER (WHERE {value} <= {b!r}) AS b{i}" for i, b in enumerate(bounds))
+    arms = " UNION ALL ".join(f"SELECT {byc}, '{b!r}' AS le, {i} AS bucket, b{i} AS cumulative_count, cnt, sm FROM g"
+                              for i, b in enumerate(bounds))
+    arms += f" UNION ALL SELECT {byc}, '+Inf', {len(bounds)}, cnt, cnt, sm FROM g"
+    return f"""WITH g AS (SELECT {byc}, {aggs}, count(*) AS cnt, sum({value}) AS sm FROM {src} GROUP BY {byc}),
+u AS ({arms})
+SELECT {byc}, le, CAST(bucket AS INTEGER) AS bucket, cumulative_count, cnt AS count, round(sm, 6) AS sum FROM u"""
+
+
+register("score_counters", with_views(
+    "SELECT risk_level, model_used, count(*) AS n FROM scored GROUP BY 1, 2", "scored"))
+register("latency_histogram", with_views(
+    hist_sql("(SELECT *, latency_ms / 1000.0 AS lat_s FROM scored)", "lat_s", SCORE_B, ["model_used"]), "scored"))
+register("amount_totals", with_views(
+    "SELECT currency, risk_level, round(sum(amount), 6) AS amount_total FROM scored WHERE amount > 0 GROUP BY 1, 2",
+    "scored"))
+register("fraud_rate_running", with_views("""
+WITH m AS (SELECT us // 60000000 AS minute, count(*) AS n,
+  count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS k FROM scored GROUP BY 1)
+SELECT minute, CAST(sum(n) OVER w AS BIGINT) AS total_so_far, CAST(sum(k) OVER w AS BIGINT) AS alerts_so_far,
+  round(sum(k) OVER w / sum(n) OVER w, 6) AS fraud_rate
+FROM m WINDOW w AS (ORDER BY minute ROWS UNBOUNDED PRECEDING)""", "scored"))
+register("alert_counters", with_views("""
+SELECT 'fraud_alerts_total' AS counter, risk_level AS label, count(*) AS n FROM scored
+  WHERE risk_level IN ('HIGH', 'CRITICAL') GROUP BY 2
+UNION ALL
+SELECT 'high_value_fraud_total', currency, count(*) FROM scored
+  WHERE risk_level IN ('HIGH', 'CRITICAL') AND amount > 10000.0 GROUP BY 2""", "scored"))
+
+ENDPOINT_SQL = """'/' || array_to_string(list_transform(string_split(trim(path, '/'), '/'), lambda x:
+  CASE WHEN (length(x) = 36 AND contains(x, '-')) OR regexp_matches(x, '^[0-9]+$') OR length(x) > 20
+       THEN '{id}' ELSE x END), '/')"""
+REQ_NM = f"(SELECT *, {ENDPOINT_SQL} AS endpoint FROM requests WHERE path != '/metrics')"
+
+register("request_counters", with_views(
+    f"SELECT method, endpoint, status_code, count(*) AS n FROM {REQ_NM} r GROUP BY 1, 2, 3", "requests"))
+register("request_duration_histogram", with_views(
+    hist_sql(REQ_NM + " r", "duration_s", REQ_B, ["method", "endpoint"]), "requests"))
+register("outcome_counters", with_views("""
+WITH o AS (SELECT CASE WHEN model_used = 'gbt' THEN 'model' ELSE 'rules' END AS name, 'predict' AS operation,
+  status, latency_ms / 1000.0 AS latency_s FROM scored)
+SELECT name, operation, status, count(*) AS n,
+  round(sum(CASE WHEN status = 'success' AND name IN ('model') THEN latency_s END), 6) AS success_latency_s
+FROM o GROUP BY 1, 2, 3""", "scored"))
+
+
+def winsum_sql(src: str, labels: list[str], values: dict[str, str], n: int = 10) -> str:
+    """Sparse windowed sums: each occupied 30 s bin spread to the n grid
+    points that see it."""
+    lab = ", ".join(labels)
+    lab_c = (lab + ", ") if labels else ""
+    vals = ", ".join(f"sum({v}) AS {k}" for k, v in values.items())
+    vals2 = ", ".join(f"sum({k}) AS {k}" for k in values)
+    return f"""bn AS (SELECT {lab_c}(us + 29999999) // 30000000 AS k, {vals} FROM {src} GROUP BY ALL),
+sp AS (SELECT {lab_c}unnest(range(k, k + {n})) AS k2, {', '.join(values)} FROM bn),
+ws AS (SELECT {lab_c}k2 * 30000000 AS t_us, {vals2} FROM sp GROUP BY ALL)"""
+
+
+register("windowed_rate", with_views(f"""WITH {winsum_sql('scored', ['risk_level'], {'increase': '1'})}
+SELECT risk_level, t_us, CAST(increase AS BIGINT) AS increase, round(increase / 300.0, 6) AS rate FROM ws""",
+                                     "scored"))
+
+_QV = {f"c{i}": f"CASE WHEN lat_s <= {b!r} THEN 1 ELSE 0 END" for i, b in enumerate(SCORE_B)}
+_QV["total"] = "1"
+
+
+def _quantile_expr(bounds: list, q: float) -> str:
+    parts, prev_b, prev_c = [], "0.0", "0"
+    for i, b in enumerate(bounds):
+        c = f"c{i}"
+        inside = (f"coalesce({prev_b} + ({b!r} - {prev_b}) * ((({q} * total) - {prev_c}) / "
+                  f"nullif(CAST({c} - {prev_c} AS DOUBLE), 0)), {b!r})")
+        parts.append(f"WHEN {c} >= {q} * total THEN {inside}")
+        prev_b, prev_c = repr(b), c
+    return f"CASE WHEN total > 0 THEN (CASE {' '.join(parts)} ELSE {bounds[-1]!r} END) END"
+
+
+register("histogram_quantile", with_views(f"""WITH
+{winsum_sql('(SELECT *, latency_ms / 1000.0 AS lat_s FROM scored)', ['model_used'], _QV)}
+SELECT model_used, t_us, round({_quantile_expr(SCORE_B, 0.95)}, 6) AS quantile FROM ws""", "scored"))
+
+register("error_ratio", with_views(f"""WITH
+{winsum_sql(REQ_NM, ['endpoint'], {'errors': "CASE WHEN starts_with(status_code, '5') THEN 1 ELSE 0 END",
+                                    'total': '1'})}
+SELECT endpoint, t_us, CAST(errors AS BIGINT) AS errors, CAST(total AS BIGINT) AS total,
+  round(errors / total, 6) AS ratio FROM ws""", "requests"))
+
+
+def hold_sql(src: str, labels: list[str], cond: str, hold_us: int) -> str:
+    lab = ", ".join(labels)
+    part = f"PARTITION BY {lab}" if labels else ""
+    return f"""hf AS (SELECT * FROM {src} WHERE coalesce({cond}, false)),
+hr AS (SELECT *, t_us // 30000000 - row_number() OVER (ORDER BY t_us) AS run0,
+         t_us // 30000000 - row_number() OVER ({part} ORDER BY t_us) AS run FROM hf),
+hs AS (SELECT *, min(t_us) OVER ({part}{', ' if labels else 'PARTITION BY '}run) AS active_since_us FROM hr),
+ho AS (SELECT *, CASE WHEN t_us - active_since_us >= {hold_us} THEN 'firing' ELSE 'pending' END AS state FROM hs)"""
+
+
+register("alert_hold", with_views(f"""WITH {winsum_sql('scored', ['risk_level'], {'increase': '1'})},
+{hold_sql('ws', ['risk_level'], 'increase >= 1', 120000000)}
+SELECT risk_level, t_us, CAST(increase AS BIGINT) AS increase, active_since_us, state FROM ho""", "scored"))
+
+# ---------------------------------------------------------------------------
+# I: alert feed
+# ---------------------------------------------------------------------------
+AS_OF = 1706659200000000
+register("dashboard_stats", with_views(f"""
+SELECT count(*) AS total_transactions,
+  count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS fraud_detected,
+  round(count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) / count(*), 6) AS fraud_rate,
+  round(avg(latency_ms), 6) AS avg_latency_ms,
+  count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL') AND us > {AS_OF - 3600000000}) AS alerts_last_hour,
+  round(coalesce(sum(CASE WHEN risk_level IN ('HIGH', 'CRITICAL') THEN amount END), 0.0), 6) AS total_amount_blocked
+FROM scored WHERE us <= {AS_OF}""", "scored"))
+
+register("alert_history", with_views("""
+SELECT event_id, us, risk_level, CAST(row_number() OVER (ORDER BY us DESC, event_id DESC) AS INTEGER) AS position
+FROM scored WHERE risk_level IN ('HIGH', 'CRITICAL') ORDER BY us DESC, event_id DESC LIMIT 100""", "scored"))
+
+register("route_alerts", with_views("""
+WITH subs AS (SELECT c_custkey AS subscriber, unnest(CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE')
+    THEN ['CRITICAL'] ELSE ['HIGH', 'CRITICAL'] END) AS level FROM customer),
+rooms AS (SELECT level, count(DISTINCT subscriber) AS subscribers FROM subs GROUP BY 1)
+SELECT event_id, 'alerts:' || risk_level AS room, subscribers
+FROM scored JOIN rooms ON scored.risk_level = rooms.level WHERE risk_level IN ('HIGH', 'CRITICAL')""", "scored"))
+
+register("risk_distribution", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES},
+lv AS (SELECT * FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) AS t(risk_level)),
+cnt AS (SELECT {level('prob')} AS risk_level, count(*) AS n FROM rs GROUP BY 1)
+SELECT lv.risk_level, CAST(coalesce(n, 0) AS BIGINT) AS n FROM lv LEFT JOIN cnt USING (risk_level)""", "txn"))
+
+register("recent_alerts", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES}
+SELECT transaction_id, us, {level('prob')} AS risk_level, substr(transaction_id, 1, 16) || '...' AS short_id,
+  printf('%.2f', prob * 100) || '%' AS probability, replace(concat_ws(', ', f1, f2, f3, f4, f5), '_', ' ') AS factors
+FROM rs WHERE {level('prob')} IN ('MEDIUM') ORDER BY us DESC, transaction_id DESC LIMIT 10""", "txn", dense=True))
+
+register("rate_status", with_views("""
+WITH r AS (SELECT us // 86400000000 AS day,
+  count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL') AND label = 1) / count(*) AS fraud_rate
+  FROM scored GROUP BY 1)
+SELECT day, round(fraud_rate, 6) AS fraud_rate, CASE WHEN fraud_rate < 0.001 THEN 'Normal' ELSE 'Elevated' END
+  AS status FROM r""", "scored"))

@@ -414,3 +414,157 @@ def q_pr(spark, sf):
 @query("pr_auc")
 def q_pr_auc(spark, sf):
     return evaluation.pr_auc(_eval_in(spark, sf)).select(r6("pr_auc").alias("pr_auc"))
+
+
+# ---------------------------------------------------------------------------
+# H: monitoring analytics over the scored view and the request log
+# ---------------------------------------------------------------------------
+from ..operators import feed, monitoring as mon  # noqa: E402
+
+W5 = 300_000_000
+
+
+@query("score_counters")
+def q_score_counters(spark, sf):
+    return mon.score_counters(fx.scored(spark, sf))
+
+
+@query("latency_histogram")
+def q_latency_hist(spark, sf):
+    h = mon.latency_histogram(fx.scored(spark, sf))
+    return h.select("model_used", "le", "bucket", "cumulative_count", "count", r6("sum").alias("sum"))
+
+
+@query("amount_totals")
+def q_amount_totals(spark, sf):
+    a = mon.amount_totals(fx.scored(spark, sf))
+    return a.select("currency", "risk_level", r6("amount_total").alias("amount_total"))
+
+
+@query("fraud_rate_running")
+def q_fraud_rate_running(spark, sf):
+    d = mon.fraud_rate_running(fx.scored(spark, sf))
+    return d.select("minute", "total_so_far", "alerts_so_far", r6("fraud_rate").alias("fraud_rate"))
+
+
+@query("alert_counters")
+def q_alert_counters(spark, sf):
+    return mon.alert_counters(fx.scored(spark, sf))
+
+
+@query("request_counters")
+def q_request_counters(spark, sf):
+    return mon.request_counters(fx.requests(spark, sf))
+
+
+@query("request_duration_histogram")
+def q_request_hist(spark, sf):
+    h = mon.request_duration_histogram(fx.requests(spark, sf))
+    return h.select("method", "endpoint", "le", "bucket", "cumulative_count", "count", r6("sum").alias("sum"))
+
+
+def _outcomes(spark, sf):
+    s = fx.scored(spark, sf)
+    return s.select(F.when(F.col("model_used") == "gbt", "model").otherwise("rules").alias("name"),
+                    F.lit("predict").alias("operation"), "status",
+                    (F.col("latency_ms") / 1000.0).alias("latency_s"))
+
+
+@query("outcome_counters")
+def q_outcomes(spark, sf):
+    o = mon.outcome_counters(_outcomes(spark, sf))
+    return o.select("name", "operation", "status", "n", r6("success_latency_s").alias("success_latency_s"))
+
+
+@query("windowed_rate")
+def q_windowed_rate(spark, sf):
+    d = mon.windowed_rate(fx.scored(spark, sf), ["risk_level"], W5)
+    return d.select("risk_level", "t_us", "increase", r6("rate").alias("rate"))
+
+
+@query("histogram_quantile")
+def q_hist_quantile(spark, sf):
+    s = fx.scored(spark, sf).withColumn("lat_s", F.col("latency_ms") / 1000.0)
+    d = mon.histogram_quantile_windowed(s, "lat_s", mon.SCORE_BUCKETS_S, 0.95, ["model_used"], W5)
+    return d.select("model_used", "t_us", r6("quantile").alias("quantile"))
+
+
+@query("error_ratio")
+def q_error_ratio(spark, sf):
+    d = mon.error_ratio(fx.requests(spark, sf), W5)
+    return d.select("endpoint", "t_us", "errors", "total", r6("ratio").alias("ratio"))
+
+
+@query("alert_hold")
+def q_alert_hold(spark, sf):
+    d = mon.windowed_rate(fx.scored(spark, sf), ["risk_level"], W5)
+    h = mon.alert_hold(d, ["risk_level"], F.col("increase") >= 1, 2 * 60_000_000)
+    return h.select("risk_level", "t_us", "increase", "active_since_us", "state")
+
+
+ALERT_TH = mon.AlertThresholds(critical_rate_per_s=0.003, high_value_per_hour=0.0, request_rate_per_s=0.003,
+                               prediction_error_rate_per_s=0.003)
+
+
+@query("evaluate_alert_rules")
+def q_alert_rules(spark, sf):
+    d = mon.evaluate_alert_rules(fx.scored(spark, sf), fx.requests(spark, sf), th=ALERT_TH)
+    return d.select("rule", "labels", "severity", "category", "t_us", r6("value").alias("value"), "state")
+
+
+# ---------------------------------------------------------------------------
+# I: alert feed
+# ---------------------------------------------------------------------------
+AS_OF_US = 1706659200000000  # 2024-01-31 00:00:00 UTC, the "now" of the feed
+
+
+def _alerts(spark, sf):
+    return fx.scored(spark, sf).filter(F.col("risk_level").isin("HIGH", "CRITICAL"))
+
+
+@query("dashboard_stats")
+def q_dashboard(spark, sf):
+    d = feed.dashboard_stats(fx.scored(spark, sf), AS_OF_US)
+    return d.select("total_transactions", "fraud_detected", r6("fraud_rate").alias("fraud_rate"),
+                    r6("avg_latency_ms").alias("avg_latency_ms"), "alerts_last_hour",
+                    r6("total_amount_blocked").alias("total_amount_blocked"))
+
+
+@query("alert_history")
+def q_alert_history(spark, sf):
+    h = feed.alert_history(_alerts(spark, sf), 100)
+    return h.select("event_id", "us", "risk_level", "position")
+
+
+def _subscriptions(spark, sf):
+    """Subscribers are customers; a market segment picks the levels watched."""
+    c = fx.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    lv = F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), F.array(F.lit("CRITICAL"))) \
+          .otherwise(F.array(F.lit("HIGH"), F.lit("CRITICAL")))
+    return c.select(F.col("c_custkey").alias("subscriber"), F.explode(lv).alias("level"))
+
+
+@query("route_alerts")
+def q_route(spark, sf):
+    r = feed.route_alerts(_alerts(spark, sf), _subscriptions(spark, sf))
+    return r.select("event_id", "room", "subscribers")
+
+
+@query("risk_distribution")
+def q_risk_dist(spark, sf):
+    return feed.risk_distribution(scoring.rule_score(fx.txn(spark, sf)))
+
+
+@query("recent_alerts")
+def q_recent(spark, sf):
+    s = scoring.rule_score(fx.txn(spark, sf, dense=True))
+    return feed.recent_alerts(s, ["MEDIUM"], 10)
+
+
+@query("rate_status")
+def q_rate_status(spark, sf):
+    s = fx.scored(spark, sf).withColumn("day", scalar.idiv("us", 86_400_000_000))
+    r = s.groupBy("day").agg(
+        F.try_divide(F.count_if(F.col("risk_level").isin("HIGH", "CRITICAL") & (F.col("label") == 1))
+                     .cast("double"), F.count(F.lit(1))).alias("fraud_rate"))
+    return feed.rate_status(r).select("day", r6("fraud_rate").alias("fraud_rate"), "status")
