@@ -653,3 +653,76 @@ WITH r AS (SELECT us // 86400000000 AS day,
   FROM scored GROUP BY 1)
 SELECT day, round(fraud_rate, 6) AS fraud_rate, CASE WHEN fraud_rate < 0.001 THEN 'Normal' ELSE 'Elevated' END
   AS status FROM r""", "scored"))
+
+
+# ---------------------------------------------------------------------------
+# G: preparation
+# ---------------------------------------------------------------------------
+register("select_available_features", """
+SELECT * FROM (VALUES
+""" + ",\n".join(f"('{c}', 'numeric', {i})" for i, c in enumerate([
+    "amount", "amount_log", "amount_zscore", "hour_of_day", "day_of_week", "is_weekend", "time_since_last_txn",
+    "txn_count_1h", "txn_count_24h", "txn_count_7d", "total_amount_24h", "distance_from_last", "travel_speed",
+    "is_impossible_travel", "user_avg_amount", "user_std_amount", "user_txn_count", "user_fraud_history",
+    "merchant_risk_score", "velocity_score"])) + ",\n" + ",\n".join(
+    f"('{c}', 'categorical', {i})" for i, c in enumerate(["currency", "merchant_category", "channel"]))
+    + ") AS t(feature, kind, position) WHERE EXISTS (SELECT 1 FROM events)")
+
+_MED_COLS = ["amount", "amount_zscore", "total_amount_24h", "distance_from_last", "time_since_last_txn",
+             "user_avg_amount", "merchant_risk_score", "hour_of_day"]
+_TRAIN_CTES = TRAIN_SQL[:TRAIN_SQL.index("\nSELECT transaction_id, round(amount, 6)")]
+_MED_EXPR = {"amount": "amount", "amount_zscore": "CASE WHEN usd > 0 THEN (amount - ua) / usd ELSE 0.0 END",
+             "total_amount_24h": "s50", "distance_from_last": "distance_from_last",
+             "time_since_last_txn": "time_since_last_txn", "user_avg_amount": "ua", "merchant_risk_score": "mr",
+             "hour_of_day": HOUR_SQL}
+register("impute_median", with_views(_TRAIN_CTES + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(median(CAST({_MED_EXPR[c]} AS DOUBLE)), 6) AS median FROM t2"
+    for c in _MED_COLS), "txn"))
+
+register("standard_scale", with_views("""
+WITH s AS (SELECT avg(amount) AS ma, stddev_pop(amount) AS sa, avg(latitude) AS mla, stddev_pop(latitude) AS sla,
+  avg(longitude) AS mlo, stddev_pop(longitude) AS slo FROM txn)
+SELECT transaction_id, round((amount - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END, 6) AS amount,
+  round((latitude - mla) / CASE WHEN sla = 0 THEN 1 ELSE sla END, 6) AS latitude,
+  round((longitude - mlo) / CASE WHEN slo = 0 THEN 1 ELSE slo END, 6) AS longitude
+FROM txn, s""", "txn"))
+
+
+def _onehot(c: str) -> str:
+    return (f"array_to_string(list_transform((SELECT list_sort(list(DISTINCT coalesce({c}, 'unknown'))) FROM txn), "
+            f"lambda x: CASE WHEN x = coalesce(r.{c}, 'unknown') THEN '1' ELSE '0' END), '') AS {c}")
+
+
+register("one_hot", with_views(
+    f"SELECT transaction_id, {_onehot('currency')}, {_onehot('merchant_category')}, {_onehot('channel')} "
+    "FROM txn_raw r", "txn_raw"))
+
+SPLIT_SQL = """sp0 AS (SELECT transaction_id, is_fraud, CAST(substr(transaction_id, 5) AS BIGINT) AS k,
+  (CAST(substr(transaction_id, 5) AS BIGINT) * 2654435761 + 4074) % 4294967296 AS h FROM txn),
+sp1 AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY h, k) AS r1,
+  count(*) OVER (PARTITION BY is_fraud) AS n1 FROM sp0),
+sp2 AS (SELECT *, r1 <= floor(n1 * 0.2 + 0.5) AS is_test FROM sp1),
+sp3 AS (SELECT *, row_number() OVER (PARTITION BY is_fraud, is_test ORDER BY h, k) AS r2,
+  count(*) OVER (PARTITION BY is_fraud, is_test) AS n2 FROM sp2),
+spl AS (SELECT transaction_id, CASE WHEN is_test THEN 'test' WHEN r2 <= floor(n2 * 0.1 + 0.5) THEN 'validation'
+  ELSE 'train' END AS split FROM sp3)"""
+register("stratified_split", with_views(f"WITH {SPLIT_SQL}\nSELECT transaction_id, split FROM spl", "txn"))
+
+register("smote_neighbors", with_views("""
+WITH m AS (SELECT transaction_id, amount, latitude, longitude FROM txn WHERE is_fraud = 1),
+p AS (SELECT a.transaction_id, b.transaction_id AS neighbor_id,
+  pow(a.amount - b.amount, 2) + pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2) AS d
+  FROM m a JOIN m b ON a.transaction_id != b.transaction_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY d, neighbor_id) AS nbr_rank FROM p)
+SELECT transaction_id, CAST(nbr_rank AS INTEGER) AS nbr_rank, neighbor_id FROM r WHERE nbr_rank <= 5""", "txn"))
+
+register("smote", with_views("""
+WITH c AS (SELECT count(*) FILTER (WHERE is_fraud = 0) AS neg, count(*) FILTER (WHERE is_fraud = 1) AS pos FROM txn)
+SELECT 0 AS is_fraud, false AS synthetic, neg AS n_rows FROM c
+UNION ALL SELECT 1, false, pos FROM c
+UNION ALL SELECT 1, true, neg - pos FROM c""", "txn"))
+
+register("class_weight", with_views("""
+SELECT count(*) FILTER (WHERE is_fraud != 1) AS negatives, count(*) FILTER (WHERE is_fraud = 1) AS positives,
+  round(count(*) FILTER (WHERE is_fraud != 1) / greatest(count(*) FILTER (WHERE is_fraud = 1), 1), 6)
+  AS scale_pos_weight FROM txn""", "txn"))

@@ -568,3 +568,87 @@ def q_rate_status(spark, sf):
         F.try_divide(F.count_if(F.col("risk_level").isin("HIGH", "CRITICAL") & (F.col("label") == 1))
                      .cast("double"), F.count(F.lit(1))).alias("fraud_rate"))
     return feed.rate_status(r).select("day", r6("fraud_rate").alias("fraud_rate"), "status")
+
+
+# ---------------------------------------------------------------------------
+# G: preparation, oversampling, training
+# ---------------------------------------------------------------------------
+from ..config import TRAIN_CATEGORICAL_FEATURES, TRAIN_NUMERIC_FEATURES  # noqa: E402
+from ..operators import prep, smote as smote_mod, training  # noqa: E402
+
+
+def _txn_key():
+    return F.col("transaction_id").substr(5, 100).cast("bigint")
+
+
+@query("select_available_features")
+def q_select_features(spark, sf):
+    d = history.training_features(fx.txn(spark, sf).drop("country"))
+    num, cat = prep.select_available_features(d)
+    rows = [(c, "numeric", i) for i, c in enumerate(num)] + [(c, "categorical", i) for i, c in enumerate(cat)]
+    return spark.createDataFrame(rows, "feature string, kind string, position int")
+
+
+@query("impute_median")
+def q_impute_median(spark, sf):
+    d = history.training_features(fx.txn(spark, sf))
+    cols = ["amount", "amount_zscore", "total_amount_24h", "distance_from_last", "time_since_last_txn",
+            "user_avg_amount", "merchant_risk_score", "hour_of_day"]
+    med = prep.fit_medians(d, cols)
+    return spark.createDataFrame([(c, float(m)) for c, m in med.items()], "feature string, median double") \
+                .select("feature", r6("median").alias("median"))
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf):
+    t = fx.txn(spark, sf)
+    cols = ["amount", "latitude", "longitude"]
+    s = prep.standard_scale(t, prep.fit_scaler(t, cols))
+    return s.select("transaction_id", *[r6(c).alias(c) for c in cols])
+
+
+@query("one_hot")
+def q_one_hot(spark, sf):
+    cats = prep.fit_categories(fx.txn(spark, sf), ["currency", "merchant_category", "channel"])
+    o = prep.one_hot(fx.txn_raw(spark, sf), cats)
+    return o.select("transaction_id", *[F.array_join(F.col(f"{c}_onehot").cast("array<string>"), "").alias(c)
+                                        for c in cats])
+
+
+@query("stratified_split")
+def q_split(spark, sf):
+    d = prep.stratified_split(fx.txn(spark, sf), "is_fraud", _txn_key(), [("test", 0.2), ("validation", 0.1)])
+    return d.select("transaction_id", "split")
+
+
+@query("smote_neighbors")
+def q_smote_nn(spark, sf):
+    m = fx.txn(spark, sf).filter(F.col("is_fraud") == 1)
+    return smote_mod.smote_neighbors(m, ["amount", "latitude", "longitude"], "transaction_id", 5) \
+        .select(F.col("id").alias("transaction_id"), "nbr_rank", F.col("nbr_id").alias("neighbor_id"))
+
+
+@query("smote")
+def q_smote(spark, sf):
+    t = fx.txn(spark, sf)
+    s = smote_mod.smote(t, ["amount", "latitude", "longitude"], "is_fraud", "transaction_id", 5)
+    return s.groupBy("is_fraud", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("class_weight")
+def q_class_weight(spark, sf):
+    w = prep.class_weight(fx.txn(spark, sf))
+    return w.select("negatives", "positives", r6("scale_pos_weight").alias("scale_pos_weight"))
+
+
+@query("model_score")
+def q_model_score(spark, sf):
+    """Fit a small GBT on the training part, score the test part."""
+    d = history.training_features(fx.txn(spark, sf))
+    d = prep.stratified_split(d, "is_fraud", _txn_key(), [("test", 0.2)])
+    num, cat = prep.select_available_features(d)
+    params = training.GBTParams(max_iter=20, max_depth=4)
+    m = training.train_gbt(d.filter(F.col("split") == "train"), num, cat, params)
+    s = m.predict_proba(d.filter(F.col("split") == "test"), "model_probability")
+    return s.select("transaction_id", r6("model_probability").alias("fraud_probability"),
+                    scalar.risk_level("model_probability").alias("risk_level"))
