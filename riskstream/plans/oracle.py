@@ -726,3 +726,24 @@ register("class_weight", with_views("""
 SELECT count(*) FILTER (WHERE is_fraud != 1) AS negatives, count(*) FILTER (WHERE is_fraud = 1) AS positives,
   round(count(*) FILTER (WHERE is_fraud != 1) / greatest(count(*) FILTER (WHERE is_fraud = 1), 1), 6)
   AS scale_pos_weight FROM txn""", "txn"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (stream = batch on per-user ordered input), sources and sinks
+# ---------------------------------------------------------------------------
+register("stream_features", with_views(f"""WITH {VEL_CTE},{PROFILE_CTES}
+SELECT h.transaction_id, round(dt, 6) AS time_since_last_txn_seconds, round(dist, 6) AS distance_from_last_txn_km,
+  round(spd, 6) AS travel_speed_kmh, round(vw.total_amount_24h, 6) AS total_amount_24h,
+  round(mean0, 6) AS user_avg_amount, round(std_, 6) AS user_std_amount, vw.txn_count_1h, vw.txn_count_24h,
+  vw.txn_count_7d, n AS user_txn_count_total, impossible AS is_impossible_travel, false AS late
+FROM h JOIN vw USING (transaction_id)""", "txn"))
+
+register("throughput", with_views("""
+SELECT (us // 60000000) * 60000000 AS window_start_us, count(*) AS total, count(*) FILTER (WHERE is_fraud = 1) AS fraud,
+  round(count(*) / 60.0, 6) AS rate_per_s FROM txn GROUP BY 1""", "txn"))
+
+register("to_keyed_json", with_views("""
+SELECT user_id AS key, transaction_id, amount, us, channel FROM txn""", "txn"))
+
+register("read_transactions", with_views("""
+SELECT transaction_id, user_id, round(amount, 6) AS amount, channel, is_fraud, us FROM txn""", "txn"))

@@ -652,3 +652,55 @@ def q_model_score(spark, sf):
     s = m.predict_proba(d.filter(F.col("split") == "test"), "model_probability")
     return s.select("transaction_id", r6("model_probability").alias("fraud_probability"),
                     scalar.risk_level("model_probability").alias("risk_level"))
+
+
+# ---------------------------------------------------------------------------
+# A1, A3, A4, F: sources, sinks and streaming
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import io as rio  # noqa: E402
+from ..streaming import stream as st  # noqa: E402
+
+STREAM_DOUBLES = ["time_since_last_txn_seconds", "distance_from_last_txn_km", "travel_speed_kmh",
+                  "total_amount_24h", "user_avg_amount", "user_std_amount"]
+STREAM_INTS = ["txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total"]
+
+
+@query("stream_features")
+def q_stream_features(spark, sf):
+    """replay the transactions through the stateful stream (JSON files,
+    availableNow trigger) and read the sink back."""
+    base = scratch_path(spark, f"replay-{uuid.uuid4().hex}")
+    s = st.run_features_replay(spark, fx.txn(spark, sf), base)
+    return s.select("transaction_id", *[r6(c).alias(c) for c in STREAM_DOUBLES], *STREAM_INTS,
+                    "is_impossible_travel", "late")
+
+
+@query("throughput")
+def q_throughput(spark, sf):
+    t = st.throughput(fx.txn(spark, sf))
+    return t.select("window_start_us", "total", "fraud", r6("rate_per_s").alias("rate_per_s"))
+
+
+@query("to_keyed_json")
+def q_keyed_json(spark, sf):
+    k = st.to_keyed_json(fx.txn(spark, sf), "user_id")
+    v = F.col("value").cast("string")
+    return k.select(F.col("key").cast("string").alias("key"),
+                    F.get_json_object(v, "$.transaction_id").alias("transaction_id"),
+                    F.get_json_object(v, "$.amount").cast("double").alias("amount"),
+                    F.get_json_object(v, "$.us").cast("long").alias("us"),
+                    F.get_json_object(v, "$.channel").alias("channel"))
+
+
+@query("read_transactions")
+def q_read_csv(spark, sf):
+    """A1: write the labelled transactions as CSV, read them back with the
+    declared schema (round trip)."""
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    rio.write_transactions_csv(fx.txn(spark, sf), path)
+    d = rio.read_transactions(spark, path)
+    return d.select("transaction_id", "user_id", r6("amount").alias("amount"), "channel", "is_fraud",
+                    F.unix_micros("timestamp").alias("us"))
