@@ -42,15 +42,16 @@ def _user_pass(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | Non
     w = Window.partitionBy(USER, CHUNK).orderBy(TS, ID)
     prev = F.lag(F.struct(F.col(TS).alias("us"), F.col("latitude").alias("lat"),
                           F.col("longitude").alias("lon")), 1).over(w)
-    d = d.withColumn("_prev", prev)
+    extra = [prev.alias("_prev")]
     if velocity:
         def rng(lo):
             return Window.partitionBy(USER, CHUNK).orderBy(TS).rangeBetween(-lo, -1)
-        d = (d.withColumn("txn_count_1h", F.count(F.lit(1)).over(rng(HOUR_US)))
-              .withColumn("txn_count_24h", F.count(F.lit(1)).over(rng(DAY_US)))
-              .withColumn("txn_count_7d", F.count(F.lit(1)).over(rng(WEEK_US)))
-              .withColumn("total_amount_24h",
-                          F.coalesce(F.sum("amount").over(rng(DAY_US)), F.lit(0.0))))
+        extra += [F.count(F.lit(1)).over(rng(HOUR_US)).alias("txn_count_1h"),
+                  F.count(F.lit(1)).over(rng(DAY_US)).alias("txn_count_24h"),
+                  F.count(F.lit(1)).over(rng(WEEK_US)).alias("txn_count_7d"),
+                  F.coalesce(F.sum("amount").over(rng(DAY_US)), F.lit(0.0)).alias("total_amount_24h")]
+    d = d.select("*", *extra)
+    if velocity:
         if t.history_ttl_us:
             # F5 literal: the history set is trimmed at each record, so "7 d"
             # is the size of the set (t_prev - ttl, t_prev] seen at t_prev.
@@ -74,10 +75,10 @@ def _user_pass(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | Non
         has = F.col("_prev").isNotNull()
     else:
         has = F.col("_prev").isNotNull() & ((F.col(TS) - F.col("_prev.us")) < F.lit(ttl))
-    d = (d.withColumn("_prev_us", F.when(has, F.col("_prev.us")))
-          .withColumn("_prev_lat", F.when(has, F.col("_prev.lat")))
-          .withColumn("_prev_lon", F.when(has, F.col("_prev.lon")))
-          .drop("_prev"))
+    d = d.select(*[F.col(c) for c in d.columns if c != "_prev"],
+                 F.when(has, F.col("_prev.us")).alias("_prev_us"),
+                 F.when(has, F.col("_prev.lat")).alias("_prev_lat"),
+                 F.when(has, F.col("_prev.lon")).alias("_prev_lon"))
     if velocity and t.history_ttl_us:
         d = (d.withColumn("txn_count_7d",
                           F.when(F.col("_prev_us").isNotNull(), F.col("_set_prev")).otherwise(F.lit(0))
@@ -110,12 +111,12 @@ def _profile(d: DataFrame, t: Thresholds, chunk_us: int) -> DataFrame:
                       chunk_us=chunk_us)
     n = F.col("_pm_n")
     std = F.when(n > 1, F.sqrt(F.try_divide(F.col("_pm_m2"), n.cast("double")))).otherwise(F.lit(0.0))
-    return (d.withColumn("user_txn_count_total", n)
-             .withColumn("user_avg_amount", F.coalesce(F.col("_pm_mean"), F.lit(0.0)))
-             .withColumn("user_std_amount", std)
-             .withColumn("first_seen_us", F.when(n > 0, F.col("_sess")).otherwise(F.col(TS)))
-             .withColumn("last_seen_us", F.when(n > 0, F.col("_prev_us")).otherwise(F.col(TS)))
-             .drop("_pm_n", "_pm_mean", "_pm_m2"))
+    keep = [F.col(c) for c in d.columns if c not in ("_pm_n", "_pm_mean", "_pm_m2")]
+    return d.select(*keep, n.alias("user_txn_count_total"),
+                    F.coalesce(F.col("_pm_mean"), F.lit(0.0)).alias("user_avg_amount"),
+                    std.alias("user_std_amount"),
+                    F.when(n > 0, F.col("_sess")).otherwise(F.col(TS)).alias("first_seen_us"),
+                    F.when(n > 0, F.col("_prev_us")).otherwise(F.col(TS)).alias("last_seen_us"))
 
 
 def _chunk_for(t: Thresholds, velocity: bool) -> int:

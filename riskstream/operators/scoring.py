@@ -25,8 +25,8 @@ def rule_features(txn: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     d = d.select("*", *history._last_cols(t))
     d = history._profile(d, t, c)
     d = history._finish(d, [])
-    return (d.withColumn("hour_of_day", hour_of_day("us"))
-             .withColumn("amount_zscore", amount_zscore("amount", "user_avg_amount", "user_std_amount")))
+    return d.select("*", hour_of_day("us").alias("hour_of_day"),
+                    amount_zscore("amount", "user_avg_amount", "user_std_amount").alias("amount_zscore"))
 
 
 def rule_score(txn: DataFrame, t: Thresholds = DEFAULT,

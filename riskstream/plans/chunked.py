@@ -96,9 +96,9 @@ def prefix_aggregate(df: DataFrame, keys: Sequence[str], us: str,
     Sums of an empty set are 0; max/min of an empty set are null.
     """
     keys = list(keys)
-    d = df.withColumn(CHUNK, chunk_of(F.col(us), chunk_us))
-    for name, expr, _ in specs:
-        d = d.withColumn("_v_" + name, expr)
+    base = [F.col(c) for c in df.columns if c != CHUNK]
+    chunk = F.col(CHUNK) if CHUNK in df.columns else chunk_of(F.col(us), chunk_us)
+    d = df.select(*base, chunk.alias(CHUNK), *[expr.alias("_v_" + name) for name, expr, _ in specs])
     upper = 0 if include_current else -1
     if frame == "rows":
         w = (Window.partitionBy(*keys, CHUNK).orderBy(us, *tiebreak)
@@ -106,8 +106,8 @@ def prefix_aggregate(df: DataFrame, keys: Sequence[str], us: str,
     else:
         w = (Window.partitionBy(*keys, CHUNK).orderBy(us)
              .rangeBetween(Window.unboundedPreceding, upper))
-    for name, _, kind in specs:
-        d = d.withColumn("_l_" + name, _COMBINE[kind](F.col("_v_" + name)).over(w))
+    d = d.select("*", *[_COMBINE[kind](F.col("_v_" + name)).over(w).alias("_l_" + name)
+                        for name, _, kind in specs])
 
     totals = d.groupBy(*keys, CHUNK).agg(
         *[_COMBINE[kind](F.col("_v_" + name)).alias("_t_" + name) for name, _, kind in specs])
@@ -142,12 +142,13 @@ def prior_moments(df: DataFrame, keys: Sequence[str], us: str, x: str,
     and merged with Chan's parallel formula.
     """
     keys = list(keys)
-    d = df.withColumn(CHUNK, chunk_of(F.col(us), chunk_us))
+    chunk = F.col(CHUNK) if CHUNK in df.columns else chunk_of(F.col(us), chunk_us)
+    d = df.select(*[F.col(c) for c in df.columns if c != CHUNK], chunk.alias(CHUNK))
     w = (Window.partitionBy(*keys, CHUNK).orderBy(us, *tiebreak)
          .rowsBetween(Window.unboundedPreceding, -1))
-    d = (d.withColumn("_ln", F.count(F.col(x)).over(w))
-          .withColumn("_lmean", F.avg(F.col(x)).over(w))
-          .withColumn("_lm2", F.coalesce(F.var_pop(F.col(x)).over(w), F.lit(0.0)) * F.col("_ln")))
+    cnt = F.count(F.col(x)).over(w)
+    d = d.select("*", cnt.alias("_ln"), F.avg(F.col(x)).over(w).alias("_lmean"),
+                 (F.coalesce(F.var_pop(F.col(x)).over(w), F.lit(0.0)) * cnt).alias("_lm2"))
 
     tot = d.groupBy(*keys, CHUNK).agg(
         F.count(F.col(x)).alias("_tn"), F.avg(F.col(x)).alias("_tmean"),
