@@ -209,3 +209,30 @@ def global_lag(df: DataFrame, keys: Sequence[str], us: str, cols: Sequence[str],
     prev = F.coalesce(F.col("_lprev"), F.col("_cprev"))
     return j.select(*[F.col(c) for c in df.columns],
                     *[prev[c].alias(prefix + c) for c in carry])
+
+
+def ordered_prefix(df: DataFrame, order: str, sums: Sequence[str], descending: bool = True,
+                   bins: int = 1 << 20, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """Exact running sums over a global order without a one-task window.
+
+    Rows (already one per distinct ``order`` value) are binned by value;
+    running sums are local per bin, and each bin adds the totals of all
+    bins before it. The only global window runs over the bin totals (at
+    most ``bins`` rows). Adds ``cum_<s>`` (inclusive) for each ``s``.
+    Values outside [lo, hi] fall in the edge bins (still exact).
+    """
+    x = F.col(order).cast("double")
+    b = F.floor((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins - 1))
+    b = F.when(F.isnan(x), F.lit(bins)).otherwise(b).cast("long")
+    d = df.withColumn(CHUNK, b)
+    o = F.desc(order) if descending else F.asc(order)
+    oc = F.desc(CHUNK) if descending else F.asc(CHUNK)
+    w = Window.partitionBy(CHUNK).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(s).over(w).alias("_l_" + s) for s in sums])
+    tot = d.groupBy(CHUNK).agg(*[F.sum(s).alias("_t_" + s) for s in sums])
+    wc = Window.orderBy(oc).rowsBetween(Window.unboundedPreceding, -1)  # over bins only
+    offs = tot.select(CHUNK, *[F.sum("_t_" + s).over(wc).alias("_o_" + s) for s in sums])
+    j = _join_back(d, offs, [CHUNK])
+    return j.select(*[F.col(c) for c in df.columns],
+                    *[(F.col("_l_" + s) + F.coalesce(F.col("_o_" + s), F.lit(0))).alias("cum_" + s)
+                      for s in sums])
