@@ -65,16 +65,25 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def _join_back(d: DataFrame, offs: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Left-join per-chunk offsets to the rows on ``cols`` (null-safe).
-
-    The small side's key columns are renamed first, so the join never
-    resolves a column against the wrong side of this self-derived join.
+    """Left-join per-chunk offsets to the rows.
+
+    Equi-keys are the first key and the chunk - exactly the (key, chunk)
+    hash partitioning the rows already have from their windows - so only
+    the small offsets side is shuffled (or broadcast by AQE). Further keys
+    (e.g. a session id) are a residual condition written so that the
+    planner does not turn them into equi-keys. Keys are non-null (validated
+    ids); the small side's columns are renamed to avoid self-join
+    ambiguity.
     """
     ren = {c: f"_j{i}" for i, c in enumerate(cols)}
     o = offs.select(*[F.col(c).alias(ren.get(c, c)) for c in offs.columns])
+    equi = [cols[0], CHUNK] if CHUNK in cols else list(cols)
     cond = None
     for c in cols:
-        e = F.col(c).eqNullSafe(F.col(ren[c]))
+        if c in equi:
+            e = F.col(c) == F.col(ren[c])
+        else:
+            e = (F.col(c) - F.col(ren[c])) == F.lit(0)  # residual, numeric keys
         cond = e if cond is None else cond & e
     return d.join(o, cond, "left").drop(*ren.values())
 
