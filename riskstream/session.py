@@ -22,7 +22,9 @@ def get_spark(master: str | None = None, app: str = "riskstream",
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          .config("spark.sql.streaming.stateStore.providerClass",
+                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

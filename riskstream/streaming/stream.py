@@ -18,6 +18,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,50 +145,58 @@ def _make_processor(ttl_us: int = DAY_US, history_us: int = WEEK_US,
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["us", "transaction_id"], kind="stable")
+        parts = list(pdfs)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        us_a = pdf["us"].to_numpy()
+        ids_a = pdf["transaction_id"].to_numpy()
+        order = np.lexsort((ids_a, us_a))
+        us_l = us_a[order].tolist()
+        ids_l = ids_a[order].tolist()
+        amt_l = pdf["amount"].to_numpy()[order].tolist()
+        lat_l = pdf["latitude"].to_numpy()[order].tolist()
+        lon_l = pdf["longitude"].to_numpy()[order].tolist()
+        uid = pdf["user_id"].iat[0]
         if state.exists:
             n, mean, m2, last_us, last_lat, last_lon, hu, ha = state.get
             hu, ha = list(hu or []), list(ha or [])
         else:
             n, mean, m2, last_us, last_lat, last_lon, hu, ha = 0, 0.0, 0.0, None, None, None, [], []
-        out = []
-        for r in pdf.itertuples(index=False):
-            t, amt = int(r.us), float(r.amount)
+        out = {c: [] for c in cols}
+        for i, t in enumerate(us_l):
+            amt = amt_l[i]
             if last_us is not None and t < last_us:
-                out.append((r.transaction_id, r.user_id, t, amt, True) + (None,) * 11)
-                continue
-            has = last_us is not None and (t - last_us) < ttl_us
-            if not has:
-                n, mean, m2 = 0, 0.0, 0.0
-            dt = (t - last_us) / 1e6 if has else 0.0
-            dist = _haversine(last_lat, last_lon, r.latitude, r.longitude) if has else 0.0
-            hours = dt / 3600.0
-            speed = 0.0 if (dt <= 0 or hours < 1e-6) else dist / hours
-            impossible = bool(dt > 0 and speed > max_speed)
-            hi = bisect_right(hu, t - 1)
-            c1 = hi - bisect_left(hu, t - HOUR_US)
-            lo24 = bisect_left(hu, t - DAY_US)
-            c24 = hi - lo24
-            c7 = hi - bisect_left(hu, t - WEEK_US)
-            s24 = float(sum(ha[lo24:hi]))
-            std = math.sqrt(m2 / n) if n > 1 else 0.0
-            out.append((r.transaction_id, r.user_id, t, amt, False, dt, dist, speed, impossible,
-                        c1, c24, c7, s24, n, mean if n > 0 else 0.0, std))
-            # update after scoring (Welford)
-            n += 1
-            delta = amt - mean
-            mean += delta / n
-            m2 += delta * (amt - mean)
-            last_us, last_lat, last_lon = t, float(r.latitude), float(r.longitude)
-            hu.append(t)
-            ha.append(amt)
-            cut = bisect_left(hu, t - history_us)
-            if cut:
-                hu, ha = hu[cut:], ha[cut:]
+                row = (ids_l[i], uid, t, amt, True) + (None,) * 11
+            else:
+                has = last_us is not None and (t - last_us) < ttl_us
+                if not has:
+                    n, mean, m2 = 0, 0.0, 0.0
+                dt = (t - last_us) / 1e6 if has else 0.0
+                dist = _haversine(last_lat, last_lon, lat_l[i], lon_l[i]) if has else 0.0
+                hours = dt / 3600.0
+                speed = 0.0 if (dt <= 0 or hours < 1e-6) else dist / hours
+                hi = bisect_right(hu, t - 1)
+                lo24 = bisect_left(hu, t - DAY_US)
+                row = (ids_l[i], uid, t, amt, False, dt, dist, speed, bool(dt > 0 and speed > max_speed),
+                       hi - bisect_left(hu, t - HOUR_US), hi - lo24, hi - bisect_left(hu, t - WEEK_US),
+                       float(sum(ha[lo24:hi])), n, mean if n > 0 else 0.0,
+                       math.sqrt(m2 / n) if n > 1 else 0.0)
+                # update after scoring (Welford)
+                n += 1
+                delta = amt - mean
+                mean += delta / n
+                m2 += delta * (amt - mean)
+                last_us, last_lat, last_lon = t, lat_l[i], lon_l[i]
+                hu.append(t)
+                ha.append(amt)
+                cut = bisect_left(hu, t - history_us)
+                if cut:
+                    del hu[:cut], ha[:cut]
+            for c, v in zip(cols, row):
+                out[c].append(v)
         if last_us is not None:
             state.update((n, mean, m2, last_us, last_lat, last_lon, hu, ha))
             state.setTimeoutTimestamp(int(max(last_us + ttl_us, last_us + history_us) // 1000))
-        if out:
+        if out["us"]:
             yield pd.DataFrame(out, columns=cols)
 
     return process
