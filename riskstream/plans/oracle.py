@@ -747,3 +747,5 @@ SELECT user_id AS key, transaction_id, amount, us, channel FROM txn""", "txn"))
 
 register("read_transactions", with_views("""
 SELECT transaction_id, user_id, round(amount, 6) AS amount, channel, is_fraud, us FROM txn""", "txn"))
+
+register("stream_features_batched", ORACLE["stream_features"])

@@ -704,3 +704,14 @@ def q_read_csv(spark, sf):
     d = rio.read_transactions(spark, path)
     return d.select("transaction_id", "user_id", r6("amount").alias("amount"), "channel", "is_fraud",
                     F.unix_micros("timestamp").alias("us"))
+
+
+@query("stream_features_batched")
+def q_stream_features_batched(spark, sf):
+    """F1, skew-safe variant: foreachBatch over the chunked batch plan, state
+    kept as versioned tables in the shared folder."""
+    from ..streaming import batched
+    base = scratch_path(spark, f"replay-b-{uuid.uuid4().hex}")
+    s = batched.run_features_replay_batched(spark, fx.txn(spark, sf), base)
+    return s.select("transaction_id", *[r6(c).alias(c) for c in STREAM_DOUBLES],
+                    *[F.col(c).cast("long").alias(c) for c in STREAM_INTS], "is_impossible_travel", "late")
