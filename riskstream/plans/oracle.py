@@ -749,3 +749,82 @@ register("read_transactions", with_views("""
 SELECT transaction_id, user_id, round(amount, 6) AS amount, channel, is_fraud, us FROM txn""", "txn"))
 
 register("stream_features_batched", ORACLE["stream_features"])
+
+
+# ---------------------------------------------------------------------------
+# All rules over the scored view and the request log (thresholds as in
+# the registered query, low enough that every rule fires on the fixtures)
+# ---------------------------------------------------------------------------
+def _labels_sql(labels: list[str]) -> str:
+    if not labels:
+        return "''"
+    return "concat_ws(',', " + ", ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in labels) + ")"
+
+
+def _hold_block(tag: str, src: str, labels: list[str], cond: str, hold_us: int, name: str, sev: str,
+                cat: str) -> tuple[str, str]:
+    part = f"PARTITION BY {', '.join(labels)}" if labels else ""
+    part_run = f"PARTITION BY {', '.join(labels + ['run'])}"
+    ctes = f"""{tag}_hf AS (SELECT * FROM {src} WHERE coalesce({cond}, false)),
+{tag}_hr AS (SELECT *, t_us // 30000000 - row_number() OVER ({part} ORDER BY t_us) AS run FROM {tag}_hf),
+{tag}_hs AS (SELECT *, min(t_us) OVER ({part_run}) AS act FROM {tag}_hr)"""
+    sel = (f"SELECT '{name}' AS rule, {_labels_sql(labels)} AS labels, '{sev}' AS severity, '{cat}' AS category, "
+           f"t_us, round(CAST(value AS DOUBLE), 6) AS value, CASE WHEN t_us - act >= {hold_us} THEN 'firing' "
+           f"ELSE 'pending' END AS state FROM {tag}_hs")
+    return ctes, sel
+
+
+def _win_block(tag: str, src: str, labels: list[str], values: dict, n: int, value_expr: str) -> str:
+    lab_c = (", ".join(labels) + ", ") if labels else ""
+    vals = ", ".join(f"sum({v}) AS {k}" for k, v in values.items())
+    sums = ", ".join(f"sum({k}) AS {k}" for k in values)
+    return f"""{tag}_bn AS (SELECT {lab_c}(us + 29999999) // 30000000 AS k, {vals} FROM {src} GROUP BY ALL),
+{tag}_sp AS (SELECT {lab_c}unnest(range(k, k + {n})) AS k2, {', '.join(values)} FROM {tag}_bn),
+{tag}_ws AS (SELECT {lab_c}k2 * 30000000 AS t_us, {sums} FROM {tag}_sp GROUP BY ALL),
+{tag}_v AS (SELECT *, {value_expr} AS value FROM {tag}_ws)"""
+
+
+_MIN = 60000000
+_ALERT = "risk_level IN ('HIGH', 'CRITICAL')"
+_rules_ctes, _rules_sel = [], []
+
+
+def _add(tag, win, labels, cond, hold, name, sev, cat):
+    if win:
+        _rules_ctes.append(win)
+    c, s_ = _hold_block(tag, f"{tag}_v", labels, cond, hold, name, sev, cat)
+    _rules_ctes.append(c)
+    _rules_sel.append(s_)
+
+
+_rules_ctes.append(f"""fr_b AS (SELECT (us + 29999999) // 30000000 AS k, count(*) AS n,
+  count(*) FILTER (WHERE {_ALERT}) AS kk FROM scored GROUP BY 1),
+fr_g AS (SELECT unnest(range((SELECT min(k) FROM fr_b), (SELECT max(k) FROM fr_b) + 1)) AS k),
+fr_v AS (SELECT g.k * 30000000 AS t_us, sum(b.kk) OVER w / sum(b.n) OVER w AS value
+  FROM fr_g g LEFT JOIN fr_b b USING (k) WINDOW w AS (ORDER BY g.k ROWS UNBOUNDED PRECEDING))""")
+_add("fr", None, [], "value > 0.01", 5 * _MIN, "HighFraudRate", "warning", "fraud")
+_add("fs", _win_block("fs", "(SELECT * FROM scored WHERE risk_level = 'CRITICAL')", ["model_used"],
+                      {"increase": "1"}, 10, "increase / 300.0"),
+     ["model_used"], "value > 0.003", 2 * _MIN, "FraudSpike", "critical", "fraud")
+_add("hv", _win_block("hv", f"(SELECT * FROM scored WHERE {_ALERT} AND amount > 10000.0)", ["currency"],
+                      {"increase": "1"}, 120, "increase"),
+     ["currency"], "value > 0.0", 1 * _MIN, "HighValueFraudDetected", "warning", "fraud")
+_QV2 = {f"c{i}": f"CASE WHEN latency_ms / 1000.0 <= {b!r} THEN 1 ELSE 0 END" for i, b in enumerate(SCORE_B)}
+_QV2["total"] = "1"
+_add("lt", _win_block("lt", "scored", ["model_used"], _QV2, 10, _quantile_expr(SCORE_B, 0.95)),
+     ["model_used"], "value > 0.05", 5 * _MIN, "LatencySLABreach", "critical", "performance")
+_add("pe", _win_block("pe", "(SELECT * FROM scored WHERE status = 'error')", ["model_used"],
+                      {"increase": "1"}, 10, "increase / 300.0"),
+     ["model_used"], "value > 0.003", 5 * _MIN, "ModelPredictionFailures", "warning", "model")
+_add("fb", _win_block("fb", "(SELECT * FROM scored WHERE model_used = 'rules_fallback')", [],
+                      {"increase": "1"}, 10, "increase / 300.0"),
+     [], "value > 0.0", 5 * _MIN, "FallbackModeActive", "warning", "model")
+_add("rr", _win_block("rr", REQ_NM, ["method", "endpoint", "status_code"], {"increase": "1"}, 10,
+                      "increase / 300.0"),
+     ["method", "endpoint", "status_code"], "value > 0.003", 5 * _MIN, "HighRequestRate", "warning", "performance")
+_add("er", _win_block("er", REQ_NM, ["endpoint"], {
+    "errors": "CASE WHEN starts_with(status_code, '5') THEN 1 ELSE 0 END", "total": "1"}, 10, "errors / total"),
+     ["endpoint"], "value > 0.01", 2 * _MIN, "ErrorRateSpike", "critical", "errors")
+
+register("evaluate_alert_rules", with_views("WITH " + ",\n".join(_rules_ctes) + "\n"
+                                            + "\nUNION ALL\n".join(_rules_sel), "scored", "requests"))
