@@ -828,3 +828,11 @@ _add("er", _win_block("er", REQ_NM, ["endpoint"], {
 
 register("evaluate_alert_rules", with_views("WITH " + ",\n".join(_rules_ctes) + "\n"
                                             + "\nUNION ALL\n".join(_rules_sel), "scored", "requests"))
+
+register("stream_score", ORACLE["rule_score"])
+register("stream_alerts", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES}
+SELECT user_id AS key, transaction_id, round(prob, 6) AS fraud_probability, {level('prob')} AS risk_level
+FROM rs WHERE {level('prob')} IN ('MEDIUM', 'HIGH', 'CRITICAL')""", "txn"))
+register("stream_score_counters", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES}
+SELECT (us // 3600000000) * 3600000000 AS window_start_us, {level('prob')} AS risk_level, 'rules' AS model_used,
+  count(*) AS n FROM rs GROUP BY 1, 2, 3""", "txn"))

@@ -715,3 +715,44 @@ def q_stream_features_batched(spark, sf):
     s = batched.run_features_replay_batched(spark, fx.txn(spark, sf), base)
     return s.select("transaction_id", *[r6(c).alias(c) for c in STREAM_DOUBLES],
                     *[F.col(c).cast("long").alias(c) for c in STREAM_INTS], "is_impossible_travel", "late")
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """rules on the streaming features (replay)."""
+    base = scratch_path(spark, f"replay-s-{uuid.uuid4().hex}")
+    s = st.run_replay(spark, fx.txn(spark, sf), base, st.stream_score)
+    return s.select("transaction_id", "user_id", "us", r6("fraud_probability").alias("fraud_probability"),
+                    "risk_level", _join("risk_factors").alias("risk_factors"), "model_used", "model_version")
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf):
+    """alert records keyed by user (rules reach MEDIUM at most, so the
+    replay alerts on MEDIUM)."""
+    base = scratch_path(spark, f"replay-a-{uuid.uuid4().hex}")
+    s = st.run_replay(spark, fx.txn(spark, sf), base,
+                      lambda f: st.stream_alerts(st.stream_score(f), ["MEDIUM", "HIGH", "CRITICAL"]))
+    v = F.col("value").cast("string")
+    return s.select(F.col("key").cast("string").alias("key"),
+                    F.get_json_object(v, "$.transaction_id").alias("transaction_id"),
+                    F.round(F.get_json_object(v, "$.fraud_probability").cast("double"), 6).alias("fraud_probability"),
+                    F.get_json_object(v, "$.risk_level").alias("risk_level"))
+
+
+@query("stream_score_counters")
+def q_stream_counters(spark, sf):
+    """running counters by (hour window, level, model) from an
+    update-mode stream, folded to the last value per key."""
+    base = scratch_path(spark, f"replay-c-{uuid.uuid4().hex}")
+    # two decoupled queries: F2 writes scores, F6 streams that sink (Spark
+    # rejects a second stateful operator behind F1 under one watermark)
+    scores = st.run_replay(spark, fx.txn(spark, sf), base + "/f2", st.stream_score)
+    s = spark.readStream.schema(scores.schema).parquet(base + "/f2/out")  # files of a sink are unordered
+    q = (st.stream_score_counters(s).writeStream.option("checkpointLocation", base + "/f6/ck")
+         .trigger(availableNow=True).outputMode("update")
+         .foreachBatch(lambda df, e: df.write.mode("overwrite").parquet(f"{base}/f6/out/epoch={e}")).start())
+    q.awaitTermination()
+    u = spark.read.parquet(base + "/f6/out")
+    u = u.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "risk_level", "model_used", "n", "epoch")
+    return st.latest_per_key(u, ["window_start_us", "risk_level", "model_used"])

@@ -290,3 +290,28 @@ def run_features_replay(spark: SparkSession, txn: DataFrame, base: str, files_pe
           .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(FEATURE_SCHEMA).parquet(out)
+
+
+def run_replay(spark: SparkSession, txn: DataFrame, base: str, build, mode: str = "append") -> DataFrame:
+    """Replay ``txn`` through F1 and ``build`` (a function of the feature
+    stream) to a parquet sink; ``mode="update"`` writes each micro-batch's
+    changed rows under ``epoch=<id>`` (an update-mode file sink)."""
+    src, out, ck = base + "/src", base + "/out", base + "/ck"
+    write_json_replay(txn, src)
+    s = read_txn_stream(spark, "json", src, {"maxFilesPerTrigger": 1})
+    res = build(stream_features(s))
+    w = res.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
+    if mode == "update":
+        q = w.outputMode("update").foreachBatch(
+            lambda df, e: df.write.mode("overwrite").parquet(f"{out}/epoch={e}")).start()
+    else:
+        q = w.format("parquet").option("path", out).outputMode("append").start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Fold an update-mode sink: the last written row per key."""
+    cols = [c for c in updates.columns if c not in keys and c != "epoch"]
+    g = updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("r"))
+    return g.select(*keys, "r.*")
