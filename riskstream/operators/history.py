@@ -186,12 +186,15 @@ def user_profile_snapshot(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
         F.max(TS).alias("last_seen_us"))
 
 
-def merchant_txn_count_24h(df: DataFrame, window_us: int = DAY_US) -> DataFrame:
-    """Prior transactions of the merchant in the trailing 24 h."""
-    d = halo_expand(df, TS, window_us)
+def merchant_txn_count_24h(df: DataFrame, window_us: int = DAY_US, keep_chunk: bool = False) -> DataFrame:
+    """Prior transactions of the merchant in the trailing 24 h.
+
+    ``keep_chunk`` keeps the (merchant, day) chunk column so that a
+    following merchant prefix pass reuses the same partitioning."""
+    d = halo_expand(df, TS, window_us, DAY_US)
     w = Window.partitionBy("merchant_id", CHUNK).orderBy(TS).rangeBetween(-window_us, -1)
-    d = d.withColumn("merchant_txn_count_24h", F.count(F.lit(1)).over(w))
-    return _finish(_keep_home(d), [])
+    d = _keep_home(d.select("*", F.count(F.lit(1)).over(w).alias("merchant_txn_count_24h")))
+    return d if keep_chunk else _finish(d, [])
 
 
 def merchant_risk_prior(df: DataFrame, label: str = "is_fraud") -> DataFrame:
@@ -262,19 +265,19 @@ def point_in_time_features(df: DataFrame, t: Thresholds = DEFAULT,
     else:
         d = d.withColumn("user_fraud_history_count", F.lit(0).cast("long"))
     d = _finish(d, [])
+    # merchant side: one (merchant, day) partitioning for D9 and D7b
+    d = merchant_txn_count_24h(d, keep_chunk=True)
     if label and label in df.columns:
         d = merchant_risk_prior(d, label)
     else:
         d = d.withColumn("merchant_risk_score", F.lit(0.5))
-    d = merchant_txn_count_24h(d)
+    d = _finish(d, [])
     tf = temporal_features(TS)
-    d = (d.withColumn("amount_log", amount_log("amount"))
-          .withColumn("amount_zscore", amount_zscore("amount", "user_avg_amount", "user_std_amount"))
-          .withColumn("hour_of_day", tf["hour_of_day"])
-          .withColumn("day_of_week", tf["day_of_week"])
-          .withColumn("is_weekend", tf["is_weekend"])
-          .withColumn("velocity_score", velocity_score("txn_count_1h", "txn_count_24h")))
-    return d
+    return d.select("*", amount_log("amount").alias("amount_log"),
+                    amount_zscore("amount", "user_avg_amount", "user_std_amount").alias("amount_zscore"),
+                    tf["hour_of_day"].alias("hour_of_day"), tf["day_of_week"].alias("day_of_week"),
+                    tf["is_weekend"].alias("is_weekend"),
+                    velocity_score("txn_count_1h", "txn_count_24h").alias("velocity_score"))
 
 
 # ---------------------------------------------------------------------------

@@ -55,9 +55,9 @@ def halo_expand(df: DataFrame, us: str, lookback_us: int,
     t = F.col(us)
     home = chunk_of(t, chunk_us)
     last = chunk_of(t + F.lit(int(lookback_us)), chunk_us)
-    return (df.withColumn(HOME, home)
-              .withColumn(CHUNK, F.explode(F.sequence(home, last)))
-              .withColumn(HALO, F.col(CHUNK) != F.col(HOME)))
+    base = [F.col(c) for c in df.columns if c not in (HOME, CHUNK, HALO)]
+    d = df.select(*base, home.alias(HOME), F.explode(F.sequence(home, last)).alias(CHUNK))
+    return d.select("*", (F.col(CHUNK) != F.col(HOME)).alias(HALO))
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
