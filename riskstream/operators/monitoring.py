@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALERT_LEVELS, REQUEST_BUCKETS_S, SCORE_BUCKETS_S
 from ..functions.text import normalize_endpoint
+from ..plans.chunked import prefix_aggregate
 
 STEP_US = 30_000_000  # evaluation interval of the rule groups
 
@@ -80,10 +81,12 @@ def fraud_rate_running(scored: DataFrame, levels: Sequence[str] = ALERT_LEVELS)
     """
     m = scored.groupBy(minute_bins(scored).alias("minute")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("risk_level").isin(*levels)).alias("k"))
-    w = Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    return m.select("minute", F.sum("n").over(w).alias("total_so_far"),
-                    F.sum("k").over(w).alias("alerts_so_far")) \
-            .withColumn("fraud_rate", F.col("alerts_so_far") / F.col("total_so_far"))
+    # running sums over minutes via day chunks: no window sees all minutes
+    m = m.withColumn("_t", F.col("minute") * F.lit(60_000_000))
+    p = prefix_aggregate(m, [], "_t", [("total_so_far", F.col("n"), "sum"), ("alerts_so_far", F.col("k"), "sum")],
+                         include_current=True)
+    return p.select("minute", "total_so_far", "alerts_so_far",
+                    (F.col("alerts_so_far") / F.col("total_so_far")).alias("fraud_rate"))
 
 
 def alert_counters(scored: DataFrame, levels: Sequence[str] = ALERT_LEVELS,
@@ -280,10 +283,10 @@ def fraud_rate_gauge(scored: DataFrame, levels: Sequence[str] = ALERT_LEVELS,
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("risk_level").isin(*levels)).alias("k"))
     span = b.agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"))
     grid = span.select(F.explode(F.sequence("_a", "_b")).alias("_k"))
-    g = grid.join(b, "_k", "left")
-    wr = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    return g.select((F.col("_k") * F.lit(step_us)).alias("t_us"),
-                    (F.sum("k").over(wr) / F.sum("n").over(wr)).alias("_rate"))
+    g = grid.join(b, "_k", "left").withColumn("t_us", F.col("_k") * F.lit(step_us))
+    p = prefix_aggregate(g, [], "t_us", [("_cn", F.coalesce("n", F.lit(0)), "sum"),
+                                         ("_ck", F.coalesce("k", F.lit(0)), "sum")], include_current=True)
+    return p.select("t_us", (F.col("_ck") / F.col("_cn")).alias("_rate"))
 
 
 def gauge_series(samples: DataFrame, metric: str, step_us: int = STEP_US) -> DataFrame:

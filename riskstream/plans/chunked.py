@@ -77,7 +77,7 @@ def _join_back(d: DataFrame, offs: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     ren = {c: f"_j{i}" for i, c in enumerate(cols)}
     o = offs.select(*[F.col(c).alias(ren.get(c, c)) for c in offs.columns])
-    equi = [cols[0], CHUNK] if CHUNK in cols else list(cols)
+    equi = ([cols[0]] if cols[0] != CHUNK else []) + [CHUNK] if CHUNK in cols else list(cols)
     cond = None
     for c in cols:
         if c in equi:
