@@ -267,6 +267,7 @@ def write_json_replay(txn: DataFrame, path: str, n_files: int = 4) -> None:
     d = txn.withColumn("timestamp", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
     cols = [f.name for f in TXN_WIRE_SCHEMA.fields if f.name in d.columns]
     d = d.withColumn("is_fraud", F.col("is_fraud") == 1) if "is_fraud" in d.columns else d
+    d = d.select(*cols, "us").persist()  # read by the quantile pass and every range write
     cuts = d.approxQuantile("us", [i / n_files for i in range(1, n_files)], 0.001)
     bounds = [None] + sorted(set(cuts)) + [None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -277,6 +278,23 @@ def write_json_replay(txn: DataFrame, path: str, n_files: int = 4) -> None:
             part = part.filter(F.col("us") < F.lit(int(hi)))
         part.select(*cols).coalesce(1).sortWithinPartitions("timestamp").write.mode("append").json(path)
         time.sleep(0.05)  # distinct modification times (each write takes longer)
+    d.unpersist()
+
+
+class _state_partitions:
+    """Start a new stateful query with one state partition per core (the
+    count is fixed in the checkpoint at the first start); restores the
+    session setting afterwards."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.spark.sparkContext.defaultParallelism))
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
 
 
 def run_features_replay(spark: SparkSession, txn: DataFrame, base: str, files_per_trigger: int = 1) -> DataFrame:
@@ -286,8 +304,9 @@ def run_features_replay(spark: SparkSession, txn: DataFrame, base: str, files_pe
     write_json_replay(txn, src)
     s = read_txn_stream(spark, "json", src, {"maxFilesPerTrigger": files_per_trigger})
     f = stream_features(s)
-    q = (f.writeStream.format("parquet").option("checkpointLocation", ck).option("path", out)
-          .outputMode("append").trigger(availableNow=True).start())
+    with _state_partitions(spark):
+        q = (f.writeStream.format("parquet").option("checkpointLocation", ck).option("path", out)
+              .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(FEATURE_SCHEMA).parquet(out)
 
@@ -301,11 +320,12 @@ def run_replay(spark: SparkSession, txn: DataFrame, base: str, build, mode: str
     s = read_txn_stream(spark, "json", src, {"maxFilesPerTrigger": 1})
     res = build(stream_features(s))
     w = res.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
-    if mode == "update":
-        q = w.outputMode("update").foreachBatch(
-            lambda df, e: df.write.mode("overwrite").parquet(f"{out}/epoch={e}")).start()
-    else:
-        q = w.format("parquet").option("path", out).outputMode("append").start()
+    with _state_partitions(spark):
+        if mode == "update":
+            q = w.outputMode("update").foreachBatch(
+                lambda df, e: df.write.mode("overwrite").parquet(f"{out}/epoch={e}")).start()
+        else:
+            q = w.format("parquet").option("path", out).outputMode("append").start()
     q.awaitTermination()
     return spark.read.parquet(out)
 
