@@ -74,4 +74,6 @@ def score_batch(txn: DataFrame, model=None, t: Thresholds = DEFAULT,
     f = history.point_in_time_features(txn, t)
     if model is not None:
         f = model.predict_proba(f, out_col="model_probability")
+        return hybrid_score(f, "model_probability", model_version=model.version, t=t,
+                            rules=rules).select(*SCORE_COLUMNS)
     return hybrid_score(f, "model_probability", t=t, rules=rules).select(*SCORE_COLUMNS)

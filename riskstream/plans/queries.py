@@ -643,8 +643,9 @@ def q_class_weight(spark, sf):
 
 @query("model_score")
 def q_model_score(spark, sf):
-    """Fit a small GBT on the training part, score the test part."""
-    d = history.training_features(fx.txn(spark, sf))
+    """Fit a small GBT on the point-in-time features of the training
+    part (the same features serving computes), score the test part."""
+    d = history.point_in_time_features(fx.txn(spark, sf))
     d = prep.stratified_split(d, "is_fraud", _txn_key(), [("test", 0.2)])
     num, cat = prep.select_available_features(d)
     params = training.GBTParams(max_iter=20, max_depth=4)
