@@ -836,3 +836,12 @@ FROM rs WHERE {level('prob')} IN ('MEDIUM', 'HIGH', 'CRITICAL')""", "txn"))
 register("stream_score_counters", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES}
 SELECT (us // 3600000000) * 3600000000 AS window_start_us, {level('prob')} AS risk_level, 'rules' AS model_used,
   count(*) AS n FROM rs GROUP BY 1, 2, 3""", "txn"))
+
+
+# ranges are equal event-time spans; with arrival order 0, 2, 1, 3 every
+# row of range 1 is older than the watermark when it arrives (range 2 spans
+# more than the 1 day delay) - the late table holds exactly range 1.
+register("stream_late", with_views("""
+WITH b AS (SELECT min(us) AS lo, max(us) AS hi FROM txn)
+SELECT transaction_id, user_id, us, round(amount, 6) AS amount FROM txn, b
+WHERE CAST(floor((us - lo) * 4 / (hi - lo + 1)) AS INTEGER) = 1""", "txn"))

@@ -757,3 +757,15 @@ def q_stream_counters(spark, sf):
     u = spark.read.parquet(base + "/f6/out")
     u = u.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "risk_level", "model_used", "n", "epoch")
     return st.latest_per_key(u, ["window_start_us", "risk_level", "model_used"])
+
+
+@query("stream_late")
+def q_stream_late(spark, sf):
+    """replay with the second time range arriving after the third; rows
+    older than the watermark (max seen - 1 day) or than their user's last
+    processed row go to the late table instead of the state."""
+    from ..streaming import batched
+    base = scratch_path(spark, f"replay-l-{uuid.uuid4().hex}")
+    batched.run_features_replay_batched(spark, fx.txn(spark, sf), base, order=[0, 2, 1, 3])
+    late = spark.read.parquet(base + "/late")
+    return late.select("transaction_id", "user_id", "us", r6("amount").alias("amount"))

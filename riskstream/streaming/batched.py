@@ -139,11 +139,13 @@ def start_stream_features(stream: DataFrame, base: str, delay_us: int = DAY_US,
     return w.start()
 
 
-def run_features_replay_batched(spark: SparkSession, txn: DataFrame, base: str) -> DataFrame:
-    """Replay ``txn`` (JSON files, time ordered) through the foreachBatch
-    stream; returns the feature rows of all epochs."""
+def run_features_replay_batched(spark: SparkSession, txn: DataFrame, base: str,
+                                order: list[int] | None = None) -> DataFrame:
+    """Replay ``txn`` (JSON files, in time order unless ``order`` says
+    otherwise) through the foreachBatch stream; returns the feature rows of
+    all epochs (late rows are under ``base``/late)."""
     from .stream import FEATURE_SCHEMA, read_txn_stream, write_json_replay
-    write_json_replay(txn, base + "/src")
+    write_json_replay(txn, base + "/src", order=order)
     s = read_txn_stream(spark, "json", base + "/src", {"maxFilesPerTrigger": 1})
     q = start_stream_features(s, base, trigger={"availableNow": True})
     q.awaitTermination()

@@ -259,24 +259,26 @@ def stream_score_counters(scored: DataFrame, width: str = "1 hour") -> DataFrame
 # Replays: run a stream over files to completion (tests, registered query)
 # ---------------------------------------------------------------------------
 
-def write_json_replay(txn: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write transactions as JSON records in time order, one file per time
-    range, appended one after another (the file source orders by
-    modification time, so micro-batches follow event time)."""
+def replay_range(us: Column, lo: int, hi: int, n_files: int) -> Column:
+    """Index 0..n-1 of equal event-time ranges between ``lo`` and ``hi``."""
+    return F.floor((us - F.lit(lo)) * F.lit(n_files) / F.lit(hi - lo + 1)).cast("int")
+
+
+def write_json_replay(txn: DataFrame, path: str, n_files: int = 4, order: list[int] | None = None) -> None:
+    """Write transactions as JSON records, one file per equal event-time
+    range, appended one after another in ``order`` (default: time order).
+    The file source orders by modification time, so micro-batches follow
+    the write order; a non-monotone ``order`` replays late data."""
     import time
     d = txn.withColumn("timestamp", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
     cols = [f.name for f in TXN_WIRE_SCHEMA.fields if f.name in d.columns]
     d = d.withColumn("is_fraud", F.col("is_fraud") == 1) if "is_fraud" in d.columns else d
-    d = d.select(*cols, "us").persist()  # read by the quantile pass and every range write
-    cuts = d.approxQuantile("us", [i / n_files for i in range(1, n_files)], 0.001)
-    bounds = [None] + sorted(set(cuts)) + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        part = d
-        if lo is not None:
-            part = part.filter(F.col("us") >= F.lit(int(lo)))
-        if hi is not None:
-            part = part.filter(F.col("us") < F.lit(int(hi)))
-        part.select(*cols).coalesce(1).sortWithinPartitions("timestamp").write.mode("append").json(path)
+    d = d.select(*cols, "us").persist()  # read by the span pass and every range write
+    lo, hi = d.agg(F.min("us"), F.max("us")).first()
+    d = d.withColumn("_r", replay_range(F.col("us"), lo, hi, n_files))
+    for k in (order or list(range(n_files))):
+        d.filter(F.col("_r") == k).select(*cols).coalesce(1).sortWithinPartitions("timestamp") \
+         .write.mode("append").json(path)
         time.sleep(0.05)  # distinct modification times (each write takes longer)
     d.unpersist()
 
