@@ -658,15 +658,16 @@ SELECT day, round(fraud_rate, 6) AS fraud_rate, CASE WHEN fraud_rate < 0.001 THE
 # ---------------------------------------------------------------------------
 # G: preparation
 # ---------------------------------------------------------------------------
-register("select_available_features", """
-SELECT * FROM (VALUES
-""" + ",\n".join(f"('{c}', 'numeric', {i})" for i, c in enumerate([
+_G1 = [(c, "numeric", i) for i, c in enumerate([
     "amount", "amount_log", "amount_zscore", "hour_of_day", "day_of_week", "is_weekend", "time_since_last_txn",
     "txn_count_1h", "txn_count_24h", "txn_count_7d", "total_amount_24h", "distance_from_last", "travel_speed",
     "is_impossible_travel", "user_avg_amount", "user_std_amount", "user_txn_count", "user_fraud_history",
-    "merchant_risk_score", "velocity_score"])) + ",\n" + ",\n".join(
-    f"('{c}', 'categorical', {i})" for i, c in enumerate(["currency", "merchant_category", "channel"]))
-    + ") AS t(feature, kind, position) WHERE EXISTS (SELECT 1 FROM events)")
+    "merchant_risk_score", "velocity_score"])] + [(c, "categorical", i) for i, c in enumerate(
+    ["currency", "merchant_category", "channel"])]
+register("select_available_features", with_views(
+    TRAIN_SQL[:TRAIN_SQL.index("\nSELECT transaction_id, round(amount, 6)")] + "\n" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{k}' AS kind, {i} AS position, count(*) AS n_non_null FROM t2"
+        for c, k, i in _G1), "txn"))
 
 _MED_COLS = ["amount", "amount_zscore", "total_amount_24h", "distance_from_last", "time_since_last_txn",
              "user_avg_amount", "merchant_risk_score", "hour_of_day"]

@@ -583,10 +583,16 @@ def _txn_key():
 
 @query("select_available_features")
 def q_select_features(spark, sf):
+    """G1: the declared features present in the table, with their non-null
+    counts over the whole table (one aggregate pass, unpivoted)."""
     d = history.training_features(fx.txn(spark, sf).drop("country"))
     num, cat = prep.select_available_features(d)
-    rows = [(c, "numeric", i) for i, c in enumerate(num)] + [(c, "categorical", i) for i, c in enumerate(cat)]
-    return spark.createDataFrame(rows, "feature string, kind string, position int")
+    items = [(c, "numeric", i) for i, c in enumerate(num)] + [(c, "categorical", i) for i, c in enumerate(cat)]
+    agg = d.agg(*[F.count(F.col(c)).alias(f"n{j}") for j, (c, _, _) in enumerate(items)])
+    return agg.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(k).alias("kind"), F.lit(i).alias("position"),
+                 F.col(f"n{j}").alias("n_non_null")) for j, (c, k, i) in enumerate(items)])).alias("f")) \
+        .select("f.*")
 
 
 @query("impute_median")
