@@ -8,11 +8,24 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Sizing for a large cluster (e.g. 1000 executors, ~100 TB input): many
+# shuffle partitions that AQE coalesces to ~256 MB, skewed partitions split
+# by AQE, 256 MB scan splits. Passed as ``cluster=True``.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def get_spark(master: str | None = None, app: str = "riskstream",
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session with UTC time, AQE and the UI off.
 
-    On a cluster, ``master`` stays ``None`` so that spark-submit decides.
+    On a cluster, ``master`` stays ``None`` so that spark-submit decides,
+    and ``cluster=True`` applies ``CLUSTER_CONF``.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -25,6 +38,9 @@ def get_spark(master: str | None = None, app: str = "riskstream",
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.sql.streaming.stateStore.providerClass",
                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
+    if cluster:
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

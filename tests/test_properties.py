@@ -142,3 +142,20 @@ def test_restart_from_checkpoint(spark, tmp_path):
     assert got2.count() == t.count()
     assert got2.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols]) \
                .exceptAll(want).count() == 0
+
+
+def test_halo_windows_equal_plain_on_hot_key(spark):
+    """All rows on one user: the time-chunked halo windows (1 h / 24 h / 7 d)
+    equal plain per-user RANGE windows."""
+    t = fx.txn(spark, SF_SMALL).withColumn("user_id", F.lit("HOT"))
+    v = history.velocity_windows(t, chunk_us=6 * 3600 * 10**6)  # many chunks, halo spans several
+    H = 3600 * 10**6
+
+    def rng(lo):
+        return Window.partitionBy("user_id").orderBy("us").rangeBetween(-lo, -1)
+    p = t.select("transaction_id", F.count(F.lit(1)).over(rng(H)).alias("a"),
+                 F.count(F.lit(1)).over(rng(24 * H)).alias("b"), F.count(F.lit(1)).over(rng(168 * H)).alias("c"))
+    j = v.join(p, "transaction_id")
+    assert j.count() == t.count()
+    assert j.filter((F.col("a") != F.col("txn_count_1h")) | (F.col("b") != F.col("txn_count_24h"))
+                    | (F.col("c") != F.col("txn_count_7d"))).count() == 0
