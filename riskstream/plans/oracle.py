@@ -429,10 +429,10 @@ rs2 AS (SELECT *, CAST(NULL AS DOUBLE) AS mp FROM rs)
 # A: class balance, profile lookup
 # ---------------------------------------------------------------------------
 register("class_distribution", with_views("""
-WITH t AS (SELECT count(*) AS total_rows, CAST(sum(is_fraud) AS BIGINT) AS positives FROM txn)
-SELECT is_fraud, count(*) AS n_rows, any_value(total_rows) AS total_rows, any_value(positives) AS positives,
-  round(any_value(positives) / any_value(total_rows), 6) AS fraud_rate
-FROM txn, t GROUP BY is_fraud""", "txn"))
+WITH c AS (SELECT is_fraud, count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS pos FROM txn GROUP BY 1)
+SELECT is_fraud, n_rows, CAST(sum(n_rows) OVER () AS BIGINT) AS total_rows,
+  CAST(sum(pos) OVER () AS BIGINT) AS positives, round(sum(pos) OVER () / sum(n_rows) OVER (), 6) AS fraud_rate
+FROM c""", "txn"))
 
 register("profile_lookup", with_views(f"""WITH {PROFILE_CTES},
 ls AS (SELECT user_id, max(sess) AS ms FROM c2 GROUP BY 1),
@@ -481,11 +481,11 @@ tot AS (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE la
 cum AS (SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM sc
   WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
 roc AS (SELECT 'inf'::double AS threshold, 0.0 AS fpr, 0.0 AS tpr
-  UNION ALL SELECT threshold, CASE WHEN N > 0 THEN fp / N ELSE 0.0 END, CASE WHEN P > 0 THEN tp / P ELSE 0.0 END
-  FROM cum, tot),
+  UNION ALL SELECT threshold, CASE WHEN (SELECT N FROM tot) > 0 THEN fp / (SELECT N FROM tot) ELSE 0.0 END,
+    CASE WHEN (SELECT P FROM tot) > 0 THEN tp / (SELECT P FROM tot) ELSE 0.0 END FROM cum),
 pr AS (SELECT 'inf'::double AS threshold, 1.0 AS precision, 0.0 AS recall
   UNION ALL SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END,
-    CASE WHEN P > 0 THEN tp / P ELSE 0.0 END FROM cum, tot)"""
+    CASE WHEN (SELECT P FROM tot) > 0 THEN tp / (SELECT P FROM tot) ELSE 0.0 END FROM cum)"""
 
 register("roc_curve", with_views(f"""WITH {ROC_CTE}
 SELECT threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""", "scored"))
@@ -681,12 +681,11 @@ register("impute_median", with_views(_TRAIN_CTES + "\n" + " UNION ALL ".join(
     for c in _MED_COLS), "txn"))
 
 register("standard_scale", with_views("""
-WITH s AS (SELECT avg(amount) AS ma, stddev_pop(amount) AS sa, avg(latitude) AS mla, stddev_pop(latitude) AS sla,
-  avg(longitude) AS mlo, stddev_pop(longitude) AS slo FROM txn)
-SELECT transaction_id, round((amount - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END, 6) AS amount,
-  round((latitude - mla) / CASE WHEN sla = 0 THEN 1 ELSE sla END, 6) AS latitude,
-  round((longitude - mlo) / CASE WHEN slo = 0 THEN 1 ELSE slo END, 6) AS longitude
-FROM txn, s""", "txn"))
+SELECT transaction_id,
+  round((amount - (SELECT avg(amount) FROM txn)) / coalesce(nullif((SELECT stddev_pop(amount) FROM txn), 0), 1), 6) AS amount,
+  round((latitude - (SELECT avg(latitude) FROM txn)) / coalesce(nullif((SELECT stddev_pop(latitude) FROM txn), 0), 1), 6) AS latitude,
+  round((longitude - (SELECT avg(longitude) FROM txn)) / coalesce(nullif((SELECT stddev_pop(longitude) FROM txn), 0), 1), 6) AS longitude
+FROM txn""", "txn"))
 
 
 def _onehot(c: str) -> str:
@@ -843,6 +842,6 @@ SELECT (us // 3600000000) * 3600000000 AS window_start_us, {level('prob')} AS ri
 # row of range 1 is older than the watermark when it arrives (range 2 spans
 # more than the 1 day delay) - the late table holds exactly range 1.
 register("stream_late", with_views("""
-WITH b AS (SELECT min(us) AS lo, max(us) AS hi FROM txn)
-SELECT transaction_id, user_id, us, round(amount, 6) AS amount FROM txn, b
-WHERE CAST(floor((us - lo) * 4 / (hi - lo + 1)) AS INTEGER) = 1""", "txn"))
+SELECT transaction_id, user_id, us, round(amount, 6) AS amount FROM txn
+WHERE CAST(floor((us - (SELECT min(us) FROM txn)) * 4 / ((SELECT max(us) FROM txn) - (SELECT min(us) FROM txn) + 1))
+  AS INTEGER) = 1""", "txn"))
