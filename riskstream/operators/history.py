@@ -28,7 +28,41 @@ def _keep_home(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HOME, HALO)
 
 
+PASS_METHOD = "prefix"   # "prefix": halo-free (task = one key-chunk); "halo": look-back copies
+PREFIX_CHUNK_US = HOUR_US
+
+
 def _user_pass(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | None) -> DataFrame:
+    if PASS_METHOD == "prefix" and not (velocity and t.history_ttl_us):
+        return _user_pass_prefix(df, t, velocity)
+    return _user_pass_halo(df, t, velocity, chunk_us)
+
+
+def _user_pass_prefix(df: DataFrame, t: Thresholds, velocity: bool) -> DataFrame:
+    """Halo-free user pass: previous row by chunk-carry lag, trailing
+    windows by differences of running totals (``window_aggregates``).
+    Adds ``_prev_us/_prev_lat/_prev_lon`` and ``_chunk`` (hour chunks)."""
+    from ..plans.chunked import chunk_of, window_aggregates
+    d = df
+    if velocity:
+        d = window_aggregates(d, [USER], TS, ID,
+                              {"txn_count_1h": HOUR_US, "txn_count_24h": DAY_US, "txn_count_7d": WEEK_US},
+                              {"total_amount_24h": ("amount", DAY_US)}, chunk_us=PREFIX_CHUNK_US)
+    d = global_lag(d.withColumnRenamed("latitude", "_lat0").withColumnRenamed("longitude", "_lon0"),
+                   [USER], TS, ["_lat0", "_lon0"], tiebreak=[ID], prefix="_p_", chunk_us=PREFIX_CHUNK_US)
+    ttl = t.profile_ttl_us
+    has = F.col("_p_us").isNotNull()
+    if ttl is not None:
+        has = has & ((F.col(TS) - F.col("_p_us")) < F.lit(ttl))
+    keep = [F.col(c) for c in d.columns if not c.startswith("_p_") and c not in ("_lat0", "_lon0")]
+    return d.select(*keep, F.col("_lat0").alias("latitude"), F.col("_lon0").alias("longitude"),
+                    F.when(has, F.col("_p_us")).alias("_prev_us"),
+                    F.when(has, F.col("_p__lat0")).alias("_prev_lat"),
+                    F.when(has, F.col("_p__lon0")).alias("_prev_lon"),
+                    chunk_of(F.col(TS), PREFIX_CHUNK_US).alias(CHUNK))
+
+
+def _user_pass_halo(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | None) -> DataFrame:
     """One halo pass over (user, chunk): previous row within the TTL and,
     optionally, the trailing 1 h / 24 h / 7 d velocity windows.
 
@@ -191,6 +225,11 @@ def merchant_txn_count_24h(df: DataFrame, window_us: int = DAY_US, keep_chunk: b
 
     ``keep_chunk`` keeps the (merchant, day) chunk column so that a
     following merchant prefix pass reuses the same partitioning."""
+    if PASS_METHOD == "prefix":
+        from ..plans.chunked import window_aggregates
+        d = window_aggregates(df, ["merchant_id"], TS, ID, {"merchant_txn_count_24h": window_us},
+                              chunk_us=PREFIX_CHUNK_US)
+        return d if keep_chunk else _finish(d, [])
     d = halo_expand(df, TS, window_us, DAY_US)
     w = Window.partitionBy("merchant_id", CHUNK).orderBy(TS).rangeBetween(-window_us, -1)
     d = _keep_home(d.select("*", F.count(F.lit(1)).over(w).alias("merchant_txn_count_24h")))

@@ -245,3 +245,44 @@ def ordered_prefix(df: DataFrame, order: str, sums: Sequence[str], descending: b
     return j.select(*[F.col(c) for c in df.columns],
                     *[(F.col("_l_" + s) + F.coalesce(F.col("_o_" + s), F.lit(0))).alias("cum_" + s)
                       for s in sums])
+
+
+def window_aggregates(df: DataFrame, keys: Sequence[str], us: str, id_col: str,
+                      counts: dict[str, int], sums: dict[str, tuple[str, int]] | None = None,
+                      chunk_us: int = 3600 * 1_000_000) -> DataFrame:
+    """Trailing-window counts and sums per key without halo copies.
+
+    For a row at ``t`` and a window ``W``, the rows of its key with
+    ``t - W <= us < t`` are ``N(<t) - N(<t - W)``: running totals of rows
+    strictly before a time. ``N(<t)`` is read at the row itself; ``N(<t-W)``
+    at a probe row placed at ``t - W`` (weight 0) in the same chunked prefix
+    pass. Every task holds one (key, chunk) slice however long ``W`` is.
+    Sums use exact DECIMAL running totals, so the difference has no
+    cancellation error. Adds one column per entry of ``counts``/``sums``.
+    """
+    keys = list(keys)
+    sums = dict(sums or {})
+    wins = sorted({w for w in counts.values()} | {w for _, w in sums.values()})
+    sum_cols = sorted({c for c, _ in sums.values()})
+    dec = "decimal(38,10)"
+    base = df.select(*keys, F.col(us).alias("_t"), F.col(id_col).alias("_id"), F.lit(-1).alias("_w"),
+                     F.lit(1).cast("long").alias("_one"),
+                     *[F.col(c).cast(dec).alias("_x_" + c) for c in sum_cols])
+    probes = [df.select(*keys, (F.col(us) - F.lit(w)).alias("_t"), F.col(id_col).alias("_id"),
+                        F.lit(w).alias("_w"), F.lit(0).cast("long").alias("_one"),
+                        *[F.lit(0).cast(dec).alias("_x_" + c) for c in sum_cols]) for w in wins]
+    u = base
+    for p in probes:
+        u = u.unionByName(p)
+    specs = [("_N", F.col("_one"), "sum")] + [("_S_" + c, F.col("_x_" + c), "sum") for c in sum_cols]
+    u = prefix_aggregate(u, keys, "_t", specs, frame="range", include_current=False, chunk_us=chunk_us)
+    aggs = [F.max(F.when(F.col("_w") == -1, F.col("_N"))).alias("_N0")]
+    aggs += [F.max(F.when(F.col("_w") == -1, F.col("_S_" + c))).alias("_S0_" + c) for c in sum_cols]
+    for w in wins:
+        aggs.append(F.max(F.when(F.col("_w") == w, F.col("_N"))).alias(f"_N{w}"))
+        aggs += [F.max(F.when(F.col("_w") == w, F.col("_S_" + c))).alias(f"_S{w}_{c}") for c in sum_cols]
+    g = u.groupBy("_id").agg(*aggs)  # one row per original row (uniform key)
+    out = [(F.col("_N0") - F.col(f"_N{w}")).alias(name) for name, w in counts.items()]
+    out += [(F.col("_S0_" + c) - F.col(f"_S{w}_{c}")).cast("double").alias(name) for name, (c, w) in sums.items()]
+    res = g.select(F.col("_id").alias(id_col), *out)
+    return df.join(res, id_col, "left")
