@@ -51,3 +51,37 @@ def compare(spark_df, con, sql: str) -> dict:
         res["only_spark"] = sorted(sa - sb)[:3]
         res["only_oracle"] = sorted(sb - sa)[:3]
     return res
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m riskstream.plans.check [sf_dir] [query ...]``: run
+    registered queries against their DuckDB oracle, one JSON line each."""
+    import json
+    import sys
+    import time
+
+    from ..session import get_spark
+    from .oracle import ORACLE
+    from .queries import QUERIES
+    args = list(sys.argv[1:] if argv is None else argv)
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or sorted(QUERIES)
+    spark = get_spark("local[*]", shuffle_partitions=8)
+    spark.sparkContext.setLogLevel("ERROR")
+    con = duck(sf)
+    failed = 0
+    for n in names:
+        t0 = time.time()
+        try:
+            df = QUERIES[n](spark, sf)
+            r = compare(df, con, ORACLE[n]) if n in ORACLE else {"rows": df.count(), "no_oracle": True}
+        except Exception as e:  # report and continue with the next query
+            r = {"error": repr(e)[:500]}
+        failed += int(not r.get("match") and not r.get("no_oracle"))
+        r["sec"] = round(time.time() - t0, 2)
+        print(json.dumps({"query": n, **r}, default=str), flush=True)
+    return 1 if failed else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
