@@ -28,14 +28,36 @@ def _keep_home(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HOME, HALO)
 
 
-PASS_METHOD = "prefix"   # "prefix": halo-free (task = one key-chunk); "halo": look-back copies
+# "adaptive": keys with more than HOT_KEY_ROWS rows take the halo-free
+# prefix plan (a task holds one key-hour), all others the faster halo plan;
+# "prefix" / "halo" force one plan for every key.
+PASS_METHOD = "adaptive"
 PREFIX_CHUNK_US = HOUR_US
+HOT_KEY_ROWS = 2_000_000
+
+
+def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> list:
+    """Keys with more than ``limit`` rows (a partial-aggregated count; at
+    most rows / limit keys come back to the driver)."""
+    limit = HOT_KEY_ROWS if limit is None else limit
+    c = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return [r[key] for r in c.select(key).collect()]
 
 
 def _user_pass(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | None) -> DataFrame:
-    if PASS_METHOD == "prefix" and not (velocity and t.history_ttl_us):
+    if velocity and t.history_ttl_us:
+        return _user_pass_halo(df, t, velocity, chunk_us)
+    if PASS_METHOD == "prefix":
         return _user_pass_prefix(df, t, velocity)
-    return _user_pass_halo(df, t, velocity, chunk_us)
+    if PASS_METHOD == "halo":
+        return _user_pass_halo(df, t, velocity, chunk_us)
+    hot = hot_keys(df, USER)
+    if not hot:
+        return _user_pass_halo(df, t, velocity, chunk_us)
+    is_hot = F.col(USER).isin(hot)
+    a = _user_pass_prefix(df.filter(is_hot), t, velocity)
+    b = _user_pass_halo(df.filter(~is_hot), t, velocity, chunk_us)
+    return a.unionByName(b.select(*a.columns))
 
 
 def _user_pass_prefix(df: DataFrame, t: Thresholds, velocity: bool) -> DataFrame:
@@ -225,10 +247,16 @@ def merchant_txn_count_24h(df: DataFrame, window_us: int = DAY_US, keep_chunk: b
 
     ``keep_chunk`` keeps the (merchant, day) chunk column so that a
     following merchant prefix pass reuses the same partitioning."""
-    if PASS_METHOD == "prefix":
+    hot = [] if PASS_METHOD == "halo" else (None if PASS_METHOD == "prefix" else hot_keys(df, "merchant_id"))
+    if hot is None or hot:
         from ..plans.chunked import window_aggregates
-        d = window_aggregates(df, ["merchant_id"], TS, ID, {"merchant_txn_count_24h": window_us},
+        src = df if hot is None else df.filter(F.col("merchant_id").isin(hot))
+        d = window_aggregates(src, ["merchant_id"], TS, ID, {"merchant_txn_count_24h": window_us},
                               chunk_us=PREFIX_CHUNK_US)
+        if hot is not None:
+            rest = merchant_txn_count_24h(df.filter(~F.col("merchant_id").isin(hot)), window_us, keep_chunk=False)
+            d = _finish(d, []).unionByName(rest)
+            return d
         return d if keep_chunk else _finish(d, [])
     d = halo_expand(df, TS, window_us, DAY_US)
     w = Window.partitionBy("merchant_id", CHUNK).orderBy(TS).rangeBetween(-window_us, -1)

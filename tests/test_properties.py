@@ -159,3 +159,19 @@ def test_halo_windows_equal_plain_on_hot_key(spark):
     assert j.count() == t.count()
     assert j.filter((F.col("a") != F.col("txn_count_1h")) | (F.col("b") != F.col("txn_count_24h"))
                     | (F.col("c") != F.col("txn_count_7d"))).count() == 0
+
+
+def test_adaptive_split_matches_plain(spark):
+    """Force some users hot: the mixed prefix/halo plan equals the halo plan."""
+    old = history.HOT_KEY_ROWS
+    t = fx.txn(spark, SF_SMALL, dense=True)
+    cols = ["transaction_id", "txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total",
+            "merchant_txn_count_24h"]
+    try:
+        history.HOT_KEY_ROWS = 10**12
+        a = history.point_in_time_features(t).select(*cols)
+        history.HOT_KEY_ROWS = 50
+        b = history.point_in_time_features(t).select(*cols)
+    finally:
+        history.HOT_KEY_ROWS = old
+    assert a.exceptAll(b).count() == 0 and b.count() == t.count()
