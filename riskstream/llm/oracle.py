@@ -38,7 +38,7 @@ urls AS (
          '^^^' || regexp_replace(regexp_replace(lower(coalesce(url, '')), '[0-9]', '0', 'g'), '[^a-z0./\\-]', '?', 'g') || '$' AS sym,
          substr(md5(coalesce(url, '')), 1, 1) < '8' AS fits
   FROM judged GROUP BY 1),
-cut_up AS (SELECT url, label, fits, unnest(list_transform(range(1, length(sym) - 2), i -> substr(sym, i, 4))) AS g FROM urls),
+cut_up AS (SELECT url, label, fits, unnest(list_transform(range(1, length(sym) - 2), lambda i: substr(sym, i, 4))) AS g FROM urls),
 counts AS (SELECT g, sum(label) AS na, sum(1 - label) AS nr FROM cut_up WHERE label IS NOT NULL AND fits GROUP BY g),
 wanted AS (SELECT DISTINCT g FROM cut_up WHERE label IS NULL OR NOT fits),
 {''.join(levels)}
