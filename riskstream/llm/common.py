@@ -68,21 +68,22 @@ def salted_cells(rows: DataFrame, keys: list[str], is_index: Column, hash_col: C
     """Deals the rows of each key to cells, so that no cell holds more than
     about ``block`` index rows and ``block`` query rows of a key.
 
-    ``sizes`` (keys, n): how many rows the large keys have; other keys make
-    one cell. A key of n rows makes b x b cells, b = ceil(n / block): an index
-    row of block i goes to the cells (i, *), a query row of block j to the
-    cells (*, j), so each index row meets each query row in one cell. Adds
-    the columns ``ci`` and ``cj``.
+    ``sizes`` (keys, n_entry, n_ask): how many index and query rows the large
+    keys have; other keys make one cell. With a blocks of index rows and b of
+    query rows a key makes a x b cells: an index row of block i goes to the
+    cells (i, *), a query row of block j to the cells (*, j), so each index
+    row meets each query row in one cell. Adds the columns ``ci`` and ``cj``.
     """
-    s = sizes.select(*keys, F.ceil(F.col("n") / F.lit(block)).cast("int").alias("_b"))
-    b = F.coalesce(F.col("_b"), F.lit(1))
-    own = F.pmod(hash_col, b).cast("int")
-    one = F.array(F.lit(0))
-    all_ = F.when(b > 1, F.sequence(F.lit(0), b - 1)).otherwise(one)
+    def blocks(n: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / F.lit(block)), F.lit(1)).cast("int")
+
+    s = sizes.select(*keys, blocks("n_entry").alias("_a"), blocks("n_ask").alias("_b"))
+    a, b = F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(1))
+    own = F.pmod(hash_col, F.when(is_index, a).otherwise(b)).cast("int")
+    others = F.when(is_index, b).otherwise(a)
     return (rows.join(s, keys, "left")
             .withColumn("_own", own)
-            .withColumn("_all", all_)
-            .withColumn("_other", F.explode("_all"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
             .withColumn("ci", F.when(is_index, F.col("_own")).otherwise(F.col("_other")))
             .withColumn("cj", F.when(is_index, F.col("_other")).otherwise(F.col("_own")))
-            .drop("_b", "_own", "_all", "_other"))
+            .drop("_a", "_b", "_own", "_other"))

@@ -41,5 +41,6 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         scratch.drop(e)
         e = nxt
         if tuple(now) == state or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            own = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
         state = tuple(now)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskstream.llm import byte_bpe, packing, simhash, url_filter
-from riskstream.llm.common import read_table
+from riskstream.llm import (ann, byte_bpe, chat, embedding_dedup, line_dedup, packing, quality, simhash, toxicity,
+                            url_filter)
+from riskstream.llm.common import crc_mod, read_table
 from riskstream.llm.oracle import ORACLE  # noqa: F401  (re-exported)
 
 
@@ -15,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    n, held = quality.HOLD_OUT
+    return (quality.score(docs, crf)
+            .select("doc_id", (crc_mod("doc_id", n) == held).alias("held_out"), "score", "predicted"))
+
+
 def op2_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -26,18 +35,43 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                            vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup(spark, docs)
+    return out.select("doc_id", F.coalesce(F.size("lines_dropped"), F.lit(0)).alias("n_dropped"),
+                      F.array_join("lines_dropped", ",").alias("dropped"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark, read_table(spark, sf_dir, "conversations"))
+
+
+def op7_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    n, held = toxicity.HOLD_OUT
+    return (toxicity.score(docs, model)
+            .select("doc_id", (crc_mod("doc_id", n) == held).alias("held_out"), "score", "predicted"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {
-    "op2_simhash_mih": op2_simhash_mih,
-    "op3_byte_bpe": op3_byte_bpe,
-    "op5_url_filter": op5_url_filter,
-    "op10_packing": op10_packing,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_crf, op2_simhash_mih, op3_byte_bpe, op4_line_dedup, op5_url_filter, op6_chat_repair, op7_ann_mih,
+    op8_toxicity, op9_embedding_dedup, op10_packing)}

@@ -59,13 +59,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of each row."""
+    """doc_id, text_hash, fp (the fingerprint's bits as a signed long) of each
+    row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], "u8").view("i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fp})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+            .mapInPandas(run, f"doc_id {kind}, text_hash long, fp long"))
 
 
 def _segment(fp: Column, s: int, width: int) -> Column:
@@ -140,7 +142,7 @@ def links(spark: SparkSession, fps: DataFrame, max_bits: int = MAX_BITS, segment
              .groupBy("x.s", "x.k").count().where(F.col("count") > BLOCK // 8))
     around = F.concat(F.array(F.lit(0).cast("long")), ball)
     sizes = (large.select("s", F.explode(F.transform(around, lambda m: F.col("k").bitwiseXOR(m))).alias("k"), "count")
-             .groupBy("s", "k").agg(F.sum("count").alias("n")))
+             .groupBy("s", "k").agg(F.sum("count").alias("n_entry"), F.sum("count").alias("n_ask")))
     sizes = Scratch(spark, "simhash").write(sizes, "large")
     cells = salted_cells(rows, ["s", "k"], F.col("entry"), F.xxhash64("fp"), sizes, BLOCK)
 
@@ -185,8 +187,8 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links, the
-    row's own included. A row for each input row; null, empty and wordless
+    """doc_id, text_hash, fp, component_id: the smallest doc_id reachable over
+    links, the row's own included. A row for each input row; null, empty and wordless
     texts have fingerprint 0 and link like any other. A null doc_id forms no
     name: a component of such rows alone has a null component_id. An empty
     table gives an empty result."""
@@ -197,7 +199,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     rooted = own.join(comp, own["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = scratch.write(rooted.join(low, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -206,8 +208,10 @@ def hex_digits(fp: Column) -> Column:
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component: one document
-    of each group, all of its columns. Repeated doc_ids all stay; rows without
-    a doc_id stay only where their whole component has none."""
+    of each group, all of its columns. Rows equal in doc_id and text count as
+    one document; rows without a doc_id stay only where their whole component
+    has none."""
     found = near_duplicates(spark, docs, shingle, max_bits)
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
+    drop = (found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("doc_id").alias("_drop"), F.col("text_hash").alias("_hash")).distinct())
+    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_drop")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
