@@ -16,9 +16,9 @@ symbols from left to right, each rewriting what the one before it wrote:
 Their composition is built once, state by state, and is what runs. A clause is
 scored by its matches, so a word counts by what stands around it.
 
-The insult vocabulary is learned from labelled documents: words, and stems at
-the front of words, whose rate in toxic documents exceeds that in others
-beyond chance. A logistic model over a document's matches (number and density
+The insult vocabulary is a short list of common ones and what is learned from
+labelled documents: words, and stems at the front of words, whose rate in
+toxic documents exceeds that in others beyond chance. A logistic model over a document's matches (number and density
 by kind) gives the score. Training reads at most ``TRAIN_DOCS`` labelled
 documents; scoring is a map over the rows.
 """
@@ -43,7 +43,7 @@ TRAIN_CHARS = 16_000_000   # of the sample; documents beyond it are left out of
 HOLD_OUT = (4, 2)          # crc32 of the id's text mod 4 = 2 is held out
 CUT = 0.3
 STEMS = 64                 # most entries of the learned vocabulary
-MIN_GAIN = 40.0            # log-likelihood ratio an entry must reach
+MIN_GAIN = 25.0            # log-likelihood ratio an entry must reach
 MIN_RATIO = 4.0            # times the rate in other documents
 
 # Closed-class words of the grammar.
@@ -53,6 +53,9 @@ NEGATIONS = frozenset("not no never neither nor without isn't aren't wasn't don'
                       "nicht kein keine nie pas jamais ni nunca jamás sin".split())
 REPORTS = frozenset("said says say called calls quoted quotes reported reports wrote writes claimed alleged "
                     "sagte sagt nannte schrieb dit disait appelé dijo dice llamó escribió".split())
+INSULTS = frozenset("idiot idiots idiotic moron morons moronic stupid dumb fool fools imbecile loser losers scum trash "
+                    "worthless pathetic disgusting clown clowns jerk bastard dumbass scumbag "
+                    "idiota idioten dummkopf abschaum connard imbécile estúpido imbécil basura".split())
 THREATS = frozenset("kill killing murder hurt destroy stab shoot strangle hang beat burn "
                     "töten umbringen tuer frapper matar golpear".split())
 
@@ -127,7 +130,7 @@ class Model:
 
     def symbol(self, chunk: str) -> int:
         word = _CORE.sub("", chunk)
-        if word in self.words or any(word.startswith(s) for s in self.stems):
+        if word in self.words or word in INSULTS or any(word.startswith(s) for s in self.stems):
             return INSULT
         return (THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS
                 else REPORT if word in REPORTS else OTHER)
