@@ -30,7 +30,7 @@ from riskstream.llm.common import shared_dir
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 LEGAL = frozenset({(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)})
-RELABEL = 1.0
+RELABEL = 2.0
 RELABEL_UNKNOWN = 0.25    # a null role or one that is none of the three
 MERGE = 0.4
 INSERT = 0.75
@@ -133,42 +133,39 @@ def repair(roles: list, texts: list, begin: int = START, end: int | None = None,
     return out
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, object, pd.DataFrame]]:
+_ROWS = 4_096      # that are repaired before they are handed on
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, object, list[tuple]]]:
     """(number, conv_id, rows) of each conversation in a sorted partition;
     null ids are one conversation."""
-    held, number = [], 0
+    held, number, own = [], 0, None
     for b in batches:
-        if not len(b):
-            continue
-        ids = b["conv_id"]
-        change = ~((ids == ids.shift()) | (ids.isna() & ids.shift().isna())).to_numpy()
-        change[0] = True
-        cut = np.append(np.flatnonzero(change), len(b))
-        for x, y in zip(cut[:-1], cut[1:]):
-            part = b.iloc[x:y]
-            a, c = (held[0]["conv_id"].iloc[0] if held else None), part["conv_id"].iloc[0]
-            if held and not (a == c or (pd.isna(a) and pd.isna(c))):
-                yield number, a, pd.concat(held)
+        ids = b["conv_id"].astype(object).where(b["conv_id"].notna(), None)
+        for conv, *row in zip(ids, *[b[c] for c in b.columns if c != "conv_id"]):
+            if held and conv != own:
+                yield number, own, held
                 held, number = [], number + 1
-            held.append(part)
+            own = conv
+            held.append(row)
     if held:
-        yield number, held[0]["conv_id"].iloc[0], pd.concat(held)
+        yield number, own, held
 
 
 def _borders(ordered: DataFrame) -> list:
     """The first and last conversation of each partition: (pid, number, id,
-    count of conversations, matrix)."""
+    matrix)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, out, last = TaskContext.get().partitionId(), [], None
-        for number, conv, t in _pieces(batches):
-            item = (pid, number, None if pd.isna(conv) else str(conv), matrix([_known(r) for r in t["role"]]).ravel().tolist())
+        for number, conv, rows in _pieces(batches):
+            last = (pid, number, conv, rows)
             if number == 0:
-                out.append(item)
-            last = item
+                out.append(last)
         if last is not None and last[1] > 0:
             out.append(last)
         if out:
-            yield pd.DataFrame(out, columns=["pid", "number", "conv", "costs"])
+            yield pd.DataFrame([(p, n, None if c is None else str(c), matrix([_known(r) for r, in rows]).ravel().tolist())
+                                for p, n, c, rows in out], columns=["pid", "number", "conv", "costs"])
     got = ordered.select("conv_id", "role").mapInPandas(run, "pid int, number int, conv string, costs array<double>")
     return sorted(got.collect(), key=lambda r: (r["pid"], r["number"]))
 
@@ -214,13 +211,17 @@ def format_chats(spark: SparkSession, turns: DataFrame) -> DataFrame:
     ends = _ends(_borders(ordered))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        for number, _, t in _pieces(batches):
+        pid, out = TaskContext.get().partitionId(), []
+        for number, conv, rows in _pieces(batches):
             begin, end, last = ends.get((pid, number), (START, None, True))
-            found = repair(t["role"].tolist(), t["text"].tolist(), begin, end, last)
-            new = pd.DataFrame(found, columns=["new_role", "action", "inserted", "cost", "rendered"], index=t.index)
-            yield pd.concat([t[["conv_id", "turn", "role"]], new], axis=1)
-
+            found = repair([r for _, r, _ in rows], [x for *_, x in rows], begin, end, last)
+            out += [(conv, turn, role, *new) for (turn, role, _), new in zip(rows, found)]
+            if len(out) >= _ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    names = ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "rendered"]
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
     return ordered.mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, new_role string, "
                                     "action string, inserted string, cost double, rendered string")
