@@ -75,14 +75,19 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class GBTParams:
-    """Boosted-tree settings (reference defaults)."""
+    """Boosted-tree settings.
+
+    FIXED VALUES: rounds, depth, step, sampling and rows per leaf. The minimum
+    gain is not one of them: a summed loss reduction elsewhere, it is an
+    impurity per node in Spark, where rare positives never reach 0.1.
+    """
     max_iter: int = 200
     max_depth: int = 6
     step_size: float = 0.1
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
     min_instances_per_node: int = 3
-    min_info_gain: float = 0.1
+    min_info_gain: float = 0.0
     seed: int = 42
 
 

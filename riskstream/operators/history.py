@@ -3,7 +3,8 @@
 Conventions: ``us`` = epoch microseconds; per-user order ``(us,
 transaction_id)``; "prior" = strictly earlier ``us`` for RANGE frames and the
 preceding row for ROWS frames. All per-key windows run through the skew-safe
-plans in ``plans.chunked`` (a hot key is split by event-time chunk).
+plans in ``plans.chunked``: one plan for every key, cut into chunks of event
+time. Rows without a key are one key; ids may repeat.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..config import DAY_US, DEFAULT, HOUR_US, WEEK_US, Thresholds
 from ..functions.geo import haversine_km, impossible_travel, travel_speed_kmh
 from ..functions.scalar import amount_log, amount_zscore, temporal_features, velocity_score
-from ..plans.chunked import (CHUNK, HALO, HOME, global_lag, halo_expand, prefix_aggregate,
-                             prior_moments)
+from ..plans.chunked import (CHUNK, HALO, HOME, KEY, global_lag, join_windows, prefix_aggregate, prior_moments,
+                             window_aggregates, with_chunks)
 
 USER, ID, TS = "user_id", "transaction_id", "us"
 
@@ -28,118 +29,36 @@ def _keep_home(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HOME, HALO)
 
 
-# "adaptive": keys with more than HOT_KEY_ROWS rows take the halo-free
-# prefix plan (a task holds one key-hour), all others the faster halo plan;
-# "prefix" / "halo" force one plan for every key.
-PASS_METHOD = "adaptive"
-PREFIX_CHUNK_US = HOUR_US
-HOT_KEY_ROWS = 2_000_000
-
-
-def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> list:
-    """Keys with more than ``limit`` rows (a partial-aggregated count; at
-    most rows / limit keys come back to the driver)."""
-    limit = HOT_KEY_ROWS if limit is None else limit
-    c = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    return [r[key] for r in c.select(key).collect()]
-
-
-def _user_pass(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | None) -> DataFrame:
-    if velocity and t.history_ttl_us:
-        return _user_pass_halo(df, t, velocity, chunk_us)
-    if PASS_METHOD == "prefix":
-        return _user_pass_prefix(df, t, velocity)
-    if PASS_METHOD == "halo":
-        return _user_pass_halo(df, t, velocity, chunk_us)
-    hot = hot_keys(df, USER)
-    if not hot:
-        return _user_pass_halo(df, t, velocity, chunk_us)
-    is_hot = F.col(USER).isin(hot)
-    a = _user_pass_prefix(df.filter(is_hot), t, velocity)
-    b = _user_pass_halo(df.filter(~is_hot), t, velocity, chunk_us)
-    return a.unionByName(b.select(*a.columns))
-
-
-def _user_pass_prefix(df: DataFrame, t: Thresholds, velocity: bool) -> DataFrame:
-    """Halo-free user pass: previous row by chunk-carry lag, trailing
-    windows by differences of running totals (``window_aggregates``).
-    Adds ``_prev_us/_prev_lat/_prev_lon`` and ``_chunk`` (hour chunks)."""
-    from ..plans.chunked import chunk_of, window_aggregates
-    d = df
-    if velocity:
-        d = window_aggregates(d, [USER], TS, ID,
-                              {"txn_count_1h": HOUR_US, "txn_count_24h": DAY_US, "txn_count_7d": WEEK_US},
-                              {"total_amount_24h": ("amount", DAY_US)}, chunk_us=PREFIX_CHUNK_US)
-    d = global_lag(d.withColumnRenamed("latitude", "_lat0").withColumnRenamed("longitude", "_lon0"),
-                   [USER], TS, ["_lat0", "_lon0"], tiebreak=[ID], prefix="_p_", chunk_us=PREFIX_CHUNK_US)
-    ttl = t.profile_ttl_us
+def _user_pass(df: DataFrame, t: Thresholds) -> DataFrame:
+    """Previous row of each user within the TTL.
+
+    Adds ``_prev_us/_prev_lat/_prev_lon`` (null when there is none) and keeps
+    ``_key`` and ``_chunk`` for the steps that follow on the same partitioning.
+    """
+    d = with_chunks(df.withColumnRenamed("latitude", "_lat0").withColumnRenamed("longitude", "_lon0"), USER, TS)
+    d = global_lag(d, [KEY], TS, ["_lat0", "_lon0"], tiebreak=[ID], prefix="_p_")
     has = F.col("_p_us").isNotNull()
-    if ttl is not None:
-        has = has & ((F.col(TS) - F.col("_p_us")) < F.lit(ttl))
+    if t.profile_ttl_us is not None:
+        has = has & ((F.col(TS) - F.col("_p_us")) < F.lit(t.profile_ttl_us))
     keep = [F.col(c) for c in d.columns if not c.startswith("_p_") and c not in ("_lat0", "_lon0")]
     return d.select(*keep, F.col("_lat0").alias("latitude"), F.col("_lon0").alias("longitude"),
                     F.when(has, F.col("_p_us")).alias("_prev_us"),
                     F.when(has, F.col("_p__lat0")).alias("_prev_lat"),
-                    F.when(has, F.col("_p__lon0")).alias("_prev_lon"),
-                    chunk_of(F.col(TS), PREFIX_CHUNK_US).alias(CHUNK))
-
-
-def _user_pass_halo(df: DataFrame, t: Thresholds, velocity: bool, chunk_us: int | None) -> DataFrame:
-    """One halo pass over (user, chunk): previous row within the TTL and,
-    optionally, the trailing 1 h / 24 h / 7 d velocity windows.
-
-    Adds ``_prev_us/_prev_lat/_prev_lon`` (null when there is no previous
-    row within the TTL) and keeps ``_chunk``.
-    """
-    ttl = t.profile_ttl_us
-    look = max(ttl or 0, WEEK_US if velocity else 0, HOUR_US)
-    chunk_us = chunk_us or max(look, DAY_US)
-    d = halo_expand(df, TS, look, chunk_us)
-    w = Window.partitionBy(USER, CHUNK).orderBy(TS, ID)
-    prev = F.lag(F.struct(F.col(TS).alias("us"), F.col("latitude").alias("lat"),
-                          F.col("longitude").alias("lon")), 1).over(w)
-    extra = [prev.alias("_prev")]
-    if velocity:
-        def rng(lo):
-            return Window.partitionBy(USER, CHUNK).orderBy(TS).rangeBetween(-lo, -1)
-        extra += [F.count(F.lit(1)).over(rng(HOUR_US)).alias("txn_count_1h"),
-                  F.count(F.lit(1)).over(rng(DAY_US)).alias("txn_count_24h"),
-                  F.count(F.lit(1)).over(rng(WEEK_US)).alias("txn_count_7d"),
-                  F.coalesce(F.sum("amount").over(rng(DAY_US)), F.lit(0.0)).alias("total_amount_24h")]
-    d = d.select("*", *extra)
-    if velocity:
-        if t.history_ttl_us:
-            # F5 literal: the history set is trimmed at each record, so "7 d"
-            # is the size of the set (t_prev - ttl, t_prev] seen at t_prev.
-            h = t.history_ttl_us
-            incl = Window.partitionBy(USER, CHUNK).orderBy(TS).rangeBetween(-(h - 1), 0)
-            d = d.withColumn("_set_size", F.count(F.lit(1)).over(incl))
-            d = d.withColumn("_set_prev", F.lag("_set_size", 1).over(w))
-    d = _keep_home(d)
-    if ttl is None:
-        # lifetime: previous row at any distance
-        d = d.drop("_prev")
-        d = global_lag(d.withColumnRenamed("latitude", "lat").withColumnRenamed("longitude", "lon"),
-                       [USER], TS, ["lat", "lon"], tiebreak=[ID], prefix="_p_",
-                       chunk_us=chunk_us)
-        d = (d.withColumnRenamed("lat", "latitude").withColumnRenamed("lon", "longitude")
-              .withColumn("_prev", F.when(F.col("_p_us").isNotNull(),
-                                          F.struct(F.col("_p_us").alias("us"),
-                                                   F.col("_p_lat").alias("lat"),
-                                                   F.col("_p_lon").alias("lon"))))
-              .drop("_p_us", "_p_lat", "_p_lon"))
-        has = F.col("_prev").isNotNull()
-    else:
-        has = F.col("_prev").isNotNull() & ((F.col(TS) - F.col("_prev.us")) < F.lit(ttl))
-    d = d.select(*[F.col(c) for c in d.columns if c != "_prev"],
-                 F.when(has, F.col("_prev.us")).alias("_prev_us"),
-                 F.when(has, F.col("_prev.lat")).alias("_prev_lat"),
-                 F.when(has, F.col("_prev.lon")).alias("_prev_lon"))
-    if velocity and t.history_ttl_us:
-        d = (d.withColumn("txn_count_7d",
-                          F.when(F.col("_prev_us").isNotNull(), F.col("_set_prev")).otherwise(F.lit(0))
-                          .cast("long"))
-              .drop("_set_size", "_set_prev"))
+                    F.when(has, F.col("_p__lon0")).alias("_prev_lon"))
+
+
+def _velocity(d: DataFrame, df: DataFrame, t: Thresholds) -> DataFrame:
+    """The trailing 1 h / 24 h / 7 d windows of ``df`` at the rows of ``d``
+    (which came through ``_user_pass``)."""
+    counts = {"txn_count_1h": (HOUR_US, 0), "txn_count_24h": (DAY_US, 0), "txn_count_7d": (WEEK_US, 0)}
+    src = df.select(USER, TS, "amount")
+    d = join_windows(d, USER, TS, window_aggregates(src, USER, TS, counts, {"total_amount_24h": (F.col("amount"), DAY_US, 0)}))
+    if t.history_ttl_us:
+        # F5 literal: the history set is trimmed at each record, so "7 d" is
+        # the size of the set (t_prev - ttl, t_prev] as it was at t_prev.
+        held = window_aggregates(src, USER, TS, {"_set_size": (t.history_ttl_us - 1, 1)})
+        d = join_windows(d, USER, "_prev_us", held)
+        d = d.withColumn("txn_count_7d", F.coalesce("_set_size", F.lit(0)).cast("long")).drop("_set_size")
     return d
 
 
@@ -156,15 +75,13 @@ def _last_cols(t: Thresholds) -> list[Column]:
              .alias("is_impossible_travel")]
 
 
-def _profile(d: DataFrame, t: Thresholds, chunk_us: int) -> DataFrame:
+def _profile(d: DataFrame) -> DataFrame:
     """D3 on a frame that went through ``_user_pass`` (has ``_prev_us``,
-    ``_chunk``): running profile of the current gap session, before the row."""
+    ``_key``, ``_chunk``): running profile of the current gap session, before the row."""
     reset = F.col("_prev_us").isNull()
-    d = prefix_aggregate(d, [USER], TS, [("_sess", F.when(reset, F.col(TS)), "max")],
-                         tiebreak=[ID], frame="rows", include_current=True,
-                         chunk_us=chunk_us)
-    d = prior_moments(d, [USER, "_sess"], TS, "amount", tiebreak=[ID], prefix="_pm",
-                      chunk_us=chunk_us)
+    d = prefix_aggregate(d, [KEY], TS, [("_sess", F.when(reset, F.col(TS)), "max")],
+                         tiebreak=[ID], frame="rows", include_current=True)
+    d = prior_moments(d, [KEY, "_sess"], TS, "amount", tiebreak=[ID], prefix="_pm")
     n = F.col("_pm_n")
     std = F.when(n > 1, F.sqrt(F.try_divide(F.col("_pm_m2"), n.cast("double")))).otherwise(F.lit(0.0))
     keep = [F.col(c) for c in d.columns if c not in ("_pm_n", "_pm_mean", "_pm_m2")]
@@ -175,11 +92,6 @@ def _profile(d: DataFrame, t: Thresholds, chunk_us: int) -> DataFrame:
                     F.when(n > 0, F.col("_prev_us")).otherwise(F.col(TS)).alias("last_seen_us"))
 
 
-def _chunk_for(t: Thresholds, velocity: bool) -> int:
-    look = max(t.profile_ttl_us or 0, WEEK_US if velocity else 0, HOUR_US)
-    return max(look, DAY_US)
-
-
 def _finish(d: DataFrame, cols: list[str]) -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith("_")]).select(*cols) if cols else \
         d.drop(*[c for c in d.columns if c.startswith("_")])
@@ -189,156 +101,140 @@ def _finish(d: DataFrame, cols: list[str]) -> DataFrame:
 # Public operators
 # ---------------------------------------------------------------------------
 
-def last_txn_features(df: DataFrame, t: Thresholds = DEFAULT,
-                      chunk_us: int | None = None) -> DataFrame:
+def last_txn_features(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Previous transaction of the user within the TTL (as-of)."""
-    d = _user_pass(df, t, velocity=False, chunk_us=chunk_us)
+    d = _user_pass(df, t)
     return _finish(d.select("*", *_last_cols(t)), [])
 
 
-def velocity_windows(df: DataFrame, t: Thresholds = DEFAULT,
-                     chunk_us: int | None = None) -> DataFrame:
+def velocity_windows(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """D2 (and D2b when ``t.history_ttl_us`` is set): prior counts in the
     trailing 1 h / 24 h / 7 d and prior amount in 24 h."""
-    d = _user_pass(df, t, velocity=True, chunk_us=chunk_us)
-    return _finish(d, [])
+    return _finish(_velocity(_user_pass(df, t), df, t), [])
 
 
-def velocity_windows_ttl(df: DataFrame, t: Thresholds = DEFAULT,
-                         chunk_us: int | None = None) -> DataFrame:
+def velocity_windows_ttl(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Literal reading where the history set is trimmed to 24 h."""
     from dataclasses import replace
-    return velocity_windows(df, replace(t, history_ttl_us=DAY_US), chunk_us)
+    return velocity_windows(df, replace(t, history_ttl_us=DAY_US))
 
 
-def user_profile_running(df: DataFrame, t: Thresholds = DEFAULT,
-                         chunk_us: int | None = None) -> DataFrame:
+def user_profile_running(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """D3: count, mean, population std, first/last seen before the row,
     restarting after a gap of at least the profile TTL."""
-    c = chunk_us or _chunk_for(t, False)
-    d = _user_pass(df, t, velocity=False, chunk_us=c)
-    return _finish(_profile(d, t, c), [])
+    return _finish(_profile(_user_pass(df, t)), [])
 
 
-def user_profile_snapshot(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def user_profile_snapshot(df: DataFrame, t: Thresholds = DEFAULT,
+                          scores: DataFrame | None = None) -> DataFrame:
     """The profile after each user's last transaction (one row per user).
 
     Aggregates the last session only; ``max_by`` keeps the groupBy
-    partial-aggregated, so a hot user never lands whole in one task.
+    partial-aggregated, so a hot user never lands whole in one task. With
+    ``scores`` (transaction_id, fraud_probability), ``fraud_count`` has the
+    session's transactions scored at the critical threshold or above; without
+    it none are.
     """
-    c = _chunk_for(t, False)
-    d = _user_pass(df.select(USER, ID, TS, "amount", "latitude", "longitude"), t,
-                   velocity=False, chunk_us=c)
-    d = prefix_aggregate(d, [USER], TS, [("_sess", F.when(F.col("_prev_us").isNull(), F.col(TS)), "max")],
-                         tiebreak=[ID], include_current=True, chunk_us=c)
-    last_sess = d.groupBy(USER).agg(F.max("_sess").alias("_last_sess"))
-    cur = d.join(last_sess, USER).filter(F.col("_sess") == F.col("_last_sess"))
+    src = df.select(USER, ID, TS, "amount", "latitude", "longitude")
+    if scores is not None:
+        src = _with_scores(src, scores)
+    else:
+        src = src.withColumn("fraud_probability", F.lit(None).cast("double"))
+    d = _user_pass(src, t)
+    d = prefix_aggregate(d, [KEY], TS, [("_sess", F.when(F.col("_prev_us").isNull(), F.col(TS)), "max")],
+                         tiebreak=[ID], include_current=True)
+    last_sess = d.groupBy(KEY).agg(F.max("_sess").alias("_last_sess"))
+    cur = d.join(last_sess, KEY).filter(F.col("_sess") == F.col("_last_sess"))
     return cur.groupBy(USER).agg(
         F.count(F.lit(1)).alias("txn_count_total"),
         F.avg("amount").alias("avg_amount"),
         F.coalesce(F.stddev_pop("amount"), F.lit(0.0)).alias("std_amount"),
         (F.coalesce(F.var_pop("amount"), F.lit(0.0)) * F.count(F.lit(1))).alias("m2"),
         F.min(TS).alias("first_seen_us"),
-        F.max(TS).alias("last_seen_us"))
-
-
-def merchant_txn_count_24h(df: DataFrame, window_us: int = DAY_US, keep_chunk: bool = False) -> DataFrame:
-    """Prior transactions of the merchant in the trailing 24 h.
-
-    ``keep_chunk`` keeps the (merchant, day) chunk column so that a
-    following merchant prefix pass reuses the same partitioning."""
-    hot = [] if PASS_METHOD == "halo" else (None if PASS_METHOD == "prefix" else hot_keys(df, "merchant_id"))
-    if hot is None or hot:
-        from ..plans.chunked import window_aggregates
-        src = df if hot is None else df.filter(F.col("merchant_id").isin(hot))
-        d = window_aggregates(src, ["merchant_id"], TS, ID, {"merchant_txn_count_24h": window_us},
-                              chunk_us=PREFIX_CHUNK_US)
-        if hot is not None:
-            rest = merchant_txn_count_24h(df.filter(~F.col("merchant_id").isin(hot)), window_us, keep_chunk=False)
-            d = _finish(d, []).unionByName(rest)
-            return d
-        return d if keep_chunk else _finish(d, [])
-    d = halo_expand(df, TS, window_us, DAY_US)
-    w = Window.partitionBy("merchant_id", CHUNK).orderBy(TS).rangeBetween(-window_us, -1)
-    d = _keep_home(d.select("*", F.count(F.lit(1)).over(w).alias("merchant_txn_count_24h")))
-    return d if keep_chunk else _finish(d, [])
+        F.max(TS).alias("last_seen_us"),
+        F.sum(_critical(t)).alias("fraud_count"))
+
+
+def _critical(t: Thresholds, p_col: str = "fraud_probability") -> Column:
+    return F.when(F.col(p_col) >= t.critical, 1).otherwise(0).cast("long")
+
+
+def _with_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """Left join of the scores; an id scored more than once counts with its
+    highest score, so no row is multiplied."""
+    s = scores.groupBy(ID).agg(F.max("fraud_probability").alias("fraud_probability"))
+    return df.drop("fraud_probability").join(s, ID, "left")
+
+
+def merchant_txn_count_24h(df: DataFrame, window_us: int = DAY_US) -> DataFrame:
+    """Prior transactions of the merchant in the trailing 24 h."""
+    w = window_aggregates(df.select("merchant_id", TS), "merchant_id", TS, {"merchant_txn_count_24h": (window_us, 0)})
+    return join_windows(df, "merchant_id", TS, w)
+
+
+def _merchant_risk(label: str) -> dict:
+    known = F.when(F.col(label).isNotNull(), 1).otherwise(0)
+    return {"_mf": (F.col(label).cast("long"), None, 0), "_mc": (known, None, 0)}
+
+
+def _risk_share(d: DataFrame) -> DataFrame:
+    share = F.when(F.col("_mc") > 0, F.try_divide(F.col("_mf"), F.col("_mc"))).otherwise(F.lit(0.5))
+    return d.withColumn("merchant_risk_score", share).drop("_mf", "_mc")
 
 
 def merchant_risk_prior(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """Fraud share of the merchant's strictly earlier rows, 0.5 if none."""
-    d = prefix_aggregate(df, ["merchant_id"], TS,
-                         [("_mf", F.col(label).cast("long"), "sum"),
-                          ("_mc", F.when(F.col(label).isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"),
-                           "sum")],
-                         frame="range")
-    d = d.withColumn("merchant_risk_score",
-                     F.when(F.col("_mc") > 0, F.try_divide(F.col("_mf").cast("double"), F.col("_mc")))
-                      .otherwise(F.lit(0.5)))
-    return _finish(d, [])
+    w = window_aggregates(df.select("merchant_id", TS, label), "merchant_id", TS, {}, _merchant_risk(label))
+    return _risk_share(join_windows(df, "merchant_id", TS, w))
 
 
 def user_fraud_history(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """The user's labelled frauds before this row (cumsum minus own)."""
-    d = prefix_aggregate(df, [USER], TS, [("user_fraud_history", F.col(label).cast("long"), "sum")],
-                         tiebreak=[ID], frame="rows")
-    return d
+    d = prefix_aggregate(with_chunks(df, USER, TS), [KEY], TS,
+                         [("user_fraud_history", F.col(label).cast("long"), "sum")], tiebreak=[ID], frame="rows")
+    return d.drop(KEY, CHUNK)
 
 
 def user_fraud_history_scored(scored: DataFrame, t: Thresholds = DEFAULT,
                               user: str = USER, id_col: str = ID,
                               p_col: str = "fraud_probability") -> DataFrame:
     """Prior scores >= the critical threshold in the same gap session."""
-    ttl = t.profile_ttl_us
-    d = scored
-    if ttl is not None:
-        d = halo_expand(d, TS, ttl, max(ttl, DAY_US))
-        w = Window.partitionBy(user, CHUNK).orderBy(TS, id_col)
-        pu = F.lag(TS, 1).over(w)
-        d = d.withColumn("_reset", pu.isNull() | ((F.col(TS) - pu) >= F.lit(ttl)))
-        d = _keep_home(d).drop(CHUNK)
-        d = prefix_aggregate(d, [user], TS, [("_sess", F.when(F.col("_reset"), F.col(TS)), "max")],
+    d = with_chunks(scored, user, TS)
+    keys = [KEY]
+    if t.profile_ttl_us is not None:
+        d = global_lag(d, [KEY], TS, [], tiebreak=[id_col], prefix="_p_")
+        reset = F.col("_p_us").isNull() | ((F.col(TS) - F.col("_p_us")) >= F.lit(t.profile_ttl_us))
+        d = prefix_aggregate(d, [KEY], TS, [("_sess", F.when(reset, F.col(TS)), "max")],
                              tiebreak=[id_col], include_current=True)
-        keys = [user, "_sess"]
-    else:
-        keys = [user]
-    d = prefix_aggregate(d, keys, TS,
-                         [("user_fraud_history_count",
-                           F.when(F.col(p_col) >= t.critical, 1).otherwise(0).cast("long"), "sum")],
+        keys = [KEY, "_sess"]
+    d = prefix_aggregate(d, keys, TS, [("user_fraud_history_count", _critical(t, p_col), "sum")],
                          tiebreak=[id_col], frame="rows")
-    return d.drop("_reset", "_sess")
+    return d.drop("_sess", "_p_us", KEY, CHUNK)
 
 
 def point_in_time_features(df: DataFrame, t: Thresholds = DEFAULT,
                            scores: DataFrame | None = None,
-                           label: str | None = "is_fraud",
-                           chunk_us: int | None = None) -> DataFrame:
+                           label: str | None = "is_fraud") -> DataFrame:
     """The full 21-field feature row, each value as of just before the
-    transaction. User windows share one (user, chunk) exchange.
+    transaction. The user steps share one (user, chunk) exchange.
 
     ``scores`` (transaction_id, fraud_probability) feeds D8b; without it the
-    count is 0, which is exact in rules mode (rule scores never reach 0.85).
+    count is 0.
     """
-    c = chunk_us or _chunk_for(t, True)
-    d = _user_pass(df, t, velocity=True, chunk_us=c)
-    d = d.select("*", *_last_cols(t))
-    d = _profile(d, t, c)
+    d = _user_pass(_with_scores(df, scores) if scores is not None else df, t)
+    d = _profile(d.select("*", *_last_cols(t)))
     if scores is not None:
-        s = scores.select(ID, "fraud_probability")
-        d = d.join(s, ID, "left")
-        d = prefix_aggregate(d, [USER, "_sess"], TS,
-                             [("user_fraud_history_count",
-                               F.when(F.col("fraud_probability") >= t.critical, 1).otherwise(0).cast("long"),
-                               "sum")], tiebreak=[ID], chunk_us=c).drop("fraud_probability")
+        d = prefix_aggregate(d, [KEY, "_sess"], TS, [("user_fraud_history_count", _critical(t), "sum")],
+                             tiebreak=[ID]).drop("fraud_probability")
     else:
         d = d.withColumn("user_fraud_history_count", F.lit(0).cast("long"))
-    d = _finish(d, [])
-    # merchant side: one (merchant, day) partitioning for D9 and D7b
-    d = merchant_txn_count_24h(d, keep_chunk=True)
-    if label and label in df.columns:
-        d = merchant_risk_prior(d, label)
-    else:
-        d = d.withColumn("merchant_risk_score", F.lit(0.5))
-    d = _finish(d, [])
+    d = _finish(_velocity(d, df, t), [])
+    # both merchant features come from one pass over (merchant, time)
+    known = bool(label) and label in df.columns
+    src = df.select("merchant_id", TS, *([label] if known else []))
+    d = join_windows(d, "merchant_id", TS, window_aggregates(
+        src, "merchant_id", TS, {"merchant_txn_count_24h": (DAY_US, 0)}, _merchant_risk(label) if known else {}))
+    d = _risk_share(d) if known else d.withColumn("merchant_risk_score", F.lit(0.5))
     tf = temporal_features(TS)
     return d.select("*", amount_log("amount").alias("amount_log"),
                     amount_zscore("amount", "user_avg_amount", "user_std_amount").alias("amount_zscore"),
@@ -354,8 +250,8 @@ def point_in_time_features(df: DataFrame, t: Thresholds = DEFAULT,
 
 def _row_index(df: DataFrame) -> DataFrame:
     """0-based position of the row in its user's (us, id) order."""
-    return prefix_aggregate(df, [USER], TS, [("_idx", F.lit(1).cast("long"), "sum")],
-                            tiebreak=[ID], frame="rows")
+    return prefix_aggregate(with_chunks(df, USER, TS), [KEY], TS, [("_idx", F.lit(1).cast("long"), "sum")],
+                            tiebreak=[ID], frame="rows").drop(CHUNK)
 
 
 def rolling_rows_features(df: DataFrame, sum_rows: int = 50) -> DataFrame:
@@ -369,7 +265,7 @@ def rolling_rows_features(df: DataFrame, sum_rows: int = 50) -> DataFrame:
     d = (d.withColumn(HOME, home)
           .withColumn(CHUNK, F.explode(F.sequence(home, last)))
           .withColumn(HALO, F.col(CHUNK) != F.col(HOME)))
-    w = Window.partitionBy(USER, CHUNK).orderBy("_idx").rowsBetween(-look, 0)
+    w = Window.partitionBy(KEY, CHUNK).orderBy("_idx").rowsBetween(-look, 0)
     d = d.withColumn("total_amount_24h", F.sum("amount").over(w))
     d = _keep_home(d)
     n = F.col("_idx") + 1
@@ -394,7 +290,7 @@ def user_stats_join(df: DataFrame) -> DataFrame:
 def consecutive_travel(df: DataFrame) -> DataFrame:
     """Distance and time to the previous row (no TTL); training speed
     uses a constant 3600 s step (literal), impossible = speed > 1200."""
-    d = global_lag(df, [USER], TS, ["latitude", "longitude"], tiebreak=[ID], prefix="_p_")
+    d = global_lag(with_chunks(df, USER, TS), [KEY], TS, ["latitude", "longitude"], tiebreak=[ID], prefix="_p_")
     has = F.col("_p_us").isNotNull()
     dist = F.when(has, haversine_km("_p_latitude", "_p_longitude", "latitude", "longitude")) \
             .otherwise(F.lit(0.0))
@@ -434,25 +330,23 @@ def asof_last_txn(requests: DataFrame, history_df: DataFrame, t: Thresholds = DE
     """For each request row, the user's last *history* row strictly
     before it (within the TTL) - an as-of join without an inequality join.
 
-    Both sides are unioned with a tag and ordered so that a history row at
-    the same instant comes after the request; ``last(ignorenulls)`` over
-    the earlier rows picks the as-of match. Runs per (user, chunk) with a
-    TTL halo, so a hot user is split.
+    Both sides are unioned; the match is the largest (time, id) among the
+    history rows of strictly earlier time, a running maximum over the chunked
+    key. Without a TTL it may lie any time back.
     """
-    ttl = t.profile_ttl_us or WEEK_US
-    req = requests.select(key, F.col(ID).alias("_rid"), TS, "latitude", "longitude",
-                          F.lit(0).alias("_tag"), F.lit(None).cast("struct<us:long,lat:double,lon:double>")
-                          .alias("_h"))
+    point = "struct<us:long,id:string,lat:double,lon:double>"
+    req = requests.select(key, F.col(ID).alias("_rid"), TS, "latitude", "longitude", F.lit(True).alias("_asks"),
+                          F.lit(None).cast(point).alias("_h"))
     hist = history_df.select(key, F.lit(None).cast("string").alias("_rid"), TS, "latitude", "longitude",
-                             F.lit(1).alias("_tag"),
-                             F.struct(F.col(TS).alias("us"), F.col("latitude").alias("lat"),
-                                      F.col("longitude").alias("lon")).alias("_h"))
-    u = halo_expand(req.unionByName(hist), TS, ttl)
-    w = (Window.partitionBy(key, CHUNK).orderBy(TS, "_tag")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    u = u.withColumn("_m", F.last("_h", ignorenulls=True).over(w))
-    u = u.filter((F.col("_tag") == 0) & ~F.col(HALO))
-    has = F.col("_m").isNotNull() & ((F.col(TS) - F.col("_m.us")) < F.lit(ttl))
+                             F.lit(False).alias("_asks"),
+                             F.struct(F.col(TS).cast("long").alias("us"), F.col(ID).cast("string").alias("id"),
+                                      F.col("latitude").cast("double").alias("lat"),
+                                      F.col("longitude").cast("double").alias("lon")).alias("_h"))
+    u = prefix_aggregate(with_chunks(req.unionByName(hist), key, TS), [KEY], TS, [("_m", F.col("_h"), "max")], frame="range")
+    u = u.filter("_asks")
+    has = F.col("_m").isNotNull()
+    if t.profile_ttl_us is not None:
+        has = has & ((F.col(TS) - F.col("_m.us")) < F.lit(t.profile_ttl_us))
     u = (u.withColumn("_prev_us", F.when(has, F.col("_m.us")))
           .withColumn("_prev_lat", F.when(has, F.col("_m.lat")))
           .withColumn("_prev_lon", F.when(has, F.col("_m.lon"))))

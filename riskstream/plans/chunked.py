@@ -2,24 +2,25 @@
 
 A per-key window (``partitionBy(user)``) puts every row of a key into one
 task. When one user or merchant holds a third of all rows, that task holds a
-third of the data. The helpers below split every key by event-time chunk so
-that a hot key is spread over many tasks, and still give exact results:
+third of the data. The helpers below cut every key into chunks of event time,
+so that a hot key is spread over many tasks, and still give exact results:
 
-* ``halo_expand`` - bounded look-back windows (RANGE frames up to ``L``,
-  ``lag`` within a TTL). Each row is copied into the following chunks whose
-  rows can see it (a halo of ``L``), windows run per ``(key, chunk)`` and the
-  halo copies are dropped afterwards. Copies per row: ``1 + ceil(L/C)``.
+* ``with_chunks`` - the chunk of each row, ``CHUNK_US`` of event time. Every
+  key takes the same plan; a task holds what one key has in that time.
 * ``prefix_aggregate`` - unbounded running aggregates (cumulative sums,
   running max). Local running values per ``(key, chunk)`` plus the combined
   totals of all earlier chunks of the key. The chunk-total table has one row
   per (key, chunk), so its per-key window is small even for a hot key.
+* ``window_aggregates`` - trailing-window counts and sums as differences of
+  two running totals, however long the window.
 * ``prior_moments`` - running count / mean / M2 (population variance) of the
   rows before the current one, merged across chunks with Chan's formula.
 * ``global_lag`` - the previous row of the key at any distance in time.
 
-The joins back to the rows are equi-joins on ``(key..., chunk)``; AQE picks
-broadcast only when the runtime size of the chunk table is below the
-broadcast threshold (a checked size), sort-merge otherwise.
+Keys may be null (all such rows are one key, as in a plain window) and ids may
+repeat: nothing is joined by id. The joins back to the rows are equi-joins on
+``(key, chunk)``; AQE picks broadcast only when the runtime size of the chunk
+table is below the broadcast threshold, sort-merge otherwise.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ from pyspark.sql import functions as F
 from ..config import DAY_US
 
 CHUNK = "_chunk"
+KEY = "_key"
 HOME = "_home"
 HALO = "_halo"
 
+CHUNK_US = 3600 * 1_000_000    # event time of a key that one task holds
+
 
 def chunk_of(us: Column, chunk_us: int) -> Column:
     """Chunk number of an epoch-microsecond value (floor division, exact)."""
@@ -42,26 +46,15 @@ def chunk_of(us: Column, chunk_us: int) -> Column:
     return ((us - F.pmod(us, c)) / c).cast("long")
 
 
-def halo_expand(df: DataFrame, us: str, lookback_us: int,
-                chunk_us: int | None = None) -> DataFrame:
-    """Add ``_chunk`` (partition part) and ``_halo`` (copy flag) columns.
-
-    A row at time ``t`` is needed by rows in ``(t, t + lookback]``; it is
-    emitted into its home chunk and into every later chunk up to the chunk of
-    ``t + lookback``. Window over ``partitionBy(*keys, "_chunk")``, then
-    ``drop_halo``.
-    """
-    chunk_us = int(chunk_us or max(lookback_us, DAY_US))
-    t = F.col(us)
-    home = chunk_of(t, chunk_us)
-    last = chunk_of(t + F.lit(int(lookback_us)), chunk_us)
-    base = [F.col(c) for c in df.columns if c not in (HOME, CHUNK, HALO)]
-    d = df.select(*base, home.alias(HOME), F.explode(F.sequence(home, last)).alias(CHUNK))
-    return d.select("*", (F.col(CHUNK) != F.col(HOME)).alias(HALO))
+def key_of(key: str) -> Column:
+    """The key as a string that is never null."""
+    return F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))
 
 
-def drop_halo(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col(HALO)).drop(HOME, CHUNK, HALO)
+def with_chunks(df: DataFrame, key: str, us: str, chunk_us: int | None = None) -> DataFrame:
+    """Add ``_key`` (the key, never null) and ``_chunk``."""
+    cols = [c for c in df.columns if c not in (CHUNK, KEY)]
+    return df.select(*cols, key_of(key).alias(KEY), chunk_of(F.col(us), chunk_us or CHUNK_US).alias(CHUNK))
 
 
 def _join_back(d: DataFrame, offs: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -71,9 +64,9 @@ def _join_back(d: DataFrame, offs: DataFrame, cols: Sequence[str]) -> DataFrame:
     hash partitioning the rows already have from their windows - so only
     the small offsets side is shuffled (or broadcast by AQE). Further keys
     (e.g. a session id) are a residual condition written so that the
-    planner does not turn them into equi-keys. Keys are non-null (validated
-    ids); the small side's columns are renamed to avoid self-join
-    ambiguity.
+    planner does not turn them into equi-keys. Keys are never null
+    (``with_chunks``); the small side's columns are renamed to avoid
+    self-join ambiguity.
     """
     ren = {c: f"_j{i}" for i, c in enumerate(cols)}
     o = offs.select(*[F.col(c).alias(ren.get(c, c)) for c in offs.columns])
@@ -206,7 +199,7 @@ def global_lag(df: DataFrame, keys: Sequence[str], us: str, cols: Sequence[str],
     """
     keys = list(keys)
     carry = [us] + [c for c in cols if c != us]
-    d = df.withColumn(CHUNK, chunk_of(F.col(us), chunk_us))
+    d = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_of(F.col(us), chunk_us))
     w = Window.partitionBy(*keys, CHUNK).orderBy(us, *tiebreak)
     d = d.withColumn("_lprev", F.lag(F.struct(*[F.col(c) for c in carry]), 1).over(w))
     order_key = F.struct(*[F.col(c) for c in [us, *tiebreak]])
@@ -247,42 +240,45 @@ def ordered_prefix(df: DataFrame, order: str, sums: Sequence[str], descending: b
                       for s in sums])
 
 
-def window_aggregates(df: DataFrame, keys: Sequence[str], us: str, id_col: str,
-                      counts: dict[str, int], sums: dict[str, tuple[str, int]] | None = None,
-                      chunk_us: int = 3600 * 1_000_000) -> DataFrame:
-    """Trailing-window counts and sums per key without halo copies.
+def window_aggregates(df: DataFrame, key: str, us: str, counts: dict[str, tuple[int | None, int]],
+                      sums: dict[str, tuple[Column, int | None, int]] | None = None) -> DataFrame:
+    """Counts and sums of a key's rows in trailing windows, exactly and
+    without halo copies: (_wk, _wt, names...), a row for each (key, time).
 
-    For a row at ``t`` and a window ``W``, the rows of its key with
-    ``t - W <= us < t`` are ``N(<t) - N(<t - W)``: running totals of rows
-    strictly before a time. ``N(<t)`` is read at the row itself; ``N(<t-W)``
-    at a probe row placed at ``t - W`` (weight 0) in the same chunked prefix
-    pass. Every task holds one (key, chunk) slice however long ``W`` is.
-    Sums use exact DECIMAL running totals, so the difference has no
-    cancellation error. Adds one column per entry of ``counts``/``sums``.
+    ``counts``: name -> (lo, hi), the rows with ``t - lo <= us < t + hi``
+    (``lo`` None: all rows before); ``sums``: name -> (value, lo, hi). They
+    depend on the key and the time alone, so rows are first reduced to one per
+    (key, time); a window is the difference of two running totals, read at
+    probe rows (weight 0) placed at its ends in the same chunked pass. Sums
+    use DECIMAL running totals, whose differences cancel nothing. Every task
+    holds one (key, chunk).
     """
-    keys = list(keys)
     sums = dict(sums or {})
-    wins = sorted({w for w in counts.values()} | {w for _, w in sums.values()})
-    sum_cols = sorted({c for c, _ in sums.values()})
+    spans = [*counts.values(), *[(lo, hi) for _, lo, hi in sums.values()]]
+    ends = sorted({-lo for lo, _ in spans if lo is not None} | {hi for _, hi in spans})
     dec = "decimal(38,10)"
-    base = df.select(*keys, F.col(us).alias("_t"), F.col(id_col).alias("_id"), F.lit(-1).alias("_w"),
-                     F.lit(1).cast("long").alias("_one"),
-                     *[F.col(c).cast(dec).alias("_x_" + c) for c in sum_cols])
-    probes = [df.select(*keys, (F.col(us) - F.lit(w)).alias("_t"), F.col(id_col).alias("_id"),
-                        F.lit(w).alias("_w"), F.lit(0).cast("long").alias("_one"),
-                        *[F.lit(0).cast(dec).alias("_x_" + c) for c in sum_cols]) for w in wins]
-    u = base
-    for p in probes:
-        u = u.unionByName(p)
-    specs = [("_N", F.col("_one"), "sum")] + [("_S_" + c, F.col("_x_" + c), "sum") for c in sum_cols]
-    u = prefix_aggregate(u, keys, "_t", specs, frame="range", include_current=False, chunk_us=chunk_us)
-    aggs = [F.max(F.when(F.col("_w") == -1, F.col("_N"))).alias("_N0")]
-    aggs += [F.max(F.when(F.col("_w") == -1, F.col("_S_" + c))).alias("_S0_" + c) for c in sum_cols]
-    for w in wins:
-        aggs.append(F.max(F.when(F.col("_w") == w, F.col("_N"))).alias(f"_N{w}"))
-        aggs += [F.max(F.when(F.col("_w") == w, F.col("_S_" + c))).alias(f"_S{w}_{c}") for c in sum_cols]
-    g = u.groupBy("_id").agg(*aggs)  # one row per original row (uniform key)
-    out = [(F.col("_N0") - F.col(f"_N{w}")).alias(name) for name, w in counts.items()]
-    out += [(F.col("_S0_" + c) - F.col(f"_S{w}_{c}")).cast("double").alias(name) for name, (c, w) in sums.items()]
-    res = g.select(F.col("_id").alias(id_col), *out)
-    return df.join(res, id_col, "left")
+    base = df.groupBy(key_of(key).alias("_wk"), F.col(us).alias("_wt")).agg(
+        F.count(F.lit(1)).alias("_one"),
+        *[F.coalesce(F.sum(x.cast(dec)), F.lit(0)).cast(dec).alias("_x_" + name) for name, (x, _, _) in sums.items()])
+    ask = F.explode(F.array(*[F.lit(e).cast("long") for e in ends], F.lit(None).cast("long"))).alias("_e")
+    weights = ["_one", *["_x_" + name for name in sums]]
+    u = base.select("*", ask).select(
+        "_wk", "_wt", "_e", (F.col("_wt") + F.coalesce("_e", F.lit(0))).alias("_t"),
+        *[F.when(F.col("_e").isNull(), F.col(c)).otherwise(F.lit(0)).alias(c) for c in weights])
+    specs = [("_N" + c, F.col(c), "sum") for c in weights]
+    u = prefix_aggregate(with_chunks(u, "_wk", "_t"), [KEY], "_t", specs, frame="range", include_current=False)
+
+    def total(c: str, lo: int | None, hi: int) -> Column:
+        def at(end: int) -> Column:
+            return F.max(F.when(F.col("_e") == end, F.col("_N" + c)))
+        return at(hi) if lo is None else at(hi) - at(-lo)
+
+    return u.where(F.col("_e").isNotNull()).groupBy("_wk", "_wt").agg(
+        *[total("_one", lo, hi).alias(name) for name, (lo, hi) in counts.items()],
+        *[total("_x_" + name, lo, hi).cast("double").alias(name) for name, (_, lo, hi) in sums.items()])
+
+
+def join_windows(df: DataFrame, key: str, us: str | Column, windows: DataFrame) -> DataFrame:
+    """The windows at each row's key and time; null where there is no time."""
+    t = F.col(us) if isinstance(us, str) else us
+    return df.join(windows, (key_of(key) == F.col("_wk")) & (t == F.col("_wt")), "left").drop("_wk", "_wt")

@@ -260,10 +260,14 @@ SELECT transaction_id, n AS user_txn_count_total, round(mean0, 6) AS user_avg_am
   CASE WHEN n > 0 THEN pu ELSE us END AS last_seen_us
 FROM ss""", "txn"))
 
+# scored at the critical threshold: the scored view's probability by transaction
+FRAUDS = "sum(CASE WHEN (CAST(substr(transaction_id, 5) AS BIGINT) * 37) % 1000 >= 850 THEN 1 ELSE 0 END)"
+
 register("user_profile_snapshot", with_views(f"""WITH {PROFILE_CTES},
 ls AS (SELECT user_id, max(sess) AS ms FROM c2 GROUP BY 1)
 SELECT c2.user_id, count(*) AS txn_count_total, round(avg(amount), 6) AS avg_amount,
-  round(coalesce(stddev_pop(amount), 0.0), 6) AS std_amount, min(us) AS first_seen_us, max(us) AS last_seen_us
+  round(coalesce(stddev_pop(amount), 0.0), 6) AS std_amount, min(us) AS first_seen_us, max(us) AS last_seen_us,
+  CAST({FRAUDS} AS BIGINT) AS fraud_count
 FROM c2 JOIN ls ON c2.user_id = ls.user_id AND c2.sess = ls.ms GROUP BY 1""", "txn"))
 
 register("rolling_rows_features", with_views("""
@@ -333,6 +337,11 @@ pit AS (SELECT *, least(1.0, (txn_count_1h / 10.0) * 0.3 + (txn_count_24h / 50.0
           CAST(0 AS BIGINT) AS user_fraud_history_count, {DOW_SQL} AS day_of_week, {DOW_SQL} >= 5 AS is_weekend
         FROM pv)"""
 
+# the same with the user's earlier frauds of the session
+PIT_SCORED = PIT_CTES.replace("CAST(0 AS BIGINT) AS user_fraud_history_count",
+    f"CAST(coalesce({FRAUDS} OVER (PARTITION BY user_id, sess ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING), 0) AS BIGINT) AS user_fraud_history_count")
+
 PIT_SELECT = """SELECT transaction_id, round(amount, 6) AS amount, round(ln(1 + amount), 6) AS amount_log,
   round(z, 6) AS amount_zscore, hour_of_day, day_of_week, is_weekend,
   round(dt, 6) AS time_since_last_txn_seconds, txn_count_1h, txn_count_24h, txn_count_7d,
@@ -343,7 +352,7 @@ PIT_SELECT = """SELECT transaction_id, round(amount, 6) AS amount, round(ln(1 +
   round(velocity_score, 6) AS velocity_score
 FROM pit"""
 
-register("point_in_time_features", with_views(f"WITH {VEL_CTE},{PIT_CTES}\n{PIT_SELECT}", "txn", dense=True))
+register("point_in_time_features", with_views(f"WITH {VEL_CTE},{PIT_SCORED}\n{PIT_SELECT}", "txn", dense=True))
 
 MODEL_FACTORS = """concat_ws(',',
   CASE WHEN impossible THEN 'IMPOSSIBLE_TRAVEL' END, CASE WHEN z > 3.0 THEN 'UNUSUAL_AMOUNT' END,
@@ -353,7 +362,7 @@ MODEL_FACTORS = """concat_ws(',',
   CASE WHEN dt < 60 THEN 'TOO_QUICK' END, CASE WHEN hour_of_day < 4 THEN 'UNUSUAL_TIME' END)"""
 
 register("model_risk_factors", with_views(
-    f"WITH {VEL_CTE},{PIT_CTES}\nSELECT transaction_id, {MODEL_FACTORS} AS factors FROM pit", "txn", dense=True))
+    f"WITH {VEL_CTE},{PIT_SCORED}\nSELECT transaction_id, {MODEL_FACTORS} AS factors FROM pit", "txn", dense=True))
 
 register("velocity_score", with_views(f"""WITH {VEL_CTE}
 SELECT transaction_id, round(least(1.0, (txn_count_1h / 10.0) * 0.3 + (txn_count_24h / 50.0) * 0.7), 6)
@@ -436,12 +445,13 @@ FROM c""", "txn"))
 
 register("profile_lookup", with_views(f"""WITH {PROFILE_CTES},
 ls AS (SELECT user_id, max(sess) AS ms FROM c2 GROUP BY 1),
-prof AS (SELECT c2.user_id, count(*) AS cnt, avg(amount) AS av, coalesce(stddev_pop(amount), 0.0) AS sd
+prof AS (SELECT c2.user_id, count(*) AS cnt, avg(amount) AS av, coalesce(stddev_pop(amount), 0.0) AS sd,
+  {FRAUDS} AS fc
   FROM c2 JOIN ls ON c2.user_id = ls.user_id AND c2.sess = ls.ms GROUP BY 1),
 req AS (SELECT DISTINCT concat('USER_', lpad(CAST(c_custkey AS varchar), 8, '0')) AS user_id FROM customer)
 SELECT req.user_id, prof.user_id IS NOT NULL AS found, round(coalesce(av, 0.0), 6) AS avg_amount,
   round(coalesce(sd, 0.0), 6) AS std_amount, CAST(coalesce(cnt, 0) AS BIGINT) AS txn_count_total,
-  CAST(0 AS BIGINT) AS fraud_count
+  CAST(coalesce(fc, 0) AS BIGINT) AS fraud_count
 FROM req LEFT JOIN prof ON req.user_id = prof.user_id""", "txn"))
 
 # ---------------------------------------------------------------------------
@@ -669,16 +679,24 @@ register("select_available_features", with_views(
         f"SELECT '{c}' AS feature, '{k}' AS kind, {i} AS position, count(*) AS n_non_null FROM t2"
         for c, k, i in _G1), "txn"))
 
-_MED_COLS = ["amount", "amount_zscore", "total_amount_24h", "distance_from_last", "time_since_last_txn",
-             "user_avg_amount", "merchant_risk_score", "hour_of_day"]
 _TRAIN_CTES = TRAIN_SQL[:TRAIN_SQL.index("\nSELECT transaction_id, round(amount, 6)")]
-_MED_EXPR = {"amount": "amount", "amount_zscore": "CASE WHEN usd > 0 THEN (amount - ua) / usd ELSE 0.0 END",
-             "total_amount_24h": "s50", "distance_from_last": "distance_from_last",
-             "time_since_last_txn": "time_since_last_txn", "user_avg_amount": "ua", "merchant_risk_score": "mr",
-             "hour_of_day": HOUR_SQL}
-register("impute_median", with_views(_TRAIN_CTES + "\n" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(median(CAST({_MED_EXPR[c]} AS DOUBLE)), 6) AS median FROM t2"
-    for c in _MED_COLS), "txn"))
+_VEL_SHARE = "(least(rn, 10) / 10.0) * 0.3 + (least(rn, 50) / 50.0) * 0.7"
+_TRAIN_EXPR = {
+    "amount": "amount", "amount_log": "ln(1 + amount)",
+    "amount_zscore": "CASE WHEN usd > 0 THEN (amount - ua) / usd ELSE 0.0 END", "hour_of_day": HOUR_SQL,
+    "day_of_week": DOW_SQL, "is_weekend": f"CAST({DOW_SQL} >= 5 AS INTEGER)", "time_since_last_txn": "time_since_last_txn",
+    "txn_count_1h": "least(rn, 10)", "txn_count_24h": "least(rn, 50)", "txn_count_7d": "least(rn, 100)",
+    "total_amount_24h": "s50", "distance_from_last": "distance_from_last", "travel_speed": "distance_from_last",
+    "is_impossible_travel": "CAST(distance_from_last > 1200 AS INTEGER)", "user_avg_amount": "ua", "user_std_amount": "usd",
+    "user_txn_count": "uc", "user_fraud_history": "ufh", "merchant_risk_score": "mr",
+    "velocity_score": f"greatest(0.0, least(1.0, {_VEL_SHARE}))"}
+register("impute_median", with_views(f"""{_TRAIN_CTES},
+gone AS (SELECT transaction_id, {', '.join(
+    f"CASE WHEN (CAST(substr(transaction_id, 5) AS BIGINT) + {i}) % 9 != 0 THEN CAST({x} AS DOUBLE) END AS {c}"
+    for i, (c, x) in enumerate(_TRAIN_EXPR.items()))} FROM t2),
+med AS (SELECT {', '.join(f"median({c}) AS m_{c}" for c in _TRAIN_EXPR)} FROM gone)
+SELECT transaction_id, {', '.join(f"round(coalesce({c}, (SELECT m_{c} FROM med)), 6) AS {c}" for c in _TRAIN_EXPR)}
+FROM gone""", "txn"))
 
 register("standard_scale", with_views("""
 SELECT transaction_id,
@@ -716,11 +734,43 @@ p AS (SELECT a.transaction_id, b.transaction_id AS neighbor_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY d, neighbor_id) AS nbr_rank FROM p)
 SELECT transaction_id, CAST(nbr_rank AS INTEGER) AS nbr_rank, neighbor_id FROM r WHERE nbr_rank <= 5""", "txn"))
 
-register("smote", with_views("""
-WITH c AS (SELECT count(*) FILTER (WHERE is_fraud = 0) AS neg, count(*) FILTER (WHERE is_fraud = 1) AS pos FROM txn)
-SELECT 0 AS is_fraud, false AS synthetic, neg AS n_rows FROM c
-UNION ALL SELECT 1, false, pos FROM c
-UNION ALL SELECT 1, true, neg - pos FROM c""", "txn"))
+
+
+def _id_key(x: str) -> str:
+    return f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+
+
+def _hash(key: str, seed: int) -> str:
+    return f"((({key}) % 2147483648) * 2654435761 + {97 * seed}) % 4294967296"
+
+
+register("smote", with_views(f"""
+WITH m AS (SELECT transaction_id, amount, latitude, longitude FROM txn WHERE is_fraud = 1),
+p AS (SELECT a.transaction_id, b.transaction_id AS neighbor_id, b.amount AS na, b.latitude AS nla, b.longitude AS nlo,
+  pow(a.amount - b.amount, 2) + pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2) AS d
+  FROM m a JOIN m b ON a.transaction_id != b.transaction_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY d, neighbor_id) AS nr FROM p),
+nk AS (SELECT transaction_id, least(count(*), 5) AS k FROM p GROUP BY 1),
+c AS (SELECT count(*) FILTER (WHERE is_fraud = 0) AS neg, count(*) FILTER (WHERE is_fraud = 1) AS pos FROM txn),
+o AS (SELECT m.*, row_number() OVER (ORDER BY {_hash(_id_key('transaction_id'), 42)}, transaction_id) AS place FROM m),
+n AS (SELECT o.*, ((SELECT neg - pos FROM c) // (SELECT pos FROM c))
+  + CASE WHEN place <= (SELECT neg - pos FROM c) % (SELECT pos FROM c) THEN 1 ELSE 0 END AS cnt FROM o),
+s AS (SELECT n.*, unnest(range(1, cnt + 1)) AS s FROM n),
+w AS (SELECT s.*, nk.k, {_id_key("s.transaction_id || '_' || s")} AS draw FROM s JOIN nk USING (transaction_id)),
+x AS (SELECT *, ({_hash('draw', 43)}) % k + 1 AS nr, (({_hash('draw', 44)}) % 16777216) / 16777216.0::DOUBLE AS lam FROM w)
+SELECT transaction_id, is_fraud, false AS synthetic, round(CAST(amount AS DOUBLE), 6) AS amount,
+  round(CAST(latitude AS DOUBLE), 6) AS latitude, round(CAST(longitude AS DOUBLE), 6) AS longitude FROM txn
+UNION ALL
+SELECT 'SYN_' || x.transaction_id || '_' || x.s, 1, true, round(x.amount + lam * (na - x.amount), 6),
+  round(x.latitude + lam * (nla - x.latitude), 6), round(x.longitude + lam * (nlo - x.longitude), 6)
+FROM x JOIN r ON r.transaction_id = x.transaction_id AND r.nr = x.nr""", "txn"))
+
+register("train_pipeline", with_views("""
+SELECT transaction_id, true AS same_after_reload, true AS is_probability, true AS varies, true AS beats_chance FROM txn""", "txn"))
+
+register("tune_grid", with_views("""
+SELECT max_iter, max_depth, true AS in_bounds, (SELECT count(*) FROM txn) AS n_rows
+FROM (VALUES (2, 2), (2, 3)) AS g(max_iter, max_depth)""", "txn"))
 
 register("class_weight", with_views("""
 SELECT count(*) FILTER (WHERE is_fraud != 1) AS negatives, count(*) FILTER (WHERE is_fraud = 1) AS positives,

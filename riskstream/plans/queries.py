@@ -7,6 +7,7 @@ arrays are joined to strings, times are epoch microseconds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
 from ..operators import scoring
+from ..session import scratch_path
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +48,7 @@ from dataclasses import replace as _replace  # noqa: E402
 
 from pyspark.sql import Window  # noqa: E402
 
-from ..config import DEFAULT, FEATURE_ORDER  # noqa: E402
+from ..config import DEFAULT, FEATURE_ORDER, TRAIN_NUMERIC_FEATURES, TrainConfig  # noqa: E402
 from ..functions import geo, scalar, text  # noqa: E402
 from ..operators import evaluation, history, rules as rules_mod, validate  # noqa: E402
 
@@ -149,7 +151,7 @@ def q_risk_level(spark, sf):
 
 @query("model_risk_factors")
 def q_model_factors(spark, sf):
-    f = history.point_in_time_features(fx.txn(spark, sf, dense=True))
+    f = history.point_in_time_features(fx.txn(spark, sf, dense=True), scores=fx.txn_scores(spark, sf))
     return f.select("transaction_id", F.array_join(text.model_risk_factors(), ",").alias("factors"))
 
 
@@ -221,9 +223,9 @@ def q_profile(spark, sf):
 
 @query("user_profile_snapshot")
 def q_profile_snapshot(spark, sf):
-    d = history.user_profile_snapshot(fx.txn(spark, sf))
+    d = history.user_profile_snapshot(fx.txn(spark, sf), scores=fx.txn_scores(spark, sf))
     return d.select("user_id", "txn_count_total", r6("avg_amount").alias("avg_amount"),
-                    r6("std_amount").alias("std_amount"), "first_seen_us", "last_seen_us")
+                    r6("std_amount").alias("std_amount"), "first_seen_us", "last_seen_us", "fraud_count")
 
 
 @query("rolling_rows_features")
@@ -294,7 +296,8 @@ def _d10_out(d):
 
 @query("point_in_time_features")
 def q_pit(spark, sf):
-    return _d10_out(history.point_in_time_features(fx.txn(spark, sf, dense=True)))
+    t = fx.txn(spark, sf, dense=True)
+    return _d10_out(history.point_in_time_features(t, scores=fx.txn_scores(spark, sf)))
 
 
 D11_OUT = ["amount", "amount_log", "hour_of_day", "day_of_week", "is_weekend", "user_avg_amount",
@@ -368,7 +371,7 @@ def q_profile_lookup(spark, sf):
     from ..operators.lookup import profile_lookup
     req = fx.table(spark, sf, "customer").select(
         F.concat(F.lit("USER_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("user_id"))
-    prof = history.user_profile_snapshot(fx.txn(spark, sf))
+    prof = history.user_profile_snapshot(fx.txn(spark, sf), scores=fx.txn_scores(spark, sf))
     out = profile_lookup(req.distinct(), prof)
     return out.select("user_id", "found", r6("avg_amount").alias("avg_amount"),
                       r6("std_amount").alias("std_amount"), "txn_count_total", "fraud_count")
@@ -597,12 +600,14 @@ def q_select_features(spark, sf):
 
 @query("impute_median")
 def q_impute_median(spark, sf):
+    """All training columns, a ninth of whose values (by transaction number
+    and column) are taken out and imputed again."""
     d = history.training_features(fx.txn(spark, sf))
-    cols = ["amount", "amount_zscore", "total_amount_24h", "distance_from_last", "time_since_last_txn",
-            "user_avg_amount", "merchant_risk_score", "hour_of_day"]
-    med = prep.fit_medians(d, cols)
-    return spark.createDataFrame([(c, float(m)) for c, m in med.items()], "feature string, median double") \
-                .select("feature", r6("median").alias("median"))
+    cols = TRAIN_NUMERIC_FEATURES
+    gone = d.select("transaction_id", *[F.when((_txn_key() + i) % 9 != 0, F.col(c).cast("double")).alias(c)
+                                        for i, c in enumerate(cols)])
+    out = prep.impute_median(gone, prep.fit_medians(gone, cols))
+    return out.select("transaction_id", *[r6(c).alias(c) for c in cols])
 
 
 @query("standard_scale")
@@ -638,7 +643,7 @@ def q_smote_nn(spark, sf):
 def q_smote(spark, sf):
     t = fx.txn(spark, sf)
     s = smote_mod.smote(t, ["amount", "latitude", "longitude"], "is_fraud", "transaction_id", 5)
-    return s.groupBy("is_fraud", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+    return s.select("transaction_id", "is_fraud", "synthetic", *[r6(c).alias(c) for c in ("amount", "latitude", "longitude")])
 
 
 @query("class_weight")
@@ -654,19 +659,53 @@ def q_model_score(spark, sf):
     d = history.point_in_time_features(fx.txn(spark, sf))
     d = prep.stratified_split(d, "is_fraud", _txn_key(), [("test", 0.2)])
     num, cat = prep.select_available_features(d)
-    params = training.GBTParams(max_iter=20, max_depth=4)
-    m = training.train_gbt(d.filter(F.col("split") == "train"), num, cat, params)
-    s = m.predict_proba(d.filter(F.col("split") == "test"), "model_probability")
+    train = d.filter(F.col("split") == "train")
+    w = prep.class_weight(train).first()["scale_pos_weight"]
+    train = train.withColumn("_w", F.when(F.col("is_fraud") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
+    m = training.train_gbt(train, num, cat, training.GBTParams(max_iter=20, max_depth=4), weight_col="_w")
+    s = m.predict_proba(d, "model_probability")
     return s.select("transaction_id", r6("model_probability").alias("fraud_probability"),
                     scalar.risk_level("model_probability").alias("risk_level"))
 
 
+def _training_frame(spark, sf):
+    """Serving features of all transactions, computed once."""
+    path = scratch_path(spark, f"train-{uuid.uuid4().hex}")
+    history.point_in_time_features(fx.txn(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("train_pipeline")
+def q_train_pipeline(spark, sf):
+    """Split, oversample, fit, evaluate, save and load; the
+    loaded model scores every row as the fitted one does."""
+    d = _training_frame(spark, sf)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    cfg = TrainConfig(gbt=training.GBTParams(max_iter=5, max_depth=4))
+    m = training.train_pipeline(d, cfg, path=path)
+    again = training.FraudModel.load(path)
+    a = m.predict_proba(d, "p").select("transaction_id", "p")
+    b = again.predict_proba(d, "q").select(F.col("transaction_id").alias("t"), "q")
+    many = F.lit(a.agg(F.countDistinct("p")).first()[0] > 1)
+    fair = F.lit(again.metrics == m.metrics and 0.5 < m.metrics["roc_auc"] <= 1.0)
+    return a.join(b, F.col("transaction_id") == F.col("t")).select(
+        "transaction_id", (F.col("p") == F.col("q")).alias("same_after_reload"),
+        F.col("p").between(0, 1).alias("is_probability"), many.alias("varies"), fair.alias("beats_chance"))
+
+
+@query("tune_grid")
+def q_tune_grid(spark, sf):
+    """Every grid point's mean AUC over the folds, as bounds."""
+    d = _training_frame(spark, sf)
+    _, res = training.tune_grid(d, ["amount", "amount_zscore", "velocity_score"], [], {"maxIter": [2], "maxDepth": [2, 3]}, n_folds=2)
+    rows = spark.createDataFrame([(p["maxIter"], p["maxDepth"], 0.3 < auc <= 1.0) for p, auc in res],
+                                 "max_iter int, max_depth int, in_bounds boolean")
+    return rows.withColumn("n_rows", F.lit(d.count()).cast("long"))
+
+
 # ---------------------------------------------------------------------------
 # A1, A3, A4, F: sources, sinks and streaming
 # ---------------------------------------------------------------------------
-import uuid  # noqa: E402
-
-from ..session import scratch_path  # noqa: E402
 from ..sources import io as rio  # noqa: E402
 from ..streaming import stream as st  # noqa: E402
 

@@ -131,6 +131,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("fraud_probability") >= 0.5, "MEDIUM").otherwise("LOW"))
 
 
+def txn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored table's probabilities by transaction id."""
+    tid = F.concat(F.lit("TXN_"), F.lpad(F.col("event_id").cast("string"), 10, "0"))
+    return scored(spark, sf_dir).select(tid.alias("transaction_id"), "fraud_probability")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request log (method, path, status, duration)."""
     e = events(spark, sf_dir)

@@ -28,7 +28,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..config import DAY_US, DEFAULT, WEEK_US, Thresholds
 from ..operators import history
-from ..plans.chunked import prefix_aggregate, prior_moments
+from ..plans.chunked import KEY, prefix_aggregate, prior_moments
 
 COLS = ["user_id", "transaction_id", "us", "amount", "latitude", "longitude"]
 PROFILE_SCHEMA = "user_id string, sess long, n long, mean double, m2 double, last_us long"
@@ -66,19 +66,17 @@ def process_batch(new: DataFrame, epoch: int, state_dir: str, out_dir: str, late
 
     # look-back features (D1, D2) over tail + new rows, one halo pass
     both = tail.withColumn("_new", F.lit(False)).unionByName(ontime.withColumn("_new", F.lit(True)))
-    c = history._chunk_for(t, True)
-    d = history._user_pass(both, t, velocity=True, chunk_us=c)
+    d = history._velocity(history._user_pass(both, t), both, t)
     d = d.filter("_new").select("*", *history._last_cols(t))
 
     # running profile: sessions and prior moments over the new rows ...
     reset = F.col("_prev_us").isNull()
-    d = prefix_aggregate(d, ["user_id"], "us", [("_s_new", F.when(reset, F.col("us")), "max")],
-                         tiebreak=["transaction_id"], include_current=True, chunk_us=c)
+    d = prefix_aggregate(d, [KEY], "us", [("_s_new", F.when(reset, F.col("us")), "max")],
+                         tiebreak=["transaction_id"], include_current=True)
     d = d.join(prof.select("user_id", F.col("sess").alias("_s_old"), F.col("n").alias("_n0"),
                            F.col("mean").alias("_mean0"), F.col("m2").alias("_m20")), "user_id", "left")
     d = d.withColumn("_sess", F.coalesce("_s_new", "_s_old"))
-    d = prior_moments(d, ["user_id", "_sess"], "us", "amount", tiebreak=["transaction_id"], prefix="_pm",
-                      chunk_us=c)
+    d = prior_moments(d, [KEY, "_sess"], "us", "amount", tiebreak=["transaction_id"], prefix="_pm")
     # ... merged with the stored profile when the stored session continues
     cont = F.col("_s_new").isNull() & F.col("_s_old").isNotNull()
     n0 = F.when(cont, F.col("_n0")).otherwise(F.lit(0)).cast("double")

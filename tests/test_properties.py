@@ -1,9 +1,11 @@
 """Properties: order invariance, window monotonicity, chunking = plain
 windows on a hot key, stream = batch, SMOTE balance, split exactness."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riskstream.config import Thresholds
 from riskstream.operators import history, prep, smote
 from riskstream.plans import chunked
 from riskstream.sources import fixtures as fx
@@ -144,34 +146,54 @@ def test_restart_from_checkpoint(spark, tmp_path):
                .exceptAll(want).count() == 0
 
 
-def test_halo_windows_equal_plain_on_hot_key(spark):
-    """All rows on one user: the time-chunked halo windows (1 h / 24 h / 7 d)
-    equal plain per-user RANGE windows."""
-    t = fx.txn(spark, SF_SMALL).withColumn("user_id", F.lit("HOT"))
-    v = history.velocity_windows(t, chunk_us=6 * 3600 * 10**6)  # many chunks, halo spans several
+def _plain(t, key):
+    """Plain per-key windows, the ids' order and null keys as Spark has them."""
     H = 3600 * 10**6
 
     def rng(lo):
-        return Window.partitionBy("user_id").orderBy("us").rangeBetween(-lo, -1)
-    p = t.select("transaction_id", F.count(F.lit(1)).over(rng(H)).alias("a"),
-                 F.count(F.lit(1)).over(rng(24 * H)).alias("b"), F.count(F.lit(1)).over(rng(168 * H)).alias("c"))
-    j = v.join(p, "transaction_id")
-    assert j.count() == t.count()
-    assert j.filter((F.col("a") != F.col("txn_count_1h")) | (F.col("b") != F.col("txn_count_24h"))
-                    | (F.col("c") != F.col("txn_count_7d"))).count() == 0
-
-
-def test_adaptive_split_matches_plain(spark):
-    """Force some users hot: the mixed prefix/halo plan equals the halo plan."""
-    old = history.HOT_KEY_ROWS
-    t = fx.txn(spark, SF_SMALL, dense=True)
-    cols = ["transaction_id", "txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total",
-            "merchant_txn_count_24h"]
-    try:
-        history.HOT_KEY_ROWS = 10**12
-        a = history.point_in_time_features(t).select(*cols)
-        history.HOT_KEY_ROWS = 50
-        b = history.point_in_time_features(t).select(*cols)
-    finally:
-        history.HOT_KEY_ROWS = old
-    assert a.exceptAll(b).count() == 0 and b.count() == t.count()
+        return Window.partitionBy(key).orderBy("us").rangeBetween(-lo, -1)
+    w = Window.partitionBy(key).orderBy("us", "transaction_id", "tag")
+    n = F.count(F.lit(1))
+    return t.select("tag", n.over(rng(H)).alias("a"), n.over(rng(24 * H)).alias("b"), n.over(rng(168 * H)).alias("c"),
+                    F.coalesce(F.sum("amount").over(rng(24 * H)), F.lit(0.0)).alias("s"),
+                    F.lag("us").over(w).alias("p"),
+                    F.count(F.lit(1)).over(Window.partitionBy("merchant_id").orderBy("us").rangeBetween(-24 * H, -1)).alias("m"),
+                    F.sum("is_fraud").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"))
+
+
+def test_keyed_windows_equal_plain_ones(spark):
+    """Null users and merchants, repeated ids, a user with a third of all rows."""
+    n = F.monotonically_increasing_id()
+    t = fx.txn(spark, SF_SMALL, dense=True).coalesce(1)
+    t = (t.withColumn("tag", n).withColumn("user_id", F.when(n % 3 == 0, "HOT").when(n % 7 == 0, F.lit(None)).otherwise(F.col("user_id")))
+          .withColumn("merchant_id", F.when(n % 3 == 1, F.lit(None)).otherwise(F.col("merchant_id")))
+          .withColumn("transaction_id", F.when(n % 11 == 0, "SAME").otherwise(F.col("transaction_id"))))
+    t = spark.createDataFrame(t.toPandas(), t.schema).repartition(4).cache()
+    d = history.velocity_windows(history.user_fraud_history(history.merchant_txn_count_24h(t)))
+    d = d.select("tag", "txn_count_1h", "txn_count_24h", "txn_count_7d", "total_amount_24h", "merchant_txn_count_24h", "user_fraud_history")
+    last = history.last_txn_features(t, Thresholds(profile_ttl_us=None)).select("tag", "time_since_last_txn_seconds", "us")
+    j = d.join(_plain(t, "user_id"), "tag").join(last, "tag").toPandas()
+    assert len(j) == t.count()
+    for got, want in (("txn_count_1h", "a"), ("txn_count_24h", "b"), ("txn_count_7d", "c"), ("merchant_txn_count_24h", "m")):
+        assert (j[got] == j[want]).all(), got
+    assert (j["total_amount_24h"] - j["s"]).abs().max() < 1e-6
+    assert (j["user_fraud_history"] - j["f"].fillna(0)).abs().max() == 0
+    assert ((j["us"] - j["p"]) / 1e6 - j["time_since_last_txn_seconds"]).abs().max() < 1e-6
+    t.unpersist()
+
+
+def test_asof_match_may_lie_any_time_back(spark):
+    cols = "transaction_id string, user_id string, us long, latitude double, longitude double"
+    req = spark.createDataFrame([("r1", "u", 40 * 86400 * 10**6, 0.0, 0.0), ("r2", None, 10, 0.0, 0.0)], cols)
+    hist = spark.createDataFrame([("h1", "u", 10 * 86400 * 10**6, 1.0, 0.0), ("h2", None, 4, 0.0, 0.0), ("h3", None, 10, 0.0, 0.0)], cols)
+    got = {r.transaction_id: r.time_since_last_txn_seconds for r in
+           history.asof_last_txn(req, hist, Thresholds(profile_ttl_us=None)).collect()}
+    assert got == {"r1": 30 * 86400.0, "r2": 6e-6}
+
+
+def test_building_a_plan_runs_no_job(spark):
+    t = fx.txn(spark, SF_SMALL)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    history.point_in_time_features(t)
+    assert len(tracker.getJobIdsForGroup(None)) == before
