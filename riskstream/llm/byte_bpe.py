@@ -31,6 +31,7 @@ from riskstream.llm.packing import Memo
 # A space before white space of any kind, or at the end.
 _SPACE_RUN = re.compile(r" (\s|$)").search
 _BIT = [1 << i for i in range(64)]
+MEMO_ENTRIES = 600_000    # of pre-tokens, and chunks, of a memo's generation
 
 
 class RankQueue:
@@ -94,8 +95,8 @@ class ByteBPE:
             self.tokens[rank] = token
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.queue = RankQueue()
-        self.words = Memo(lambda w: np.array(self.merge(w.encode()), "<u4").tobytes())
-        self.chunks = Memo(lambda c: b"".join([self.words[w] for w in self.pattern.findall(" " + c)]))
+        self.words = Memo(lambda w: np.array(self.merge(w.encode()), "<u4").tobytes(), MEMO_ENTRIES)
+        self.chunks = Memo(lambda c: b"".join([self.words[w] for w in self.pattern.findall(" " + c)]), MEMO_ENTRIES)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:

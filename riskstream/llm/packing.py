@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 65_536
-MEMO_ENTRIES = 600_000    # a worker's memo holds up to twice as many chunks, and parts
+MEMO_ENTRIES = 150_000    # a worker's memo holds up to twice as many chunks, and parts
 MEMO_CHARS = 64           # longer ones are not remembered
 
 # Pre-tokens of lower-cased Latin-1 text, as the file's pattern cuts them.
