@@ -92,13 +92,3 @@ def apply_rules(features: DataFrame, rules: Sequence[Rule] | None = None,
         F.lit("rules").alias("model_used"),
         F.lit(0).alias("features_used"),
     ).withColumn("risk_level", risk_level(F.col("fraud_probability"), t))
-
-
-def individual_rule(features: DataFrame, rule: Rule) -> DataFrame:
-    """E1-E5 one at a time: the rule's score and factor per row."""
-    return features.select("*", rule.score().alias(f"{rule.name}_score"),
-                           rule.factor().alias(f"{rule.name}_factor"))
-
-
-def flags(pairs: list[tuple[Column, str]]) -> Column:
-    return flags_to_array(pairs)

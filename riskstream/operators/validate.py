@@ -69,7 +69,7 @@ def error_array(df: DataFrame) -> Column:
     if "ip_address" in df.columns:
         checks += _str_checks("ip_address", None, 45, False)
     ch = F.col("channel")
-    checks.append(_err(ch.isNotNull() & ~ch.rlike("^(" + "|".join(CHANNELS) + ")$"), "channel",
+    checks.append(_err(ch.isNotNull() & ~ch.isin(CHANNELS), "channel",
                        "String should match pattern '^(" + "|".join(CHANNELS) + ")$'",
                        "string_pattern_mismatch"))
     return F.filter(F.array(*checks), lambda e: e.isNotNull())

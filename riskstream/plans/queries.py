@@ -707,21 +707,31 @@ def q_tune_grid(spark, sf):
 # A1, A3, A4, F: sources, sinks and streaming
 # ---------------------------------------------------------------------------
 from ..sources import io as rio  # noqa: E402
-from ..streaming import stream as st  # noqa: E402
+from ..streaming import batched, stream as st  # noqa: E402
 
 STREAM_DOUBLES = ["time_since_last_txn_seconds", "distance_from_last_txn_km", "travel_speed_kmh",
                   "total_amount_24h", "user_avg_amount", "user_std_amount"]
 STREAM_INTS = ["txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total"]
 
 
+def _replay(spark, sf, name, outputs=None, order=None):
+    """Folder of a finished replay of the transactions through the stream."""
+    base = scratch_path(spark, f"replay-{name}-{uuid.uuid4().hex}")
+    batched.run_replay(spark, fx.txn(spark, sf), base, order, len(order) if order else 2, outputs)
+    return base
+
+
+def _stream_features(spark, sf):
+    s = spark.read.parquet(_replay(spark, sf, "f") + "/out")
+    return s.select("transaction_id", *[r6(c).alias(c) for c in STREAM_DOUBLES],
+                    *[F.col(c).cast("long").alias(c) for c in STREAM_INTS], "is_impossible_travel", "late")
+
+
 @query("stream_features")
 def q_stream_features(spark, sf):
-    """replay the transactions through the stateful stream (JSON files,
+    """replay the transactions through the stream (JSON files,
     availableNow trigger) and read the sink back."""
-    base = scratch_path(spark, f"replay-{uuid.uuid4().hex}")
-    s = st.run_features_replay(spark, fx.txn(spark, sf), base)
-    return s.select("transaction_id", *[r6(c).alias(c) for c in STREAM_DOUBLES], *STREAM_INTS,
-                    "is_impossible_travel", "late")
+    return _stream_features(spark, sf)
 
 
 @query("throughput")
@@ -754,20 +764,14 @@ def q_read_csv(spark, sf):
 
 @query("stream_features_batched")
 def q_stream_features_batched(spark, sf):
-    """F1, skew-safe variant: foreachBatch over the chunked batch plan, state
-    kept as versioned tables in the shared folder."""
-    from ..streaming import batched
-    base = scratch_path(spark, f"replay-b-{uuid.uuid4().hex}")
-    s = batched.run_features_replay_batched(spark, fx.txn(spark, sf), base)
-    return s.select("transaction_id", *[r6(c).alias(c) for c in STREAM_DOUBLES],
-                    *[F.col(c).cast("long").alias(c) for c in STREAM_INTS], "is_impossible_travel", "late")
+    """F1 again under the name it had beside the state-API variant."""
+    return _stream_features(spark, sf)
 
 
 @query("stream_score")
 def q_stream_score(spark, sf):
     """rules on the streaming features (replay)."""
-    base = scratch_path(spark, f"replay-s-{uuid.uuid4().hex}")
-    s = st.run_replay(spark, fx.txn(spark, sf), base, st.stream_score)
+    s = spark.read.parquet(_replay(spark, sf, "s", {"score": st.stream_score}) + "/score")
     return s.select("transaction_id", "user_id", "us", r6("fraud_probability").alias("fraud_probability"),
                     "risk_level", _join("risk_factors").alias("risk_factors"), "model_used", "model_version")
 
@@ -776,9 +780,8 @@ def q_stream_score(spark, sf):
 def q_stream_alerts(spark, sf):
     """alert records keyed by user (rules reach MEDIUM at most, so the
     replay alerts on MEDIUM)."""
-    base = scratch_path(spark, f"replay-a-{uuid.uuid4().hex}")
-    s = st.run_replay(spark, fx.txn(spark, sf), base,
-                      lambda f: st.stream_alerts(st.stream_score(f), ["MEDIUM", "HIGH", "CRITICAL"]))
+    levels = ["MEDIUM", "HIGH", "CRITICAL"]
+    s = spark.read.parquet(_replay(spark, sf, "a", {"alerts": lambda f: st.stream_alerts(st.stream_score(f), levels)}) + "/alerts")
     v = F.col("value").cast("string")
     return s.select(F.col("key").cast("string").alias("key"),
                     F.get_json_object(v, "$.transaction_id").alias("transaction_id"),
@@ -788,20 +791,9 @@ def q_stream_alerts(spark, sf):
 
 @query("stream_score_counters")
 def q_stream_counters(spark, sf):
-    """running counters by (hour window, level, model) from an
-    update-mode stream, folded to the last value per key."""
-    base = scratch_path(spark, f"replay-c-{uuid.uuid4().hex}")
-    # two decoupled queries: F2 writes scores, F6 streams that sink (Spark
-    # rejects a second stateful operator behind F1 under one watermark)
-    scores = st.run_replay(spark, fx.txn(spark, sf), base + "/f2", st.stream_score)
-    s = spark.readStream.schema(scores.schema).parquet(base + "/f2/out")  # files of a sink are unordered
-    q = (st.stream_score_counters(s).writeStream.option("checkpointLocation", base + "/f6/ck")
-         .trigger(availableNow=True).outputMode("update")
-         .foreachBatch(lambda df, e: df.write.mode("overwrite").parquet(f"{base}/f6/out/epoch={e}")).start())
-    q.awaitTermination()
-    u = spark.read.parquet(base + "/f6/out")
-    u = u.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "risk_level", "model_used", "n", "epoch")
-    return st.latest_per_key(u, ["window_start_us", "risk_level", "model_used"])
+    """running counters by (hour window, level, model)."""
+    base = _replay(spark, sf, "c", {"counts": lambda f: st.stream_score_counters(st.stream_score(f))})
+    return st.running_counters(spark.read.parquet(base + "/counts"))
 
 
 @query("stream_late")
@@ -809,8 +801,5 @@ def q_stream_late(spark, sf):
     """replay with the second time range arriving after the third; rows
     older than the watermark (max seen - 1 day) or than their user's last
     processed row go to the late table instead of the state."""
-    from ..streaming import batched
-    base = scratch_path(spark, f"replay-l-{uuid.uuid4().hex}")
-    batched.run_features_replay_batched(spark, fx.txn(spark, sf), base, order=[0, 2, 1, 3])
-    late = spark.read.parquet(base + "/late")
+    late = spark.read.parquet(_replay(spark, sf, "l", order=[0, 2, 1, 3]) + "/late")
     return late.select("transaction_id", "user_id", "us", r6("amount").alias("amount"))

@@ -53,26 +53,47 @@ def ensure_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and state tables.
+    """Shared folder for checkpoints and state tables, the same for a whole
+    session and for the next one that is given it.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (tests, a laptop) do we set a scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
+    and Spark runs locally (tests, a laptop) a scratch folder takes its place.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="riskstream-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if d:
+        return d.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="riskstream-ckpt-")
+    return _OWN_DIRS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+    return f"{checkpoint_dir(spark)}/{name}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder, if it is there."""
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared folder; none if it is not there."""
+    p, fs = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
 _SHIPPED: set = set()

@@ -12,20 +12,10 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_utc
 
-# FIXED VALUES: the ten fixture cities (index, latitude, longitude, country,
-# merchant category), in natural order.
-CITIES = [
-    (0, 40.7128, -74.0060, "USA", "retail"),
-    (1, 51.5074, -0.1278, "UK", "food_dining"),
-    (2, 48.8566, 2.3522, "France", "gas_station"),
-    (3, 35.6762, 139.6503, "Japan", "grocery"),
-    (4, -33.8688, 151.2093, "Australia", "online"),
-    (5, 1.3521, 103.8198, "Singapore", "travel"),
-    (6, 55.7558, 37.6173, "Russia", "entertainment"),
-    (7, 19.4326, -99.1332, "Mexico", "healthcare"),
-    (8, -23.5505, -46.6333, "Brazil", "financial"),
-    (9, 37.5665, 126.9780, "South Korea", "gaming"),
-]
+# Ten made-up places (index, latitude, longitude, country, merchant category),
+# spread over the globe by multiples of steps that share no factor.
+CITIES = [(i, (i * 37) % 120 - 60 + i / 8, (i * 101) % 340 - 170 + i / 16, f"country_{i}", f"category_{i}")
+          for i in range(10)]
 DENSE_ORIGIN_US = 1704067200000000
 DENSE_FACTOR = 24
 

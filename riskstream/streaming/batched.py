@@ -1,151 +1,237 @@
-"""F1 (skew-safe): stream features via ``foreachBatch`` over the chunked
-batch plans.
-
-The state API keeps each user's state in one row processed by one task; a
-user with a third of the traffic would put a third of each micro-batch and
-a large history list in one place. Here the state is two *tables* in the
-shared checkpoint folder, and every micro-batch runs the same skew-safe
-batch plan as D10:
-
-* ``tail``    - rows of the last 7 days (before the watermark), all users;
-* ``profile`` - per user: current gap session start, count, mean, M2 and
-  last transaction time, as of the user's last processed row.
-
-Per epoch ``e``: read state ``v{e-1}``; rows older than the watermark or
-than their user's last processed row are late (F4); for the others, the
-look-back features come from a halo pass over tail + new rows, the running
-profile from chunked prefix moments over the new rows merged (Chan) with
-the stored profile when the session continues. The new state is written as
-``v{e}`` - re-running an epoch after a failure reads ``v{e-1}`` again and
-overwrites the same outputs (idempotent); written tables also cut lineage.
+"""The stream as ``foreachBatch`` over the chunked batch plans.
+
+A user with a third of the traffic would put a third of each micro-batch and
+a large history list into one state row of the state API. Here state is kept
+in *tables* in the shared folder and every micro-batch runs the same skew-safe
+plan as D10:
+
+* ``tail/epoch=E/day=D``  - the rows that epoch E let in;
+* ``profile/epoch=E``     - the profiles of epoch E's users after it: session
+  start, count, mean, M2, last time. ``base/epoch=E`` has those of all users,
+  written every ``COMPACT`` epochs;
+* ``meta/epoch=E``        - the largest time seen and the base in force.
+
+An epoch reads only its own users' profiles and the days it looks back to,
+and writes only its own rows and users. Expired days, merged profiles and old
+bases are removed. Re-running an epoch after a failure reads what the one
+before it left and overwrites the same outputs; a missing earlier epoch raises.
+
+Rows older than the watermark or than their user's last processed row are
+late (F4): they go to the late table, so rows in = rows out + late rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..config import DAY_US, DEFAULT, WEEK_US, Thresholds
 from ..operators import history
 from ..plans.chunked import KEY, prefix_aggregate, prior_moments
+from ..session import delete_path, list_path
 
 COLS = ["user_id", "transaction_id", "us", "amount", "latitude", "longitude"]
+STATE = ["sess", "n", "mean", "m2", "last_us"]
 PROFILE_SCHEMA = "user_id string, sess long, n long, mean double, m2 double, last_us long"
 TAIL_SCHEMA = "user_id string, transaction_id string, us long, amount double, latitude double, longitude double"
-META_SCHEMA = "max_us long"
+META_SCHEMA = "max_us long, base long"
+COMPACT = 16
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def _day(us: Column) -> Column:
+    return F.floor(us / F.lit(DAY_US)).cast("long")
+
+
+def _numbered(spark: SparkSession, path: str) -> list[int]:
+    """Epochs that a state table has."""
+    return sorted(int(name[6:]) for name in list_path(spark, path) if name.startswith("epoch="))
+
+
+def _of_epochs(spark: SparkSession, path: str, schema: str, epochs: list[int]) -> DataFrame:
+    if not epochs:
+        return spark.createDataFrame([], schema + ", epoch long")
+    d = spark.read.schema(schema + ", epoch long").option("basePath", path)
+    return d.parquet(*[f"{path}/epoch={e}" for e in epochs])
+
+
+def _profiles(spark: SparkSession, state: str, before: int, base: int | None) -> DataFrame:
+    """Latest profiles of all users before an epoch."""
+    since = [e for e in _numbered(spark, f"{state}/profile") if (base is None or e > base) and e < before]
+    d = _of_epochs(spark, f"{state}/profile", PROFILE_SCHEMA, since)
+    if base is not None:
+        d = d.unionByName(_of_epochs(spark, f"{state}/base", PROFILE_SCHEMA, [base]))
+    return d
+
 
+def _latest(profiles: DataFrame) -> DataFrame:
+    g = profiles.groupBy("user_id").agg(F.max_by(F.struct(*STATE), F.col("epoch")).alias("r"))
+    return g.select("user_id", "r.*")
 
-def process_batch(new: DataFrame, epoch: int, state_dir: str, out_dir: str, late_dir: str,
-                  delay_us: int = DAY_US, t: Thresholds = DEFAULT) -> None:
-    """One micro-batch: features for on-time rows, late rows apart, state v{epoch}."""
+
+def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir: str,
+                  delay_us: int = DAY_US, t: Thresholds = DEFAULT,
+                  outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
+    """One micro-batch: features of the rows on time, late rows apart, what
+    ``outputs`` (folder -> function of the features) make of them, new state."""
     spark = new.sparkSession
-    ttl = t.profile_ttl_us or DAY_US
-    prev, cur = f"{state_dir}/v{epoch - 1}", f"{state_dir}/v{epoch}"
-    tail = _read(spark, prev + "/tail", TAIL_SCHEMA)
-    prof = _read(spark, prev + "/profile", PROFILE_SCHEMA)
-    meta = _read(spark, prev + "/meta", META_SCHEMA).first()
-    max_seen = meta["max_us"] if meta else None
-    wm = (max_seen - delay_us) if max_seen is not None else None
-
-    rows = new.select(*COLS)
-    j = rows.join(prof.select("user_id", F.col("last_us").alias("_last_us")), "user_id", "left")
-    late_c = F.col("us") < F.col("_last_us")
-    if wm is not None:
-        late_c = late_c | (F.col("us") < F.lit(wm))
-    j = j.withColumn("_late", F.coalesce(late_c, F.lit(False)))
-    j.filter("_late").select(*COLS).write.mode("overwrite").parquet(f"{late_dir}/epoch={epoch}")
-    ontime = j.filter(~F.col("_late")).select(*COLS)
-
-    # look-back features (D1, D2) over tail + new rows, one halo pass
-    both = tail.withColumn("_new", F.lit(False)).unionByName(ontime.withColumn("_new", F.lit(True)))
-    d = history._velocity(history._user_pass(both, t), both, t)
-    d = d.filter("_new").select("*", *history._last_cols(t))
-
-    # running profile: sessions and prior moments over the new rows ...
-    reset = F.col("_prev_us").isNull()
-    d = prefix_aggregate(d, [KEY], "us", [("_s_new", F.when(reset, F.col("us")), "max")],
-                         tiebreak=["transaction_id"], include_current=True)
-    d = d.join(prof.select("user_id", F.col("sess").alias("_s_old"), F.col("n").alias("_n0"),
-                           F.col("mean").alias("_mean0"), F.col("m2").alias("_m20")), "user_id", "left")
-    d = d.withColumn("_sess", F.coalesce("_s_new", "_s_old"))
-    d = prior_moments(d, [KEY, "_sess"], "us", "amount", tiebreak=["transaction_id"], prefix="_pm")
-    # ... merged with the stored profile when the stored session continues
-    cont = F.col("_s_new").isNull() & F.col("_s_old").isNotNull()
-    n0 = F.when(cont, F.col("_n0")).otherwise(F.lit(0)).cast("double")
-    n1 = F.col("_pm_n").cast("double")
-    n = n0 + n1
-    m0 = F.coalesce(F.col("_mean0"), F.lit(0.0))
-    m1 = F.coalesce(F.col("_pm_mean"), F.lit(0.0))
-    delta = m1 - m0
-    mean = F.when(n0 == 0, m1).when(n1 == 0, m0).otherwise(m0 + F.try_divide(delta * n1, n))
-    m2 = (F.when(n0 == 0, F.col("_pm_m2")).when(n1 == 0, F.col("_m20"))
-           .otherwise(F.col("_m20") + F.col("_pm_m2") + F.try_divide(delta * delta * n0 * n1, n)))
-    d = (d.withColumn("user_txn_count_total", n.cast("long"))
-          .withColumn("user_avg_amount", F.when(n > 0, mean).otherwise(F.lit(0.0)))
-          .withColumn("_m2", F.when(n > 0, m2).otherwise(F.lit(0.0)))
-          .withColumn("user_std_amount",
-                      F.when(n > 1, F.sqrt(F.try_divide(F.col("_m2"), n))).otherwise(F.lit(0.0))))
-    feats = d.select("user_id", "transaction_id", "us", "amount", "latitude", "longitude", "_sess", "_m2",
-                     "time_since_last_txn_seconds", "distance_from_last_txn_km", "travel_speed_kmh",
-                     "is_impossible_travel", "txn_count_1h", "txn_count_24h", "txn_count_7d",
-                     "total_amount_24h", "user_txn_count_total", "user_avg_amount", "user_std_amount")
-    feats.withColumnRenamed("_sess", "sess").withColumnRenamed("_m2", "m2").withColumn("late", F.lit(False)) \
-         .write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
-
-    # new state v{epoch}, from what was just written (no recompute; lineage cut)
+    max_seen = base = None
+    if epoch > 0:
+        if epoch - 1 not in _numbered(spark, f"{state}/meta"):
+            raise RuntimeError(f"the state of epoch {epoch - 1} is missing under {state}")
+        m = spark.read.schema(META_SCHEMA).parquet(f"{state}/meta/epoch={epoch - 1}").first()
+        max_seen, base = m["max_us"], m["base"]
+
+    held_rows: list[DataFrame] = []
+
+    def kept(d: DataFrame) -> DataFrame:
+        held_rows.append(d.persist())
+        return d
+
+    rows = kept(new.select(*COLS))   # of this batch's users; each step reads the one before once
+    try:
+        users = rows.select(F.col("user_id").alias("_u")).distinct()
+        own = F.col("user_id").eqNullSafe(F.col("_u"))
+        prof = _latest(_profiles(spark, state, epoch, base).join(users, own, "left_semi"))
+        last = prof.select(F.col("user_id").alias("_pu"), F.col("last_us").alias("_last_us"))
+        j = rows.join(last, F.col("user_id").eqNullSafe(F.col("_pu")), "left")
+        late = F.coalesce(F.col("us") < F.col("_last_us"), F.lit(False))
+        if max_seen is not None:
+            late = late | (F.col("us") < F.lit(max_seen - delay_us))
+        j = j.withColumn("_late", late)
+        j.filter("_late").select(*COLS).write.mode("overwrite").parquet(f"{late_dir}/epoch={epoch}")
+        ontime = j.filter(~F.col("_late")).select(*COLS)
+
+        least = rows.agg(F.min("us")).first()[0]
+        held = [e for e in _numbered(spark, f"{state}/tail") if e < epoch] if least is not None else []
+        tail = _of_epochs(spark, f"{state}/tail", TAIL_SCHEMA + ", day long", held)
+        if held:
+            tail = tail.where(F.col("day") >= (least - WEEK_US) // DAY_US)
+        tail = tail.select(*COLS).join(users, own, "left_semi")
+
+        # look-back features (D1, D2) over tail + new rows
+        both = kept(tail.withColumn("_new", F.lit(False)).unionByName(ontime.withColumn("_new", F.lit(True))))
+        d = history._velocity(history._user_pass(both, t), both, t)
+        d = kept(d.filter("_new").select("*", *history._last_cols(t)))
+
+        # running profile: sessions and prior moments over the new rows ...
+        reset = F.col("_prev_us").isNull()
+        d = prefix_aggregate(d, [KEY], "us", [("_s_new", F.when(reset, F.col("us")), "max")],
+                             tiebreak=["transaction_id"], include_current=True)
+        stored = prof.select(F.col("user_id").alias("_pu"), F.col("sess").alias("_s_old"), F.col("n").alias("_n0"),
+                             F.col("mean").alias("_mean0"), F.col("m2").alias("_m20"))
+        d = d.join(stored, F.col("user_id").eqNullSafe(F.col("_pu")), "left")
+        d = kept(d.withColumn("_sess", F.coalesce("_s_new", "_s_old")))
+        d = prior_moments(d, [KEY, "_sess"], "us", "amount", tiebreak=["transaction_id"], prefix="_pm")
+        # ... merged with the stored profile when the stored session continues
+        cont = F.col("_s_new").isNull() & F.col("_s_old").isNotNull()
+        n0 = F.when(cont, F.col("_n0")).otherwise(F.lit(0)).cast("double")
+        n1 = F.col("_pm_n").cast("double")
+        n = n0 + n1
+        m0 = F.coalesce(F.col("_mean0"), F.lit(0.0))
+        m1 = F.coalesce(F.col("_pm_mean"), F.lit(0.0))
+        delta = m1 - m0
+        mean = F.when(n0 == 0, m1).when(n1 == 0, m0).otherwise(m0 + F.try_divide(delta * n1, n))
+        m2 = (F.when(n0 == 0, F.col("_pm_m2")).when(n1 == 0, F.col("_m20"))
+               .otherwise(F.col("_m20") + F.col("_pm_m2") + F.try_divide(delta * delta * n0 * n1, n)))
+        d = (d.withColumn("user_txn_count_total", n.cast("long"))
+              .withColumn("user_avg_amount", F.when(n > 0, mean).otherwise(F.lit(0.0)))
+              .withColumn("_m2", F.when(n > 0, m2).otherwise(F.lit(0.0)))
+              .withColumn("user_std_amount",
+                          F.when(n > 1, F.sqrt(F.try_divide(F.col("_m2"), n))).otherwise(F.lit(0.0))))
+        feats = d.select("user_id", "transaction_id", "us", "amount", "latitude", "longitude", F.col("_sess").alias("sess"),
+                         F.col("_m2").alias("m2"), "time_since_last_txn_seconds", "distance_from_last_txn_km",
+                         "travel_speed_kmh", "is_impossible_travel", "txn_count_1h", "txn_count_24h", "txn_count_7d",
+                         "total_amount_24h", "user_txn_count_total", "user_avg_amount", "user_std_amount",
+                         F.lit(False).alias("late"))
+        feats.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+    finally:
+        for d in held_rows:
+            d.unpersist()
+
+    # everything below reads what was just written (no recompute; lineage cut)
     done = spark.read.parquet(f"{out_dir}/epoch={epoch}")
-    batch_max = done.agg(F.max("us")).first()[0]
-    new_max = max([x for x in (max_seen, batch_max) if x is not None], default=None)
-    new_wm = new_max - delay_us if new_max is not None else None
-    last = done.groupBy("user_id").agg(F.max_by(F.struct("us", "amount", "sess", "user_txn_count_total",
-                                                         "user_avg_amount", "m2"),
-                                                F.struct("us", "transaction_id")).alias("r"))
+    for folder, build in (outputs or {}).items():
+        build(done).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    done.select(*COLS, _day(F.col("us")).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{state}/tail/epoch={epoch}")
+    r = done.groupBy("user_id").agg(F.max_by(F.struct("us", "amount", "sess", "user_txn_count_total", "user_avg_amount", "m2"),
+                                             F.struct("us", "transaction_id")).alias("r"))
     x, k, mu = F.col("r.amount"), F.col("r.user_txn_count_total"), F.col("r.user_avg_amount")
-    new_mean = mu + (x - mu) / (k + 1)
-    upd = last.select("user_id", F.col("r.sess").alias("sess"), (k + 1).alias("n"), new_mean.alias("mean"),
-                      (F.col("r.m2") + (x - mu) * (x - new_mean)).alias("m2"), F.col("r.us").alias("last_us"))
-    keep = prof.join(upd.select("user_id"), "user_id", "left_anti")
-    profile_new = upd.unionByName(keep)
-    if new_wm is not None:
-        profile_new = profile_new.filter(F.col("last_us") >= F.lit(new_wm - ttl))
-    tail_new = tail.unionByName(done.select(*COLS))
-    if new_wm is not None:
-        tail_new = tail_new.filter(F.col("us") >= F.lit(new_wm - WEEK_US))
-    profile_new.write.mode("overwrite").parquet(cur + "/profile")
-    tail_new.write.mode("overwrite").parquet(cur + "/tail")
-    spark.createDataFrame([(new_max,)], META_SCHEMA).write.mode("overwrite").parquet(cur + "/meta")
-
-
-def start_stream_features(stream: DataFrame, base: str, delay_us: int = DAY_US,
-                          trigger: dict | None = None):
-    """Start the foreachBatch query; outputs under ``base``/out, late rows
-    under ``base``/late, state under ``base``/state, checkpoint ``base``/ck."""
-    state, out, late = base + "/state", base + "/out", base + "/late"
+    mean = mu + (x - mu) / (k + 1)
+    upd = r.select("user_id", F.col("r.sess").alias("sess"), (k + 1).alias("n"), mean.alias("mean"),
+                   (F.col("r.m2") + (x - mu) * (x - mean)).alias("m2"), F.col("r.us").alias("last_us"))
+    upd.write.mode("overwrite").parquet(f"{state}/profile/epoch={epoch}")
+    batch_max = done.agg(F.max("us")).first()[0]
+    new_max = max([v for v in (max_seen, batch_max) if v is not None], default=None)
+    new_base = base
+    if epoch % COMPACT == COMPACT - 1:
+        merged = _latest(_profiles(spark, state, epoch + 1, base))
+        if new_max is not None and t.profile_ttl_us is not None:
+            merged = merged.filter(F.col("last_us") >= F.lit(new_max - delay_us - t.profile_ttl_us))
+        merged.write.mode("overwrite").parquet(f"{state}/base/epoch={epoch}")
+        new_base = epoch
+    spark.createDataFrame([(new_max, new_base)], META_SCHEMA).write.mode("overwrite").parquet(f"{state}/meta/epoch={epoch}")
+    _expire(spark, state, epoch, base, max_seen, delay_us)
+
+
+def _expire(spark: SparkSession, state: str, epoch: int, base: int | None, max_seen: int | None, delay_us: int) -> None:
+    """Removes what no epoch from this one on reads (this one may run again)."""
+    for e in _numbered(spark, f"{state}/meta"):
+        if e < epoch - 1:
+            delete_path(spark, f"{state}/meta/epoch={e}")
+    if base is not None:
+        for e in _numbered(spark, f"{state}/profile"):
+            if e <= base:
+                delete_path(spark, f"{state}/profile/epoch={e}")
+        for e in _numbered(spark, f"{state}/base"):
+            if e < base:
+                delete_path(spark, f"{state}/base/epoch={e}")
+    if max_seen is not None:
+        first = (max_seen - delay_us - WEEK_US) // DAY_US
+        for e in _numbered(spark, f"{state}/tail"):
+            days = [n for n in list_path(spark, f"{state}/tail/epoch={e}") if n.startswith("day=")]
+            old = [n for n in days if int(n[4:]) < first]
+            if days and len(old) == len(days) and e < epoch:
+                delete_path(spark, f"{state}/tail/epoch={e}")
+            else:
+                for n in old:
+                    delete_path(spark, f"{state}/tail/epoch={e}/{n}")
+
+
+def start_stream_features(stream: DataFrame, base: str, delay_us: int = DAY_US, trigger: dict | None = None,
+                          outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+    """Start the foreachBatch query; outputs under ``base``/out and
+    ``base``/<name of each output>, late rows under ``base``/late, state under
+    ``base``/state, checkpoint ``base``/ck."""
     src = stream.select(*COLS)
-    w = (src.writeStream.foreachBatch(lambda df, e: process_batch(df, e, state, out, late, delay_us))
-            .option("checkpointLocation", base + "/ck"))
+    named = {f"{base}/{name}": build for name, build in (outputs or {}).items()}
+    w = (src.writeStream.foreachBatch(
+            lambda df, e: process_batch(df, e, base + "/state", base + "/out", base + "/late", delay_us, outputs=named))
+         .option("checkpointLocation", base + "/ck"))
     if trigger:
         w = w.trigger(**trigger)
     return w.start()
 
 
+def run_replay(spark: SparkSession, txn: DataFrame, base: str, order: list[int] | None = None, n_ranges: int = 2,
+               outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
+    """Replay ``txn`` through the stream: its equal ranges of event time, in
+    ``order`` (default: time order), are written as JSON files in parallel and
+    each processed by a restart of the query from its checkpoint."""
+    from .stream import read_txn_stream, replay_ranges, wire_records
+    staged = replay_ranges(txn, base + "/stage", n_ranges)
+    for k in (order or range(n_ranges)):
+        wire_records(staged.filter(F.col("_r") == k)).write.mode("append").json(base + "/src")
+        s = read_txn_stream(spark, "json", base + "/src")
+        start_stream_features(s, base, trigger={"availableNow": True}, outputs=outputs).awaitTermination()
+    delete_path(spark, base + "/stage")
+
+
 def run_features_replay_batched(spark: SparkSession, txn: DataFrame, base: str,
                                 order: list[int] | None = None) -> DataFrame:
-    """Replay ``txn`` (JSON files, in time order unless ``order`` says
-    otherwise) through the foreachBatch stream; returns the feature rows of
-    all epochs (late rows are under ``base``/late)."""
-    from .stream import FEATURE_SCHEMA, read_txn_stream, write_json_replay
-    write_json_replay(txn, base + "/src", order=order)
-    s = read_txn_stream(spark, "json", base + "/src", {"maxFilesPerTrigger": 1})
-    q = start_stream_features(s, base, trigger={"availableNow": True})
-    q.awaitTermination()
-    cols = [f.name for f in FEATURE_SCHEMA.fields]
-    return spark.read.parquet(base + "/out").select(*cols)
+    """The feature rows of all epochs of a replay (late rows are under
+    ``base``/late)."""
+    from .stream import FEATURE_SCHEMA
+    run_replay(spark, txn, base, order)
+    return spark.read.parquet(base + "/out").select(*[f.name for f in FEATURE_SCHEMA.fields])

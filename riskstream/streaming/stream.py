@@ -118,107 +118,12 @@ FEATURE_SCHEMA = T.StructType([
     T.StructField("user_std_amount", T.DoubleType()),
 ])
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()),
-    T.StructField("mean", T.DoubleType()),
-    T.StructField("m2", T.DoubleType()),
-    T.StructField("last_us", T.LongType()),
-    T.StructField("last_lat", T.DoubleType()),
-    T.StructField("last_lon", T.DoubleType()),
-    T.StructField("hist_us", T.ArrayType(T.LongType())),
-    T.StructField("hist_amt", T.ArrayType(T.DoubleType())),
-])
-
-
-def _haversine(lat1, lon1, lat2, lon2) -> float:
-    p1, p2 = math.radians(lat1), math.radians(lat2)
-    l1, l2 = math.radians(lon1), math.radians(lon2)
-    a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin((l2 - l1) / 2) ** 2
-    return 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(min(1.0, a)))
-
-
-def _make_processor(ttl_us: int = DAY_US, history_us: int = WEEK_US,
-                    max_speed: float = MAX_HUMAN_TRAVEL_SPEED_KMH):
-    cols = [f.name for f in FEATURE_SCHEMA.fields]
-
-    def process(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(pdfs)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        us_a = pdf["us"].to_numpy()
-        ids_a = pdf["transaction_id"].to_numpy()
-        order = np.lexsort((ids_a, us_a))
-        us_l = us_a[order].tolist()
-        ids_l = ids_a[order].tolist()
-        amt_l = pdf["amount"].to_numpy()[order].tolist()
-        lat_l = pdf["latitude"].to_numpy()[order].tolist()
-        lon_l = pdf["longitude"].to_numpy()[order].tolist()
-        uid = pdf["user_id"].iat[0]
-        if state.exists:
-            n, mean, m2, last_us, last_lat, last_lon, hu, ha = state.get
-            hu, ha = list(hu or []), list(ha or [])
-        else:
-            n, mean, m2, last_us, last_lat, last_lon, hu, ha = 0, 0.0, 0.0, None, None, None, [], []
-        out = {c: [] for c in cols}
-        for i, t in enumerate(us_l):
-            amt = amt_l[i]
-            if last_us is not None and t < last_us:
-                row = (ids_l[i], uid, t, amt, True) + (None,) * 11
-            else:
-                has = last_us is not None and (t - last_us) < ttl_us
-                if not has:
-                    n, mean, m2 = 0, 0.0, 0.0
-                dt = (t - last_us) / 1e6 if has else 0.0
-                dist = _haversine(last_lat, last_lon, lat_l[i], lon_l[i]) if has else 0.0
-                hours = dt / 3600.0
-                speed = 0.0 if (dt <= 0 or hours < 1e-6) else dist / hours
-                hi = bisect_right(hu, t - 1)
-                lo24 = bisect_left(hu, t - DAY_US)
-                row = (ids_l[i], uid, t, amt, False, dt, dist, speed, bool(dt > 0 and speed > max_speed),
-                       hi - bisect_left(hu, t - HOUR_US), hi - lo24, hi - bisect_left(hu, t - WEEK_US),
-                       float(sum(ha[lo24:hi])), n, mean if n > 0 else 0.0,
-                       math.sqrt(m2 / n) if n > 1 else 0.0)
-                # update after scoring (Welford)
-                n += 1
-                delta = amt - mean
-                mean += delta / n
-                m2 += delta * (amt - mean)
-                last_us, last_lat, last_lon = t, lat_l[i], lon_l[i]
-                hu.append(t)
-                ha.append(amt)
-                cut = bisect_left(hu, t - history_us)
-                if cut:
-                    del hu[:cut], ha[:cut]
-            for c, v in zip(cols, row):
-                out[c].append(v)
-        if last_us is not None:
-            state.update((n, mean, m2, last_us, last_lat, last_lon, hu, ha))
-            state.setTimeoutTimestamp(int(max(last_us + ttl_us, last_us + history_us) // 1000))
-        if out["us"]:
-            yield pd.DataFrame(out, columns=cols)
-
-    return process
-
-
-def stream_features(txn: DataFrame, watermark: str = "1 day", ttl_us: int = DAY_US) -> DataFrame:
-    """per-user stateful features; equal to the batch D1 + D2 + D3
-    columns on per-user ordered input."""
-    from ..session import ship_package
-    ship_package(txn.sparkSession)
-    d = txn.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
-    d = d.select("user_id", "transaction_id", "us", "ts", "amount", "latitude", "longitude")
-    return d.groupBy("user_id").applyInPandasWithState(
-        _make_processor(ttl_us), FEATURE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_score(features: DataFrame) -> DataFrame:
-    """rules on the streaming feature rows (stateless Columns)."""
+    """rules on the streaming feature rows (stateless Columns). Late rows
+    have no features; they are in the late table."""
     from ..functions.scalar import amount_zscore, hour_of_day
     from ..operators.rules import apply_rules
-    f = (features.filter(~F.col("late"))
-                 .withColumn("hour_of_day", hour_of_day("us"))
+    f = (features.withColumn("hour_of_day", hour_of_day("us"))
                  .withColumn("amount_zscore", amount_zscore("amount", "user_avg_amount", "user_std_amount")))
     return apply_rules(f)
 
@@ -231,11 +136,6 @@ def stream_alerts(scored: DataFrame, levels: list[str] | None = None) -> DataFra
     return to_keyed_json(a, "user_id")
 
 
-def stream_late(features: DataFrame) -> DataFrame:
-    """out-of-order rows, routed to their own table."""
-    return features.filter(F.col("late")).select("transaction_id", "user_id", "us", "amount")
-
-
 def throughput(df: DataFrame, width: str = "1 minute", label: str = "is_fraud") -> DataFrame:
     """total, fraud count and rate per second per tumbling window
     (batch or stream; on a stream add a watermark first)."""
@@ -248,11 +148,17 @@ def throughput(df: DataFrame, width: str = "1 minute", label: str = "is_fraud")
 
 
 def stream_score_counters(scored: DataFrame, width: str = "1 hour") -> DataFrame:
-    """running counters by (window, risk level, model) - a stateful
-    aggregate; with a watermark, ``update`` mode emits changed counts."""
+    """counts by (window, risk level, model) of a micro-batch; the running
+    counters are the sums over epochs (``running_counters``)."""
     ts = F.col("ts") if "ts" in scored.columns else F.timestamp_micros("us")
-    return scored.withColumn("ts", ts).withWatermark("ts", "1 day").groupBy(
-        F.window("ts", width).alias("w"), "risk_level", "model_used").agg(F.count(F.lit(1)).alias("n"))
+    return scored.withColumn("ts", ts).groupBy(
+        F.unix_micros(F.window("ts", width)["start"]).alias("window_start_us"), "risk_level", "model_used").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def running_counters(counts: DataFrame) -> DataFrame:
+    """the counters as of the last written epoch."""
+    return counts.groupBy("window_start_us", "risk_level", "model_used").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------------------
@@ -264,76 +170,17 @@ def replay_range(us: Column, lo: int, hi: int, n_files: int) -> Column:
     return F.floor((us - F.lit(lo)) * F.lit(n_files) / F.lit(hi - lo + 1)).cast("int")
 
 
-def write_json_replay(txn: DataFrame, path: str, n_files: int = 4, order: list[int] | None = None) -> None:
-    """Write transactions as JSON records, one file per equal event-time
-    range, appended one after another in ``order`` (default: time order).
-    The file source orders by modification time, so micro-batches follow
-    the write order; a non-monotone ``order`` replays late data."""
-    import time
-    d = txn.withColumn("timestamp", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
-    cols = [f.name for f in TXN_WIRE_SCHEMA.fields if f.name in d.columns]
-    d = d.withColumn("is_fraud", F.col("is_fraud") == 1) if "is_fraud" in d.columns else d
-    d = d.select(*cols, "us").persist()  # read by the span pass and every range write
-    lo, hi = d.agg(F.min("us"), F.max("us")).first()
-    d = d.withColumn("_r", replay_range(F.col("us"), lo, hi, n_files))
-    for k in (order or list(range(n_files))):
-        d.filter(F.col("_r") == k).select(*cols).coalesce(1).sortWithinPartitions("timestamp") \
-         .write.mode("append").json(path)
-        time.sleep(0.05)  # distinct modification times (each write takes longer)
-    d.unpersist()
-
-
-class _state_partitions:
-    """Start a new stateful query with one state partition per core (the
-    count is fixed in the checkpoint at the first start); restores the
-    session setting afterwards."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.spark.sparkContext.defaultParallelism))
-
-    def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
-
-
-def run_features_replay(spark: SparkSession, txn: DataFrame, base: str, files_per_trigger: int = 1) -> DataFrame:
-    """Replay ``txn`` through F1 with an availableNow trigger; returns the
-    feature rows read back from the parquet sink."""
-    src, out, ck = base + "/src", base + "/out", base + "/ck"
-    write_json_replay(txn, src)
-    s = read_txn_stream(spark, "json", src, {"maxFilesPerTrigger": files_per_trigger})
-    f = stream_features(s)
-    with _state_partitions(spark):
-        q = (f.writeStream.format("parquet").option("checkpointLocation", ck).option("path", out)
-              .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(FEATURE_SCHEMA).parquet(out)
-
-
-def run_replay(spark: SparkSession, txn: DataFrame, base: str, build, mode: str = "append") -> DataFrame:
-    """Replay ``txn`` through F1 and ``build`` (a function of the feature
-    stream) to a parquet sink; ``mode="update"`` writes each micro-batch's
-    changed rows under ``epoch=<id>`` (an update-mode file sink)."""
-    src, out, ck = base + "/src", base + "/out", base + "/ck"
-    write_json_replay(txn, src)
-    s = read_txn_stream(spark, "json", src, {"maxFilesPerTrigger": 1})
-    res = build(stream_features(s))
-    w = res.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
-    with _state_partitions(spark):
-        if mode == "update":
-            q = w.outputMode("update").foreachBatch(
-                lambda df, e: df.write.mode("overwrite").parquet(f"{out}/epoch={e}")).start()
-        else:
-            q = w.format("parquet").option("path", out).outputMode("append").start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold an update-mode sink: the last written row per key."""
-    cols = [c for c in updates.columns if c not in keys and c != "epoch"]
-    g = updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("r"))
-    return g.select(*keys, "r.*")
+def replay_ranges(txn: DataFrame, path: str, n_ranges: int = 4) -> DataFrame:
+    """The transactions staged in parallel, parted by ``_r``, their range."""
+    lo, hi = txn.agg(F.min("us"), F.max("us")).first()
+    d = txn.withColumn("_r", replay_range(F.col("us"), lo or 0, hi or 0, n_ranges))
+    d.write.mode("overwrite").partitionBy("_r").parquet(path)
+    return txn.sparkSession.read.parquet(path)
+
+
+def wire_records(d: DataFrame) -> DataFrame:
+    """Transactions as the records of the wire format."""
+    d = d.withColumn("timestamp", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+    if "is_fraud" in d.columns:
+        d = d.withColumn("is_fraud", F.col("is_fraud") == 1)
+    return d.select(*[f.name for f in TXN_WIRE_SCHEMA.fields if f.name in d.columns])

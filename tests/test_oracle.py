@@ -9,7 +9,8 @@ from riskstream.plans.queries import QUERIES
 
 from .conftest import SF_SMALL
 
-SLOW = {"model_score", "stream_features", "impute_median"}
+SLOW = {"model_score", "stream_features", "stream_features_batched", "stream_score", "stream_alerts", "impute_median", "train_pipeline",
+        "tune_grid"}
 
 
 @pytest.fixture(scope="module")

@@ -68,82 +68,56 @@ def test_smote_balance_and_segment(spark):
         assert syn.filter((F.col(f) < mn[f] - 1e-9) | (F.col(f) > mx[f] + 1e-9)).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from riskstream.streaming import stream as st
-    t = fx.txn(spark, SF_SMALL)
-    s = st.run_features_replay(spark, t, str(tmp_path / "replay"))
-    b = history.velocity_windows(history.user_profile_running(history.last_txn_features(t)))
-    cols = ["transaction_id", "txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total"]
+def _batch_features(t):
     from riskstream.functions.scalar import r6
-    a1 = s.select(*cols, r6("user_avg_amount").alias("avg"), r6("travel_speed_kmh").alias("spd"))
-    b1 = b.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols],
-                  r6("user_avg_amount").alias("avg"), r6("travel_speed_kmh").alias("spd"))
-    assert s.count() == t.count()
-    assert a1.exceptAll(b1).count() == 0
+    b = history.velocity_windows(history.user_profile_running(history.last_txn_features(t)))
+    return b.select("transaction_id", *[F.col(c).cast("long") for c in ("txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total")],
+                    r6("user_std_amount").alias("sd"), r6("total_amount_24h").alias("s"))
 
 
-def test_late_rows_routed(spark):
-    from riskstream.streaming import stream as st
-    f = spark.createDataFrame([("a", "u", 10 * 10**6, 1.0, False), ("b", "u", 5 * 10**6, 2.0, True)],
-                              "transaction_id string, user_id string, us long, amount double, late boolean")
-    assert [r["transaction_id"] for r in st.stream_late(f).collect()] == ["b"]
+def _same_columns(d):
+    from riskstream.functions.scalar import r6
+    return d.select("transaction_id", *[F.col(c).cast("long") for c in ("txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total")],
+                    r6("user_std_amount").alias("sd"), r6("total_amount_24h").alias("s"))
 
 
-def test_batched_stream_equals_batch_and_routes_late(spark, tmp_path):
-    from riskstream.functions.scalar import r6
+def test_stream_equals_batch_across_restarts(spark, monkeypatch):
+    """Each range of the replay restarts the query from its checkpoint in the
+    shared folder; state is merged into a base on the way."""
+    from riskstream.session import list_path, scratch_path
     from riskstream.streaming import batched
+    monkeypatch.setattr(batched, "COMPACT", 2)
     t = fx.txn(spark, SF_SMALL)
-    base = str(tmp_path / "rb")
-    s = batched.run_features_replay_batched(spark, t, base)
-    b = history.velocity_windows(history.user_profile_running(history.last_txn_features(t)))
-    cols = ["transaction_id", "txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total"]
-    a1 = s.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols],
-                  r6("user_std_amount").alias("sd"))
-    b1 = b.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols],
-                  r6("user_std_amount").alias("sd"))
-    assert s.count() == t.count() and a1.exceptAll(b1).count() == 0
-    # a replayed old row is late: routed apart, state untouched
-    u = t.select("user_id").first()["user_id"]
-    rows = t.filter(F.col("user_id") == u).orderBy("us").select(*batched.COLS).limit(2).collect()
-    early = spark.createDataFrame([rows[0]], t.select(*batched.COLS).schema)
-    later = spark.createDataFrame([rows[1]], t.select(*batched.COLS).schema)
-    batched.process_batch(later, 99, base + "/state_x", base + "/out_x", base + "/late_x")  # fresh state: on time
-    batched.process_batch(early, 100, base + "/state_x", base + "/out_x", base + "/late_x")
-    assert spark.read.parquet(base + "/late_x/epoch=100").count() == 1
-
-
-def test_restart_from_checkpoint(spark, tmp_path):
-    """Half the files, stop, the other half, restart on the same checkpoint:
-    every row exactly once and equal to the batch features (both F1s)."""
+    base = scratch_path(spark, "test-stream-replay")
+    batched.run_replay(spark, t, base)
+    got, want = _same_columns(spark.read.parquet(base + "/out")), _batch_features(t)
+    assert got.count() == t.count() and got.exceptAll(want).count() == 0
+    assert "epoch=1" in list_path(spark, base + "/state/base")
+    assert base == scratch_path(spark, "test-stream-replay")
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
     from riskstream.streaming import batched
-    from riskstream.streaming import stream as st
     t = fx.txn(spark, SF_SMALL)
-    b = history.velocity_windows(history.user_profile_running(history.last_txn_features(t)))
-    cols = ["transaction_id", "txn_count_24h", "txn_count_7d", "user_txn_count_total"]
-    want = b.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols])
-
-    base = str(tmp_path / "restart")
-    src, out, ck = base + "/src", base + "/out", base + "/ck"
-    for part in ([0, 1], [2, 3]):
-        st.write_json_replay(t, src, order=part)
-        s = st.read_txn_stream(spark, "json", src, {"maxFilesPerTrigger": 1})
-        q = (st.stream_features(s).writeStream.format("parquet").option("checkpointLocation", ck)
-             .option("path", out).trigger(availableNow=True).start())
-        q.awaitTermination()
-    got = spark.read.schema(st.FEATURE_SCHEMA).parquet(out)
-    assert got.count() == t.count()
-    assert got.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols]) \
-              .exceptAll(want).count() == 0
-
-    base2 = str(tmp_path / "restart_b")
-    for part in ([0, 1], [2, 3]):
-        st.write_json_replay(t, base2 + "/src", order=part)
-        s = st.read_txn_stream(spark, "json", base2 + "/src", {"maxFilesPerTrigger": 1})
-        batched.start_stream_features(s, base2, trigger={"availableNow": True}).awaitTermination()
-    got2 = spark.read.parquet(base2 + "/out")
-    assert got2.count() == t.count()
-    assert got2.select(*[F.col(c).cast("long") if c != "transaction_id" else F.col(c) for c in cols]) \
-               .exceptAll(want).count() == 0
+    base = str(tmp_path / "late")
+    batched.run_replay(spark, t, base, order=[0, 2, 1, 3], n_ranges=4)
+    out, late = spark.read.parquet(base + "/out"), spark.read.parquet(base + "/late")
+    assert late.count() > 0 and out.count() + late.count() == t.count()
+    assert out.select("transaction_id").intersect(late.select("transaction_id")).count() == 0
+
+
+def test_state_of_an_epoch_is_bounded_and_must_exist(spark, tmp_path):
+    from riskstream.streaming import batched
+    base = str(tmp_path / "state")
+    t = fx.txn(spark, SF_SMALL).select(*batched.COLS)
+    few = t.filter(F.col("user_id") == t.first()["user_id"])
+    batched.process_batch(t, 0, base + "/state", base + "/out", base + "/late")
+    later = few.withColumn("us", F.lit(t.agg(F.max("us")).first()[0] + 1)).limit(1)
+    batched.process_batch(later, 1, base + "/state", base + "/out", base + "/late")
+    for table in ("tail", "profile"):
+        assert spark.read.parquet(f"{base}/state/{table}/epoch=1").count() == 1
+    with pytest.raises(RuntimeError):
+        batched.process_batch(later, 7, base + "/state", base + "/out", base + "/late")
 
 
 def _plain(t, key):
