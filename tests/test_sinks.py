@@ -29,7 +29,7 @@ def test_route_alerts_partitioned_sink(spark, tmp_path):
 def test_keyed_json_stream_sink(spark, tmp_path):
     t = fx.txn(spark, SF_SMALL)
     src = str(tmp_path / "src")
-    st.write_json_replay(t, src, n_files=2)
+    st.wire_records(t).write.mode("append").json(src)
     s = st.read_txn_stream(spark, "json", src)
     keyed = st.to_keyed_json(s.select("user_id", "transaction_id", "amount"), "user_id")
     q = st.write_keyed(keyed, "parquet", str(tmp_path / "ck"), path=str(tmp_path / "out"),
