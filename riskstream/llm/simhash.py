@@ -150,7 +150,8 @@ def links(spark: SparkSession, fps: DataFrame, max_bits: int = MAX_BITS, segment
         for _, cell in grouped(batches, ["s", "k", "ci", "cj"]):
             e = cell["entry"].to_numpy()
             v = cell["fp"].to_numpy()
-            if e.any() and len(v) > 2:
+            # One row of each kind may be of two fingerprints, where a key is dealt to cells.
+            if e.any() and not e.all() and (len(v) > 2 or v[0] != v[1]):
                 found = cell_links(v[e], v[~e], max_bits)
                 if found:
                     yield pd.DataFrame(found, columns=["u", "v"])

@@ -104,3 +104,21 @@ def test_empty_table_and_hex(spark):
     assert S.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(0,), (-1,), (255,)], "fp long")
     assert [r[0] for r in df.select(S.hex_digits(F.col("fp"))).collect()] == ["0" * 16, "f" * 16, "0" * 14 + "ff"]
+
+
+def test_sparse_keys_beside_a_hot_value(spark, monkeypatch):
+    """Pairs alone under a segment value one bit below a hot one, 2 or 3 bits
+    apart in the other segment: that key is dealt like the hot one, so that
+    the two meet in a cell with no third row. And pairs that differ in both
+    segments, one end under the hot value."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    low = [int(x) for x in rng.choice(1 << 32, 300, replace=False)]
+    hot = 0xFFFFFFFF
+    fps = {hot << 32 | x for x in low[:200]}
+    for n, x in enumerate(low[200:232]):
+        beside = (hot ^ 1 << n) << 32
+        fps |= {beside | x, beside | x ^ (0b11 if n % 2 else 0b111)}
+    for n, x in enumerate(low[:32]):
+        fps.add((hot ^ 1 << n) << 32 | x ^ 0b101)
+    check_links(spark, sorted(fps))
