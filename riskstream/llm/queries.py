@@ -37,7 +37,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup(spark, docs, share=line_dedup.SHARE)
+    out = line_dedup.dedup(spark, docs, share=line_dedup.SHARE, short=line_dedup.SHORT)
     return out.select("doc_id", F.coalesce(F.size("lines_dropped"), F.lit(0)).alias("n_dropped"),
                       F.array_join("lines_dropped", ",").alias("dropped"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
