@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALERT_LEVELS, REQUEST_BUCKETS_S, SCORE_BUCKETS_S
+from ..functions import scalar
 from ..functions.text import normalize_endpoint
 from ..plans.chunked import prefix_aggregate
 
 STEP_US = 30_000_000  # evaluation interval of the rule groups
+STALE_US = 300_000_000  # age at which a gauge's last sample no longer counts
 
 
 def _le_label(b: float) -> str:
@@ -289,13 +291,20 @@ def fraud_rate_gauge(scored: DataFrame, levels: Sequence[str] = ALERT_LEVELS,
     return p.select("t_us", (F.col("_ck") / F.col("_cn")).alias("_rate"))
 
 
-def gauge_series(samples: DataFrame, metric: str, step_us: int = STEP_US) -> DataFrame:
-    """Last sample value of a gauge at each grid point (per label set)."""
+def gauge_series(samples: DataFrame, metric: str, step_us: int = STEP_US,
+                 stale_us: int = STALE_US) -> DataFrame:
+    """Last sample value of a gauge at each grid point (per label set): the
+    value of the latest sample that is less than ``stale_us`` old there."""
     s = samples.filter(F.col("metric") == metric)
     s = s.withColumn("_k", grid_index(F.col("us"), step_us))
     w = Window.partitionBy("labels", "_k").orderBy(F.desc("us"))
     last = s.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return last.select("labels", (F.col("_k") * F.lit(step_us)).alias("t_us"), F.col("value").cast("double"))
+    after = F.lead("_k").over(Window.partitionBy("labels").orderBy("_k")) - 1
+    # us + stale_us - 1 is the last time at which a sample counts; it does count at its own grid point
+    old = F.greatest(scalar.idiv(F.col("us") + F.lit(stale_us - 1), step_us), F.col("_k"))
+    last = last.withColumn("_to", F.least(after, old))
+    return last.select("labels", F.explode(F.sequence("_k", "_to")).alias("_g"), F.col("value").cast("double")) \
+        .select("labels", (F.col("_g") * F.lit(step_us)).alias("t_us"), "value")
 
 
 def evaluate_alert_rules(scored: DataFrame, requests: DataFrame | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskstream.operators import monitoring as mon
 from riskstream.sources import fixtures as fx
 
-from .conftest import SF_SMALL
+from .conftest import SF_ORACLE, SF_SMALL
 
 S = 30_000_000
 T0 = 1704067200000000
@@ -32,3 +32,20 @@ def test_windowed_rate_counts(spark):
     r = {x["t_us"]: x["increase"] for x in mon.windowed_rate(ev, [], 5 * 60_000_000).collect()}
     # an event at t counts at grid points g with t <= g < t + 5 m
     assert r[T0 + S] == 1 and r[T0 + 2 * S] == 2 and r[T0 + 11 * S] == 1 and (T0 + 12 * S) not in r
+
+
+def test_gauges_sampled_each_minute_hold(spark):
+    """Samples 60 s apart hold over the 30 s grid and end 5 minutes after the last."""
+    bad = {"circuit_breaker_state": 1.0, "feature_store_errors_total": 11.0, "kafka_consumer_lag": 10001.0, "up": 0.0}
+    rows = [(T0 + 2 * i * S, m, "x=1", v) for m, v in bad.items() for i in range(7)]
+    samples = spark.createDataFrame(rows, "us long, metric string, labels string, value double")
+    g = sorted((r["t_us"] - T0) // S for r in mon.gauge_series(samples, "up").collect())
+    assert g == list(range(12 + 10))
+    scored = fx.scored(spark, SF_ORACLE)
+    th = mon.AlertThresholds(critical_rate_per_s=0.0, high_value_per_hour=0.0, p95_latency_s=0.0, request_rate_per_s=0.0,
+                             prediction_error_rate_per_s=0.0, error_ratio=0.0)
+    out = mon.evaluate_alert_rules(scored, fx.requests(spark, SF_ORACLE), samples, th).cache()
+    gauges = out.filter(F.col("labels") == "labels=x=1").groupBy("rule").agg(F.max("state").alias("s"), F.min("state").alias("f")).collect()
+    assert {r["rule"] for r in gauges} == {"CircuitBreakerOpen", "RedisConnectionIssues", "KafkaConsumerLag", "ServiceDown"}
+    assert {r["f"] for r in gauges} == {"firing"}
+    assert {r["rule"] for r in out.select("rule").distinct().collect()} == {name for name, *_ in mon.RULES}
