@@ -654,7 +654,7 @@ def q_class_weight(spark, sf):
 
 @query("model_score")
 def q_model_score(spark, sf):
-    """Fit a small GBT on the point-in-time features of the training
+    """Fit the GBT on the point-in-time features of the training
     part (the same features serving computes), score the test part."""
     d = history.point_in_time_features(fx.txn(spark, sf))
     d = prep.stratified_split(d, "is_fraud", _txn_key(), [("test", 0.2)])
@@ -662,7 +662,7 @@ def q_model_score(spark, sf):
     train = d.filter(F.col("split") == "train")
     w = prep.class_weight(train).first()["scale_pos_weight"]
     train = train.withColumn("_w", F.when(F.col("is_fraud") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-    m = training.train_gbt(train, num, cat, training.GBTParams(max_iter=20, max_depth=4), weight_col="_w")
+    m = training.train_gbt(train, num, cat, training.GBTParams(), weight_col="_w")
     s = m.predict_proba(d, "model_probability")
     return s.select("transaction_id", r6("model_probability").alias("fraud_probability"),
                     scalar.risk_level("model_probability").alias("risk_level"))
