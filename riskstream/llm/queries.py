@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskstream.llm import (ann, byte_bpe, chat, embedding_dedup, line_dedup, packing, quality, simhash, toxicity,
-                            url_filter)
+                            url_filter, word_automaton)
 from riskstream.llm.common import crc_mod, read_table
 from riskstream.llm.oracle import ORACLE  # noqa: F401  (re-exported)
 
@@ -72,6 +72,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_word_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_automaton.digest(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_crf, op2_simhash_mih, op3_byte_bpe, op4_line_dedup, op5_url_filter, op6_chat_repair, op7_ann_mih,
-    op8_toxicity, op9_embedding_dedup, op10_packing)}
+    op8_toxicity, op9_embedding_dedup, op10_packing, op11_word_automaton)}
