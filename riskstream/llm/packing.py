@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 65_536
-MEMO_ENTRIES = 150_000    # a worker's memo holds up to twice as many chunks, and parts
+MEMO_ENTRIES = 150_000    # of a generation: a worker's memo holds up to twice as many
+PART_ENTRIES = 300_000    # of the memo of pre-tokens
 MEMO_CHARS = 64           # longer ones are not remembered
 
 # Pre-tokens of lower-cased Latin-1 text, as the file's pattern cuts them.
@@ -64,12 +65,11 @@ class Memo(dict):
 class WordIds:
     """Ids of whole texts from a ``tokenizers`` file that drops white space.
 
-    No token spans white space, so a text is cut at spaces and line ends;
-    other kinds of white space stay inside a chunk. A Latin-1 chunk (stable
-    under the file's normaliser but for its case) is cut further at the
-    file's own pre-token borders, so that chunks differing in case or
-    punctuation share parts, and each part goes to the library's model. Any
-    other chunk goes through the library's whole chain.
+    A Latin-1 text (which the file's normaliser changes in case and white space
+    only) is cut at the file's own pre-token borders, and each distinct part
+    goes to the library's model once. In other texts no token spans a space or
+    line end: their chunks in between go the same way, those beyond Latin-1
+    through the library's whole chain.
     """
 
     def __init__(self, path: str):
@@ -84,22 +84,19 @@ class WordIds:
             word = part if part.isalpha() and part.isascii() else "".join([self.letters[b] for b in part.encode()])
             return np.array([t.id for t in model(word)], "<u4").tobytes()
 
-        self.parts = Memo(part_ids)
-
-        def chunk_ids(chunk: str) -> bytes:
-            try:
-                chunk.encode("latin-1")
-            except UnicodeEncodeError:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                return np.array(ids, "<u4").tobytes()
-            return b"".join([self.parts[p] for p in _PARTS.findall(chunk.lower())])
-
-        self.chunks = Memo(chunk_ids)
+        self.parts = Memo(part_ids, PART_ENTRIES)
+        self.chunks = Memo(lambda c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids of a whole text."""
-        chunks = self.chunks
-        return b"".join([chunks[w] for w in text.replace("\n", " ").split(" ")])
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            chunks = text.replace("\n", " ").split(" ")
+            if len(chunks) == 1:
+                return self.chunks[text]
+            return b"".join([self.encode(c) for c in chunks if c])
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
 
 
 _LOADED: dict[str, WordIds] = {}
