@@ -56,4 +56,57 @@ FROM judged j LEFT JOIN scored s ON s.url = coalesce(j.url, '') AND j.v IS NULL
 """
 
 
-ORACLE = {"op5_url_filter": _url_filter()}
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, half a byte at a time."""
+    table = []
+    for v in range(16):
+        for _ in range(4):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        table.append(v)
+    half = "xor(({0}) >> 4, " + f"{table}::BIGINT[]" + "[(({0}) & 15) + 1])"
+    step = half.format(half.format("xor(c, b)"))
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: unicode(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def _merkle(levels: int = 6, upper: int = 3) -> str:
+    """Trees of up to 16 ** levels leaves a source and 16 ** upper sources."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+            for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(n: str, count: int) -> str:
+        return "".join(f"""
+{n}r{k} AS (SELECT src, pos // 16 AS grp, any_value(cnt) AS cnt, string_agg(h, '' ORDER BY pos) AS run FROM {n}{k} WHERE cnt > 1 GROUP BY ALL),
+{n}{k + 1} AS (SELECT src, grp AS pos, sha256(run) AS h, (cnt + 15) // 16 AS cnt FROM {n}r{k}
+        UNION ALL SELECT src, pos, h, cnt FROM {n}{k} WHERE cnt = 1),""" for k in range(count))
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps, at = [], 0
+    for n, count, src, pos in (("n", levels, "p.src", "p.pos"), ("u", upper, "0", "p.src")):
+        for k in range(count):
+            place = f"({pos} // {16 ** k} % 16 * 64)::INT"
+            rest = f"substr(r.run, {place} + 65)"
+            steps.append(f"""
+p{at + 1} AS (SELECT p.src, p.pos, p.doc_id, p.leaf,
+    CASE WHEN r.run IS NULL THEN p.f ELSE sha256(left(r.run, {place}) || p.f || {rest}) END AS f,
+    CASE WHEN r.run IS NULL THEN p.sib ELSE p.sib || left(r.run, {place}) || {rest} END AS sib
+  FROM p{at} p LEFT JOIN {n}r{k} r ON r.src = {src} AND r.grp = {pos} // {16 ** (k + 1)}),""")
+            at += 1
+    return f"""
+WITH base AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf,
+         CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS claimed FROM documents),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, count(*) OVER (PARTITION BY source) AS cnt,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM base),
+n0 AS (SELECT src, pos, leaf AS h, cnt FROM l),{tree('n', levels)}
+u0 AS (SELECT 0 AS src, src AS pos, h, count(*) OVER () AS cnt FROM n{levels}),{tree('u', upper)}
+p0 AS (SELECT src, pos, doc_id, leaf, claimed AS f, '' AS sib FROM l),{''.join(steps)}
+found AS (SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM u{upper}) AS root, sha256(p.sib) AS proof_sha256, p.f AS folded_root
+          FROM p{at} p JOIN n{levels} s ON s.src = p.src)
+SELECT *, folded_root = root AS verified FROM found
+"""
+
+
+ORACLE = {"op5_url_filter": _url_filter(), "op12_merkle_manifest": _merkle()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskstream.llm import (ann, byte_bpe, chat, embedding_dedup, line_dedup, packing, quality, simhash, toxicity,
+from riskstream.llm import (ann, byte_bpe, chat, embedding_dedup, line_dedup, merkle, packing, quality, simhash, toxicity,
                             url_filter, word_automaton)
 from riskstream.llm.common import crc_mod, read_table
 from riskstream.llm.oracle import ORACLE  # noqa: F401  (re-exported)
@@ -76,6 +76,15 @@ def op11_word_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_automaton.digest(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.verify(spark, docs, tampered)
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_crf, op2_simhash_mih, op3_byte_bpe, op4_line_dedup, op5_url_filter, op6_chat_repair, op7_ann_mih,
-    op8_toxicity, op9_embedding_dedup, op10_packing, op11_word_automaton)}
+    op8_toxicity, op9_embedding_dedup, op10_packing, op11_word_automaton, op12_merkle_manifest)}
