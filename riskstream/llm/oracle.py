@@ -63,7 +63,7 @@ def _crc32(text: str) -> str:
         for _ in range(4):
             v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
         table.append(v)
-    half = "xor(({0}) >> 4, " + f"{table}::BIGINT[]" + "[(({0}) & 15) + 1])"
+    half = "xor(({0}) >> 4, list_extract(" + f"{table}::BIGINT[]" + ", (({0}) & 15) + 1))"
     step = half.format(half.format("xor(c, b)"))
     codes = f"list_transform(range(1, length({text}) + 1), lambda i: unicode(substr({text}, i, 1))::BIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
