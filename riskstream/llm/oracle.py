@@ -109,4 +109,66 @@ SELECT *, folded_root = root AS verified FROM found
 """
 
 
-ORACLE = {"op5_url_filter": _url_filter(), "op12_merkle_manifest": _merkle()}
+def _structure() -> str:
+    """The cheapest edits from the last row to the first, as least (cost,
+    audit) from each state: 0 start, 1 after system, 2 user, 3 assistant.
+    Insertions are left out: deleting the partner of an inserted row is cheaper."""
+    white = "[\\x20\\x09-\\x0D]"
+    stay = "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+
+    def state(q: int) -> str:
+        step = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[q]
+        options = [f"{{'c': d.b{q}.c + 2, 's': 'D' || d.b{q}.s}}"]
+        for initial, to in step.items():
+            ok = "r.fault IN ('blank', 'duplicate')"
+            options.append(f"CASE WHEN NOT {ok} AND r.i = '{initial}' THEN {{'c': d.b{to}.c + {stay}, 's': 'K' || d.b{to}.s}} END")
+            if initial != "s":
+                options.append(f"CASE WHEN NOT {ok} THEN {{'c': d.b{to}.c + 1 + {stay}, 's': 'R' || d.b{to}.s}} END")
+        return f"list_min([{', '.join(options)}]) AS b{q}"
+
+    none = "{'c': 1000000000::BIGINT, 's': ''}"
+    clean = "{'c': 0::BIGINT, 's': ''}"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM d WHERE k <> 0),
+placed AS (SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM rows),
+faults AS (
+  SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair, CASE
+    WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?]{white}*$') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, max(n) AS n,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, n, {clean} AS b0, {none} AS b1, {none} AS b2, {clean} AS b3 FROM stats
+  UNION ALL
+  SELECT d.conv_id, d.n - 1, {state(0)}, {state(1)}, {state(2)}, {state(3)}
+  FROM dp d JOIN faults r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.n = d.n),
+ways AS (SELECT conv_id, b0.c AS cost, b0.s AS audit FROM dp WHERE n = 0),
+edits AS (SELECT f.*, substr(w.audit, f.n::INT, 1) AS e FROM faults f JOIN ways w ON w.conv_id IS NOT DISTINCT FROM f.conv_id),
+stays AS (SELECT *, e = 'K' AND i = 's' AS lead, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k,
+                 max(CASE WHEN e = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM edits WHERE e <> 'D'),
+texts AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                                    chr(10) ORDER BY n)) AS h FROM stays GROUP BY conv_id)
+SELECT a.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+       coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(w.cost, 0) AS cost,
+       coalesce(w.audit, '') AS audit, coalesce(t.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN ways w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+ORACLE = {"op5_url_filter": _url_filter(), "op12_merkle_manifest": _merkle(),
+          "op13_structure_repair": _structure()}

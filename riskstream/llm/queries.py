@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskstream.llm import (ann, byte_bpe, chat, embedding_dedup, line_dedup, merkle, packing, quality, simhash, toxicity,
-                            url_filter, word_automaton)
+from riskstream.llm import (ann, byte_bpe, chat, embedding_dedup, line_dedup, merkle, packing, quality, simhash, structure,
+                            toxicity, url_filter, word_automaton)
 from riskstream.llm.common import crc_mod, read_table
 from riskstream.llm.oracle import ORACLE  # noqa: F401  (re-exported)
 
@@ -85,6 +85,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return structure.repair(spark, structure.damage(rows), rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_crf, op2_simhash_mih, op3_byte_bpe, op4_line_dedup, op5_url_filter, op6_chat_repair, op7_ann_mih,
-    op8_toxicity, op9_embedding_dedup, op10_packing, op11_word_automaton, op12_merkle_manifest)}
+    op8_toxicity, op9_embedding_dedup, op10_packing, op11_word_automaton, op12_merkle_manifest,
+    op13_structure_repair)}
