@@ -698,12 +698,47 @@ med AS (SELECT {', '.join(f"median({c}) AS m_{c}" for c in _TRAIN_EXPR)} FROM go
 SELECT transaction_id, {', '.join(f"round(coalesce({c}, (SELECT m_{c} FROM med)), 6) AS {c}" for c in _TRAIN_EXPR)}
 FROM gone""", "txn"))
 
-register("standard_scale", with_views("""
-SELECT transaction_id,
-  round((amount - (SELECT avg(amount) FROM txn)) / coalesce(nullif((SELECT stddev_pop(amount) FROM txn), 0), 1), 6) AS amount,
-  round((latitude - (SELECT avg(latitude) FROM txn)) / coalesce(nullif((SELECT stddev_pop(latitude) FROM txn), 0), 1), 6) AS latitude,
-  round((longitude - (SELECT avg(longitude) FROM txn)) / coalesce(nullif((SELECT stddev_pop(longitude) FROM txn), 0), 1), 6) AS longitude
-FROM txn""", "txn"))
+register("standard_scale", with_views(f"""{_TRAIN_CTES},
+x AS (SELECT transaction_id, {', '.join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in _TRAIN_EXPR.items())} FROM t2),
+fit AS (SELECT {', '.join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _TRAIN_EXPR)} FROM x)
+SELECT transaction_id, {', '.join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _TRAIN_EXPR)} FROM x, fit""", "txn"))
+
+
+def _gain(side: str) -> str:
+    """Gain of a first split with penalties 0.1 and 1 and a hessian of 3 at
+    least: a row's gradient is 0.5 less its label, its hessian 0.25."""
+    more = {"left": (" + gm", " + hm"), "right": ("", "")}[side]
+    gl, hl = f"(gl{more[0]})", f"(hl{more[1]})"
+    def score(g, h):
+        return f"power(greatest(abs({g}) - 0.1::DOUBLE, 0), 2) / ({h} + 1)"
+    return (f"CASE WHEN {hl} >= 3 AND ht - {hl} >= 3 THEN round({score(gl, hl)} + {score(f'gt - {gl}', f'ht - {hl}')} - "
+            f"{score('gt', 'ht')}, 6) END AS gain_missing_{side}")
+
+
+register("split_gains", with_views(f"""{_TRAIN_CTES},
+x AS (SELECT is_fraud, {', '.join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in _TRAIN_EXPR.items())} FROM t2),
+long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS v, is_fraud FROM x" for c in _TRAIN_EXPR)}),
+ends AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY feature),
+cuts AS (SELECT feature, lo + (hi - lo) * i / 16 AS cut FROM ends, range(1, 16) r(i) WHERE lo IS NOT NULL),
+sums AS (SELECT c.feature, c.cut, sum(CASE WHEN v <= cut THEN 0.5 - is_fraud ELSE 0 END)::DOUBLE AS gl,
+    sum(CASE WHEN v <= cut THEN 0.25 ELSE 0 END)::DOUBLE AS hl, sum(0.5 - is_fraud)::DOUBLE AS gt, sum(0.25)::DOUBLE AS ht,
+    sum(CASE WHEN v IS NULL THEN 0.5 - is_fraud ELSE 0 END)::DOUBLE AS gm, sum(CASE WHEN v IS NULL THEN 0.25 ELSE 0 END)::DOUBLE AS hm
+  FROM cuts c JOIN long l USING (feature) GROUP BY c.feature, c.cut)
+SELECT feature, round(cut, 6) AS cut, {_gain('left')}, {_gain('right')} FROM sums""", "txn"))
+
+register("tree_score", with_views(f"""{_TRAIN_CTES},
+x AS (SELECT transaction_id, {', '.join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in _TRAIN_EXPR.items())} FROM t2),
+p AS (SELECT transaction_id, 1 / (1 + exp(-(
+    CASE WHEN merchant_risk_score <= 0.1 OR merchant_risk_score IS NULL THEN
+      CASE WHEN amount_zscore <= 2 OR amount_zscore IS NULL THEN CASE WHEN hour_of_day <= 4 THEN -0.2::DOUBLE ELSE -0.9::DOUBLE END
+           ELSE 0.35::DOUBLE END
+    WHEN velocity_score <= 0.3 THEN 0.8::DOUBLE ELSE 1.4::DOUBLE END
+  + (CASE WHEN distance_from_last <= 1200 OR distance_from_last IS NULL THEN CASE WHEN amount <= 500 THEN -0.6::DOUBLE ELSE 0.15::DOUBLE END
+     WHEN time_since_last_txn <= 3600 OR time_since_last_txn IS NULL THEN 1.1::DOUBLE ELSE 0.4::DOUBLE END
+  + CASE WHEN amount_zscore <= 3 OR amount_zscore IS NULL THEN CASE WHEN merchant_risk_score <= 0.01 THEN -0.5::DOUBLE ELSE 0.05::DOUBLE END
+    ELSE 0.9::DOUBLE END)))) AS p FROM x)
+SELECT transaction_id, round(p, 6) AS fraud_probability,
+  CASE WHEN p >= 0.85 THEN 'CRITICAL' WHEN p >= 0.70 THEN 'HIGH' WHEN p >= 0.50 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM p""", "txn"))
 
 
 def _onehot(c: str) -> str:
@@ -715,6 +750,9 @@ register("one_hot", with_views(
     f"SELECT transaction_id, {_onehot('currency')}, {_onehot('merchant_category')}, {_onehot('channel')} "
     "FROM txn_raw r", "txn_raw"))
 
+register("one_hot_training", with_views(
+    "SELECT transaction_id, " + ", ".join(map(_onehot, ("currency", "merchant_category", "channel", "country"))) + " FROM txn r", "txn"))
+
 SPLIT_SQL = """sp0 AS (SELECT transaction_id, is_fraud, CAST(substr(transaction_id, 5) AS BIGINT) AS k,
   (CAST(substr(transaction_id, 5) AS BIGINT) * 2654435761 + 4074) % 4294967296 AS h FROM txn),
 sp1 AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY h, k) AS r1,

@@ -577,7 +577,10 @@ def q_rate_status(spark, sf):
 # G: preparation, oversampling, training
 # ---------------------------------------------------------------------------
 from ..config import TRAIN_CATEGORICAL_FEATURES, TRAIN_NUMERIC_FEATURES  # noqa: E402
-from ..operators import prep, smote as smote_mod, training  # noqa: E402
+from ..operators import boosting, prep, smote as smote_mod, training  # noqa: E402
+from .sample_model import SAMPLE_MODEL  # noqa: E402
+
+BOOST_ROUNDS = 5      # of the registered query; BoostParams has the full setting
 
 
 def _txn_key():
@@ -612,8 +615,9 @@ def q_impute_median(spark, sf):
 
 @query("standard_scale")
 def q_standard_scale(spark, sf):
-    t = fx.txn(spark, sf)
-    cols = ["amount", "latitude", "longitude"]
+    """All training columns."""
+    t = history.training_features(fx.txn(spark, sf))
+    cols = TRAIN_NUMERIC_FEATURES
     s = prep.standard_scale(t, prep.fit_scaler(t, cols))
     return s.select("transaction_id", *[r6(c).alias(c) for c in cols])
 
@@ -626,6 +630,15 @@ def q_one_hot(spark, sf):
                                         for c in cats])
 
 
+@query("one_hot_training")
+def q_one_hot_training(spark, sf):
+    """All categorical training columns of the valid rows, country included."""
+    t = fx.txn(spark, sf)
+    cats = prep.fit_categories(t, TRAIN_CATEGORICAL_FEATURES)
+    return prep.one_hot(t, cats).select("transaction_id", *[
+        F.array_join(F.col(f"{c}_onehot").cast("array<string>"), "").alias(c) for c in cats])
+
+
 @query("stratified_split")
 def q_split(spark, sf):
     d = prep.stratified_split(fx.txn(spark, sf), "is_fraud", _txn_key(), [("test", 0.2), ("validation", 0.1)])
@@ -668,6 +681,42 @@ def q_model_score(spark, sf):
                     scalar.risk_level("model_probability").alias("risk_level"))
 
 
+@query("split_gains")
+def q_split_gains(spark, sf):
+    """Gains of all splits of the first tree's root, on all training
+    columns, cut at sixteenths between their extremes."""
+    d = history.training_features(fx.txn(spark, sf))
+    cols = TRAIN_NUMERIC_FEATURES
+    x = d.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    cuts = {c: [x[f"lo_{c}"] + (x[f"hi_{c}"] - x[f"lo_{c}"]) * i / 16 for i in range(1, 16)] if x[f"lo_{c}"] is not None else []
+            for c in cols}
+    g = boosting.split_gains(d, cols, "is_fraud", cuts)
+    return g.select("feature", r6("cut").alias("cut"), r6("gain_missing_left").alias("gain_missing_left"),
+                    r6("gain_missing_right").alias("gain_missing_right"))
+
+
+@query("tree_score")
+def q_tree_score(spark, sf):
+    """A given model's trees, compiled to SQL text, score every row."""
+    d = history.training_features(fx.txn(spark, sf))
+    p = F.expr(boosting.Booster(**SAMPLE_MODEL).probability_sql())
+    return d.select("transaction_id", r6(p).alias("fraud_probability"), scalar.risk_level(p).alias("risk_level"))
+
+
+@query("boosted_score")
+def q_boosted_score(spark, sf):
+    """Second-order trees on all numeric and categorical features,
+    validated every round, saved, loaded, and all rows scored."""
+    d = prep.stratified_split(_training_frame(spark, sf), "is_fraud", _txn_key(), [("test", 0.2), ("validation", 0.1)])
+    num, cat = prep.select_available_features(d)
+    m = training.train_boosted(d.where("split = 'train'"), num, cat, boosting.BoostParams(rounds=BOOST_ROUNDS),
+                               validation=d.where("split = 'validation'"))
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    m.save(path)
+    return training.BoostedModel.load(path).predict_proba(d, "fraud_probability").select(
+        "transaction_id", r6("fraud_probability").alias("fraud_probability"), scalar.risk_level("fraud_probability").alias("risk_level"))
+
+
 def _training_frame(spark, sf):
     """Serving features of all transactions, computed once."""
     path = scratch_path(spark, f"train-{uuid.uuid4().hex}")
