@@ -202,6 +202,11 @@ def _meet(base: DataFrame, queries: DataFrame, codes: Codes, radius: int, n: int
                 for m, own_row in enumerate(part["row"].tolist()):
                     cand = np.flatnonzero(near[m] & (row != own_row))
                     score = x[cand] @ y[m]
+                    if len(cand) > k:
+                        least = np.partition(score, -k)[-k]
+                        cand = cand[score >= least - 1e-9 * (1 + abs(least))]
+                    # Summed row by row: equal vectors get equal scores, so that ties go by id.
+                    score = (x[cand] * y[m]).sum(1)
                     best = np.lexsort((ids[cand], -score))[:k]
                     whose.append(np.full(len(best), m))
                     which.append(cand[best])

@@ -126,3 +126,18 @@ def test_search_recall_on_the_table(spark):
     hit = sum(i in got[q] for q, best in want.items() for _, i in best) / (ann.K * len(want))
     assert hit >= 0.9
     assert all(abs(got[q][i] + s) < 1e-12 for q, best in want.items() for s, i in best if i in got[q])
+
+
+def test_equal_vectors_are_ordered_by_id(spark):
+    rng = np.random.default_rng(8)
+    distinct = rng.normal(size=(40, 64))
+    rows = [(i, distinct[i % 40].tolist()) for i in range(480)]
+    by_query = {}
+    for r in ann.search(spark, table(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        by_query.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    assert len(by_query) == 24
+    for found in by_query.values():
+        found.sort()
+        assert [x[1:] for x in found] == sorted(x[1:] for x in found)
+        for (_, s, v), (_, t, w) in zip(found, found[1:]):
+            assert s != t if v % 40 != w % 40 else s == t
