@@ -6,21 +6,31 @@ symbols from left to right, each rewriting what the one before it wrote:
 
     report:   insults and threats after a verb of saying become quoted ones,
               up to the end of the clause;
-    negate:   the next insult or threat within three words of a negation
-              becomes a denied one;
-    threaten: a threat followed by a target in the clause becomes an aimed one;
-    aim:      an insult after a target becomes an aimed one;
-    insult:   what is left of insults and threats is passed on as a match,
-              everything else is deleted.
-
-Their composition is built once, state by state, and is what runs. A clause is
-scored by its matches, so a word counts by what stands around it.
+    negate:   insults and threats within three words of a negation become
+              denied ones;
+    threaten: a threat may be guessed to be aimed; the clause must then name
+              a target after it;
+    aim:      an insult after a target is aimed; one before a target may be
+              guessed to be, and the target must follow within three words;
+    weigh:    every match pays its kind's weight, all else is deleted.
+
+The middle two have several arcs for a symbol and reject paths whose guess does
+not come true. The composition is built once, state by state, and is what
+runs: a clause's score is the weight of its best accepted path, so a word
+counts by what stands around it. A document's score is a logistic model over
+its clauses (sum, density and largest of their scores).
+
+An isolated insult weighs 1. The other weights are fitted, between bounds that
+keep aimed >= isolated >= quoted >= denied >= 0 for insults and threats alike,
+and drawn to ``PRIOR``, which stands where the sample has no such match. The
+bounds also make the best path the same for all weights. The document model
+never falls with a clause's score.
 
 The insult vocabulary is a short list of common ones and what is learned from
 labelled documents: words, and stems at the front of words, whose rate in
-toxic documents exceeds that in others beyond chance. A logistic model over a document's matches (number and density
-by kind) gives the score. Training reads at most ``TRAIN_DOCS`` labelled
-documents; scoring is a map over the rows.
+toxic documents exceeds that in others beyond chance. Training reads at most
+``TRAIN_DOCS`` labelled documents; scoring is a map over the rows. A text is
+read line by line, holding the symbols of one clause's states at a time.
 """
 
 from __future__ import annotations
@@ -64,69 +74,111 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 QUOTED_INSULT, QUOTED_THREAT, DENIED, AIMED_THREAT, AIMED_INSULT = range(6, 11)
 SYMBOLS = 11
 KINDS = (INSULT, THREAT, QUOTED_INSULT, QUOTED_THREAT, DENIED, AIMED_THREAT, AIMED_INSULT)
+#: Weights by kind where nothing is learned; an isolated insult is the unit.
+PRIOR = {INSULT: 1.0, THREAT: 0.2, QUOTED_INSULT: 0.3, QUOTED_THREAT: 0.05, DENIED: 0.05,
+         AIMED_THREAT: 1.5, AIMED_INSULT: 1.5}
+PRIOR_PULL = 4.0           # log-likelihood that a weight one unit from its prior costs
+REACH = 3                  # words between an insult and the target after it; also what a negation reaches
+_BITS = 32                 # of a kind's number of matches in a path's packed counts
 
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 _CLAUSE_END = re.compile(r"[.!?;:]+[\"')\]]*$")
 
 
 class Transducer:
-    """Deterministic: table[state][symbol] = (next state, written symbol)."""
+    """Weighted, several arcs allowed: ``table[state][symbol]`` is a list of
+    (next state, written symbol, weight); ``accepts`` are the states a path
+    may end in."""
 
-    def __init__(self, table: list[list[tuple[int, int]]]):
-        self.table = table
+    def __init__(self, table: list[list[list[tuple[int, int, float]]]], accepts: set[int]):
+        self.table, self.accepts = table, accepts
 
     @classmethod
-    def of(cls, states: int, rules: dict[tuple[int, int], tuple[int, int]]) -> Transducer:
-        """Where no rule holds, the symbol is copied and the state kept."""
-        return cls([[rules.get((s, a), (s, a)) for a in range(SYMBOLS)] for s in range(states)])
+    def of(cls, states: int, rules: dict[tuple[int, int], list], accepts: set[int] | None = None) -> Transducer:
+        """Where no rule holds, the symbol is copied and the state kept, at weight 0."""
+        return cls([[[(*arc, 0.0)[:3] for arc in rules.get((s, a), [(s, a)])] for a in range(SYMBOLS)]
+                    for s in range(states)], set(range(states)) if accepts is None else accepts)
 
     def then(self, other: Transducer) -> Transducer:
         """The composition, over the state pairs that can be reached."""
-        number, todo, table = {(0, 0): 0}, [(0, 0)], []
-        while todo:
-            s, t = todo.pop(0)
+        number, todo, table, accepts = {(0, 0): 0}, [(0, 0)], [], set()
+        for s, t in todo:                # grows while it is read
+            if s in self.accepts and t in other.accepts:
+                accepts.add(number[s, t])
             row = []
             for a in range(SYMBOLS):
-                s2, b = self.table[s][a]
-                t2, c = other.table[t][b]
-                if (s2, t2) not in number:
-                    number[s2, t2] = len(number)
-                    todo.append((s2, t2))
-                row.append((number[s2, t2], c))
+                arcs = []
+                for s2, b, w in self.table[s][a]:
+                    for t2, c, v in other.table[t][b]:
+                        if (s2, t2) not in number:
+                            number[s2, t2] = len(number)
+                            todo.append((s2, t2))
+                        arcs.append((number[s2, t2], c, w + v))
+                row.append(arcs)
             table.append(row)
-        return Transducer(table)
+        return Transducer(table, accepts)
 
-    def run(self, symbols) -> list[int]:
-        state, out = 0, []
+    def best(self, symbols) -> tuple[float, int]:
+        """(weight, packed counts of the written kinds) of the best accepted
+        path; equal weights are decided by the counts."""
+        live = {0: (0.0, 0)}
         for a in symbols:
-            state, b = self.table[state][a]
-            out.append(b)
-        return out
+            after: dict[int, tuple[float, int]] = {}
+            for state, (weight, counts) in live.items():
+                for s2, b, w in self.table[state][a]:
+                    path = (weight + w, counts + _UNIT[b])
+                    if s2 not in after or after[s2] < path:
+                        after[s2] = path
+            live = after
+        return max((path for state, path in live.items() if state in self.accepts), default=(0.0, 0))
+
+
+_UNIT = [1 << (_BITS * KINDS.index(b)) if b in KINDS else 0 for b in range(SYMBOLS)]
+
+
+def unpack(counts: int) -> np.ndarray:
+    """Matches by kind of a path's packed counts."""
+    return np.array([counts >> (_BITS * k) & ((1 << _BITS) - 1) for k in range(len(KINDS))], "f8")
+
+
+def weigh(weights: dict[int, float]) -> Transducer:
+    """Matches pay their kind's weight, everything else is deleted."""
+    return Transducer.of(1, {(0, a): [(0, a, weights[a])] if a in weights else [(0, OTHER)] for a in range(SYMBOLS)})
 
 
-def grammar() -> Transducer:
-    report = Transducer.of(2, {(0, REPORT): (1, OTHER), (1, REPORT): (1, OTHER), (1, INSULT): (1, QUOTED_INSULT),
-                               (1, THREAT): (1, QUOTED_THREAT)})
+def grammar(weights: dict[int, float] = PRIOR) -> Transducer:
+    report = Transducer.of(2, {(0, REPORT): [(1, OTHER)], (1, REPORT): [(1, OTHER)],
+                               (1, INSULT): [(1, QUOTED_INSULT)], (1, THREAT): [(1, QUOTED_THREAT)]})
     rules = {}
-    for s in range(4):                   # words the negation still reaches
+    for s in range(REACH + 1):           # words the negation still reaches
         for a in range(SYMBOLS):
-            rules[s, a] = (max(0, s - 1), DENIED if s and a in (INSULT, THREAT) else a)
-        rules[s, NEGATION] = (3, OTHER)
-    negate = Transducer.of(4, rules)
-    # A threat waits as state 1; the target that follows is rewritten to the aimed threat.
-    threaten = Transducer.of(2, {(0, THREAT): (1, THREAT), (1, THREAT): (1, THREAT), (1, TARGET): (0, AIMED_THREAT)})
-    aim = Transducer.of(2, {(0, TARGET): (1, OTHER), (1, TARGET): (1, OTHER), (1, INSULT): (1, AIMED_INSULT)})
-    insult = Transducer.of(1, {(0, a): (0, OTHER) for a in (TARGET, NEGATION, REPORT)})
-    return report.then(negate).then(threaten).then(aim).then(insult)
+            rules[s, a] = [(max(0, s - 1), DENIED if s and a in (INSULT, THREAT) else a)]
+        rules[s, NEGATION] = [(REACH, OTHER)]
+    negate = Transducer.of(REACH + 1, rules)
+    # state 1: a threat was guessed to be aimed and its target is to come
+    threaten = Transducer.of(2, {(0, THREAT): [(0, THREAT), (1, AIMED_THREAT)], (1, THREAT): [(1, AIMED_THREAT)],
+                                 (1, TARGET): [(0, TARGET)]}, {0})
+    # state 1: a target was named; 2 ...: an insult waits for its target, for so many words more
+    rules = {(0, TARGET): [(1, OTHER)], (1, TARGET): [(1, OTHER)], (1, INSULT): [(1, AIMED_INSULT)],
+             (0, INSULT): [(0, INSULT), (1 + REACH, AIMED_INSULT)]}
+    for s in range(2, 2 + REACH):
+        for a in range(SYMBOLS):
+            rules[s, a] = [(s - 1, a)] if s > 2 else []
+        rules[s, INSULT] = [(s - 1, AIMED_INSULT)] if s > 2 else []
+        rules[s, TARGET] = [(1, OTHER)]
+    aim = Transducer.of(2 + REACH, rules, {0, 1})
+    return report.then(negate).then(threaten).then(aim).then(weigh(weights))
 
 
 @dataclass
 class Model:
     """Learned vocabulary (whole words, and stems of at least four letters
-    that begin words) and the document model."""
+    that begin words), the weights of the grammar's kinds and the document
+    model over ``document_features``."""
     words: frozenset = frozenset()
     stems: tuple = ()
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * len(KINDS) + 4))
+    kinds: dict = field(default_factory=lambda: dict(PRIOR))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(CLAUSE_FEATURES + 2))
 
     def symbol(self, chunk: str) -> int:
         word = _CORE.sub("", chunk)
@@ -136,40 +188,47 @@ class Model:
                 else REPORT if word in REPORTS else OTHER)
 
 
+CLAUSE_FEATURES = 5        # features that grow with clause scores; then the length and the constant
+
+
+def document_features(total: np.ndarray, largest: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One row per document from the sum and the largest of its clauses' scores."""
+    return np.stack([np.log1p(total), total * 50 / (words + 20), np.minimum(total, 1),
+                     np.log((total + 0.05) / (words + 20)), np.minimum(largest, 3),
+                     np.log1p(words), np.ones(len(total))], axis=1)
+
+
 class Scorer:
     """A worker's matcher: composed grammar and a bounded memo of words."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, compiled: Transducer | None = None):
         self.model = model
-        self.table = grammar().table
+        self.grammar = compiled or grammar(model.kinds)
         self.memo = Memo(model.symbol)
 
-    def matches(self, text: str) -> tuple[np.ndarray, int]:
-        """(matches by kind, words) of a whole text."""
-        chunks = text.lower().split()
-        memo = self.memo
-        symbols = [memo[c] for c in chunks]
-        found = np.zeros(SYMBOLS)
-        if INSULT in symbols or THREAT in symbols:
-            table = self.table
-            for line in text.lower().split("\n"):
-                state = 0
-                for c in line.split():
-                    state, b = table[state][memo[c]]
-                    found[b] += 1
-                    if _CLAUSE_END.search(c):
-                        state = 0
-        return found[list(KINDS)], len(chunks)
-
-    def features(self, text: str) -> np.ndarray:
-        n, words = self.matches(text)
-        total = n.sum()
-        return np.concatenate([np.log1p(n), n * 50 / (words + 20),
-                               [float(total > 0), np.log((total + 0.05) / (words + 20)), np.log1p(words), 1.0]])
+    def clauses(self, text: str) -> tuple[list[tuple[float, int]], int]:
+        """((score, packed counts) of every clause with an insult or threat,
+        words) of a whole text."""
+        memo, found, words = self.memo, [], 0
+        for line in text.lower().split("\n"):
+            chunks = line.split()
+            words += len(chunks)
+            symbols = [memo[c] for c in chunks]
+            if INSULT in symbols or THREAT in symbols:
+                first = 0
+                for i, c in enumerate(chunks, 1):
+                    if i == len(chunks) or _CLAUSE_END.search(c):
+                        clause = symbols[first:i]
+                        if INSULT in clause or THREAT in clause:
+                            found.append(self.grammar.best(clause))
+                        first = i
+        return found, words
 
     def score(self, text: str) -> float:
-        z = float(np.clip(self.features(text) @ self.model.weights, -30, 30))
-        return 1 / (1 + np.exp(-z))
+        found, words = self.clauses(text)
+        weights = [w for w, _ in found]
+        x = document_features(np.array([sum(weights)]), np.array([max(weights, default=0.0)]), np.array([float(words)]))
+        return float(1 / (1 + np.exp(-np.clip(x[0] @ self.model.weights, -30, 30))))
 
 
 def _gain(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
@@ -234,11 +293,68 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     model = Model(*learn_vocabulary(counts[1], counts[0])) if counts[0] and counts[1] else Model()
     if len(labels):
         s = Scorer(model)
-        x = np.array([s.features(t) for t in texts])
-        model.weights = logistic(x, np.asarray(labels, "f8"), ridge=3e-4)
+        read = [s.clauses(t) for t in texts]
+        model.kinds, model.weights = fit_weights(read, np.asarray(labels, "f8"))
     return model
 
 
+def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, log-likelihood) of a logistic model whose weights of clause
+    features are not negative: a feature that would fall is left out."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = logistic(x[:, used], y, ridge=3e-4)
+        falls = used & (w < 0) & (np.arange(len(w)) < CLAUSE_FEATURES)
+        if not falls.any():
+            z = np.clip(x @ w, -30, 30)
+            return w, float((y * z - np.logaddexp(0, z)).sum())
+        used[np.where(falls, w, 0).argmin()] = False
+
+
+def fit_weights(read: list[tuple[list[tuple[float, int]], int]], y: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Kinds' weights and document model of the read clauses: one weight at a
+    time over a grid within its bounds, by the likelihood of the document
+    model refitted for it less the pull of the prior."""
+    doc = np.repeat(np.arange(len(read)), [len(c) for c, _ in read])
+    counts = np.array([unpack(k) for c, _ in read for _, k in c]).reshape(-1, len(KINDS))
+    words = np.array([float(n) for _, n in read])
+
+    def judged(kinds: dict) -> tuple[float, np.ndarray]:
+        clause = counts @ np.array([kinds[k] for k in KINDS])
+        largest = np.zeros(len(read))
+        np.maximum.at(largest, doc, clause)
+        w, fit = _monotone(document_features(np.bincount(doc, clause, len(read)), largest, words), y)
+        return fit - PRIOR_PULL * sum((kinds[k] - PRIOR[k]) ** 2 for k in KINDS), w
+
+    kinds = dict(PRIOR)
+    best, w = judged(kinds)
+    seen = {k for k, n in zip(KINDS, counts.sum(0)) if n}
+    for _ in range(2):
+        for k in KINDS:
+            if k == INSULT or k not in seen:
+                continue
+            low, high = _bounds(kinds, k)
+            for v in np.linspace(low, high, 6):
+                trial = {**kinds, k: float(v)}
+                value, w2 = judged(trial)
+                if value > best:
+                    best, w, kinds = value, w2, trial
+    return kinds, w
+
+
+def _bounds(kinds: dict, k: int) -> tuple[float, float]:
+    """Between the weights of the next weaker and the next stronger kind."""
+    chains = ((DENIED, QUOTED_INSULT, INSULT, AIMED_INSULT), (DENIED, QUOTED_THREAT, THREAT, AIMED_THREAT))
+    low, high = 0.0, 3.0
+    for chain in chains:
+        if k in chain:
+            i = chain.index(k)
+            low = max([low] + [kinds[j] for j in chain[:i]])
+            high = min([high] + [kinds[j] for j in chain[i + 1:]])
+    return low, high
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Trains on labelled documents that are not held out, at most
     ``train_docs`` of them. A doc_id with several labels or rows counts once,
@@ -262,7 +378,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` and ``predicted``
     (replacing columns of those names). Null text counts as empty, whose score
-    is that of a text without a match; repeated rows score alike."""
+    is that of a text without a match; repeated rows score alike; an empty
+    table gives an empty table; a text of any length is read whole, a line's
+    words at a time."""
     keep = [f for f in docs.schema.fields if f.name.lower() not in ("score", "predicted")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
