@@ -177,18 +177,22 @@ def histogram_quantile_windowed(events: DataFrame, value: str, bounds: Sequence[
     vals = {f"_c{i}": F.when(v <= F.lit(float(b)), 1).otherwise(0).cast("long") for i, b in enumerate(bounds)}
     vals["_total"] = F.lit(1).cast("long")
     d = windowed_sums(events, labels, vals, window_us, step_us)
-    rank = F.lit(q) * F.col("_total")
+    expr = quantile_of([F.col(f"_c{i}") for i in range(len(bounds))], F.col("_total"), bounds, q)
+    return d.select(*labels, "t_us", F.when(F.col("_total") > 0, expr).alias("quantile"))
+
+
+def quantile_of(counts: Sequence[Column], total: Column, bounds: Sequence[float], q: float) -> Column:
+    """The quantile of cumulative bucket counts (H9)."""
+    rank = F.lit(q) * total
     expr = None
     prev_b, prev_c = 0.0, F.lit(0).cast("long")
-    for i, b in enumerate(bounds):
-        c = F.col(f"_c{i}")
+    for c, b in zip(counts, bounds):
         inside = F.lit(prev_b) + (F.lit(float(b)) - F.lit(prev_b)) * \
             F.try_divide((rank - prev_c).cast("double"), (c - prev_c).cast("double"))
         inside = F.coalesce(inside, F.lit(float(b)))
         expr = F.when(c >= rank, inside) if expr is None else expr.when(c >= rank, inside)
         prev_b, prev_c = float(b), c
-    expr = expr.otherwise(F.lit(float(bounds[-1])))
-    return d.select(*labels, "t_us", F.when(F.col("_total") > 0, expr).alias("quantile"))
+    return expr.otherwise(F.lit(float(bounds[-1])))
 
 
 def error_ratio(requests: DataFrame, window_us: int = 300_000_000, step_us: int = STEP_US) -> DataFrame:
@@ -262,35 +266,6 @@ RULES = [
 RULE_META = {name: (sev, cat, hold) for name, sev, cat, hold in RULES}
 
 
-def _labels_str(cols: Sequence[str]) -> Column:
-    if not cols:
-        return F.lit("")
-    return F.concat_ws(",", *[F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in cols])
-
-
-def _rule(series: DataFrame, name: str, labels: Sequence[str], value: Column, cond: Column) -> DataFrame:
-    sev, cat, hold = RULE_META[name]
-    s = series.withColumn("value", value.cast("double"))
-    h = alert_hold(s, labels, cond, hold)
-    return h.select(F.lit(name).alias("rule"), _labels_str(labels).alias("labels"),
-                    F.lit(sev).alias("severity"), F.lit(cat).alias("category"),
-                    "t_us", "value", "state")
-
-
-def fraud_rate_gauge(scored: DataFrame, levels: Sequence[str] = ALERT_LEVELS,
-                     step_us: int = STEP_US) -> DataFrame:
-    """The running alert share as a gauge, sampled at every grid time from
-    the first to the last score (one series: bounded by time / 30 s)."""
-    b = scored.groupBy(grid_index(F.col("us"), step_us).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("risk_level").isin(*levels)).alias("k"))
-    span = b.agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"))
-    grid = span.select(F.explode(F.sequence("_a", "_b")).alias("_k"))
-    g = grid.join(b, "_k", "left").withColumn("t_us", F.col("_k") * F.lit(step_us))
-    p = prefix_aggregate(g, [], "t_us", [("_cn", F.coalesce("n", F.lit(0)), "sum"),
-                                         ("_ck", F.coalesce("k", F.lit(0)), "sum")], include_current=True)
-    return p.select("t_us", (F.col("_ck") / F.col("_cn")).alias("_rate"))
-
-
 def gauge_series(samples: DataFrame, metric: str, step_us: int = STEP_US,
                  stale_us: int = STALE_US) -> DataFrame:
     """Last sample value of a gauge at each grid point (per label set): the
@@ -307,53 +282,126 @@ def gauge_series(samples: DataFrame, metric: str, step_us: int = STEP_US,
         .select("labels", (F.col("_g") * F.lit(step_us)).alias("t_us"), "value")
 
 
+# FIXED VALUES: gauge metric of each gauge rule.
+GAUGES = {"CircuitBreakerOpen": "circuit_breaker_state", "RedisConnectionIssues": "feature_store_errors_total",
+          "KafkaConsumerLag": "kafka_consumer_lag", "ServiceDown": "up"}
+
+
+def _pairs(*names: str) -> Column:
+    """A label set as name=value entries (a null value is a null entry)."""
+    return F.array(*[F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in names]).cast("array<string>")
+
+
+def _by_rule(values: dict[str, Column]) -> Column:
+    """CASE over the rule's name; null for rules without a value."""
+    expr = None
+    for name, v in values.items():
+        hit = F.col("rule") == name
+        expr = F.when(hit, v) if expr is None else expr.when(hit, v)
+    return expr
+
+
+def _rule_bins(rows: DataFrame, parts: Sequence[tuple[str, Column, Column, Column]], latency_s: Column | None,
+               step_us: int) -> DataFrame:
+    """(rule, l, k) sums of one input in one pass: each row is a member of the
+    rules whose condition it meets (rule, condition, label set, numerator)."""
+    member = [F.when(cond, F.struct(F.lit(name).alias("rule"), l.alias("l"), n.cast("long").alias("n")))
+              for name, cond, l, n in parts]
+    lat = (F.lit(None).cast("double") if latency_s is None else latency_s).alias("_lat")
+    d = rows.where(F.col("us").isNotNull()).select(
+        grid_index(F.col("us"), step_us).alias("k"), lat, F.explode(F.filter(F.array(*member), lambda m: m.isNotNull())).alias("m"))
+    bucket = [F.count_if((F.col("m.rule") == "LatencySLABreach") & (F.col("_lat") <= float(b))).alias(f"c{i}")
+              for i, b in enumerate(SCORE_BUCKETS_S)]
+    return d.groupBy(F.col("m.rule").alias("rule"), F.col("m.l").alias("l"), "k").agg(
+        F.sum("m.n").alias("n"), F.count(F.lit(1)).alias("m"), *bucket)
+
+
+def _gauge_bins(samples: DataFrame, step_us: int, stale_us: int) -> DataFrame:
+    """The last sample of each gauge rule's label set and bin, and the last
+    grid point at which it counts (its own at least)."""
+    rule = F.create_map(*[F.lit(x) for name, metric in GAUGES.items() for x in (metric, name)])[F.col("metric")]
+    d = samples.where(F.col("us").isNotNull() & F.col("metric").isin(*GAUGES.values()))
+    return d.groupBy(rule.alias("rule"), _pairs("labels").alias("l"), grid_index(F.col("us"), step_us).alias("k")).agg(
+        F.max_by(F.col("value").cast("double"), F.struct("us", "value")).alias("v"), F.max("us").alias("_us")).select(
+        "rule", "l", "k", "v", F.greatest(scalar.idiv(F.col("_us") + F.lit(stale_us - 1), step_us), F.col("k")).alias("to"))
+
+
 def evaluate_alert_rules(scored: DataFrame, requests: DataFrame | None = None,
                          samples: DataFrame | None = None,
                          th: AlertThresholds = AlertThresholds(),
-                         levels: Sequence[str] = ALERT_LEVELS) -> DataFrame:
+                         levels: Sequence[str] = ALERT_LEVELS, step_us: int = STEP_US,
+                         stale_us: int = STALE_US) -> DataFrame:
     """Rule, labels, severity, category, t, value, state for every
-    evaluation where a rule's condition holds."""
-    W5, H1 = 5 * MIN, 60 * MIN
-    out = []
-    # HighFraudRate: the running alert share as a gauge, sampled on the grid.
-    fr = fraud_rate_gauge(scored, levels)
-    out.append(_rule(fr, "HighFraudRate", [], F.col("_rate"), F.col("_rate") > th.fraud_rate))
-    # FraudSpike: rate of CRITICAL scores over 5 m.
-    crit = windowed_rate(scored.filter(F.col("risk_level") == "CRITICAL"), ["model_used"], W5)
-    out.append(_rule(crit, "FraudSpike", ["model_used"], F.col("rate"), F.col("rate") > th.critical_rate_per_s))
-    # HighValueFraudDetected: increase of high-value alerts over 1 h.
-    hv = windowed_rate(scored.filter(F.col("risk_level").isin(*levels) & (F.col("amount") > 10000.0)),
-                       ["currency"], H1)
-    out.append(_rule(hv, "HighValueFraudDetected", ["currency"], F.col("increase"),
-                     F.col("increase") > th.high_value_per_hour))
-    # LatencySLABreach: p95 of score latency over 5 m.
-    lat = scored.withColumn("_lat_s", F.col("latency_ms") / 1000.0)
-    p95 = histogram_quantile_windowed(lat, "_lat_s", SCORE_BUCKETS_S, 0.95, ["model_used"], W5)
-    out.append(_rule(p95, "LatencySLABreach", ["model_used"], F.col("quantile"),
-                     F.col("quantile") > th.p95_latency_s))
-    # ModelPredictionFailures and FallbackModeActive.
-    err = windowed_rate(scored.filter(F.col("status") == "error"), ["model_used"], W5)
-    out.append(_rule(err, "ModelPredictionFailures", ["model_used"], F.col("rate"),
-                     F.col("rate") > th.prediction_error_rate_per_s))
-    fb = windowed_rate(scored.filter(F.col("model_used") == "rules_fallback"), [], W5)
-    out.append(_rule(fb, "FallbackModeActive", [], F.col("rate"), F.col("rate") > th.fallback_rate_per_s))
+    evaluation where a rule's condition holds.
+
+    One pass per input: a row joins the partial sums of every rule it belongs
+    to, keyed by (rule, label set, 30 s bin). A bin enters its rule's window
+    at its own grid point and leaves it one window later, so running totals
+    over these change points give a value that holds up to the next one; gauges
+    hold their last sample. Conditions and hold times are decided on
+    these stretches, which share one shuffle by (rule, label set), and only
+    stretches that hold are spread over the grid. Rows and samples without a
+    time take no part; of samples of one time the largest value counts.
+    """
+    five, hour = 5 * MIN, 60 * MIN
+    alert, one = F.col("risk_level").isin(*levels), F.lit(1)
+    bins = _rule_bins(scored, [
+        ("HighFraudRate", F.lit(True), _pairs(), F.coalesce(alert, F.lit(False)).cast("long")),
+        ("FraudSpike", F.col("risk_level") == "CRITICAL", _pairs("model_used"), one),
+        ("HighValueFraudDetected", alert & (F.col("amount") > 10000.0), _pairs("currency"), one),
+        ("LatencySLABreach", F.lit(True), _pairs("model_used"), one),
+        ("ModelPredictionFailures", F.col("status") == "error", _pairs("model_used"), one),
+        ("FallbackModeActive", F.col("model_used") == "rules_fallback", _pairs(), one),
+    ], F.col("latency_ms") / 1000.0, step_us)
     if requests is not None:
-        r = requests.filter(F.col("path") != "/metrics").withColumn("endpoint", normalize_endpoint("path"))
-        rr = windowed_rate(r, ["method", "endpoint", "status_code"], W5)
-        out.append(_rule(rr, "HighRequestRate", ["method", "endpoint", "status_code"], F.col("rate"),
-                         F.col("rate") > th.request_rate_per_s))
-        er = error_ratio(requests, W5)
-        out.append(_rule(er, "ErrorRateSpike", ["endpoint"], F.col("ratio"), F.col("ratio") > th.error_ratio))
+        r = requests.where(F.col("path") != "/metrics").withColumn("endpoint", normalize_endpoint("path"))
+        bins = bins.unionByName(_rule_bins(r, [
+            ("HighRequestRate", F.lit(True), _pairs("method", "endpoint", "status_code"), one),
+            ("ErrorRateSpike", F.lit(True), _pairs("endpoint"), F.coalesce(F.col("status_code").startswith("5"), F.lit(False)).cast("long")),
+        ], None, step_us))
+
+    # change points: a bin counts from its grid point on and, but for the running share, for one window
+    sums = ["n", "m", *[f"c{i}" for i in range(len(SCORE_BUCKETS_S))]]
+    window = F.when(F.col("rule") == "HighValueFraudDetected", hour).otherwise(five) / F.lit(step_us)
+    leave = F.when(F.col("rule") != "HighFraudRate", F.struct((F.col("k") + window.cast("long")).alias("k"), F.lit(-1).alias("sign")))
+    enter = F.struct(F.col("k").alias("k"), F.lit(1).alias("sign"))
+    points = bins.select("rule", "l", F.explode(F.filter(F.array(enter, leave), lambda c: c.isNotNull())).alias("c"), *sums).select(
+        "rule", "l", F.col("c.k").alias("k"), *[(F.col(c) * F.col("c.sign")).alias(c) for c in sums])
     if samples is not None:
-        for name, metric, cond in [
-            ("CircuitBreakerOpen", "circuit_breaker_state", lambda v: v == 1),
-            ("RedisConnectionIssues", "feature_store_errors_total", lambda v: v > th.store_errors),
-            ("KafkaConsumerLag", "kafka_consumer_lag", lambda v: v > th.consumer_lag),
-            ("ServiceDown", "up", lambda v: v == 0),
-        ]:
-            g = gauge_series(samples, metric)
-            out.append(_rule(g, name, ["labels"], F.col("value"), cond(F.col("value"))))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        points = points.unionByName(_gauge_bins(samples, step_us, stale_us), allowMissingColumns=True)
+    else:
+        points = points.withColumns({"v": F.lit(None).cast("double"), "to": F.lit(None).cast("long")})
+
+    series = Window.partitionBy("rule", "l").orderBy("k")
+    so_far = series.rangeBetween(Window.unboundedPreceding, 0)
+    d = points.select("rule", "l", "k", "v", "to", *[F.sum(c).over(so_far).alias(c) for c in sums], F.lead("k").over(series).alias("_next"))
+    # the last point of a windowed series is where its last bin leaves; the running share ends with its last bin
+    last = F.coalesce(F.col("to"), F.when(F.col("rule") == "HighFraudRate", F.col("k")).otherwise(F.col("k") - 1))
+    d = d.withColumn("_end", F.when(F.col("_next").isNull(), last).otherwise(F.least(F.col("_next") - 1, F.col("to"))))
+
+    rate, share = F.col("n") / F.lit(five / 1e6), F.try_divide(F.col("n").cast("double"), F.col("m"))
+    p95 = quantile_of([F.col(c) for c in sums[2:]], F.col("m"), SCORE_BUCKETS_S, 0.95)
+    value = F.when(F.col("m") > 0, _by_rule({
+        "HighFraudRate": share, "FraudSpike": rate, "HighValueFraudDetected": F.col("n").cast("double"),
+        "LatencySLABreach": p95, "HighRequestRate": rate, "ErrorRateSpike": share,
+        "ModelPredictionFailures": rate, "FallbackModeActive": rate}))
+    v = F.col("value")
+    holds = _by_rule({
+        "HighFraudRate": v > th.fraud_rate, "FraudSpike": v > th.critical_rate_per_s,
+        "HighValueFraudDetected": v > th.high_value_per_hour, "LatencySLABreach": v > th.p95_latency_s,
+        "HighRequestRate": v > th.request_rate_per_s, "ErrorRateSpike": v > th.error_ratio,
+        "CircuitBreakerOpen": v == 1, "ModelPredictionFailures": v > th.prediction_error_rate_per_s,
+        "FallbackModeActive": v > th.fallback_rate_per_s, "RedisConnectionIssues": v > th.store_errors,
+        "KafkaConsumerLag": v > th.consumer_lag, "ServiceDown": v == 0})
+    d = d.withColumn("value", F.coalesce("v", value)).where((F.col("k") <= F.col("_end")) & holds)
+
+    # runs of stretches that follow one another without a gap
+    starts = F.when(F.coalesce(F.lag("_end").over(series) + 1 != F.col("k"), F.lit(True)), F.col("k"))
+    d = d.withColumn("_start", starts).withColumn(
+        "_since", F.last("_start", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.select("rule", "l", "value", "_since", F.explode(F.sequence("k", "_end")).alias("_g"))
+    hold = _by_rule({name: F.lit(h) for name, _, _, h in RULES})
+    return d.select(
+        "rule", F.concat_ws(",", "l").alias("labels"), _by_rule({name: F.lit(x) for name, x, _, _ in RULES}).alias("severity"),
+        _by_rule({name: F.lit(x) for name, _, x, _ in RULES}).alias("category"), (F.col("_g") * F.lit(step_us)).alias("t_us"), "value",
+        F.when((F.col("_g") - F.col("_since")) * F.lit(step_us) >= hold, "firing").otherwise("pending").alias("state"))

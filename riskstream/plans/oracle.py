@@ -914,8 +914,21 @@ _add("er", _win_block("er", REQ_NM, ["endpoint"], {
     "errors": "CASE WHEN starts_with(status_code, '5') THEN 1 ELSE 0 END", "total": "1"}, 10, "errors / total"),
      ["endpoint"], "value > 0.01", 2 * _MIN, "ErrorRateSpike", "critical", "errors")
 
+# Gauges: the last sample of a bin counts up to the next one, for less than 5 minutes.
+_rules_ctes.append("""gs AS (SELECT *, (us + 29999999) // 30000000 AS k FROM samples
+  QUALIFY row_number() OVER (PARTITION BY metric, labels, (us + 29999999) // 30000000 ORDER BY us DESC, value DESC) = 1),
+ge AS (SELECT *, lead(k) OVER (PARTITION BY metric, labels ORDER BY k) - 1 AS nxt,
+  greatest((us + 299999999) // 30000000, k) AS old FROM gs),
+gv AS (SELECT metric, labels, value, unnest(range(k, least(coalesce(nxt, old), old) + 1)) * 30000000 AS t_us FROM ge)""")
+for _tag, _metric, _cond, _hold, _name, _sev, _cat in [
+        ("cb", "circuit_breaker_state", "value = 1", 1 * _MIN, "CircuitBreakerOpen", "critical", "model"),
+        ("rd", "feature_store_errors_total", "value > 10.0", 2 * _MIN, "RedisConnectionIssues", "critical", "infrastructure"),
+        ("kl", "kafka_consumer_lag", "value > 10000.0", 5 * _MIN, "KafkaConsumerLag", "warning", "infrastructure"),
+        ("dn", "up", "value = 0", 1 * _MIN, "ServiceDown", "critical", "infrastructure")]:
+    _add(_tag, f"{_tag}_v AS (SELECT * FROM gv WHERE metric = '{_metric}')", ["labels"], _cond, _hold, _name, _sev, _cat)
+
 register("evaluate_alert_rules", with_views("WITH " + ",\n".join(_rules_ctes) + "\n"
-                                            + "\nUNION ALL\n".join(_rules_sel), "scored", "requests"))
+                                            + "\nUNION ALL\n".join(_rules_sel), "scored", "requests", "samples"))
 
 register("stream_score", ORACLE["rule_score"])
 register("stream_alerts", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES}

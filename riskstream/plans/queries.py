@@ -511,7 +511,7 @@ ALERT_TH = mon.AlertThresholds(critical_rate_per_s=0.003, high_value_per_hour=0.
 
 @query("evaluate_alert_rules")
 def q_alert_rules(spark, sf):
-    d = mon.evaluate_alert_rules(fx.scored(spark, sf), fx.requests(spark, sf), th=ALERT_TH)
+    d = mon.evaluate_alert_rules(fx.scored(spark, sf), fx.requests(spark, sf), fx.samples(spark, sf), th=ALERT_TH)
     return d.select("rule", "labels", "severity", "category", "t_us", r6("value").alias("value"), "state")
 
 

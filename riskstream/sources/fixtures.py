@@ -148,6 +148,23 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauge samples: every event reports four gauges."""
+    eid, bad = F.col("event_id"), F.col("event_type") == "error"
+
+    def gauge(metric: str, label: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.alias("labels"), value.cast("double").alias("value"))
+
+    def numbered(name: str, n: int) -> Column:
+        return F.concat(F.lit(name + "="), (eid % n).cast("string"))
+
+    return events(spark, sf_dir).select("us", F.explode(F.array(
+        gauge("circuit_breaker_state", F.lit("service=model"), F.when(bad, 1).otherwise(0)),
+        gauge("feature_store_errors_total", numbered("shard", 3), eid % 15),
+        gauge("kafka_consumer_lag", numbered("partition", 4), eid * 37 % 1000 * 12),
+        gauge("up", numbered("replica", 2), F.when(bad & (eid % 3 == 0), 0).otherwise(1)))).alias("g")).select("us", "g.*")
+
+
 # ---------------------------------------------------------------------------
 # The same views as DuckDB SQL CTEs (for oracle_sql()).
 # ---------------------------------------------------------------------------
@@ -217,6 +234,15 @@ SELECT event_id, us, CASE WHEN event_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS me
 FROM ev
 )"""
 
+SQL_SAMPLES = """samples AS (
+SELECT us, 'circuit_breaker_state' AS metric, 'service=model' AS labels,
+  CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS double) AS value FROM ev
+UNION ALL SELECT us, 'feature_store_errors_total', concat('shard=', event_id % 3), event_id % 15 FROM ev
+UNION ALL SELECT us, 'kafka_consumer_lag', concat('partition=', event_id % 4), event_id * 37 % 1000 * 12 FROM ev
+UNION ALL SELECT us, 'up', concat('replica=', event_id % 2),
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 0 ELSE 1 END FROM ev
+)"""
+
 
 def with_views(body: str, *views: str, dense: bool = False) -> str:
     """Prefix a query with the CTEs of the named fixture views."""
@@ -230,6 +256,8 @@ def with_views(body: str, *views: str, dense: bool = False) -> str:
         ctes.append(SQL_SCORED)
     if "requests" in views:
         ctes.append(SQL_REQUESTS)
+    if "samples" in views:
+        ctes.append(SQL_SAMPLES)
     body = body.strip()
     if body[:4].upper() == "WITH" and body[4:5].isspace():
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]

@@ -49,3 +49,33 @@ def test_gauges_sampled_each_minute_hold(spark):
     assert {r["rule"] for r in gauges} == {"CircuitBreakerOpen", "RedisConnectionIssues", "KafkaConsumerLag", "ServiceDown"}
     assert {r["f"] for r in gauges} == {"firing"}
     assert {r["rule"] for r in out.select("rule").distinct().collect()} == {name for name, *_ in mon.RULES}
+
+
+def test_edge_rows_and_label_sets(spark):
+    """Rows without a time, label or latency, labels that hold separators and
+    empty inputs; an hour's window of one alert is one stretch."""
+    schema = "us long, amount double, currency string, risk_level string, model_used string, status string, latency_ms double"
+    rows = [(T0, 20000.0, "EUR", "CRITICAL", None, "success", None), (None, 20000.0, "EUR", "CRITICAL", "gbt", "error", 900.0),
+            (T0 + S, 1.0, None, None, "a,model_used=b", "error", 900.0)]
+    scored = spark.createDataFrame(rows, schema)
+    th = mon.AlertThresholds(critical_rate_per_s=0.0, high_value_per_hour=0.0, prediction_error_rate_per_s=0.0)
+    out = mon.evaluate_alert_rules(scored, th=th).collect()
+    by = {}
+    for r in out:
+        by.setdefault((r["rule"], r["labels"]), []).append(((r["t_us"] - T0) // S, r["value"], r["state"]))
+    by = {k: sorted(v) for k, v in by.items()}
+    assert by["HighFraudRate", ""] == [(0, 1.0, "pending"), (1, 0.5, "pending")]
+    assert [g for g, *_ in by["HighValueFraudDetected", "currency=EUR"]] == list(range(120))
+    assert [s for *_, s in by["HighValueFraudDetected", "currency=EUR"]] == ["pending"] * 2 + ["firing"] * 118
+    assert [g for g, *_ in by["FraudSpike", ""]] == list(range(10))
+    assert [g for g, *_ in by["ModelPredictionFailures", "model_used=a,model_used=b"]] == list(range(1, 11))
+    none = spark.createDataFrame([], "us long, metric string, labels string, value double")
+    assert mon.evaluate_alert_rules(scored.limit(0), samples=none).count() == 0
+
+
+def test_rules_read_each_input_once(spark):
+    from riskstream.plans.queries import QUERIES
+    plan = QUERIES["evaluate_alert_rules"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and plan.count("Exchange") <= 4
+    rules = QUERIES["evaluate_alert_rules"](spark, SF_ORACLE).select("rule").distinct().collect()
+    assert {r["rule"] for r in rules} == {name for name, *_ in mon.RULES}
