@@ -213,31 +213,53 @@ def global_lag(df: DataFrame, keys: Sequence[str], us: str, cols: Sequence[str],
                     *[prev[c].alias(prefix + c) for c in carry])
 
 
+def with_ranges(df: DataFrame, order: str, sums: Sequence[str], ranges: int = 64) -> DataFrame:
+    """Adds ``_chunk``, one of ``ranges`` ** 2 ranges of about equally many
+    rows in the order of ``order``, cut by a quantile sketch, and ``total_<s>``
+    over all rows. Cut points are looked up in two steps of ``ranges``."""
+    n = ranges
+    x = F.col(order).cast("double")
+    at = F.array(*[F.lit(i / (n * n)) for i in range(1, n * n)])
+    one = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), at, 4 * n * n).alias("_cuts"),
+                 *[F.sum(s).alias("total_" + s) for s in sums])
+    one = one.withColumn("_blocks", F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                                                lambda j: F.slice("_cuts", j * n + 1, n)))
+    one = one.select(F.struct("_blocks", F.transform("_blocks", lambda c: F.get(c, F.lit(0))).alias("_heads"),
+                              *["total_" + s for s in sums]))
+
+    def up_to(cuts: Column) -> Column:
+        return F.coalesce(F.size(F.filter(cuts, lambda c: c <= x)), F.lit(0))
+
+    d = df.withColumn("_one", one.scalar()).select("*", "_one.*").withColumn("_h", up_to(F.col("_heads")))
+    b = F.when(F.col("_h") > 0, (F.col("_h") - 1) * n + up_to(F.get("_blocks", F.col("_h") - 1))).otherwise(0)
+    return d.withColumn(CHUNK, b.cast("long")).drop("_one", "_blocks", "_heads", "_h")
+
+
 def ordered_prefix(df: DataFrame, order: str, sums: Sequence[str], descending: bool = True,
-                   bins: int = 1 << 20, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+                   ranges: int = 64) -> DataFrame:
     """Exact running sums over a global order without a one-task window.
 
-    Rows (already one per distinct ``order`` value) are binned by value;
-    running sums are local per bin, and each bin adds the totals of all
-    bins before it. The only global window runs over the bin totals (at
-    most ``bins`` rows). Adds ``cum_<s>`` (inclusive) for each ``s``.
-    Values outside [lo, hi] fall in the edge bins (still exact).
+    Rows (already one per distinct ``order`` value) fall into ``ranges`` ** 2
+    ranges of about equally many rows, cut by a quantile sketch of ``order``,
+    so that values crowded anywhere spread alike. Running sums are local to a
+    range, which adds the totals of all ranges before it; the only global
+    window runs over the ranges' totals. The sketch, the totals and the rows
+    read one shuffle of ``df`` where it ends in one. Adds ``cum_<s>``
+    (inclusive) and ``total_<s>`` for each ``s``. Nulls are in the lowest
+    range, NaN in the highest; an empty table gives an empty table.
     """
-    x = F.col(order).cast("double")
-    b = F.floor((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins - 1))
-    b = F.when(F.isnan(x), F.lit(bins)).otherwise(b).cast("long")
-    d = df.withColumn(CHUNK, b)
+    d = with_ranges(df, order, sums, ranges)
     o = F.desc(order) if descending else F.asc(order)
     oc = F.desc(CHUNK) if descending else F.asc(CHUNK)
     w = Window.partitionBy(CHUNK).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", *[F.sum(s).over(w).alias("_l_" + s) for s in sums])
     tot = d.groupBy(CHUNK).agg(*[F.sum(s).alias("_t_" + s) for s in sums])
-    wc = Window.orderBy(oc).rowsBetween(Window.unboundedPreceding, -1)  # over bins only
+    wc = Window.orderBy(oc).rowsBetween(Window.unboundedPreceding, -1)  # over ranges only
     offs = tot.select(CHUNK, *[F.sum("_t_" + s).over(wc).alias("_o_" + s) for s in sums])
     j = _join_back(d, offs, [CHUNK])
     return j.select(*[F.col(c) for c in df.columns],
                     *[(F.col("_l_" + s) + F.coalesce(F.col("_o_" + s), F.lit(0))).alias("cum_" + s)
-                      for s in sums])
+                      for s in sums], *["total_" + s for s in sums])
 
 
 def window_aggregates(df: DataFrame, key: str, us: str, counts: dict[str, tuple[int | None, int]],
