@@ -128,6 +128,15 @@ def register(name: str, sql: str) -> None:
 
 register("rule_score", rule_score())
 
+# Two more rules, over seven.
+register("rule_score_extended", with_views(f"""WITH {PROFILE_CTES},{RULE_CTES},
+rx AS (SELECT *, CASE WHEN amount > 2000 AND hour_of_day BETWEEN 0 AND 5 THEN 1.0 WHEN amount > 2000 THEN 0.5 ELSE 0.0 END AS s6,
+    CASE WHEN amount > 2000 AND hour_of_day BETWEEN 0 AND 5 THEN 'LARGE_AT_NIGHT' WHEN amount > 2000 THEN 'LARGE_AMOUNT' END AS f6,
+    CASE WHEN coalesce(n, 0) = 0 THEN 0.2 ELSE 0.0 END AS s7, CASE WHEN coalesce(n, 0) = 0 THEN 'NEW_USER' END AS f7 FROM rs),
+ry AS (SELECT *, least(1.0, ((((((s1 + s2) + s3) + s4) + s5) + s6) + s7) / 7.0) AS prob7 FROM rx)
+SELECT transaction_id, user_id, us, round(prob7, 6) AS fraud_probability, {level('prob7')} AS risk_level,
+  concat_ws(',', f1, f2, f3, f4, f5, f6, f7) AS risk_factors FROM ry""", "txn"))
+
 
 # ---------------------------------------------------------------------------
 # B: validation

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
 from ..operators import scoring
+from ..operators.rules import Rule, default_rules
 from ..session import scratch_path
 from ..sources import fixtures as fx
 
@@ -41,6 +42,21 @@ def q_rule_score(spark: SparkSession, sf: str) -> DataFrame:
                     "model_version")
 
 
+#: Rules a user adds to the registry's own.
+EXTRA_RULES = [Rule("payout_hours", (
+    (lambda: (F.col("amount") > 2000) & F.col("hour_of_day").between(0, 5), 1.0, "LARGE_AT_NIGHT"),
+    (lambda: F.col("amount") > 2000, 0.5, "LARGE_AMOUNT"))), Rule("first_seen", (
+    (lambda: F.coalesce(F.col("user_txn_count_total"), F.lit(0)) == 0, 0.2, "NEW_USER"),))]
+
+
+@query("rule_score_extended")
+def q_rule_score_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """The default rules and two appended ones, averaged over seven."""
+    s = scoring.rule_score(fx.txn(spark, sf), rules=[*default_rules(), *EXTRA_RULES])
+    return s.select("transaction_id", "user_id", "us", r6("fraud_probability").alias("fraud_probability"),
+                    "risk_level", _join("risk_factors").alias("risk_factors"))
+
+
 # ---------------------------------------------------------------------------
 # B: validation
 # ---------------------------------------------------------------------------
