@@ -243,8 +243,8 @@ def ordered_prefix(df: DataFrame, order: str, sums: Sequence[str], descending: b
     ranges of about equally many rows, cut by a quantile sketch of ``order``,
     so that values crowded anywhere spread alike. Running sums are local to a
     range, which adds the totals of all ranges before it; the only global
-    window runs over the ranges' totals. The sketch, the totals and the rows
-    read one shuffle of ``df`` where it ends in one. Adds ``cum_<s>``
+    window runs over the ranges' totals. ``df`` is read twice: for the sketch
+    and the overall totals, and for the rows. Adds ``cum_<s>``
     (inclusive) and ``total_<s>`` for each ``s``. Nulls are in the lowest
     range, NaN in the highest; an empty table gives an empty table.
     """
