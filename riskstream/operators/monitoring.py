@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ALERT_LEVELS, REQUEST_BUCKETS_S, SCORE_BUCKETS_S
+from ..config import ALERT_LEVELS, MODEL_BUCKETS_S, REQUEST_BUCKETS_S, SCORE_BUCKETS_S, STORE_BUCKETS_S
 from ..functions import scalar
 from ..functions.text import normalize_endpoint
 from ..plans.chunked import prefix_aggregate
@@ -125,6 +125,16 @@ def outcome_counters(outcomes: DataFrame, latency_for: Sequence[str] = ("model",
         F.sum(F.when(ok, F.col("latency_s"))).alias("success_latency_s"))
 
 
+def model_latency_histogram(predictions: DataFrame, bounds: Sequence[float] = MODEL_BUCKETS_S) -> DataFrame:
+    """H7: latency (``latency_s``) of the predictions that succeeded, by model."""
+    return histogram(predictions.where("status = 'success'"), "latency_s", bounds, ["model_version"])
+
+
+def store_latency_histogram(operations: DataFrame, bounds: Sequence[float] = STORE_BUCKETS_S) -> DataFrame:
+    """H7: latency of all feature-store operations, failed ones included, by operation."""
+    return histogram(operations, "latency_s", bounds, ["operation"])
+
+
 # ---------------------------------------------------------------------------
 # Windowed series on the evaluation grid
 # ---------------------------------------------------------------------------

@@ -524,6 +524,8 @@ SELECT round(coalesce(sum((recall - pr_) * (precision + pp) / 2), 0.0), 6) AS pr
 # ---------------------------------------------------------------------------
 # H: monitoring
 # ---------------------------------------------------------------------------
+MODEL_B = [0.001, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1]
+STORE_B = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1]
 SCORE_B = [0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.075, 0.1, 0.25]
 REQ_B = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 1.0]
 
@@ -955,3 +957,33 @@ register("stream_late", with_views("""
 SELECT transaction_id, user_id, us, round(amount, 6) AS amount FROM txn
 WHERE CAST(floor((us - (SELECT min(us) FROM txn)) * 4 / ((SELECT max(us) FROM txn) - (SELECT min(us) FROM txn) + 1))
   AS INTEGER) = 1""", "txn"))
+
+register("stream_features_full", with_views(f"WITH {VEL_CTE},{PIT_CTES}\n{PIT_SELECT}", "txn"))
+
+# the sample trees over the point-in-time features; rows of the first half of
+# the time span have no model yet
+register("stream_score_model", with_views(f"""WITH {VEL_CTE},{PIT_CTES},{_RULES_ON_PIT},
+span AS (SELECT min(us) AS lo, max(us) AS hi FROM txn),
+rs2 AS (SELECT rs.*, CASE WHEN (us - lo) * 2 // (hi - lo + 1) = 1 THEN 1 / (1 + exp(-(
+    CASE WHEN merchant_risk_score <= 0.1 THEN CASE WHEN z <= 2 THEN CASE WHEN hour_of_day <= 4 THEN -0.2::DOUBLE ELSE -0.9::DOUBLE END
+                                                   ELSE 0.35::DOUBLE END
+         WHEN velocity_score <= 0.3 THEN 0.8::DOUBLE ELSE 1.4::DOUBLE END
+  + (CASE WHEN dist <= 1200 THEN CASE WHEN amount <= 500 THEN -0.6::DOUBLE ELSE 0.15::DOUBLE END
+          WHEN dt <= 3600 THEN 1.1::DOUBLE ELSE 0.4::DOUBLE END
+  + CASE WHEN z <= 3 THEN CASE WHEN merchant_risk_score <= 0.01 THEN -0.5::DOUBLE ELSE 0.05::DOUBLE END
+         ELSE 0.9::DOUBLE END)))) END AS mp FROM rs, span)
+{HYBRID_TAIL.replace("'gbt-v1'", "'sample-v1'")}""", "txn"))
+
+register("stream_running_counters", ORACLE["stream_score_counters"])
+register("stream_throughput", ORACLE["throughput"])
+
+register("read_txn_stream", with_views("""
+SELECT transaction_id, user_id, us, round(amount, 6) AS amount, merchant_id, is_fraud = 1 AS is_fraud FROM txn""", "txn"))
+register("category_index", with_views("""
+SELECT transaction_id, dense_rank() OVER (ORDER BY coalesce(user_id, 'unknown')) - 1 AS user_id_index FROM txn""", "txn"))
+register("model_latency_histogram", with_views(hist_sql(
+    "(SELECT model_used AS model_version, latency_ms / 1000.0 AS lat_s FROM scored WHERE status = 'success')", "lat_s",
+    MODEL_B, ["model_version"]), "scored"))
+register("store_latency_histogram", with_views(hist_sql(
+    "(SELECT CASE WHEN event_id % 3 = 0 THEN 'update_profile' ELSE 'get_features' END AS operation, latency_ms / 1000.0 AS lat_s "
+    "FROM scored)", "lat_s", STORE_B, ["operation"]), "scored"))

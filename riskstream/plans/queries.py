@@ -495,6 +495,23 @@ def q_outcomes(spark, sf):
     return o.select("name", "operation", "status", "n", r6("success_latency_s").alias("success_latency_s"))
 
 
+_HIST = ["le", "bucket", "cumulative_count", "count"]
+
+
+@query("model_latency_histogram")
+def q_model_latency(spark, sf):
+    s = fx.scored(spark, sf).select(F.col("model_used").alias("model_version"), "status", (F.col("latency_ms") / 1000.0).alias("latency_s"))
+    return mon.model_latency_histogram(s).select("model_version", *_HIST, r6("sum").alias("sum"))
+
+
+@query("store_latency_histogram")
+def q_store_latency(spark, sf):
+    """Each scored event reads the profile, every third one writes it."""
+    op = F.when(F.col("event_id") % 3 == 0, "update_profile").otherwise("get_features")
+    s = fx.scored(spark, sf).select(op.alias("operation"), "status", (F.col("latency_ms") / 1000.0).alias("latency_s"))
+    return mon.store_latency_histogram(s).select("operation", *_HIST, r6("sum").alias("sum"))
+
+
 @query("windowed_rate")
 def q_windowed_rate(spark, sf):
     d = mon.windowed_rate(fx.scored(spark, sf), ["risk_level"], W5)
@@ -594,7 +611,7 @@ def q_rate_status(spark, sf):
 # ---------------------------------------------------------------------------
 from ..config import TRAIN_CATEGORICAL_FEATURES, TRAIN_NUMERIC_FEATURES  # noqa: E402
 from ..operators import boosting, prep, smote as smote_mod, training  # noqa: E402
-from .sample_model import SAMPLE_MODEL  # noqa: E402
+from .sample_model import SAMPLE_MODEL, STREAM_MODEL  # noqa: E402
 
 BOOST_ROUNDS = 5      # of the registered query; BoostParams has the full setting
 
@@ -655,6 +672,12 @@ def q_one_hot_training(spark, sf):
         F.array_join(F.col(f"{c}_onehot").cast("array<string>"), "").alias(c) for c in cats])
 
 
+@query("category_index")
+def q_category_index(spark, sf):
+    """The place of each row's user among all users, too many for literals."""
+    return prep.category_index(fx.txn(spark, sf), "user_id").select("transaction_id", "user_id_index")
+
+
 @query("stratified_split")
 def q_split(spark, sf):
     d = prep.stratified_split(fx.txn(spark, sf), "is_fraud", _txn_key(), [("test", 0.2), ("validation", 0.1)])
@@ -772,17 +795,18 @@ def q_tune_grid(spark, sf):
 # A1, A3, A4, F: sources, sinks and streaming
 # ---------------------------------------------------------------------------
 from ..sources import io as rio  # noqa: E402
-from ..streaming import batched, stream as st  # noqa: E402
+from ..streaming import batched, models, stream as st  # noqa: E402
+from ..streaming.state import Log  # noqa: E402
 
 STREAM_DOUBLES = ["time_since_last_txn_seconds", "distance_from_last_txn_km", "travel_speed_kmh",
                   "total_amount_24h", "user_avg_amount", "user_std_amount"]
 STREAM_INTS = ["txn_count_1h", "txn_count_24h", "txn_count_7d", "user_txn_count_total"]
 
 
-def _replay(spark, sf, name, outputs=None, order=None):
+def _replay(spark, sf, name, outputs=None, order=None, **more):
     """Folder of a finished replay of the transactions through the stream."""
     base = scratch_path(spark, f"replay-{name}-{uuid.uuid4().hex}")
-    batched.run_replay(spark, fx.txn(spark, sf), base, order, len(order) if order else 2, outputs)
+    batched.run_replay(spark, fx.txn(spark, sf), base, order, len(order) if order else 2, outputs, **more)
     return base
 
 
@@ -868,3 +892,57 @@ def q_stream_late(spark, sf):
     processed row go to the late table instead of the state."""
     late = spark.read.parquet(_replay(spark, sf, "l", order=[0, 2, 1, 3]) + "/late")
     return late.select("transaction_id", "user_id", "us", r6("amount").alias("amount"))
+
+
+@query("stream_features_full")
+def q_stream_features_full(spark, sf):
+    """all 21 fields of D10 from the stream, the merchants' included, over
+    three epochs whose state carries on from one to the next."""
+    return _d10_out(spark.read.parquet(_replay(spark, sf, "w", order=[0, 1, 2]) + "/out"))
+
+
+@query("stream_score_model")
+def q_stream_score_model(spark, sf):
+    """F2 with a model published while the stream runs: the first range finds
+    none and takes the rules with FALLBACK_MODE, the second is scored by it."""
+    folder = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    model = training.BoostedModel(boosting.Booster(**STREAM_MODEL), version="sample-v1")
+
+    def publish(k):
+        if k == 1:
+            models.publish(spark, model, folder, 1)
+    base = _replay(spark, sf, "m", scorer=models.folder_scorer(folder), before=publish)
+    return _score_out(spark.read.parquet(base + "/score"))
+
+
+@query("stream_running_counters")
+def q_stream_running_counters(spark, sf):
+    """the counters of a running stream, added up by levels of epochs."""
+    base = _replay(spark, sf, "k", scorer=st.stream_score, logs={"counts": st.score_counter_log()})
+    return Log(st.COUNTS, base + "/counts").read(spark)
+
+
+@query("stream_throughput")
+def q_stream_throughput(spark, sf):
+    """F5 on a stream: minute windows behind a watermark, upserted by window;
+    each of two ranges restarts the query from its checkpoint."""
+    base = scratch_path(spark, f"replay-t-{uuid.uuid4().hex}")
+    staged = st.replay_ranges(fx.txn(spark, sf), base + "/stage", 2)
+    for k in range(2):
+        st.wire_records(staged.filter(F.col("_r") == k)).write.mode("append").json(base + "/src")
+        st.start_throughput(st.read_txn_stream(spark, "json", base + "/src"), base, trigger={"availableNow": True}).awaitTermination()
+    w = Log(st.WINDOWS, base + "/windows").read(spark)
+    return w.select("window_start_us", "total", "fraud", r6("rate_per_s").alias("rate_per_s"))
+
+
+@query("read_txn_stream")
+def q_read_txn_stream(spark, sf):
+    """A3: transactions as JSON records, read as a stream of two files a
+    micro-batch at most, and what arrived."""
+    base = scratch_path(spark, f"arrivals-{uuid.uuid4().hex}")
+    st.wire_records(fx.txn(spark, sf).repartition(6, "user_id")).write.json(base + "/src")
+    s = st.read_txn_stream(spark, "json", base + "/src", {"maxFilesPerTrigger": "2"})
+    s.writeStream.format("parquet").option("checkpointLocation", base + "/ck").trigger(availableNow=True) \
+     .start(base + "/out").awaitTermination()
+    d = spark.read.parquet(base + "/out")
+    return d.select("transaction_id", "user_id", "us", r6("amount").alias("amount"), "merchant_id", "is_fraud")

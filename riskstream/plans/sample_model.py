@@ -1,4 +1,4 @@
-"""A small model given as data: what ``tree_score`` scores with."""
+"""A small model given as data: what ``tree_score`` and ``stream_score_model`` score with."""
 
 from __future__ import annotations
 
@@ -33,3 +33,8 @@ SAMPLE_MODEL = {"columns": _COLUMNS, "cuts": _CUTS, "trees": [
           {3: -0.6, 4: 0.15, 5: 1.1, 6: 0.4}),
     _tree({0: ("amount_zscore", 3.0, True), 1: ("merchant_risk_score", 0.01, False)}, {2: 0.9, 3: -0.5, 4: 0.05}),
 ]}
+
+#: The same trees over the columns of the point-in-time features.
+_SERVED = {"distance_from_last": "distance_from_last_txn_km", "time_since_last_txn": "time_since_last_txn_seconds"}
+STREAM_MODEL = {"columns": [_SERVED.get(c, c) for c in _COLUMNS], "cuts": {_SERVED.get(c, c): v for c, v in _CUTS.items()},
+                "trees": SAMPLE_MODEL["trees"]}

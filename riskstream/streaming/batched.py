@@ -2,86 +2,108 @@
 
 A user with a third of the traffic would put a third of each micro-batch and
 a large history list into one state row of the state API. Here state is kept
-in *tables* in the shared folder and every micro-batch runs the same skew-safe
-plan as D10:
-
-* ``tail/epoch=E/day=D``  - the rows that epoch E let in;
-* ``profile/epoch=E``     - the profiles of epoch E's users after it: session
-  start, count, mean, M2, last time. ``base/epoch=E`` has those of all users,
-  written every ``COMPACT`` epochs;
-* ``meta/epoch=E``        - the largest time seen and the base in force.
-
-An epoch reads only its own users' profiles and the days it looks back to,
-and writes only its own rows and users. Expired days, merged profiles and old
-bases are removed. Re-running an epoch after a failure reads what the one
+in *tables* in the shared folder (``state.Table``: a part an epoch, merged by
+levels) and every micro-batch runs the same skew-safe plans as D10:
+
+* ``tail``      - the rows let in, by day, as far back as a window reaches;
+* ``profile``   - users' profiles after an epoch: session start, count, mean, M2,
+  last time, scores at the critical threshold in the session;
+* ``merchant``  - (merchant, day) buckets of labelled rows and frauds. Days that
+  no row on time can fall into any more are merged into one bucket;
+* ``meta/epoch=E`` - the largest time seen and the manifest of the parts.
+
+All 21 fields of D10 come out. A merchant's earlier rows are those of the tail from the
+day before the batch's oldest row on time, taken exactly, and the buckets before that
+day. The fraud history counts critical scores of earlier epochs, as
+those of one micro-batch come out together; without a ``scorer`` it is 0.
+
+An epoch reads only its own users' profiles, its own merchants' buckets and the
+days it looks back to, and writes only its own rows. Expired days and merged
+parts are removed. Re-running an epoch after a failure reads what the one
 before it left and overwrites the same outputs; a missing earlier epoch raises.
 
-Rows older than the watermark or than their user's last processed row are
-late (F4): they go to the late table, so rows in = rows out + late rows.
+Rows without a time, older than the watermark or than their user's last processed
+row are late (F4): they go to the late table, so rows in = rows out + late rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import astuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DAY_US, DEFAULT, WEEK_US, Thresholds
+from ..functions.scalar import amount_log, amount_zscore, temporal_features, velocity_score
 from ..operators import history
-from ..plans.chunked import KEY, prefix_aggregate, prior_moments
-from ..session import delete_path, list_path
+from ..plans.chunked import KEY, join_windows, prefix_aggregate, prior_moments, window_aggregates
+from ..session import delete_path
+from .state import FANOUT, PARTS, Log, Part, Table, merge_levels, newest, numbered, remove
 
-COLS = ["user_id", "transaction_id", "us", "amount", "latitude", "longitude"]
-STATE = ["sess", "n", "mean", "m2", "last_us"]
-PROFILE_SCHEMA = "user_id string, sess long, n long, mean double, m2 double, last_us long"
-TAIL_SCHEMA = "user_id string, transaction_id string, us long, amount double, latitude double, longitude double"
-META_SCHEMA = "max_us long, base long"
-COMPACT = 16
+COLS = ["user_id", "transaction_id", "us", "amount", "latitude", "longitude", "merchant_id", "is_fraud"]
+STATE = ["sess", "n", "mean", "m2", "last_us", "critical"]
+META_SCHEMA = f"max_us long, parts {PARTS}, dropped array<string>"
+COMPACT = FANOUT
 
 
 def _day(us: Column) -> Column:
     return F.floor(us / F.lit(DAY_US)).cast("long")
 
 
-def _numbered(spark: SparkSession, path: str) -> list[int]:
-    """Epochs that a state table has."""
-    return sorted(int(name[6:]) for name in list_path(spark, path) if name.startswith("epoch="))
+def _tables(max_us: int | None, delay_us: int, t: Thresholds) -> dict[str, Table]:
+    """The state tables; what their merges leave out or fold together is out
+    of reach of all rows that can still be on time after ``max_us``."""
+    on_time = None if max_us is None else max_us - delay_us
+    profile = newest("profile", "user_id string, sess long, n long, mean double, m2 double, last_us long, critical long",
+                     ["user_id"], STATE)
 
+    def tail(d: DataFrame) -> DataFrame:
+        return d if on_time is None else d.where(F.col("day") >= (on_time - WEEK_US) // DAY_US)
 
-def _of_epochs(spark: SparkSession, path: str, schema: str, epochs: list[int]) -> DataFrame:
-    if not epochs:
-        return spark.createDataFrame([], schema + ", epoch long")
-    d = spark.read.schema(schema + ", epoch long").option("basePath", path)
-    return d.parquet(*[f"{path}/epoch={e}" for e in epochs])
+    def profiles(d: DataFrame) -> DataFrame:
+        d = profile.merge(d)
+        return d if on_time is None or t.profile_ttl_us is None else d.where(F.col("last_us") >= on_time - t.profile_ttl_us)
 
+    def buckets(d: DataFrame) -> DataFrame:
+        day = F.col("day") if on_time is None else F.greatest("day", F.lit(on_time // DAY_US - 2).cast("long"))
+        return d.groupBy("merchant_id", day.alias("day")).agg(F.sum("known").alias("known"), F.sum("fraud").alias("fraud"))
 
-def _profiles(spark: SparkSession, state: str, before: int, base: int | None) -> DataFrame:
-    """Latest profiles of all users before an epoch."""
-    since = [e for e in _numbered(spark, f"{state}/profile") if (base is None or e > base) and e < before]
-    d = _of_epochs(spark, f"{state}/profile", PROFILE_SCHEMA, since)
-    if base is not None:
-        d = d.unionByName(_of_epochs(spark, f"{state}/base", PROFILE_SCHEMA, [base]))
-    return d
+    return {"tail": Table("tail", "user_id string, transaction_id string, us long, amount double, latitude double, "
+                          "longitude double, merchant_id string, is_fraud int", tail, by_day=True),
+            "profile": Table("profile", profile.schema, profiles),
+            "merchant": Table("merchant", "merchant_id string, day long, known long, fraud long", buckets)}
 
 
-def _latest(profiles: DataFrame) -> DataFrame:
-    g = profiles.groupBy("user_id").agg(F.max_by(F.struct(*STATE), F.col("epoch")).alias("r"))
-    return g.select("user_id", "r.*")
+def _merchant_features(d: DataFrame, src: DataFrame, closed: DataFrame) -> DataFrame:
+    """D7b and D9 of the rows of ``d``: ``src`` has their merchants' rows from
+    some day on, theirs included, ``closed`` the labelled sums before it."""
+    w = window_aggregates(src, "merchant_id", "us", {"merchant_txn_count_24h": (DAY_US, 0)}, history._merchant_risk("is_fraud"))
+    d = join_windows(d, "merchant_id", "us", w)
+    c = closed.groupBy(F.col("merchant_id").alias("_cm")).agg(F.sum("known").alias("_ck"), F.sum("fraud").alias("_cf"))
+    d = d.join(c, F.col("merchant_id").eqNullSafe(F.col("_cm")), "left")
+    d = d.withColumn("_mf", F.col("_mf") + F.coalesce("_cf", F.lit(0))).withColumn("_mc", F.col("_mc") + F.coalesce("_ck", F.lit(0)))
+    return history._risk_share(d).drop("_cm", "_ck", "_cf")
 
 
 def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir: str,
                   delay_us: int = DAY_US, t: Thresholds = DEFAULT,
-                  outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
-    """One micro-batch: features of the rows on time, late rows apart, what
-    ``outputs`` (folder -> function of the features) make of them, new state."""
+                  outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+                  scorer: Callable[[DataFrame], DataFrame] | None = None, score_dir: str | None = None,
+                  logs: dict[str, tuple[Table, Callable[[DataFrame], DataFrame]]] | None = None) -> None:
+    """One micro-batch: features of the rows on time, late rows apart, new state.
+
+    ``scorer`` makes scored rows of the features, written to ``score_dir``. From these (without one, from the
+    features) come ``outputs`` (folder -> function of the rows) and ``logs``
+    (folder -> table and function of the rows whose result is added to it)."""
     spark = new.sparkSession
-    max_seen = base = None
+    max_seen, parts, gone = None, [], []
     if epoch > 0:
-        if epoch - 1 not in _numbered(spark, f"{state}/meta"):
+        if epoch - 1 not in numbered(spark, f"{state}/meta"):
             raise RuntimeError(f"the state of epoch {epoch - 1} is missing under {state}")
         m = spark.read.schema(META_SCHEMA).parquet(f"{state}/meta/epoch={epoch - 1}").first()
-        max_seen, base = m["max_us"], m["base"]
+        max_seen, parts, gone = m["max_us"], [Part(*p) for p in m["parts"]], m["dropped"]
+    tables = _tables(max_seen, delay_us, t)
 
     held_rows: list[DataFrame] = []
 
@@ -89,14 +111,17 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
         held_rows.append(d.persist())
         return d
 
-    rows = kept(new.select(*COLS))   # of this batch's users; each step reads the one before once
+    given = {c: F.col(c) if c in new.columns else F.lit(None) for c in COLS}
+    given["is_fraud"] = given["is_fraud"].cast("int")
+    given["merchant_id"] = given["merchant_id"].cast("string")
+    rows = kept(new.select(*[x.alias(c) for c, x in given.items()]))   # each step reads the one before once
     try:
         users = rows.select(F.col("user_id").alias("_u")).distinct()
         own = F.col("user_id").eqNullSafe(F.col("_u"))
-        prof = _latest(_profiles(spark, state, epoch, base).join(users, own, "left_semi"))
+        prof = tables["profile"].merge(tables["profile"].read(spark, state, parts).join(users, own, "left_semi"))
         last = prof.select(F.col("user_id").alias("_pu"), F.col("last_us").alias("_last_us"))
         j = rows.join(last, F.col("user_id").eqNullSafe(F.col("_pu")), "left")
-        late = F.coalesce(F.col("us") < F.col("_last_us"), F.lit(False))
+        late = F.col("us").isNull() | F.coalesce(F.col("us") < F.col("_last_us"), F.lit(False))
         if max_seen is not None:
             late = late | (F.col("us") < F.lit(max_seen - delay_us))
         j = j.withColumn("_late", late)
@@ -104,14 +129,14 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
         ontime = j.filter(~F.col("_late")).select(*COLS)
 
         least = rows.agg(F.min("us")).first()[0]
-        held = [e for e in _numbered(spark, f"{state}/tail") if e < epoch] if least is not None else []
-        tail = _of_epochs(spark, f"{state}/tail", TAIL_SCHEMA + ", day long", held)
-        if held:
-            tail = tail.where(F.col("day") >= (least - WEEK_US) // DAY_US)
-        tail = tail.select(*COLS).join(users, own, "left_semi")
+        if least is not None and max_seen is not None:
+            least = max(least, max_seen - delay_us)
+        tail = tables["tail"].read(spark, state, parts if least is not None else [])
+        before = tail.where(F.col("day") >= (least - WEEK_US) // DAY_US) if least is not None else tail
+        before = before.select(*COLS).join(users, own, "left_semi")
 
         # look-back features (D1, D2) over tail + new rows
-        both = kept(tail.withColumn("_new", F.lit(False)).unionByName(ontime.withColumn("_new", F.lit(True))))
+        both = kept(before.withColumn("_new", F.lit(False)).unionByName(ontime.withColumn("_new", F.lit(True))))
         d = history._velocity(history._user_pass(both, t), both, t)
         d = kept(d.filter("_new").select("*", *history._last_cols(t)))
 
@@ -120,7 +145,7 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
         d = prefix_aggregate(d, [KEY], "us", [("_s_new", F.when(reset, F.col("us")), "max")],
                              tiebreak=["transaction_id"], include_current=True)
         stored = prof.select(F.col("user_id").alias("_pu"), F.col("sess").alias("_s_old"), F.col("n").alias("_n0"),
-                             F.col("mean").alias("_mean0"), F.col("m2").alias("_m20"))
+                             F.col("mean").alias("_mean0"), F.col("m2").alias("_m20"), F.col("critical").alias("_crit0"))
         d = d.join(stored, F.col("user_id").eqNullSafe(F.col("_pu")), "left")
         d = kept(d.withColumn("_sess", F.coalesce("_s_new", "_s_old")))
         d = prior_moments(d, [KEY, "_sess"], "us", "amount", tiebreak=["transaction_id"], prefix="_pm")
@@ -140,11 +165,27 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
               .withColumn("_m2", F.when(n > 0, m2).otherwise(F.lit(0.0)))
               .withColumn("user_std_amount",
                           F.when(n > 1, F.sqrt(F.try_divide(F.col("_m2"), n))).otherwise(F.lit(0.0))))
-        feats = d.select("user_id", "transaction_id", "us", "amount", "latitude", "longitude", F.col("_sess").alias("sess"),
+        feats = d.select("user_id", "transaction_id", "us", "amount", "latitude", "longitude", "merchant_id", "is_fraud",
+                         F.col("_sess").alias("sess"),
                          F.col("_m2").alias("m2"), "time_since_last_txn_seconds", "distance_from_last_txn_km",
                          "travel_speed_kmh", "is_impossible_travel", "txn_count_1h", "txn_count_24h", "txn_count_7d",
                          "total_amount_24h", "user_txn_count_total", "user_avg_amount", "user_std_amount",
+                         F.when(cont, F.coalesce("_crit0", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("user_fraud_history_count"),
                          F.lit(False).alias("late"))
+
+        # merchants: the day before the oldest row on time and later exactly, buckets before
+        fresh = both.where("_new").select("merchant_id", "us", "is_fraud")
+        shops = fresh.select(F.col("merchant_id").alias("_s")).distinct()
+        same = F.col("merchant_id").eqNullSafe(F.col("_s"))
+        first = 0 if least is None else least // DAY_US - 1
+        near = tail.where(F.col("day") >= first).select("merchant_id", "us", "is_fraud").join(shops, same, "left_semi")
+        closed = tables["merchant"].read(spark, state, parts).where(F.col("day") < first).join(shops, same, "left_semi")
+        feats = _merchant_features(feats, near.unionByName(fresh), closed)
+        tf = temporal_features("us")
+        feats = feats.select("*", amount_log("amount").alias("amount_log"),
+                             amount_zscore("amount", "user_avg_amount", "user_std_amount").alias("amount_zscore"),
+                             *[tf[c].alias(c) for c in ("hour_of_day", "day_of_week", "is_weekend")],
+                             velocity_score("txn_count_1h", "txn_count_24h").alias("velocity_score"))
         feats.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
     finally:
         for d in held_rows:
@@ -152,62 +193,61 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
 
     # everything below reads what was just written (no recompute; lineage cut)
     done = spark.read.parquet(f"{out_dir}/epoch={epoch}")
+    if scorer is not None:
+        scorer(done).write.mode("overwrite").parquet(f"{score_dir}/epoch={epoch}")
+        done = spark.read.parquet(f"{score_dir}/epoch={epoch}")
     for folder, build in (outputs or {}).items():
         build(done).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
-    done.select(*COLS, _day(F.col("us")).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{state}/tail/epoch={epoch}")
-    r = done.groupBy("user_id").agg(F.max_by(F.struct("us", "amount", "sess", "user_txn_count_total", "user_avg_amount", "m2"),
-                                             F.struct("us", "transaction_id")).alias("r"))
-    x, k, mu = F.col("r.amount"), F.col("r.user_txn_count_total"), F.col("r.user_avg_amount")
-    mean = mu + (x - mu) / (k + 1)
-    upd = r.select("user_id", F.col("r.sess").alias("sess"), (k + 1).alias("n"), mean.alias("mean"),
-                   (F.col("r.m2") + (x - mu) * (x - mean)).alias("m2"), F.col("r.us").alias("last_us"))
-    upd.write.mode("overwrite").parquet(f"{state}/profile/epoch={epoch}")
+    for folder, (table, build) in (logs or {}).items():
+        Log(table, folder, COMPACT).append(build(done), epoch)
     batch_max = done.agg(F.max("us")).first()[0]
     new_max = max([v for v in (max_seen, batch_max) if v is not None], default=None)
-    new_base = base
-    if epoch % COMPACT == COMPACT - 1:
-        merged = _latest(_profiles(spark, state, epoch + 1, base))
-        if new_max is not None and t.profile_ttl_us is not None:
-            merged = merged.filter(F.col("last_us") >= F.lit(new_max - delay_us - t.profile_ttl_us))
-        merged.write.mode("overwrite").parquet(f"{state}/base/epoch={epoch}")
-        new_base = epoch
-    spark.createDataFrame([(new_max, new_base)], META_SCHEMA).write.mode("overwrite").parquet(f"{state}/meta/epoch={epoch}")
-    _expire(spark, state, epoch, base, max_seen, delay_us)
-
-
-def _expire(spark: SparkSession, state: str, epoch: int, base: int | None, max_seen: int | None, delay_us: int) -> None:
-    """Removes what no epoch from this one on reads (this one may run again)."""
-    for e in _numbered(spark, f"{state}/meta"):
-        if e < epoch - 1:
-            delete_path(spark, f"{state}/meta/epoch={e}")
-    if base is not None:
-        for e in _numbered(spark, f"{state}/profile"):
-            if e <= base:
-                delete_path(spark, f"{state}/profile/epoch={e}")
-        for e in _numbered(spark, f"{state}/base"):
-            if e < base:
-                delete_path(spark, f"{state}/base/epoch={e}")
-    if max_seen is not None:
-        first = (max_seen - delay_us - WEEK_US) // DAY_US
-        for e in _numbered(spark, f"{state}/tail"):
-            days = [n for n in list_path(spark, f"{state}/tail/epoch={e}") if n.startswith("day=")]
-            old = [n for n in days if int(n[4:]) < first]
-            if days and len(old) == len(days) and e < epoch:
-                delete_path(spark, f"{state}/tail/epoch={e}")
-            else:
-                for n in old:
-                    delete_path(spark, f"{state}/tail/epoch={e}/{n}")
+    tables = _tables(new_max, delay_us, t)
+    day = None if batch_max is None else batch_max // DAY_US
+    added = [Part("tail", 0, epoch, day), Part("profile", 0, epoch), Part("merchant", 0, epoch)]
+    tables["tail"].write(done.select(*COLS, _day(F.col("us")).alias("day")), state, added[0])
+    tables["profile"].write(_after(done, t, scorer is not None), state, added[1])
+    label = F.col("is_fraud")
+    tables["merchant"].write(done.groupBy("merchant_id", _day(F.col("us")).alias("day")).agg(
+        F.count(label).alias("known"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("fraud")), state, added[2])
+    now = merge_levels(spark, state, [*parts, *added], list(tables.values()), epoch, COMPACT)
+    if new_max is not None:
+        reach = (new_max - delay_us - WEEK_US) // DAY_US
+        now = [p for p in now if p.last_day is None or p.last_day >= reach]
+    dropped = [p.path for p in [*parts, *added] if p not in now]
+    spark.createDataFrame([(new_max, [astuple(p) for p in now], dropped)], META_SCHEMA).coalesce(1) \
+         .write.mode("overwrite").parquet(f"{state}/meta/epoch={epoch}")
+    remove(spark, state, [*gone, f"meta/epoch={epoch - 2}"])
+
+
+def _after(done: DataFrame, t: Thresholds, scored: bool) -> DataFrame:
+    """The profiles of an epoch's users after it."""
+    hit = history._critical(t) if scored else F.lit(0).cast("long")
+    at = F.struct("us", "transaction_id")
+    g = done.groupBy("user_id", "sess").agg(
+        F.max_by(F.struct("us", "amount", "sess", "user_txn_count_total", "user_avg_amount", "m2", "user_fraud_history_count"), at).alias("r"),
+        F.max(at).alias("at"), F.sum(hit).alias("hits"))
+    g = g.groupBy("user_id").agg(F.max_by(F.struct("r.*", "hits"), F.col("at")).alias("r"))
+    x, k, mu = F.col("r.amount"), F.col("r.user_txn_count_total"), F.col("r.user_avg_amount")
+    mean = mu + (x - mu) / (k + 1)
+    return g.select("user_id", F.col("r.sess").alias("sess"), (k + 1).alias("n"), mean.alias("mean"),
+                    (F.col("r.m2") + (x - mu) * (x - mean)).alias("m2"), F.col("r.us").alias("last_us"),
+                    (F.col("r.user_fraud_history_count") + F.col("r.hits")).alias("critical"))
 
 
 def start_stream_features(stream: DataFrame, base: str, delay_us: int = DAY_US, trigger: dict | None = None,
-                          outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
-    """Start the foreachBatch query; outputs under ``base``/out and
-    ``base``/<name of each output>, late rows under ``base``/late, state under
+                          outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+                          scorer: Callable[[DataFrame], DataFrame] | None = None,
+                          logs: dict[str, tuple[Table, Callable[[DataFrame], DataFrame]]] | None = None):
+    """Start the foreachBatch query; outputs under ``base``/out, ``base``/score
+    and ``base``/<name of each output or log>, late rows under ``base``/late, state under
     ``base``/state, checkpoint ``base``/ck."""
     src = stream.select(*COLS)
     named = {f"{base}/{name}": build for name, build in (outputs or {}).items()}
+    named_logs = {f"{base}/{name}": x for name, x in (logs or {}).items()}
     w = (src.writeStream.foreachBatch(
-            lambda df, e: process_batch(df, e, base + "/state", base + "/out", base + "/late", delay_us, outputs=named))
+            lambda df, e: process_batch(df, e, base + "/state", base + "/out", base + "/late", delay_us, outputs=named,
+                                        scorer=scorer, score_dir=base + "/score", logs=named_logs))
          .option("checkpointLocation", base + "/ck"))
     if trigger:
         w = w.trigger(**trigger)
@@ -215,16 +255,22 @@ def start_stream_features(stream: DataFrame, base: str, delay_us: int = DAY_US,
 
 
 def run_replay(spark: SparkSession, txn: DataFrame, base: str, order: list[int] | None = None, n_ranges: int = 2,
-               outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
+               outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+               scorer: Callable[[DataFrame], DataFrame] | None = None,
+               logs: dict[str, tuple[Table, Callable[[DataFrame], DataFrame]]] | None = None,
+               before: Callable[[int], None] | None = None) -> None:
     """Replay ``txn`` through the stream: its equal ranges of event time, in
     ``order`` (default: time order), are written as JSON files in parallel and
-    each processed by a restart of the query from its checkpoint."""
+    each processed by a restart of the query from its checkpoint. ``before`` is
+    called with each range's number before it arrives."""
     from .stream import read_txn_stream, replay_ranges, wire_records
     staged = replay_ranges(txn, base + "/stage", n_ranges)
     for k in (order or range(n_ranges)):
+        if before:
+            before(k)
         wire_records(staged.filter(F.col("_r") == k)).write.mode("append").json(base + "/src")
         s = read_txn_stream(spark, "json", base + "/src")
-        start_stream_features(s, base, trigger={"availableNow": True}, outputs=outputs).awaitTermination()
+        start_stream_features(s, base, trigger={"availableNow": True}, outputs=outputs, scorer=scorer, logs=logs).awaitTermination()
     delete_path(spark, base + "/stage")
 
 

@@ -1,31 +1,19 @@
-"""The scoring flow as Structured Streaming.
-
-source (Kafka or JSON files) -> parse -> per-user state (F1) -> rules (F2)
--> alerts (F3, keyed JSON sink) ; late rows (F4) ; throughput (F5) and
-running counters (F6) as windowed aggregates with a watermark.
-
-F1 keeps per user: the running profile of the current gap session and the
-user's last 7 days of (time, amount) - trimmed in event time by the
-processor (the state API's own TTL is processing-time only). A row older
-than the user's last processed row is out of order: it is emitted with
-``late = true`` and does not touch the state (batch and stream agree on
-per-user ordered input). Inactive users expire by event-time timeout.
+"""The scoring flow around the stream of ``batched``.
+
+source (Kafka or JSON files) -> parse -> features (F1, ``batched``) -> rules or
+model (F2) -> alerts (F3, keyed JSON sink); late rows (F4, ``batched``);
+throughput (F5) behind a watermark and running counters (F6) of the scores.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import DAY_US, EARTH_RADIUS_KM, HOUR_US, MAX_HUMAN_TRAVEL_SPEED_KMH, WEEK_US
+from .state import Log, Table, newest, sums
 
 # Wire schema of a transaction message (JSON value, key = user_id).
 TXN_WIRE_SCHEMA = T.StructType([
@@ -147,6 +135,34 @@ def throughput(df: DataFrame, width: str = "1 minute", label: str = "is_fraud")
                     (F.col("total") / secs).alias("rate_per_s"))
 
 
+WINDOWS = newest("windows", "window_start_us long, total long, fraud long, rate_per_s double",
+                 ["window_start_us"], ["total", "fraud", "rate_per_s"])
+COUNTS = sums("counts", "window_start_us long, risk_level string, model_used string, n long",
+              ["window_start_us", "risk_level", "model_used"], ["n"])
+
+
+def start_throughput(stream: DataFrame, base: str, width: str = "1 minute", delay: str = "1 day", label: str = "is_fraud",
+                     trigger: dict | None = None):
+    """F5 on a running stream: windows behind a watermark, kept in Spark's
+    state until the watermark passes their end. A micro-batch emits the
+    windows it changed (update mode), which replace what ``Log(WINDOWS, base +
+    "/windows")`` had of them. Rows behind the watermark count nowhere (the late
+    table of F4 has them)."""
+    log = Log(WINDOWS, base + "/windows")
+    w = (throughput(stream.withWatermark("ts", delay), width, label).writeStream.outputMode("update")
+         .foreachBatch(lambda d, e: log.append(d, e)).option("checkpointLocation", base + "/ck"))
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start()
+
+
+def score_counter_log(width: str = "1 hour") -> tuple[Table, Callable[[DataFrame], DataFrame]]:
+    """F6 on a running stream, for ``logs`` of ``batched.start_stream_features``:
+    an epoch adds its counts, levels of epochs are summed, so reading the
+    counters costs no more as epochs go by and a batch run again counts once."""
+    return COUNTS, lambda scored: stream_score_counters(scored, width)
+
+
 def stream_score_counters(scored: DataFrame, width: str = "1 hour") -> DataFrame:
     """counts by (window, risk level, model) of a micro-batch; the running
     counters are the sums over epochs (``running_counters``)."""

@@ -10,7 +10,7 @@ from .conftest import SF_SMALL
 
 # queries that run streams or fit models while being built
 RUNS_JOBS = {"stream_features", "stream_features_batched", "stream_score", "stream_alerts",
-             "stream_score_counters", "model_score", "impute_median", "read_transactions", "train_pipeline", "tune_grid", "smote",
+             "stream_score_counters", "stream_features_full", "stream_score_model", "stream_running_counters", "stream_throughput", "model_score", "impute_median", "read_transactions", "train_pipeline", "tune_grid", "smote",
              "smote_neighbors", "stratified_split"}
 
 

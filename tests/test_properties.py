@@ -92,7 +92,7 @@ def test_stream_equals_batch_across_restarts(spark, monkeypatch):
     batched.run_replay(spark, t, base)
     got, want = _same_columns(spark.read.parquet(base + "/out")), _batch_features(t)
     assert got.count() == t.count() and got.exceptAll(want).count() == 0
-    assert "epoch=1" in list_path(spark, base + "/state/base")
+    assert "epoch=1" in list_path(spark, base + "/state/profile-1")
     assert base == scratch_path(spark, "test-stream-replay")
 
 
