@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DAY_US, DEFAULT, HOUR_US, WEEK_US, Thresholds
 from ..functions.geo import haversine_km, impossible_travel, travel_speed_kmh
 from ..functions.scalar import amount_log, amount_zscore, temporal_features, velocity_score
+from ..plans import chunked
 from ..plans.chunked import (CHUNK, HALO, HOME, KEY, global_lag, join_windows, prefix_aggregate, prior_moments,
                              window_aggregates, with_chunks)
 
@@ -75,21 +76,66 @@ def _last_cols(t: Thresholds) -> list[Column]:
              .alias("is_impossible_travel")]
 
 
-def _profile(d: DataFrame) -> DataFrame:
-    """D3 on a frame that went through ``_user_pass`` (has ``_prev_us``,
-    ``_key``, ``_chunk``): running profile of the current gap session, before the row."""
-    reset = F.col("_prev_us").isNull()
-    d = prefix_aggregate(d, [KEY], TS, [("_sess", F.when(reset, F.col(TS)), "max")],
-                         tiebreak=[ID], frame="rows", include_current=True)
-    d = prior_moments(d, [KEY, "_sess"], TS, "amount", tiebreak=[ID], prefix="_pm")
-    n = F.col("_pm_n")
-    std = F.when(n > 1, F.sqrt(F.try_divide(F.col("_pm_m2"), n.cast("double")))).otherwise(F.lit(0.0))
-    keep = [F.col(c) for c in d.columns if c not in ("_pm_n", "_pm_mean", "_pm_m2")]
-    return d.select(*keep, n.alias("user_txn_count_total"),
-                    F.coalesce(F.col("_pm_mean"), F.lit(0.0)).alias("user_avg_amount"),
-                    std.alias("user_std_amount"),
-                    F.when(n > 0, F.col("_sess")).otherwise(F.col(TS)).alias("first_seen_us"),
-                    F.when(n > 0, F.col("_prev_us")).otherwise(F.col(TS)).alias("last_seen_us"))
+def _user_profile_pass(df: DataFrame, t: Thresholds, critical: Column | None = None) -> DataFrame:
+    """D1, D3 and, given ``critical`` (1 where a row counts), D8b in one pass.
+
+    A chunk is no longer than the TTL, so no session starts inside one: a
+    chunk's last row, first time, moments and counts are all that later chunks need. One aggregate makes
+    them, one table of a row a chunk finds previous rows and sessions and adds up what came before in the
+    session, and one join gives that back to the rows, which move once.
+
+    Adds ``_prev_us/_prev_lat/_prev_lon`` (null when there is none within the TTL) and the profile
+    before the row; ``user_fraud_history_count`` with ``critical``.
+    """
+    ttl = t.profile_ttl_us
+    if ttl is not None and ttl <= 0:
+        raise ValueError("the profile's TTL must be positive")
+    chunk_us = chunked.CHUNK_US if ttl is None else min(chunked.CHUNK_US, ttl)
+    x, pos = F.col("amount"), F.struct(F.col(TS).alias("us"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    d = with_chunks(df if critical is None else df.withColumn("_crit", critical), USER, TS, chunk_us)
+    crit = F.col("_crit") if critical is not None else F.lit(0).cast("long")
+
+    w = Window.partitionBy(KEY, CHUNK).orderBy(TS, ID)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    n_l = F.count(x).over(before)
+    rows = d.select("*", F.lag(pos).over(w).alias("_lp"), n_l.alias("_ln"), F.avg(x).over(before).alias("_lmean"),
+                    (F.coalesce(F.var_pop(x).over(before), F.lit(0.0)) * n_l).alias("_lm2"),
+                    F.coalesce(F.sum(crit).over(before), F.lit(0)).alias("_lc"))
+
+    c = d.groupBy(KEY, CHUNK).agg(
+        F.min(TS).alias("_first"), F.max_by(pos, F.struct(TS, ID)).alias("_last"), F.count(x).alias("_tn"), F.avg(x).alias("_tmean"),
+        (F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)).alias("_tm2"), F.sum(crit).alias("_tc"))
+    wk = Window.partitionBy(KEY).orderBy(CHUNK)
+    c = c.withColumn("_cp", F.lag("_last").over(wk))
+    reset = F.col("_cp").isNull()
+    if ttl is not None:
+        reset = reset | (F.col("_first") - F.col("_cp.us") >= F.lit(ttl))
+    c = c.withColumn("_reset", reset)
+    c = c.withColumn("_sess", F.max(F.when(F.col("_reset"), F.col("_first"))).over(
+        wk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ws = Window.partitionBy(KEY, "_sess").orderBy(CHUNK)
+    prev = ws.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_ref", F.first("_tmean", ignorenulls=True).over(
+        ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    dev = F.col("_tmean") - F.col("_ref")
+    c = c.select(F.col(KEY).alias("_jk"), F.col(CHUNK).alias("_jc"), "_sess", "_ref", F.when(~F.col("_reset"), F.col("_cp")).alias("_cp"),
+                 F.sum("_tn").over(prev).alias("_on"), F.sum(F.col("_tn") * dev).over(prev).alias("_os"),
+                 F.sum(F.col("_tn") * dev * dev).over(prev).alias("_oq"), F.sum("_tm2").over(prev).alias("_om2"),
+                 F.sum("_tc").over(prev).alias("_oc"))
+    j = rows.join(c, (F.col(KEY) == F.col("_jk")) & (F.col(CHUNK) == F.col("_jc")), "left")
+
+    n, mean, m2 = chunked.merged_moments()
+    j = j.withColumn("_p", F.coalesce("_lp", "_cp")).withColumn("_n", n.cast("long")).withColumn("_m2", m2)
+    keep = [F.col(name) for name in df.columns]
+    std = F.when(F.col("_n") > 1, F.sqrt(F.try_divide(F.greatest(F.lit(0.0), F.col("_m2")), F.col("_n").cast("double")))).otherwise(F.lit(0.0))
+    out = [F.col("_p.us").alias("_prev_us"), F.col("_p.lat").alias("_prev_lat"), F.col("_p.lon").alias("_prev_lon"),
+           F.col("_n").alias("user_txn_count_total"),
+           F.coalesce(F.when(n > 0, mean), F.lit(0.0)).alias("user_avg_amount"), std.alias("user_std_amount"),
+           F.when(F.col("_n") > 0, F.col("_sess")).otherwise(F.col(TS)).alias("first_seen_us"),
+           F.when(F.col("_n") > 0, F.col("_p.us")).otherwise(F.col(TS)).alias("last_seen_us")]
+    if critical is not None:
+        out.append((F.col("_lc") + F.coalesce("_oc", F.lit(0))).cast("long").alias("user_fraud_history_count"))
+    return j.select(*keep, *out)
 
 
 def _finish(d: DataFrame, cols: list[str]) -> DataFrame:
@@ -122,7 +168,7 @@ def velocity_windows_ttl(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 def user_profile_running(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """D3: count, mean, population std, first/last seen before the row,
     restarting after a gap of at least the profile TTL."""
-    return _finish(_profile(_user_pass(df, t)), [])
+    return _finish(_user_profile_pass(df, t), [])
 
 
 def user_profile_snapshot(df: DataFrame, t: Thresholds = DEFAULT,
@@ -216,18 +262,16 @@ def point_in_time_features(df: DataFrame, t: Thresholds = DEFAULT,
                            scores: DataFrame | None = None,
                            label: str | None = "is_fraud") -> DataFrame:
     """The full 21-field feature row, each value as of just before the
-    transaction. The user steps share one (user, chunk) exchange.
+    transaction. The user steps but the windows are one pass.
 
     ``scores`` (transaction_id, fraud_probability) feeds D8b; without it the
     count is 0.
     """
-    d = _user_pass(_with_scores(df, scores) if scores is not None else df, t)
-    d = _profile(d.select("*", *_last_cols(t)))
     if scores is not None:
-        d = prefix_aggregate(d, [KEY, "_sess"], TS, [("user_fraud_history_count", _critical(t), "sum")],
-                             tiebreak=[ID]).drop("fraud_probability")
+        d = _user_profile_pass(_with_scores(df, scores), t, _critical(t)).drop("fraud_probability")
     else:
-        d = d.withColumn("user_fraud_history_count", F.lit(0).cast("long"))
+        d = _user_profile_pass(df, t).withColumn("user_fraud_history_count", F.lit(0).cast("long"))
+    d = d.select("*", *_last_cols(t))
     d = _finish(_velocity(d, df, t), [])
     # both merchant features come from one pass over (merchant, time)
     known = bool(label) and label in df.columns

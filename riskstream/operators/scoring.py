@@ -20,9 +20,8 @@ SCORE_COLUMNS = ["transaction_id", "user_id", "us", "fraud_probability", "risk_l
 def rule_features(txn: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """The minimal feature row the rules read: last transaction within the
     TTL (D1), running profile of the gap session (D3), hour, z-score."""
-    d = history._user_pass(txn, t)
-    d = history._profile(d.select("*", *history._last_cols(t)))
-    d = history._finish(d, [])
+    d = history._user_profile_pass(txn, t)
+    d = history._finish(d.select("*", *history._last_cols(t)), [])
     return d.select("*", hour_of_day("us").alias("hour_of_day"),
                     amount_zscore("amount", "user_avg_amount", "user_std_amount").alias("amount_zscore"))
 

@@ -132,6 +132,27 @@ def prefix_aggregate(df: DataFrame, keys: Sequence[str], us: str,
     return j.select(*out_cols)
 
 
+def merged_moments() -> tuple[Column, Column, Column]:
+    """Count, mean and M2 of a chunk's rows so far (``_ln``, ``_lmean``, ``_lm2``)
+    and its key's earlier chunks (``_on`` and sums centred on ``_ref``: ``_os``, ``_oq``, ``_om2``)."""
+    n_p = F.coalesce(F.col("_on"), F.lit(0)).cast("double")
+    s_p = F.coalesce(F.col("_os"), F.lit(0.0))
+    mean_p = F.col("_ref") + F.try_divide(s_p, n_p)
+    m2_p = F.greatest(F.lit(0.0),
+                      F.coalesce(F.col("_om2"), F.lit(0.0)) + F.coalesce(F.col("_oq"), F.lit(0.0))
+                      - F.try_divide(s_p * s_p, n_p))
+    n_l = F.col("_ln").cast("double")
+    n = n_p + n_l
+    delta = F.col("_lmean") - mean_p
+    mean = (F.when(n_p == 0, F.col("_lmean"))
+             .when(n_l == 0, mean_p)
+             .otherwise(mean_p + F.try_divide(delta * n_l, n)))
+    m2 = (F.when(n_p == 0, F.col("_lm2"))
+           .when(n_l == 0, m2_p)
+           .otherwise(m2_p + F.col("_lm2") + F.try_divide(delta * delta * n_p * n_l, n)))
+    return n, mean, m2
+
+
 def prior_moments(df: DataFrame, keys: Sequence[str], us: str, x: str,
                   tiebreak: Sequence[str] = (), prefix: str = "p",
                   chunk_us: int = DAY_US) -> DataFrame:
@@ -168,21 +189,7 @@ def prior_moments(df: DataFrame, keys: Sequence[str], us: str, x: str,
         F.sum("_tm2").over(prev).alias("_om2"))
     j = _join_back(d, offs, keys + [CHUNK])
 
-    n_p = F.coalesce(F.col("_on"), F.lit(0)).cast("double")
-    s_p = F.coalesce(F.col("_os"), F.lit(0.0))
-    mean_p = F.col("_ref") + F.try_divide(s_p, n_p)
-    m2_p = F.greatest(F.lit(0.0),
-                      F.coalesce(F.col("_om2"), F.lit(0.0)) + F.coalesce(F.col("_oq"), F.lit(0.0))
-                      - F.try_divide(s_p * s_p, n_p))
-    n_l = F.col("_ln").cast("double")
-    n = n_p + n_l
-    delta = F.col("_lmean") - mean_p
-    mean = (F.when(n_p == 0, F.col("_lmean"))
-             .when(n_l == 0, mean_p)
-             .otherwise(mean_p + F.try_divide(delta * n_l, n)))
-    m2 = (F.when(n_p == 0, F.col("_lm2"))
-           .when(n_l == 0, m2_p)
-           .otherwise(m2_p + F.col("_lm2") + F.try_divide(delta * delta * n_p * n_l, n)))
+    n, mean, m2 = merged_moments()
     return j.select(*[F.col(c) for c in df.columns],
                     n.cast("long").alias(f"{prefix}_n"),
                     F.when(n > 0, mean).alias(f"{prefix}_mean"),

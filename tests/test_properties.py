@@ -171,3 +171,33 @@ def test_building_a_plan_runs_no_job(spark):
     before = len(tracker.getJobIdsForGroup(None))
     history.point_in_time_features(t)
     assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+@pytest.mark.parametrize("ttl", [None, 20 * 60 * 10**6, 24 * 3600 * 10**6])
+def test_one_user_pass_equals_a_plain_loop(spark, ttl):
+    """Previous row, session, moments and fraud count of the merged pass: users
+    with gaps around the TTL and within one chunk, null users and null amounts."""
+    import random
+
+    from riskstream.config import DEFAULT
+    from dataclasses import replace
+    rnd, rows, us = random.Random(3), [], 10**15
+    for i in range(400):
+        us += rnd.choice([0, 10**6, 19 * 60 * 10**6, 20 * 60 * 10**6, 3600 * 10**6, 30 * 3600 * 10**6])
+        rows.append((rnd.choice(["a", "a", "b", None]), f"T{i:04d}", us, rnd.choice([1.0, 7.5, 300.0, None]), float(i % 50), float(i % 70), rnd.choice([0, 1])))
+    d = spark.createDataFrame(rows, "user_id string, transaction_id string, us long, amount double, latitude double, longitude double, c long")
+    got = {r["transaction_id"]: r for r in history._user_profile_pass(d, replace(DEFAULT, profile_ttl_us=ttl), F.col("c")).collect()}
+    state = {}
+    for u, i, at, x, lat, lon, c in rows:
+        last, sess, xs, hits = state.get(u, (None, None, [], 0))
+        if last is None or (ttl is not None and at - last[0] >= ttl):
+            last, sess, xs, hits = None, at, [], 0
+        r, n = got[i], len(xs)
+        assert (r["_prev_us"], r["_prev_lat"], r["_prev_lon"]) == (last or (None, None, None))
+        assert r["user_txn_count_total"] == n and r["user_fraud_history_count"] == hits
+        mean = sum(xs) / n if n else 0.0
+        assert abs(r["user_avg_amount"] - mean) < 1e-9
+        sd = (sum((v - mean) ** 2 for v in xs) / n) ** 0.5 if n > 1 else 0.0
+        assert abs(r["user_std_amount"] - sd) < 1e-6
+        assert r["first_seen_us"] == (sess if n else at)
+        state[u] = ((at, lat, lon), sess, xs + ([x] if x is not None else []), hits + c)
