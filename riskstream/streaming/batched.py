@@ -77,8 +77,8 @@ def _tables(max_us: int | None, delay_us: int, t: Thresholds) -> dict[str, Table
 
 def _merchant_features(d: DataFrame, src: DataFrame, closed: DataFrame) -> DataFrame:
     """D7b and D9 of the rows of ``d``: ``src`` has their merchants' rows from
-    some day on, theirs included, ``closed`` the labelled sums before it."""
-    w = window_aggregates(src, "merchant_id", "us", {"merchant_txn_count_24h": (DAY_US, 0)}, history._merchant_risk("is_fraud"))
+    some day on, theirs included as ``_new``, ``closed`` the labelled sums before it."""
+    w = window_aggregates(src, "merchant_id", "us", {"merchant_txn_count_24h": (DAY_US, 0)}, history._merchant_risk("is_fraud"), F.col("_new"))
     d = join_windows(d, "merchant_id", "us", w)
     c = closed.groupBy(F.col("merchant_id").alias("_cm")).agg(F.sum("known").alias("_ck"), F.sum("fraud").alias("_cf"))
     d = d.join(c, F.col("merchant_id").eqNullSafe(F.col("_cm")), "left")
@@ -137,8 +137,8 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
 
         # look-back features (D1, D2) over tail + new rows
         both = kept(before.withColumn("_new", F.lit(False)).unionByName(ontime.withColumn("_new", F.lit(True))))
-        d = history._velocity(history._user_pass(both, t), both, t)
-        d = kept(d.filter("_new").select("*", *history._last_cols(t)))
+        d = history._velocity(history._user_pass(both, t).filter("_new"), both, t, F.col("_new"))
+        d = kept(d.select("*", *history._last_cols(t)))
 
         # running profile: sessions and prior moments over the new rows ...
         reset = F.col("_prev_us").isNull()
@@ -180,7 +180,7 @@ def process_batch(new: DataFrame, epoch: int, state: str, out_dir: str, late_dir
         first = 0 if least is None else least // DAY_US - 1
         near = tail.where(F.col("day") >= first).select("merchant_id", "us", "is_fraud").join(shops, same, "left_semi")
         closed = tables["merchant"].read(spark, state, parts).where(F.col("day") < first).join(shops, same, "left_semi")
-        feats = _merchant_features(feats, near.unionByName(fresh), closed)
+        feats = _merchant_features(feats, near.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True))), closed)
         tf = temporal_features("us")
         feats = feats.select("*", amount_log("amount").alias("amount_log"),
                              amount_zscore("amount", "user_avg_amount", "user_std_amount").alias("amount_zscore"),
