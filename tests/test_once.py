@@ -14,6 +14,32 @@ from riskstream.sources import fixtures as fx
 from .conftest import SF_SMALL
 
 
+def _counted(spark, d):
+    """d, and how often its rows are computed."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+    return d.withColumn("transaction_id", F.udf(seen, "string")("transaction_id")), made
+
+
+@pytest.mark.parametrize("name", ["impute_median"])
+def test_training_features_are_computed_once(spark, monkeypatch, name):
+    d, made = _counted(spark, history.training_features(fx.txn(spark, SF_SMALL)))
+    monkeypatch.setattr(queries.history, "training_features", lambda *_: d)
+    rows = queries.QUERIES[name](spark, SF_SMALL).collect()
+    assert made.value == len(rows) == fx.txn(spark, SF_SMALL).count()
+
+
+def test_medians_of_columns_side_by_side(spark):
+    nan, inf = float("nan"), math.inf
+    rows = [(float(i * i % 37) if i % 5 else None, -1.5 if i % 3 else nan, [inf, -inf, 0.0][i % 3], None) for i in range(401)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    want = [statistics.median(v for v in col if v is not None and v == v) for col in list(zip(*rows))[:3]]
+    assert select.exact_medians(d, ["a", "b", "c", "d"]) == {**dict(zip("abc", want)), "d": None}
+
+
 @pytest.mark.parametrize("hi", [0, 1])
 def test_windows_only_where_asked(spark, hi):
     """Null keys and times, repeated times; the row at a time asked for is not in its own window."""
