@@ -24,7 +24,7 @@ def _counted(spark, d):
     return d.withColumn("transaction_id", F.udf(seen, "string")("transaction_id")), made
 
 
-@pytest.mark.parametrize("name", ["impute_median"])
+@pytest.mark.parametrize("name", ["impute_median", "standard_scale"])
 def test_training_features_are_computed_once(spark, monkeypatch, name):
     d, made = _counted(spark, history.training_features(fx.txn(spark, SF_SMALL)))
     monkeypatch.setattr(queries.history, "training_features", lambda *_: d)
