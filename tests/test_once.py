@@ -32,6 +32,15 @@ def test_training_features_are_computed_once(spark, monkeypatch, name):
     assert made.value == len(rows) == fx.txn(spark, SF_SMALL).count()
 
 
+def test_model_score_computes_its_features_once(spark, monkeypatch):
+    d, made = _counted(spark, history.point_in_time_features(fx.txn(spark, SF_SMALL)))
+    monkeypatch.setattr(queries.history, "point_in_time_features", lambda *_: d)
+    fit = training.train_gbt
+    monkeypatch.setattr(queries.training, "train_gbt", lambda t, num, cat, params, **kw: fit(t, num, cat, training.GBTParams(max_iter=1, max_depth=1), **kw))
+    rows = queries.QUERIES["model_score"](spark, SF_SMALL).collect()
+    assert made.value == len(rows) == fx.txn(spark, SF_SMALL).count()
+
+
 def test_medians_of_columns_side_by_side(spark):
     nan, inf = float("nan"), math.inf
     rows = [(float(i * i % 37) if i % 5 else None, -1.5 if i % 3 else nan, [inf, -inf, 0.0][i % 3], None) for i in range(401)]
