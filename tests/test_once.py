@@ -41,6 +41,19 @@ def test_model_score_computes_its_features_once(spark, monkeypatch):
     assert made.value == len(rows) == fx.txn(spark, SF_SMALL).count()
 
 
+def test_boosted_score_splits_once(spark, monkeypatch):
+    made, split = [], queries.prep.stratified_split
+
+    def counted(*a, **kw):
+        d, n = _counted(spark, split(*a, **kw))
+        made.append(n)
+        return d
+    monkeypatch.setattr(queries.prep, "stratified_split", counted)
+    monkeypatch.setattr(queries, "BOOST_ROUNDS", 1)
+    rows = queries.QUERIES["boosted_score"](spark, SF_SMALL).collect()
+    assert made[0].value == len(rows) == fx.txn(spark, SF_SMALL).count()
+
+
 def test_medians_of_columns_side_by_side(spark):
     nan, inf = float("nan"), math.inf
     rows = [(float(i * i % 37) if i % 5 else None, -1.5 if i % 3 else nan, [inf, -inf, 0.0][i % 3], None) for i in range(401)]
